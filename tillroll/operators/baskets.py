@@ -24,34 +24,29 @@ def parse_product_ids(products: Column) -> Column:
     return F.array_sort(F.filter(ids, lambda x: x.isNotNull()))
 
 
-def product_counts(sorted_ids: Column) -> Column:
-    """array<struct<product_id, quantity>>: run lengths of a sorted id array.
-
-    Linear in the basket size after the sort and evaluated inside the row, so
-    counting repeats needs no shuffle.
-    """
-    n = F.size(sorted_ids)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: (i <= n) & ((i == 1) |
-                                            (F.try_element_at(sorted_ids, i) !=
-                                             F.try_element_at(sorted_ids, F.greatest(i - 1, F.lit(1))))))
-    return F.transform(
-        starts,
-        lambda p, j: F.struct(
-            F.element_at(sorted_ids, p).alias("product_id"),
-            (F.coalesce(F.try_element_at(starts, j + 2), n + 1) - p).cast("bigint").alias("quantity")))
-
-
 def expand_baskets(raw: DataFrame, products: str = "products") -> DataFrame:
     """One row per (basket row, distinct product) with the repeat count as quantity.
 
     ``raw`` carries one basket per row plus its key columns (everything but
-    ``products`` is copied onto each output row).
+    ``products`` is copied onto each output row). Repeats are counted inside
+    the row as run lengths of the sorted id array, so no shuffle is needed.
+    Arrays are only ever arguments of zip_with / filter, never referenced in
+    a lambda body, which keeps the work O(n log n) per basket.
     """
     keys = [c for c in raw.columns if c != products]
-    ids = parse_product_ids(F.col(products))
-    return (raw.select(*keys, product_counts(ids).alias("_items"))
-               .select(*keys, F.inline("_items")))
+    s = raw.select(*keys, parse_product_ids(F.col(products)).alias("_s")).filter(F.size("_s") > 0)
+    n = F.size("_s")
+    prev = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("_s", 1, n - 1))
+    s = s.select(*keys, "_s", F.zip_with("_s", prev, lambda x, p: p.isNull() | (x != p)).alias("_f"))
+    idx = F.sequence(F.lit(0), F.size("_s") - 1)
+    s = s.select(*keys,
+                 F.filter(F.zip_with("_s", "_f", lambda x, b: F.when(b, x)), lambda v: v.isNotNull()).alias("_v"),
+                 F.filter(F.zip_with("_f", idx, lambda b, i: F.when(b, i)), lambda v: v.isNotNull()).alias("_st"),
+                 F.size("_s").alias("_n"))
+    ends = F.concat(F.slice("_st", 2, F.size("_st")), F.array("_n"))
+    counts = F.zip_with(ends, "_st", lambda e, b: (e - b).cast("bigint"))
+    items = F.zip_with("_v", counts, lambda v, c: F.struct(v.alias("product_id"), c.alias("quantity")))
+    return s.select(*keys, F.inline(items))
 
 
 def transaction_ids(raw: DataFrame, row_no: str = "row_no", batch: str | None = None) -> Column:

@@ -1 +1,341 @@
-"""Registered checks."""
+"""Registered checks: file sources, validation, catalogue upserts, batches,
+sinks, rebuild and streaming ingestion. Every input is derived by Spark from
+the given tables (raw files are written to the shared folder first)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tillroll.operators import catalog, facts, quality
+from tillroll.plans.dashboard import q_customer_metrics as _cm_check  # noqa: F401  (same oracle text)
+from tillroll.plans.oracle_sql import CUSTOMER_METRICS, LINES, with_ctes
+from tillroll.plans.rebuild import raw_batch, rebuild
+from tillroll.plans.registry import ORACLES, comparable, register
+from tillroll.plans.warehouse import testdata_warehouse
+from tillroll.session import scratch_path
+from tillroll.sources import files, sinks, testdata
+from tillroll.streaming.ingest import ingest_stream
+
+CUTOFF = dt.date(1998, 1, 1)  # batches: orders before it exist, orders from it on are uploaded
+
+
+def _raw(spark, sf):
+    return testdata.raw_files(spark, sf)
+
+
+def _loaded(spark, sf):
+    r = _raw(spark, sf)
+    return files.load_transactions(spark, r["root"])
+
+
+def _brands(spark, sf):
+    return testdata.categories(spark, sf)
+
+
+def _existing_categories(spark, sf):
+    part = testdata.table(spark, sf, "part").filter(F.col("p_size") <= 25)
+    return part.select(F.substring("p_brand", 7, 10).cast("int").alias("category_id"),
+                       F.col("p_brand").alias("category_name")).distinct() \
+               .select("*", F.col("category_id").cast("bigint").alias("pos"))
+
+
+def _uploaded_categories(spark, sf):
+    part = testdata.table(spark, sf, "part").filter(F.col("p_size") > 25)
+    return part.select(F.substring("p_brand", 7, 10).cast("int").alias("category_id"),
+                       F.lower("p_brand").alias("category_name")).distinct() \
+               .select("*", F.col("category_id").cast("bigint").alias("pos"))
+
+
+def _line_relation(spark, sf):
+    """An uploaded product-category relation with many duplicate products:
+    one row per order line (part, line number), read in (order, line) order."""
+    li = testdata.table(spark, sf, "lineitem")
+    return li.select(F.col("l_partkey").alias("product_id"), F.col("l_linenumber").cast("int").alias("category_id"),
+                     (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+
+
+def _size_relation(spark, sf):
+    """A product-category relation keyed by part size, whose ids partly miss
+    from the brand catalogue."""
+    return testdata.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"),
+                                                    F.col("p_size").alias("category_id"))
+
+
+_BRANDS = "brands AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS category_id, p_brand AS category_name FROM part)"
+_EXISTING = ("ex AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS category_id, p_brand AS category_name "
+             "FROM part WHERE p_size <= 25)")
+_UPLOADED = ("up AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS category_id, lower(p_brand) AS category_name "
+             "FROM part WHERE p_size > 25)")
+_LINEREL = ("lr AS (SELECT l_partkey AS product_id, CAST(l_linenumber AS INTEGER) AS category_id, "
+            "l_orderkey * 10 + l_linenumber AS pos FROM lineitem)")
+_ORDERS = """ob AS (
+  SELECT o.o_orderkey, CAST(o.o_orderdate AS DATE) AS date, CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS store_id,
+         o.o_custkey AS customer_id, CAST(coalesce(sum(l.l_quantity), 0) AS INTEGER) AS n_tokens,
+         count(l.l_orderkey) AS n_lines
+  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3, 4)"""
+
+
+# ---------------------------------------------------------------- sources
+
+@register("src_transactions", with_ctes(_ORDERS, select="SELECT date, store_id, customer_id, n_tokens FROM ob"))
+def q_src_transactions(spark, sf):
+    rows, _ = _loaded(spark, sf)
+    t = files.typed_transactions(rows)
+    n = F.size(F.filter(F.split(F.trim("products"), r"\s+"), lambda x: x != ""))
+    return t.select("date", "store_id", "customer_id", n.alias("n_tokens"))
+
+
+@register("store_file_gate", with_ctes(_ORDERS, select=f"""
+SELECT CAST(store_id AS VARCHAR) AS file_store, count(*) AS rows, CAST(0 AS BIGINT) AS foreign_rows, true AS accepted
+FROM ob GROUP BY store_id
+UNION ALL
+SELECT '{testdata.FOREIGN_STORE_FILE}', count(*), count(*), false FROM ob
+WHERE store_id = (SELECT min(store_id) FROM ob)"""))
+def q_store_file_gate(spark, sf):
+    _, report = _loaded(spark, sf)
+    return report.select("file_store", "rows", "foreign_rows", "accepted")
+
+
+@register("src_categories", with_ctes(_BRANDS, select="SELECT category_id, category_name FROM brands"))
+def q_src_categories(spark, sf):
+    return files.load_categories(spark, _raw(spark, sf)["categories"]).drop("pos")
+
+
+@register("src_categories_header", with_ctes(_BRANDS, select="SELECT category_id, category_name FROM brands"))
+def q_src_categories_header(spark, sf):
+    return files.load_categories(spark, _raw(spark, sf)["categories_header"]).drop("pos")
+
+
+@register("src_product_category", """
+SELECT p_partkey AS product_id, CAST(substr(p_brand, 7) AS INTEGER) AS category_id FROM part""")
+def q_src_product_category(spark, sf):
+    return files.load_product_category(spark, _raw(spark, sf)["product_category"]).drop("pos")
+
+
+@register("sniff_format")
+def q_sniff_format(spark, sf):
+    r = _raw(spark, sf)
+    paths = [f"{r['root']}/*_Tran.csv", r["categories"], r["categories_header"], r["product_category"]]
+    lines = files._lines(spark, paths)
+    fmt = files.sniff_format(lines, ["category_id", "category_name"])
+    src = F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1)
+    return fmt.groupBy(src.alias("source"), "delimiter", "has_header", "n_columns", "ok").agg(
+        F.count(F.lit(1)).alias("files"))
+
+
+# ---------------------------------------------------------------- validation
+
+@register("upload_stats", with_ctes(_ORDERS, select="""
+SELECT (SELECT count(*) FROM ob) AS rows, (SELECT count(DISTINCT customer_id) FROM ob) AS customers,
+       (SELECT count(DISTINCT store_id) FROM ob) AS stores,
+       (SELECT count(DISTINCT l_partkey) FROM lineitem) AS products"""))
+def q_upload_stats(spark, sf):
+    rows, _ = _loaded(spark, sf)
+    return quality.upload_stats(rows)
+
+
+@register("validate_transactions", with_ctes(_ORDERS, """
+c AS (SELECT count(*) FILTER (WHERE n_lines = 0) AS null_products,
+             count(*) FILTER (WHERE store_id <= 0) AS nonpositive_store_id,
+             count(*) FILTER (WHERE customer_id <= 0) AS nonpositive_customer_id FROM ob)""", select="""
+SELECT * FROM (VALUES ('invalid_dates', true, 0), ('null_date', true, 0), ('null_store_id', true, 0),
+                      ('null_customer_id', true, 0)) AS t("check", ok, n_bad)
+UNION ALL SELECT 'null_products', null_products = 0, null_products FROM c
+UNION ALL SELECT 'nonpositive_store_id', nonpositive_store_id = 0, nonpositive_store_id FROM c
+UNION ALL SELECT 'nonpositive_customer_id', nonpositive_customer_id = 0, nonpositive_customer_id FROM c
+UNION ALL SELECT 'all_valid', null_products + nonpositive_store_id + nonpositive_customer_id = 0,
+                 null_products + nonpositive_store_id + nonpositive_customer_id FROM c"""))
+def q_validate_transactions(spark, sf):
+    rows, _ = _loaded(spark, sf)
+    return quality.validate_transactions(rows).select("check", "ok", F.col("n_bad").cast("int").alias("n_bad"))
+
+
+@register("validate_categories", with_ctes(_EXISTING, _UPLOADED, "u AS (SELECT * FROM ex UNION ALL SELECT * FROM up)",
+                                           "d AS (SELECT count(category_id) - count(DISTINCT category_id) AS n FROM u)",
+                                           select="""
+SELECT 'duplicate_ids' AS "check", n = 0 AS ok, n AS n_bad FROM d
+UNION ALL SELECT 'null_category_id', true, 0 UNION ALL SELECT 'null_category_name', true, 0
+UNION ALL SELECT 'nonpositive_category_id', true, 0
+UNION ALL SELECT 'all_valid', n = 0, n FROM d"""))
+def q_validate_categories(spark, sf):
+    u = _existing_categories(spark, sf).unionByName(_uploaded_categories(spark, sf))
+    return quality.validate_categories(u).select("check", "ok", F.col("n_bad").cast("bigint").alias("n_bad"))
+
+
+@register("validate_product_category", with_ctes(_BRANDS, _LINEREL, """
+unk AS (SELECT DISTINCT category_id FROM lr WHERE category_id NOT IN (SELECT category_id FROM brands))""",
+    """d AS (SELECT count(product_id) - count(DISTINCT product_id) AS n,
+             count(*) FILTER (WHERE product_id <= 0 OR category_id <= 0) AS np FROM lr)""", select="""
+SELECT 'duplicate_products' AS "check", n = 0 AS ok, n AS n_bad, NULL AS examples FROM d
+UNION ALL SELECT 'null_product_id', true, 0, NULL UNION ALL SELECT 'null_category_id', true, 0, NULL
+UNION ALL SELECT 'nonpositive_ids', np = 0, np, NULL FROM d
+UNION ALL SELECT 'all_valid', n + np = 0, n + np, NULL FROM d
+UNION ALL SELECT 'unknown_categories', count(*) = 0, count(*),
+                 array_to_string(list_sort(list(CAST(category_id AS VARCHAR))), '|') FROM
+   (SELECT category_id FROM unk ORDER BY category_id LIMIT 10) x"""))
+def q_validate_product_category(spark, sf):
+    out = quality.validate_product_category(_line_relation(spark, sf), _brands(spark, sf))
+    return comparable(out.select("check", "ok", "n_bad", "examples"))
+
+
+@register("integrity_report", with_ctes(_ORDERS, _BRANDS, select="""
+SELECT CAST(0 AS BIGINT) AS null_date, CAST(0 AS BIGINT) AS null_customer_id, CAST(0 AS BIGINT) AS null_products,
+       (SELECT count(DISTINCT p_size) FROM part WHERE p_size NOT IN (SELECT category_id FROM brands))
+         AS undefined_categories, true AS valid"""))
+def q_integrity_report(spark, sf):
+    rows, _ = _loaded(spark, sf)
+    return quality.integrity_report(files.typed_transactions(rows), _size_relation(spark, sf), _brands(spark, sf))
+
+
+# ---------------------------------------------------------------- catalogue maintenance
+
+@register("undefined_categories", with_ctes(_BRANDS, select="""
+SELECT DISTINCT p_size AS category_id FROM part WHERE p_size NOT IN (SELECT category_id FROM brands)"""))
+def q_undefined_categories(spark, sf):
+    return catalog.undefined_keys(_size_relation(spark, sf), _brands(spark, sf), "category_id")
+
+
+@register("existing_keys_kept", """
+SELECT p_partkey AS product_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""")
+def q_existing_keys_kept(spark, sf):
+    new = catalog.upsert(testdata.product_category(spark, sf).select("*", F.lit(0).cast("bigint").alias("pos")),
+                         _line_relation(spark, sf), "product_id", mode="replace")
+    return catalog.kept_keys(testdata.product_category(spark, sf), new, "product_id")
+
+
+@register("dedupe_keep_last", with_ctes(_LINEREL, select="""
+SELECT product_id, arg_max(category_id, pos) AS category_id FROM lr GROUP BY product_id"""))
+def q_dedupe_keep_last(spark, sf):
+    return catalog.dedupe_keep_last(_line_relation(spark, sf), "product_id", "pos")
+
+
+@register("upsert_categories", with_ctes(_EXISTING, _UPLOADED, select="""
+SELECT category_id, category_name FROM up
+UNION ALL SELECT category_id, category_name FROM ex WHERE category_id NOT IN (SELECT category_id FROM up)"""))
+def q_upsert_categories(spark, sf):
+    return catalog.upsert(_existing_categories(spark, sf), _uploaded_categories(spark, sf), "category_id", "add")
+
+
+@register("upsert_categories_replace", with_ctes(_UPLOADED, select="SELECT category_id, category_name FROM up"))
+def q_upsert_categories_replace(spark, sf):
+    return catalog.upsert(_existing_categories(spark, sf), _uploaded_categories(spark, sf), "category_id", "replace")
+
+
+_PC_UPSERT = """
+pcu AS (SELECT product_id, arg_max(category_id, pos) AS category_id FROM lr GROUP BY product_id
+        UNION ALL SELECT p_partkey, CAST(substr(p_brand, 7) AS INTEGER) FROM part
+        WHERE p_partkey NOT IN (SELECT product_id FROM lr))"""
+
+
+@register("upsert_product_category", with_ctes(_LINEREL, _PC_UPSERT, select="SELECT * FROM pcu"))
+def q_upsert_product_category(spark, sf):
+    existing = testdata.product_category(spark, sf).select("*", F.lit(0).cast("bigint").alias("pos"))
+    return catalog.upsert(existing, _line_relation(spark, sf), "product_id", "add")
+
+
+@register("upsert_report", with_ctes(_LINEREL, _PC_UPSERT, select="""
+SELECT (SELECT count(*) FROM part) AS old_total, (SELECT count(*) FROM lr) AS uploaded_rows,
+       count(*) AS new_total, count(*) - (SELECT count(*) FROM part) AS added,
+       (SELECT count(*) FROM lr) - (count(*) - (SELECT count(*) FROM part)) AS updated FROM pcu"""))
+def q_upsert_report(spark, sf):
+    existing = testdata.product_category(spark, sf).select("*", F.lit(0).cast("bigint").alias("pos"))
+    up = _line_relation(spark, sf)
+    return catalog.upsert_report(existing, up, catalog.upsert(existing, up, "product_id", "add"))
+
+
+# ---------------------------------------------------------------- batches and status
+
+def _new_batch(spark, sf):
+    return testdata.part_basket_strings(spark, sf).filter(F.col("date") >= F.lit(CUTOFF))
+
+
+def _old_fact(spark, sf):
+    return testdata_warehouse(spark, sf).fact().filter(F.col("date") < F.lit(CUTOFF))
+
+
+_FACT_OUT = ["transaction_id", "date", "store_id", "customer_id", "product_id", "quantity", "category_id",
+             "category_name", "year", "month"]
+_FACT_SQL = ", ".join(_FACT_OUT)
+
+
+@register("append_transactions", with_ctes(LINES, select=f"SELECT {_FACT_SQL} FROM fact"))
+def q_append_transactions(spark, sf):
+    out = catalog.append_transactions(_old_fact(spark, sf), _new_batch(spark, sf),
+                                      testdata.product_category(spark, sf), _brands(spark, sf), "append")
+    return out.select(*_FACT_OUT)
+
+
+@register("replace_transactions", with_ctes(LINES, select=f"SELECT {_FACT_SQL} FROM fact WHERE date >= DATE '{CUTOFF}'"))
+def q_replace_transactions(spark, sf):
+    out = catalog.append_transactions(_old_fact(spark, sf), _new_batch(spark, sf),
+                                      testdata.product_category(spark, sf), _brands(spark, sf), "replace")
+    return out.select(*_FACT_OUT)
+
+
+@register("append_summary", with_ctes(LINES, f"nf AS (SELECT * FROM fact WHERE date >= DATE '{CUTOFF}')",
+                                      f"of AS (SELECT * FROM fact WHERE date < DATE '{CUTOFF}')", select="""
+SELECT count(*) AS rows, count(DISTINCT customer_id) AS customers, count(DISTINCT product_id) AS products,
+       (SELECT count(DISTINCT customer_id) FROM nf WHERE customer_id NOT IN (SELECT customer_id FROM of))
+         AS new_customers,
+       (SELECT count(DISTINCT product_id) FROM nf WHERE product_id NOT IN (SELECT product_id FROM of))
+         AS new_products
+FROM nf"""))
+def q_append_summary(spark, sf):
+    new = catalog.batch_fact(_new_batch(spark, sf), testdata.product_category(spark, sf), _brands(spark, sf))
+    return catalog.append_summary(_old_fact(spark, sf), new)
+
+
+@register("data_status", with_ctes(LINES, select="""
+SELECT count(*) AS rows, count(DISTINCT customer_id) AS customers, count(DISTINCT product_id) AS products,
+       count(DISTINCT store_id) AS stores, min(date) AS min_date, max(date) AS max_date,
+       CAST(date_diff('day', min(date), max(date)) AS INTEGER) AS days FROM fact"""))
+def q_data_status(spark, sf):
+    return catalog.data_status(testdata_warehouse(spark, sf).fact())
+
+
+# ---------------------------------------------------------------- sinks, rebuild, streaming
+
+@register("roundtrip_processed", with_ctes(LINES, select="""
+SELECT transaction_id, min(date) AS date, min(store_id) AS store_id, min(customer_id) AS customer_id,
+       count(DISTINCT product_id) AS basket_size, CAST(sum(quantity) AS BIGINT) AS total_quantity,
+       count(DISTINCT category_id) AS category_diversity
+FROM fact GROUP BY transaction_id"""))
+def q_roundtrip_processed(spark, sf):
+    return testdata_warehouse(spark, sf).transaction_metrics()
+
+
+@register("export_csv", ORACLES["customer_metrics"])
+def q_export_csv(spark, sf):
+    cm = facts.customer_metrics(testdata_warehouse(spark, sf).fact())
+    path = scratch_path(spark, "export_customer_metrics")
+    sinks.export_csv(cm, path)
+    return comparable(sinks.read_csv_export(spark, path, cm.schema))
+
+
+@register("storage_report")
+def q_storage_report(spark, sf):
+    wh = testdata_warehouse(spark, sf)
+    from tillroll.plans.warehouse import TABLES
+    return sinks.storage_report(spark, wh.root, TABLES)
+
+
+@register("rebuild_all", ORACLES["customer_metrics"])
+def q_rebuild_all(spark, sf):
+    r = _raw(spark, sf)
+    wh, _ = rebuild(spark, r["root"], r["categories"], r["product_category"], scratch_path(spark, "rebuild"))
+    return comparable(facts.customer_metrics(wh.fact()))
+
+
+@register("stream_ingest", ORACLES["customer_metrics"])
+def q_stream_ingest(spark, sf):
+    r = _raw(spark, sf)
+    out, ck = scratch_path(spark, "stream_fact"), scratch_path(spark, "stream_ckpt")
+    q = ingest_stream(spark, r["root"], testdata.product_category(spark, sf), _brands(spark, sf), out, ck)
+    q.awaitTermination()
+    f = spark.read.option("basePath", out).parquet(out)
+    return comparable(facts.customer_metrics(f))
+
+
+__all__ = ["raw_batch"]

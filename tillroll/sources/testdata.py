@@ -73,3 +73,53 @@ def basket_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir)
     return o.join(per_order, o.transaction_id == per_order.l_orderkey, "left").select(
         "transaction_id", "date", "store_id", "customer_id", "products")
+
+
+def part_basket_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw-format baskets whose tokens are part keys, each repeated l_quantity
+    times in line order, so expanding them gives back the fact's quantities.
+    Orders without lines get an empty basket."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    per_order = li.groupBy("l_orderkey").agg(F.array_join(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))),
+        lambda s: F.array_repeat(s["l_partkey"].cast("string"), s["l_quantity"].cast("int")))), " ")
+        .alias("products"))
+    o = orders(spark, sf_dir)
+    return o.join(per_order, o.transaction_id == per_order.l_orderkey, "left").select(
+        "transaction_id", "date", "store_id", "customer_id", F.coalesce("products", F.lit("")).alias("products"))
+
+
+FOREIGN_STORE_FILE = 9  # a file named for store 9 that holds store 1's rows: the gate must reject it
+
+_RAW: dict = {}
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> dict:
+    """Write raw-format inputs derived from the tables, once per application:
+    one pipe-delimited headerless ``<store>_Tran.csv`` per store plus a
+    mislabelled one, the category catalogue (pipe, no header; and comma with
+    header) and the product-category relation (pipe, 'v.Code' header)."""
+    from tillroll.session import scratch_path
+    from tillroll.sources.files import write_delimited
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key in _RAW:
+        return _RAW[key]
+    root = scratch_path(spark, "raw")
+    b = part_basket_strings(spark, sf_dir).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("store_id").cast("string").alias("store_id"),
+        F.col("customer_id").cast("string").alias("customer_id"), "products")
+    stores = sorted(r[0] for r in b.select("store_id").distinct().collect())  # a handful of store ids
+    for s in stores:
+        write_delimited(b.filter(F.col("store_id") == s), f"{root}/{s}_Tran.csv")
+    write_delimited(b.filter(F.col("store_id") == stores[0]), f"{root}/{FOREIGN_STORE_FILE}_Tran.csv")
+    cats = categories(spark, sf_dir)
+    write_delimited(cats, f"{root}/categories.csv")
+    write_delimited(cats, f"{root}/categories_header.csv", sep=",", header=True)
+    pc = product_category(spark, sf_dir).select(F.col("product_id").alias("v.Code"),
+                                                F.col("category_id").alias("Categoria"))
+    write_delimited(pc, f"{root}/product_category.csv", header=True)
+    out = {"root": root, "stores": stores, "categories": f"{root}/categories.csv",
+           "categories_header": f"{root}/categories_header.csv",
+           "product_category": f"{root}/product_category.csv"}
+    _RAW[key] = out
+    return out
