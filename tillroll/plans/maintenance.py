@@ -339,3 +339,17 @@ def q_stream_ingest(spark, sf):
 
 
 __all__ = ["raw_batch"]
+
+
+@register("preview")
+def q_preview(spark, sf):
+    """First 10 rows of an upload in read order (the preview table)."""
+    rows, _ = _loaded(spark, sf)
+    return rows.orderBy("pos").limit(10).select("date", "store_id", "customer_id", "products")
+
+
+@register("append_recompute_metrics", ORACLES["customer_metrics"])
+def q_append_recompute_metrics(spark, sf):
+    out = catalog.append_transactions(_old_fact(spark, sf), _new_batch(spark, sf),
+                                      testdata.product_category(spark, sf), _brands(spark, sf), "append")
+    return comparable(catalog.recompute_metrics(out)["customer_metrics"])
