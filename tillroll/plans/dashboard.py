@@ -16,11 +16,12 @@ def _fact(spark, sf):
 
 
 def _cm(spark, sf):
-    return facts.customer_metrics(_fact(spark, sf))
+    """The processed customer metrics table (written once by the rebuild)."""
+    return testdata_warehouse(spark, sf).customer_metrics()
 
 
 def _pm(spark, sf):
-    return facts.product_metrics(_fact(spark, sf))
+    return testdata_warehouse(spark, sf).product_metrics()
 
 
 # ---------------------------------------------------------------- fact tables
@@ -30,7 +31,7 @@ SELECT customer_id, frequency, last_purchase_date, total_quantity, unique_produc
        preferred_store, recency, round(avg_basket_size, 6) AS avg_basket_size,
        round(category_diversity_score, 6) AS category_diversity_score FROM cm"""))
 def q_customer_metrics(spark, sf):
-    return comparable(_cm(spark, sf))
+    return comparable(facts.customer_metrics(_fact(spark, sf)))
 
 
 @register("transaction_metrics", with_ctes(LINES, select="""
@@ -46,7 +47,7 @@ def q_transaction_metrics(spark, sf):
 SELECT product_id, product_frequency, unique_customers, total_quantity, round(avg_quantity, 6) AS avg_quantity,
        category_id, category_name FROM pm"""))
 def q_product_metrics(spark, sf):
-    return comparable(_pm(spark, sf))
+    return comparable(facts.product_metrics(_fact(spark, sf)))
 
 
 @register("temporal_features", with_ctes(LINES, select="""

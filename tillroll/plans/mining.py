@@ -17,9 +17,14 @@ def _fact(spark, sf):
     return testdata_warehouse(spark, sf).fact()
 
 
-def _targets(fact):
+def _cm(spark, sf):
+    return testdata_warehouse(spark, sf).customer_metrics()
+
+
+def _targets(fact, cm=None):
     """The N_TARGETS customers with most transactions (ties by id)."""
-    return (facts.customer_metrics(fact).orderBy(F.desc("frequency"), "customer_id")
+    cm = facts.customer_metrics(fact) if cm is None else cm
+    return (cm.orderBy(F.desc("frequency"), "customer_id")
             .limit(N_TARGETS).select(F.col("customer_id").alias("target_id")))
 
 
@@ -46,7 +51,7 @@ def q_customer_item(spark, sf):
 SELECT target_id, customer_id, round(similarity, 6) AS similarity FROM sim"""))
 def q_customer_similarity(spark, sf):
     f = _fact(spark, sf)
-    return comparable(cf.customer_similarity(cf.customer_item(f), _targets(f)))
+    return comparable(cf.customer_similarity(cf.customer_item(f), _targets(f, _cm(spark, sf))))
 
 
 @register("similar_customers", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
@@ -54,7 +59,7 @@ SELECT target_id, customer_id, round(similarity, 6) AS similarity, rank FROM nb"
 def q_similar_customers(spark, sf):
     f = _fact(spark, sf)
     ci = cf.customer_item(f)
-    return comparable(cf.similar_customers(cf.customer_similarity(ci, _targets(f))))
+    return comparable(cf.similar_customers(cf.customer_similarity(ci, _targets(f, _cm(spark, sf)))))
 
 
 @register("customer_recommendations", with_ctes(LINES, CUSTOMER_METRICS, _CF, f"""
@@ -72,7 +77,7 @@ SELECT t.target_id AS customer_id, t.rank, t.product_id,
 FROM top t LEFT JOIN info i ON i.product_id = t.product_id LEFT JOIN buyers b ON b.product_id = t.product_id"""))
 def q_customer_recommendations(spark, sf):
     f = _fact(spark, sf)
-    return comparable(cf.customer_recommendations(f, _targets(f)))
+    return comparable(cf.customer_recommendations(f, _targets(f, _cm(spark, sf))))
 
 
 # ---------------------------------------------------------------- association rules
