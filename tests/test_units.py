@@ -186,3 +186,11 @@ def test_sample_exact_and_stable(spark):
     s1 = {r[0] for r in rules.sample_baskets(df.repartition(3), 100).collect()}
     s2 = {r[0] for r in rules.sample_baskets(df.repartition(7), 100).collect()}
     assert len(s1) == 100 and s1 == s2
+
+
+def test_sample_equals_global_hash_order(spark):
+    df = spark.range(5000).select(F.col("id").alias("transaction_id"), F.array(F.lit("x")).alias("items"))
+    h = F.xxhash64(F.col("transaction_id"), F.lit(42))
+    want = [r[0] for r in df.orderBy(h, "transaction_id").limit(300).collect()]
+    got = [r[0] for r in rules.sample_baskets(df.repartition(5), 300, seed=42).collect()]
+    assert sorted(got) == sorted(want)

@@ -127,17 +127,15 @@ def daily_stats(fact: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """pandas-style describe in long form: one row per column with count, mean,
     sample sd, min, exact linear-interpolated quartiles, max."""
-    rows = []
+    stats = []
     for c in columns:
         x = F.col(c).cast("double")
         q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        rows.append(df.agg(
-            F.lit(c).alias("column"),
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        stats.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"),
+                              F.max(x).alias("max")))
+    # one aggregation pass, then one row per column
+    out = df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
     return out.select("column", "count", "mean", "std", "min",
                       F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
                       F.col("_q")[2].alias("q75"), "max")

@@ -46,13 +46,12 @@ def write_processed(spark: SparkSession, fact: DataFrame, root: str,
     """Write the fact (partitioned by year, month), then the metric tables
     computed from the written fact."""
     wh = Warehouse(spark, root)
-    # Range-partition on a unique key led by date: each task writes a
-    # contiguous date range (few files per month directory, date-sorted for
-    # min/max pruning) and a hot date or customer still splits across tasks.
-    # The partition count comes from spark.sql.shuffle.partitions (AQE may
-    # coalesce it).
+    # REBALANCE by the output partition columns: one shuffle, after which AQE
+    # splits any month partition that is too large (a hot month is written by
+    # several tasks) and merges small ones, so files stay near the advisory
+    # size without a sampling pass over the input.
     (fact.select(*FACT_COLUMNS)
-         .repartitionByRange("date", "customer_id", "transaction_id", "product_id")
+         .hint("rebalance", "year", "month")
          .sortWithinPartitions("date", "customer_id")
          .write.mode("overwrite").partitionBy("year", "month").parquet(wh.path("transactions_expanded")))
     if with_metrics:

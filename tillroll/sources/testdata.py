@@ -107,11 +107,12 @@ def raw_files(spark: SparkSession, sf_dir: str) -> dict:
     root = scratch_path(spark, "raw")
     b = part_basket_strings(spark, sf_dir).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("store_id").cast("string").alias("store_id"),
-        F.col("customer_id").cast("string").alias("customer_id"), "products")
+        F.col("customer_id").cast("string").alias("customer_id"), "products").persist()
     stores = sorted(r[0] for r in b.select("store_id").distinct().collect())  # a handful of store ids
     for s in stores:
         write_delimited(b.filter(F.col("store_id") == s), f"{root}/{s}_Tran.csv")
     write_delimited(b.filter(F.col("store_id") == stores[0]), f"{root}/{FOREIGN_STORE_FILE}_Tran.csv")
+    b.unpersist()
     cats = categories(spark, sf_dir)
     write_delimited(cats, f"{root}/categories.csv")
     write_delimited(cats, f"{root}/categories_header.csv", sep=",", header=True)
