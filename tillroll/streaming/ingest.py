@@ -3,8 +3,10 @@
 Each micro-batch holds whole files (the file source never splits a file
 across batches), so the store gate, expansion and the stream-static
 catalogue join run per batch exactly as in the batch rebuild. Output is
-appended to the partitioned fact; the checkpoint makes the ingestion
-restartable after a failure without duplicating batches.
+written per micro-batch to ``<fact_path>/batch_id=<epoch>`` with overwrite:
+a batch re-run after a failure (written but not yet committed to the
+checkpoint) replaces its own output, so the ingestion is exactly-once.
+Readers see ``batch_id`` as one more partition column.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
         raw = typed.select(transaction_ids(typed, "pos", f"b{epoch}").alias("transaction_id"),
                            "date", "store_id", "customer_id", "products")
         fact = build_fact(expand_baskets(raw), product_category, categories)
-        fact.select(*FACT_COLUMNS).write.mode("append").partitionBy("year", "month").parquet(fact_path)
+        (fact.select(*FACT_COLUMNS).write.mode("overwrite").partitionBy("year", "month")
+             .parquet(f"{fact_path.rstrip('/')}/batch_id={epoch}"))
 
     return (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
