@@ -20,8 +20,8 @@ def parse_product_ids(products: Column) -> Column:
     '', 'nan', null and 'a b' give an empty array.
     """
     tokens = F.split(F.coalesce(products, F.lit("")), r"\s+")
-    ids = F.transform(tokens, lambda t: t.try_cast("bigint"))
-    return F.array_sort(F.filter(ids, lambda x: x.isNotNull()))
+    # element-wise try_cast (bad token -> null), then drop nulls: no lambdas
+    return F.array_sort(F.array_compact(tokens.try_cast("array<bigint>")))
 
 
 def expand_baskets(raw: DataFrame, products: str = "products") -> DataFrame:

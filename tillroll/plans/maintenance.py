@@ -9,9 +9,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tillroll.operators import catalog, facts, quality
-from tillroll.plans.dashboard import q_customer_metrics as _cm_check  # noqa: F401  (same oracle text)
+from tillroll.plans import dashboard  # noqa: F401  (registers the customer_metrics oracle reused below)
 from tillroll.plans.oracle_sql import CUSTOMER_METRICS, LINES, with_ctes
-from tillroll.plans.rebuild import raw_batch, rebuild
+from tillroll.plans.rebuild import rebuild
 from tillroll.plans.registry import ORACLES, comparable, register
 from tillroll.plans.warehouse import testdata_warehouse
 from tillroll.session import scratch_path
@@ -338,8 +338,6 @@ def q_stream_ingest(spark, sf):
     return comparable(facts.customer_metrics(f))
 
 
-__all__ = ["raw_batch"]
-
 
 @register("preview")
 def q_preview(spark, sf):
