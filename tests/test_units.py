@@ -194,3 +194,13 @@ def test_sample_equals_global_hash_order(spark):
     want = [r[0] for r in df.orderBy(h, "transaction_id").limit(300).collect()]
     got = [r[0] for r in rules.sample_baskets(df.repartition(5), 300, seed=42).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_approximate_distinct_counts_close(spark):
+    from tillroll.operators import kpis
+    from tillroll.sources import testdata
+    f = testdata.fact(spark, "/root/testdata/sf0.001").cache()
+    exact = kpis.kpis(f).first()
+    approx = kpis.kpis(f, exact=False).first()
+    for c in ("total_customers", "total_products"):
+        assert abs(approx[c] - exact[c]) <= 0.05 * exact[c]

@@ -33,3 +33,11 @@ def round_half_even(c, scale: int = 2) -> Column:
 def r6(c) -> Column:
     """Six-decimal rounding used when comparing floating results."""
     return F.round(_c(c).cast("double"), 6)
+
+
+def distinct_count(c, exact: bool = True, rsd: float = 0.01) -> Column:
+    """count(DISTINCT c); with exact=False a HyperLogLog++ estimate (relative
+    standard deviation ``rsd``) whose buffer is fixed-size per group, for very
+    large groups where exact counting shuffles every distinct value."""
+    c = _c(c)
+    return F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)

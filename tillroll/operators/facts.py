@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.functions.numeric import safe_div
+from tillroll.functions.numeric import distinct_count, safe_div
 
 
-def transaction_metrics(fact: DataFrame) -> DataFrame:
+def transaction_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     # date/store/customer are constant inside a transaction: min is the
     # deterministic stand-in for "first"
     return fact.groupBy("transaction_id").agg(
         F.min("date").alias("date"),
         F.min("store_id").alias("store_id"),
         F.min("customer_id").alias("customer_id"),
-        F.count_distinct("product_id").alias("basket_size"),
+        distinct_count("product_id", exact).alias("basket_size"),
         F.sum("quantity").alias("total_quantity"),
-        F.count_distinct("category_id").alias("category_diversity"),
+        distinct_count("category_id", exact).alias("category_diversity"),
     )
 
 
-def customer_metrics(fact: DataFrame) -> DataFrame:
+def customer_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     """RFM-style customer table.
 
     preferred_store is the most frequent store over the customer's product rows,
@@ -29,11 +29,11 @@ def customer_metrics(fact: DataFrame) -> DataFrame:
     """
     reference_date = fact.select(F.max("date")).scalar()
     agg = fact.groupBy("customer_id").agg(
-        F.count_distinct("transaction_id").alias("frequency"),
+        distinct_count("transaction_id", exact).alias("frequency"),
         F.max("date").alias("last_purchase_date"),
         F.sum("quantity").alias("total_quantity"),
-        F.count_distinct("product_id").alias("unique_products"),
-        F.count_distinct("category_id").alias("unique_categories"),
+        distinct_count("product_id", exact).alias("unique_products"),
+        distinct_count("category_id", exact).alias("unique_categories"),
         F.mode("store_id", deterministic=True).alias("preferred_store"),
     )
     return agg.select(
@@ -45,7 +45,7 @@ def customer_metrics(fact: DataFrame) -> DataFrame:
     )
 
 
-def product_metrics(fact: DataFrame) -> DataFrame:
+def product_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     """Per product: transactions, customers, units, mean units and its category.
 
     The category is the smallest non-null (id, name) pair - a deterministic
@@ -54,8 +54,8 @@ def product_metrics(fact: DataFrame) -> DataFrame:
     cat = F.min(F.when(F.col("category_id").isNotNull(),
                        F.struct("category_id", "category_name")))
     return fact.groupBy("product_id").agg(
-        F.count_distinct("transaction_id").alias("product_frequency"),
-        F.count_distinct("customer_id").alias("unique_customers"),
+        distinct_count("transaction_id", exact).alias("product_frequency"),
+        distinct_count("customer_id", exact).alias("unique_customers"),
         F.sum("quantity").alias("total_quantity"),
         F.avg("quantity").alias("avg_quantity"),
         cat.alias("_cat"),

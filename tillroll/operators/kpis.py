@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.functions.numeric import safe_div
+from tillroll.functions.numeric import distinct_count, safe_div
 
 
 def _per_transaction(fact: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def _per_transaction(fact: DataFrame) -> DataFrame:
         F.count_distinct("category_id").alias("unique_categories"))
 
 
-def kpis(fact: DataFrame) -> DataFrame:
+def kpis(fact: DataFrame, exact: bool = True) -> DataFrame:
     """One row: units, distinct transactions/customers/products/categories/stores,
     mean basket size and units per transaction, date span.
 
@@ -27,10 +27,10 @@ def kpis(fact: DataFrame) -> DataFrame:
         F.avg("total_quantity").alias("avg_units_per_transaction")).alias("s")).scalar()
     g = fact.agg(
         F.sum("quantity").alias("total_units"),
-        F.count_distinct("customer_id").alias("total_customers"),
-        F.count_distinct("product_id").alias("total_products"),
-        F.count_distinct("category_id").alias("total_categories"),
-        F.count_distinct("store_id").alias("total_stores"),
+        distinct_count("customer_id", exact).alias("total_customers"),
+        distinct_count("product_id", exact).alias("total_products"),
+        distinct_count("category_id", exact).alias("total_categories"),
+        distinct_count("store_id", exact).alias("total_stores"),
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"))
     return g.select(
@@ -43,24 +43,24 @@ def kpis(fact: DataFrame) -> DataFrame:
         F.datediff("end_date", "start_date").alias("days"))
 
 
-def _group_counts(fact: DataFrame, key: str) -> DataFrame:
+def _group_counts(fact: DataFrame, key: str, exact: bool = True) -> DataFrame:
     return fact.groupBy(key).agg(
         F.sum("quantity").alias("total_units"),
-        F.count_distinct("transaction_id").alias("transactions"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("product_id").alias("products"))
+        distinct_count("transaction_id", exact).alias("transactions"),
+        distinct_count("customer_id", exact).alias("customers"),
+        distinct_count("product_id", exact).alias("products"))
 
 
-def category_performance(fact: DataFrame) -> DataFrame:
+def category_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
     """Per non-null category: units, transactions, customers, products, % of units."""
-    per = _group_counts(fact.filter(F.col("category_name").isNotNull()), "category_name")
+    per = _group_counts(fact.filter(F.col("category_name").isNotNull()), "category_name", exact)
     total = per.select(F.sum("total_units")).scalar()
     return per.select("*", safe_div(F.col("total_units") * 100.0, total).alias("percentage")) \
               .orderBy(F.desc("total_units"), "category_name")
 
 
-def store_performance(fact: DataFrame) -> DataFrame:
-    per = _group_counts(fact, "store_id")
+def store_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
+    per = _group_counts(fact, "store_id", exact)
     return per.select("*",
                       safe_div("total_units", "transactions").alias("avg_basket_size"),
                       safe_div("transactions", "customers").alias("avg_transactions_per_customer"))
