@@ -140,8 +140,9 @@ def q_upload_stats(spark, sf):
 c AS (SELECT count(*) FILTER (WHERE n_lines = 0) AS null_products,
              count(*) FILTER (WHERE store_id <= 0) AS nonpositive_store_id,
              count(*) FILTER (WHERE customer_id <= 0) AS nonpositive_customer_id FROM ob)""", select="""
-SELECT * FROM (VALUES ('invalid_dates', true, 0), ('null_date', true, 0), ('null_store_id', true, 0),
-                      ('null_customer_id', true, 0)) AS t("check", ok, n_bad)
+SELECT "check", ok, CAST(n_bad AS BIGINT) AS n_bad FROM
+  (VALUES ('invalid_dates', true, 0), ('null_date', true, 0), ('null_store_id', true, 0),
+          ('null_customer_id', true, 0)) AS t("check", ok, n_bad)
 UNION ALL SELECT 'null_products', null_products = 0, null_products FROM c
 UNION ALL SELECT 'nonpositive_store_id', nonpositive_store_id = 0, nonpositive_store_id FROM c
 UNION ALL SELECT 'nonpositive_customer_id', nonpositive_customer_id = 0, nonpositive_customer_id FROM c
@@ -149,7 +150,7 @@ UNION ALL SELECT 'all_valid', null_products + nonpositive_store_id + nonpositive
                  null_products + nonpositive_store_id + nonpositive_customer_id FROM c"""))
 def q_validate_transactions(spark, sf):
     rows, _ = _loaded(spark, sf)
-    return quality.validate_transactions(rows).select("check", "ok", F.col("n_bad").cast("int").alias("n_bad"))
+    return quality.validate_transactions(rows)
 
 
 @register("validate_categories", with_ctes(_EXISTING, _UPLOADED, "u AS (SELECT * FROM ex UNION ALL SELECT * FROM up)",

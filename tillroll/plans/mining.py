@@ -55,7 +55,7 @@ def q_customer_similarity(spark, sf):
 
 
 @register("similar_customers", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
-SELECT target_id, customer_id, round(similarity, 6) AS similarity, rank FROM nb"""))
+SELECT target_id, customer_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM nb"""))
 def q_similar_customers(spark, sf):
     f = _fact(spark, sf)
     ci = cf.customer_item(f)
@@ -71,7 +71,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER
         AS rank FROM scores) WHERE rank <= {cf.TOP_N})""", """
 info AS (SELECT product_id, arg_min(category_name, category_id) AS category_name FROM fact GROUP BY 1)""",
     """buyers AS (SELECT product_id, count(*) AS similar_customers_count FROM ci GROUP BY 1)""", select="""
-SELECT t.target_id AS customer_id, t.rank, t.product_id,
+SELECT t.target_id AS customer_id, CAST(t.rank AS INTEGER) AS rank, t.product_id,
        round(round_even(t.raw_score / max(t.raw_score) OVER (PARTITION BY t.target_id) * 100.0, 2), 6) AS score,
        i.category_name, 'Producto ' || t.product_id AS product_name, b.similar_customers_count
 FROM top t LEFT JOIN info i ON i.product_id = t.product_id LEFT JOIN buyers b ON b.product_id = t.product_id"""))
@@ -164,7 +164,7 @@ g AS (SELECT product_id, companion, max(support) AS support, max(confidence) AS
       FROM comp GROUP BY 1, 2)""", f"""
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY lift DESC, companion) AS rank
         FROM g) WHERE rank <= {rules.TOP_N})""", select="""
-SELECT product_id, rank, companion AS recommended_id, round(round_even(support * 100, 2), 6) AS support,
+SELECT product_id, CAST(rank AS INTEGER) AS rank, companion AS recommended_id, round(round_even(support * 100, 2), 6) AS support,
        round(round_even(confidence * 100, 2), 6) AS confidence, round(round_even(lift, 2), 6) AS lift,
        CAST(NULL AS VARCHAR) AS category_name, 'Producto ' || companion AS product_name,
        round(round_even(lift / max(lift) OVER (PARTITION BY product_id) * 100, 2), 6) AS score
@@ -178,7 +178,7 @@ g AS (SELECT product_id, companion, avg(support) AS support, max(confidence) AS
       FROM comp GROUP BY 1, 2)""", f"""
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY lift DESC, companion) AS rank
         FROM g) WHERE rank <= {rules.TOP_N})""", select="""
-SELECT product_id, rank, companion AS recommended_id, round(support, 6) AS support,
+SELECT product_id, CAST(rank AS INTEGER) AS rank, companion AS recommended_id, round(support, 6) AS support,
        round(confidence, 6) AS confidence, round(lift, 6) AS lift, 'Sin categoría' AS category_name,
        'Producto ' || companion AS product_name,
        round(lift * 0.5 + confidence * 100 * 0.3 + support * 100 * 0.2, 6) AS score
