@@ -204,3 +204,20 @@ def test_approximate_distinct_counts_close(spark):
     approx = kpis.kpis(f, exact=False).first()
     for c in ("total_customers", "total_products"):
         assert abs(approx[c] - exact[c]) <= 0.05 * exact[c]
+
+
+def test_enrich_fanout_and_dedupe(spark):
+    fact = spark.createDataFrame([(1, 7, 2)], "transaction_id int, product_id long, quantity long")
+    pc = spark.createDataFrame([(7, 100, 0), (7, 101, 1)], "product_id long, category_id int, pos long")
+    cats = spark.createDataFrame([(100, "A"), (101, "B")], "category_id int, category_name string")
+    assert baskets.enrich(fact, pc, cats).count() == 2
+    assert _rows(baskets.enrich(fact, pc, cats, dedupe=True), "category_name") == [("B",)]
+
+
+def test_recommendation_uses_product_name_when_present(spark):
+    from tillroll.operators import cf
+    fact = spark.createDataFrame([(1, 7, "Leche", 1, "A"), (2, 8, None, 1, "A")],
+                                 "transaction_id int, product_id long, product_name string, category_id int, "
+                                 "category_name string")
+    got = {r["product_id"]: r["product_name"] for r in cf.product_info(fact).collect()}
+    assert got == {7: "Leche", 8: "Producto 8"}

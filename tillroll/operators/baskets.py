@@ -58,15 +58,23 @@ def transaction_ids(raw: DataFrame, row_no: str = "row_no", batch: str | None =
     return F.concat_ws("_", *parts)
 
 
-def enrich(fact: DataFrame, product_category: DataFrame, categories: DataFrame) -> DataFrame:
+def enrich(fact: DataFrame, product_category: DataFrame, categories: DataFrame,
+           dedupe: bool = False) -> DataFrame:
     """Left join product -> category id -> category name.
 
     A product mapped to several categories multiplies its rows, as in the
-    reference. The planner broadcasts a catalogue only when its measured size is
+    reference; ``dedupe=True`` keeps one mapping per product first (the last
+    read when the relation has a ``pos`` column, else the smallest id). The planner broadcasts a catalogue only when its measured size is
     under the broadcast threshold, otherwise both joins stay sort-merge (AQE
     splits skewed product partitions).
     """
-    pc = product_category.select("product_id", "category_id")
+    if dedupe and "pos" in product_category.columns:
+        from tillroll.operators.catalog import dedupe_keep_last
+        pc = dedupe_keep_last(product_category.select("product_id", "category_id", "pos"), "product_id", "pos")
+    elif dedupe:
+        pc = product_category.groupBy("product_id").agg(F.min("category_id").alias("category_id"))
+    else:
+        pc = product_category.select("product_id", "category_id")
     cats = categories.select("category_id", "category_name")
     out = fact.join(pc, "product_id", "left").join(cats, "category_id", "left")
     cols = [c for c in fact.columns] + ["category_id", "category_name"]

@@ -65,11 +65,14 @@ def similar_customers(similarity: DataFrame, top_k: int = TOP_K_SIMILAR,
 
 
 def product_info(fact: DataFrame) -> DataFrame:
-    """One (product_id, category_name) per product, the smallest category id
-    when a product has several."""
+    """One (product_id, category_name, product_name) per product: the smallest
+    category id when a product has several; the data's product_name when the
+    fact carries one, else 'Producto <id>'."""
     cat = F.min(F.when(F.col("category_id").isNotNull(), F.struct("category_id", "category_name")))
-    return fact.groupBy("product_id").agg(cat.alias("_c")).select(
-        "product_id", F.col("_c.category_name").alias("category_name"))
+    name = F.min("product_name") if "product_name" in fact.columns else F.lit(None).cast("string")
+    return fact.groupBy("product_id").agg(cat.alias("_c"), name.alias("_n")).select(
+        "product_id", F.col("_c.category_name").alias("category_name"),
+        F.coalesce(F.col("_n"), product_name("product_id")).alias("product_name"))
 
 
 def customer_recommendations(fact: DataFrame, targets: DataFrame, top_n: int = TOP_N,
@@ -97,5 +100,4 @@ def customer_recommendations(fact: DataFrame, targets: DataFrame, top_n: int = T
                .select(F.col("target_id").alias("customer_id"), "rank", "product_id",
                        round_half_even(F.col("raw_score") / F.max("raw_score").over(best) * 100.0, 2)
                        .alias("score"),
-                       "category_name", product_name("product_id").alias("product_name"),
-                       "similar_customers_count"))
+                       "category_name", "product_name", "similar_customers_count"))

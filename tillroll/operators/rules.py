@@ -130,9 +130,15 @@ def _companions(rules: DataFrame, items: DataFrame | None) -> DataFrame:
 
 def _decorate(df: DataFrame, info: DataFrame | None) -> DataFrame:
     if info is None:
-        return df.select("*", F.lit(None).cast("string").alias("category_name"))
-    i = info.select(F.col("product_id").alias("companion"), "category_name")
-    return df.join(i, "companion", "left")
+        return df.select("*", F.lit(None).cast("string").alias("category_name"),
+                         product_name("companion").alias("product_name"))
+    cols = [F.col("product_id").alias("companion"), "category_name"]
+    if "product_name" in info.columns:
+        cols.append("product_name")
+    j = df.join(info.select(*cols), "companion", "left")
+    if "product_name" not in info.columns:
+        j = j.select("*", product_name("companion").alias("product_name"))
+    return j
 
 
 def product_recommendations(rules: DataFrame, items: DataFrame | None = None, top_n: int = TOP_N,
@@ -151,7 +157,7 @@ def product_recommendations(rules: DataFrame, items: DataFrame | None = None, to
         round_half_even(F.col("support") * 100, 2).alias("support"),
         round_half_even(F.col("confidence") * 100, 2).alias("confidence"),
         round_half_even(F.col("lift"), 2).alias("lift"),
-        "category_name", product_name("companion").alias("product_name"),
+        "category_name", F.coalesce("product_name", product_name("companion")).alias("product_name"),
         round_half_even(F.col("lift") / F.max("lift").over(best) * 100, 2).alias("score"))
 
 
@@ -167,5 +173,5 @@ def product_recommendations_weighted(rules: DataFrame, items: DataFrame | None =
     return out.select(
         "product_id", "rank", F.col("companion").alias("recommended_id"), "support", "confidence", "lift",
         F.coalesce("category_name", F.lit(NO_CATEGORY)).alias("category_name"),
-        product_name("companion").alias("product_name"),
+        F.coalesce("product_name", product_name("companion")).alias("product_name"),
         (F.col("lift") * 0.5 + F.col("confidence") * 100 * 0.3 + F.col("support") * 100 * 0.2).alias("score"))
