@@ -221,3 +221,23 @@ def test_recommendation_uses_product_name_when_present(spark):
                                  "category_name string")
     got = {r["product_id"]: r["product_name"] for r in cf.product_info(fact).collect()}
     assert got == {7: "Leche", 8: "Producto 8"}
+
+
+def test_rebuild_from_files_with_integrity(spark, tmp_path):
+    from tillroll.plans.rebuild import rebuild
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "102_Tran.csv").write_text("2013-01-01|102|1000|20 3 1 5\n2013-01-02|102|1002|5 5 5 5\n")
+    (raw / "103_Tran.csv").write_text("date,store_id,customer_id,products\n2013-01-01,103,1001,12 12 8\n")
+    (tmp_path / "cats.csv").write_text("100|A\n101|B\n")
+    (tmp_path / "pc.csv").write_text("v.Code|Categoria\n20|100\n3|100\n1|101\n5|101\n12|100\n8|999\n")
+    wh, report, integ = rebuild(spark, str(raw), str(tmp_path / "cats.csv"), str(tmp_path / "pc.csv"),
+                                str(tmp_path / "out"), with_integrity=True)
+    f = wh.fact()
+    assert f.count() == 7 and f.agg(F.sum("quantity")).first()[0] == 11
+    assert f.filter(F.col("category_id").isNull()).count() == 0
+    assert f.filter(F.col("category_name").isNull()).count() == 1  # product 8 -> undefined category 999
+    i = integ.first()
+    assert i["undefined_categories"] == 1 and i["valid"] is True
+    assert {r["file_store"] for r in report.collect() if r["accepted"]} == {"102", "103"}
+    assert wh.customer_metrics().count() == 3

@@ -352,3 +352,15 @@ def q_append_recompute_metrics(spark, sf):
     out = catalog.append_transactions(_old_fact(spark, sf), _new_batch(spark, sf),
                                       testdata.product_category(spark, sf), _brands(spark, sf), "append")
     return comparable(catalog.recompute_metrics(out)["customer_metrics"])
+
+
+@register("append_publish", ORACLES["customer_metrics"])
+def q_append_publish(spark, sf):
+    """Append the new batch to a warehouse holding the older orders and publish
+    a new version; its recomputed customer metrics equal the full table's."""
+    from tillroll.plans.rebuild import append_batch
+    from tillroll.plans.warehouse import write_processed
+    old = write_processed(spark, _old_fact(spark, sf), scratch_path(spark, "wh_old"), with_metrics=False)
+    new = append_batch(spark, old, _new_batch(spark, sf), testdata.product_category(spark, sf),
+                       _brands(spark, sf), scratch_path(spark, "wh_new"))
+    return comparable(new.customer_metrics())

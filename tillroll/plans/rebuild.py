@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tillroll.operators import catalog, quality
 from tillroll.operators.baskets import build_fact, expand_baskets, transaction_ids
 from tillroll.plans.warehouse import Warehouse, write_processed
 from tillroll.sources import files
@@ -20,13 +21,27 @@ def raw_batch(rows: DataFrame, batch: str | None = None) -> DataFrame:
 
 
 def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category_path, out_root: str,
-            store_ids=None) -> tuple[Warehouse, DataFrame]:
+            store_ids=None, with_integrity: bool = False):
     """Load (with the store gate), expand, enrich, add calendar, write the four
-    processed tables. Returns the warehouse and the per-file gate report."""
+    processed tables. Returns the warehouse and the per-file gate report (and
+    the integrity report of the loaded inputs when ``with_integrity``)."""
     rows, report = files.load_transactions(spark, raw_dir, store_ids)
+    typed = files.typed_transactions(rows)
     raw = raw_batch(rows).filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
     lines = expand_baskets(raw)
     cats = files.load_categories(spark, categories_path).drop("pos")
     pc = files.load_product_category(spark, product_category_path).drop("pos")
     wh = write_processed(spark, build_fact(lines, pc, cats), out_root)
+    if with_integrity:
+        return wh, report, quality.integrity_report(typed, pc, cats)
     return wh, report
+
+
+def append_batch(spark: SparkSession, wh: Warehouse, raw: DataFrame, product_category: DataFrame,
+                 categories: DataFrame, new_root: str, mode: str = "append") -> Warehouse:
+    """Append (or replace with) a typed basket batch and publish a new
+    warehouse version at ``new_root``, metric tables recomputed. The current
+    version is only read, so a failure leaves it intact; readers switch by
+    using the returned handle."""
+    out = catalog.append_transactions(wh.fact(), raw, product_category, categories, mode)
+    return write_processed(spark, out, new_root)
