@@ -8,6 +8,8 @@ number).
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.operators.baskets import build_fact
@@ -92,6 +94,7 @@ def part_basket_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOREIGN_STORE_FILE = 9  # a file named for store 9 that holds store 1's rows: the gate must reject it
 
 _RAW: dict = {}
+_RAW_LOCK = threading.Lock()
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> dict:
@@ -100,11 +103,15 @@ def raw_files(spark: SparkSession, sf_dir: str) -> dict:
     mislabelled one, the category catalogue (pipe, no header; and comma with
     header) and the product-category relation (pipe, 'v.Code' header)."""
     from tillroll.session import scratch_path
-    from tillroll.sources.files import write_delimited
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key in _RAW:
+    with _RAW_LOCK:
+        if key not in _RAW:
+            _RAW[key] = _write_raw_files(spark, sf_dir, scratch_path(spark, "raw"))
         return _RAW[key]
-    root = scratch_path(spark, "raw")
+
+
+def _write_raw_files(spark: SparkSession, sf_dir: str, root: str) -> dict:
+    from tillroll.sources.files import write_delimited
     b = part_basket_strings(spark, sf_dir).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("store_id").cast("string").alias("store_id"),
         F.col("customer_id").cast("string").alias("customer_id"), "products").persist()
@@ -119,8 +126,6 @@ def raw_files(spark: SparkSession, sf_dir: str) -> dict:
     pc = product_category(spark, sf_dir).select(F.col("product_id").alias("v.Code"),
                                                 F.col("category_id").alias("Categoria"))
     write_delimited(pc, f"{root}/product_category.csv", header=True)
-    out = {"root": root, "stores": stores, "categories": f"{root}/categories.csv",
-           "categories_header": f"{root}/categories_header.csv",
-           "product_category": f"{root}/product_category.csv"}
-    _RAW[key] = out
-    return out
+    return {"root": root, "stores": stores, "categories": f"{root}/categories.csv",
+            "categories_header": f"{root}/categories_header.csv",
+            "product_category": f"{root}/product_category.csv"}
