@@ -77,14 +77,15 @@ def product_info(fact: DataFrame) -> DataFrame:
 
 def customer_recommendations(fact: DataFrame, targets: DataFrame, top_n: int = TOP_N,
                              min_similarity: float = MIN_SIMILARITY,
-                             top_k_similar: int = TOP_K_SIMILAR) -> DataFrame:
+                             top_k_similar: int = TOP_K_SIMILAR, ci: DataFrame | None = None) -> DataFrame:
     """Products a target has not bought, scored by sum(similarity x neighbour units).
 
     Score is then scaled to 0-100 of the target's best (2 decimals, half even);
     ``similar_customers_count`` is the number of all customers who bought the
     product. A target with no qualifying neighbour or candidate yields no rows.
+    ``ci`` may pass a stored interaction table instead of aggregating ``fact``.
     """
-    ci = customer_item(fact)
+    ci = customer_item(fact) if ci is None else ci
     nb = similar_customers(customer_similarity(ci, targets), top_k_similar, min_similarity)
     cand = nb.select("target_id", "customer_id", "similarity").join(ci, "customer_id")
     own = ci.select(F.col("customer_id").alias("target_id"), "product_id")

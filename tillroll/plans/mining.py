@@ -51,14 +51,15 @@ def q_customer_item(spark, sf):
 SELECT target_id, customer_id, round(similarity, 6) AS similarity FROM sim"""))
 def q_customer_similarity(spark, sf):
     f = _fact(spark, sf)
-    return comparable(cf.customer_similarity(cf.customer_item(f), _targets(f, _cm(spark, sf))))
+    ci = testdata_warehouse(spark, sf).customer_item()
+    return comparable(cf.customer_similarity(ci, _targets(f, _cm(spark, sf))))
 
 
 @register("similar_customers", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
 SELECT target_id, customer_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM nb"""))
 def q_similar_customers(spark, sf):
     f = _fact(spark, sf)
-    ci = cf.customer_item(f)
+    ci = testdata_warehouse(spark, sf).customer_item()
     return comparable(cf.similar_customers(cf.customer_similarity(ci, _targets(f, _cm(spark, sf)))))
 
 
@@ -77,7 +78,8 @@ SELECT t.target_id AS customer_id, CAST(t.rank AS INTEGER) AS rank, t.product_id
 FROM top t LEFT JOIN info i ON i.product_id = t.product_id LEFT JOIN buyers b ON b.product_id = t.product_id"""))
 def q_customer_recommendations(spark, sf):
     f = _fact(spark, sf)
-    return comparable(cf.customer_recommendations(f, _targets(f, _cm(spark, sf))))
+    ci = testdata_warehouse(spark, sf).customer_item()
+    return comparable(cf.customer_recommendations(f, _targets(f, _cm(spark, sf)), ci=ci))
 
 
 # ---------------------------------------------------------------- association rules

@@ -12,11 +12,12 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import facts
+from tillroll.operators import cf, facts
 from tillroll.schemas import FACT_COLUMNS
 from tillroll.session import scratch_path
 
-TABLES = ("transactions_expanded", "transaction_metrics", "customer_metrics", "product_metrics")
+TABLES = ("transactions_expanded", "transaction_metrics", "customer_metrics", "product_metrics",
+          "customer_item")
 
 
 class Warehouse:
@@ -40,11 +41,15 @@ class Warehouse:
     def product_metrics(self) -> DataFrame:
         return self.spark.read.parquet(self.path("product_metrics"))
 
+    def customer_item(self) -> DataFrame:
+        """Sparse customer x product units (long form), input of the CF jobs."""
+        return self.spark.read.parquet(self.path("customer_item"))
+
 
 def write_processed(spark: SparkSession, fact: DataFrame, root: str,
                     with_metrics: bool = True) -> Warehouse:
-    """Write the fact (partitioned by year, month), then the metric tables
-    computed from the written fact."""
+    """Write the fact (partitioned by year, month), then the metric tables and
+    the customer-item interaction table computed from the written fact."""
     wh = Warehouse(spark, root)
     # REBALANCE by the output partition columns: one shuffle, after which AQE
     # splits any month partition that is too large (a hot month is written by
@@ -59,6 +64,7 @@ def write_processed(spark: SparkSession, fact: DataFrame, root: str,
         facts.transaction_metrics(f).write.mode("overwrite").parquet(wh.path("transaction_metrics"))
         facts.customer_metrics(f).write.mode("overwrite").parquet(wh.path("customer_metrics"))
         facts.product_metrics(f).write.mode("overwrite").parquet(wh.path("product_metrics"))
+        cf.customer_item(f).write.mode("overwrite").parquet(wh.path("customer_item"))
     return wh
 
 
