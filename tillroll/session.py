@@ -46,14 +46,17 @@ def get_session(master: str | None = None, app: str = "tillroll",
 def shared_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when the session has
-    none (local tests) a private temporary folder is set.
+    Uses the cluster's ``spark.checkpoint.dir``. A local session (tests, bench)
+    that has none gets a private temporary folder; on a cluster that would be
+    each machine's own disk, so there the setting is required.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d is None:
         conf = sc.getConf().get("spark.checkpoint.dir", None)
         if not conf:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             conf = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         sc.setCheckpointDir(conf)
         d = sc.getCheckpointDir()
