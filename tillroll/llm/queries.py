@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact, licenses, mixing
+from . import chat, exact, licenses, lines, mixing
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,18 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "mix-sizes")
     out = mixing.mix(sized, size=F.col("words"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+# ------------------------------------------------------------ 10 line dedup
+@register(r"""
+WITH l AS (SELECT doc_id, pos, line, lower_ascii AS key FROM (
+    SELECT doc_id, pos, line, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS bare,
+           translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents))),
+k AS (SELECT key, max(doc_id) AS stays FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.*, (k.key IS NOT NULL AND doc_id <> stays) AS gone FROM l LEFT JOIN k ON l.key = k.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256 FROM m GROUP BY doc_id""")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(documents(spark, sf_dir), columns=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
