@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact, licenses, lines, mixing
+from . import chat, decontam, exact, licenses, lines, mixing, quality, toxicity
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+# ------------------------------------------------- 3 quality and 9 toxicity
+def _fold(modulus: int) -> Column:
+    """crc32 of doc_id as text modulo; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+@register()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = documents(spark, sf_dir, "labels").filter(_fold(5) != 0)
+    out = quality.score_quality(documents(spark, sf_dir), labels)
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
+@register()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = documents(spark, sf_dir, "labels").filter(_fold(4) != 2)
+    out = toxicity.score_toxicity(documents(spark, sf_dir), labels)
+    return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"))
