@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact, licenses, lines, mixing, quality, toxicity
+from . import chat, decontam, exact, licenses, lines, mixing, quality, substring, toxicity
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = documents(spark, sf_dir, "labels").filter(_fold(4) != 2)
     out = toxicity.score_toxicity(documents(spark, sf_dir), labels)
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"))
+
+
+# -------------------------------------------------------- 2 substring dedup
+@register()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(documents(spark, sf_dir), columns=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -45,10 +45,11 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that a Python worker holds a
-    few MB of text at once; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    have = int(spark.conf.get(key))
-    if have <= 0 or have > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 8 << 20) -> None:
+    """Arrow batches of so many rows and bytes at most, so that a Python worker
+    holds a few MB of text at once; smaller settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        have = spark.conf.get(key)
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
