@@ -39,6 +39,8 @@ def fill_targets(weighted: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
     With sources in order of cap / weight those that stop are a prefix: the
     share per weight after k stopped sources is (all - their caps) / (weight
     left), and source k + 1 stops if its own cap per weight is not above that.
+    From the first that does not stop on, that level only falls: the largest
+    level of those that don't stop is the share.
     """
     per = F.col("cap") / F.col("weight")
     order = Window.orderBy("per", F.col("source").asc_nulls_last())
@@ -51,7 +53,7 @@ def fill_targets(weighted: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
         .withColumn("left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", F.greatest(F.col("total") - F.col("caps"), F.lit(0)) / F.col("left"))
         .withColumn("full", F.col("per") <= F.col("level"))
-        .withColumn("share", F.min(F.when(~F.col("full"), F.col("level"))).over(every))
+        .withColumn("share", F.max(F.when(~F.col("full"), F.col("level"))).over(every))
     )
     target = F.when(F.col("full") | F.col("share").isNull(), F.col("cap").cast("double")).otherwise(F.col("share") * F.col("weight"))
     return x.select("source", "source_size", target.cast("double").alias("target"))

@@ -240,7 +240,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     table gives no rows. An input column called score is replaced.
     """
     keep = [c for c in (keep or [id_col]) if c.lower() not in COLUMNS]
-    keys = docs.select(*map(named, keep), named(text_col), id_of(id_col).alias("_id"))
+    keys = docs.select(*map(named, keep), *([] if text_col in keep else [named(text_col)]), id_of(id_col).alias("_id"))
     measured = stored(stats_of(keys, text_col, [*keep, "_id"]), "quality-stats")
     known = labels.select(named(id_col).cast("long").alias("id"), named(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     model = fit(measured.select(F.col("_id").alias("id"), "stats").join(known, "id"))

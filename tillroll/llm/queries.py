@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import chat, decontam, exact, licenses, lines, mixing, ngram_join, quality, substring, toxicity
 from .shared import documents
 
@@ -100,7 +102,7 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 l AS (SELECT *, cap / weight AS per, greatest(sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM s WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, CASE WHEN per <= level OR (SELECT min(level) FROM l WHERE per > level) IS NULL THEN cap ELSE (SELECT min(level) FROM l WHERE per > level) * weight END AS target FROM l),
+t AS (SELECT source, source_size, CASE WHEN per <= level OR (SELECT max(level) FROM l WHERE per > level) IS NULL THEN cap ELSE (SELECT max(level) FROM l WHERE per > level) * weight END AS target FROM l),
 p AS (SELECT *, least(CAST(round(target) AS BIGINT), 3 * source_size) AS budget FROM t),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p),
 r AS (SELECT d.*, q.source_size, q.target, q.epochs, q.budget - q.epochs * q.source_size AS rest,
@@ -170,3 +172,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ pipeline
+@register(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
