@@ -149,7 +149,10 @@ def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int,
     found = stored(found, "lines-suspects")
     per_doc = found.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))  # repeated rows of a document count once
     heavy = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("stays")).filter(F.col("n") >= min_docs)
-    go = found.join(heavy.select("h1", "h2", "stays"), ["h1", "h2"]).filter("id <> stays")
+    # read from a table, so that its size is known: joined as a broadcast below the
+    # session's limit, and else by shuffles of which a hot key's can be split
+    heavy = stored(heavy.select("h1", "h2", "stays"), "lines-heavy")
+    go = found.join(heavy, ["h1", "h2"]).filter("id <> stays")
     both = F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))
     return go.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set(F.hex(both))), "").alias("drop"))
 
