@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import named, small_batches, stored
 from .words import ALNUM, LOWER, groups_of, mix, span_hashes, text_column, words_of
 
-HASH_BITS = 20
+HASH_BITS = 19
 STEMS = (4, 5)  # bytes of a word's beginning
 ALPHA, BETA, L2 = 1.0, 1.0, 0.01
 L1_PER_ROOT_ROW = 0.016  # L1 follows the noise of a sum over the training rows
