@@ -109,9 +109,9 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int = FIL
                 again |= _test(once, slots)
                 _enter(twice, [x[again] for x in slots])
                 _enter(once, slots)
-        if once.any():
-            for k in range(SEGMENTS):
-                part = slice(k * size, (k + 1) * size)
+        for k in range(SEGMENTS):
+            part = slice(k * size, (k + 1) * size)
+            if once[part].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once[part].tobytes()], pa.binary()), pa.array([twice[part].tobytes()], pa.binary())], ["segment", "once", "twice"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

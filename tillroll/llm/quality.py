@@ -126,7 +126,7 @@ def stats_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def measure(batches):
         for batch in batches:
             values, starts, ends = text_column(batch.column(len(keep)))
-            parts = [doc_stats(values, starts[i:j], ends[i:j]) for i, j in groups_of(starts, ends, 1 << 20)]
+            parts = [doc_stats(values, starts[i:j], ends[i:j]) for i, j in groups_of(starts, ends)]
             rows = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATS)), pa.array(rows.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], stats], [*keep, "stats"])

@@ -45,7 +45,7 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> None:
     """Arrow batches of so many rows and bytes at most, so that a Python worker
     holds a few MB of text at once; smaller settings of the session stay."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):

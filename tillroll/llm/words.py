@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes handled at once
+PIECE = 1 << 19  # bytes handled at once
 
 U64 = np.uint64
 
@@ -138,7 +138,7 @@ def words_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.
     return s, e, [np.concatenate(h) for h in all_h], first
 
 
-def groups_of(starts: np.ndarray, ends: np.ndarray, size: int = 4 * PIECE):
+def groups_of(starts: np.ndarray, ends: np.ndarray, size: int = 2 * PIECE):
     """Ranges of rows whose texts together have about ``size`` bytes (one row at least)."""
     i, n = 0, len(starts)
     while i < n:
