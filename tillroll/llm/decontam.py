@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import named, small_batches, stored
+from .shared import in_arrow, named, small_batches, stored
 from .words import ALNUM, LOWER, groups_of, mix, span_hashes, text_column, words_of
 
 WINDOW = 10
@@ -245,7 +245,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", *, item
                      pa.array([sorted(x) for x in hit_items], pa.list_(pa.string()))],
                     [*needed, *COLUMNS])
 
-        out = out.mapInArrow(scan, schema)
+        out = in_arrow(out, scan, schema)
     empty = F.array().cast(span)
     words = F.coalesce("n_words", F.coalesce(F.regexp_count(F.lower(named(text_col)), F.lit(ITEM_WORD)), F.lit(0)).cast("long"))
     return out.select(*map(named, columns), words.alias("n_words"), F.coalesce("hit_spans", empty).alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -259,10 +259,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", *,
     """docs without the hit words: each hit span goes, from its first word to
     its last; a document of whose words more than max_coverage are hit goes
     whole. Documents without hits stay as they are."""
-    columns = docs.columns
-    found = find_hits(docs, items, text_col, **options)
+    columns = [f"c{k}" for k in range(len(docs.columns))]  # the input keeps its columns, whatever their name
+    at = docs.columns.index(text_col)
+    found = find_hits(docs.toDF(*columns), items, columns[at], **options)
+    docs_names, schema = docs.columns, docs.schema
     found = found.filter((F.col("n_words") == 0) | (hit_words() <= max_coverage * F.col("n_words")))
-    at = columns.index(text_col)
 
     def cut(batches):
         for batch in batches:
@@ -282,6 +283,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", *,
                 texts.append(b"".join(parts))
             arrays = [batch.column(k) for k in range(len(columns))]
             arrays[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays(arrays, docs_names)
 
-    return found.select(*map(named, columns), "hit_spans").mapInArrow(cut, docs.schema)
+    return in_arrow(found.select(*map(named, columns), "hit_spans"), cut, schema)

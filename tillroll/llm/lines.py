@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_of, named, small_batches, stored
+from .shared import id_of, in_arrow, named, small_batches, stored
 from .words import LOWER, NOT_SPACE, groups_of, mix, span_hashes, text_column
 
 MIN_CHARS = 40
@@ -207,5 +207,5 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 [*columns, *COLUMNS])
 
     schema = docs.select(*[named(c) for c in columns]).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
-    return rows.mapInArrow(cut, schema)
+    return in_arrow(rows, cut, schema)
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_of, named, small_batches, stored
+from .shared import id_of, in_arrow, named, small_batches, stored
 from .words import SPACE, byte_class, groups_of, mix, span_hashes, text_column, words_of
 
 FEATURES = 256
@@ -132,7 +132,7 @@ def stats_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], stats], [*keep, "stats"])
 
     rows = docs.select(*map(named, keep), named(text_col).alias("_text"))
-    return rows.mapInArrow(measure, docs.select(*map(named, keep)).withColumn("stats", F.array().cast("array<float>")).schema)
+    return in_arrow(rows, measure, docs.select(*map(named, keep)).withColumn("stats", F.array().cast("array<float>")).schema)
 
 
 class Features:
@@ -252,4 +252,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(y)], [*keep, "score"])
 
     rows = measured.select(*map(named, keep), "stats")
-    return rows.mapInArrow(score, rows.drop("stats").withColumn("score", F.lit(None).cast("double")).schema)
+    return in_arrow(rows, score, rows.drop("stats").withColumn("score", F.lit(None).cast("double")).schema)

@@ -37,6 +37,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[named(c) for c in df.columns if c.lower() not in drop])
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow for functions that take columns by position, so that input
+    columns may have any name."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(function, schema)
+
+
 def id_of(column: str) -> Column:
     return F.coalesce(named(column).cast("long"), F.lit(NULL_ID))
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_of, named, small_batches, stored
+from .shared import id_of, in_arrow, named, small_batches, stored
 from .words import groups_of, mix, span_hashes, text_column, words_of
 
 WINDOW = 20
@@ -232,4 +232,4 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     schema = rows.select(*map(named, columns), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                          F.array().cast("array<struct<start:int,end:int>>").alias("repeats"), F.lit("").alias("kept_text")).schema
-    return rows.mapInArrow(cut, schema)
+    return in_arrow(rows, cut, schema)

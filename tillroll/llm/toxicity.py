@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import named, small_batches, stored
+from .shared import in_arrow, named, small_batches, stored
 from .words import ALNUM, LOWER, groups_of, mix, span_hashes, text_column, words_of
 
 HASH_BITS = 19
@@ -186,4 +186,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
             y = np.full(len(starts), 0.5) if model is None else model.scores(values, starts, ends)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(y)], [*keep, "score"])
 
-    return rows.mapInArrow(score, rows.drop("_text").withColumn("score", F.lit(None).cast("double")).schema)
+    return in_arrow(rows, score, rows.drop("_text").withColumn("score", F.lit(None).cast("double")).schema)
