@@ -5,10 +5,10 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from tillroll.plans.registry import load_all
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
+QUERIES = load_all()[0]
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 

@@ -241,3 +241,40 @@ def test_rebuild_from_files_with_integrity(spark, tmp_path):
     assert i["undefined_categories"] == 1 and i["valid"] is True
     assert {r["file_store"] for r in report.collect() if r["accepted"]} == {"102", "103"}
     assert wh.customer_metrics().count() == 3
+
+
+def test_quoted_cells_round_trip(spark, tmp_path):
+    (tmp_path / "102_Tran.csv").write_text('2013-01-01,102,1000,"20 3 1 5"\n2013-01-02,102,1001,"7"\n')
+    rows, _ = files.load_transactions(spark, str(tmp_path))
+    assert sorted(r["products"] for r in rows.collect()) == ["20 3 1 5", "7"]
+    names = [(1, "Frutas, verduras"), (2, 'say "hi", you'), (3, "plain")]
+    files.write_delimited(spark.createDataFrame(names, "category_id int, category_name string").coalesce(1), str(tmp_path / "cats.csv"), sep=",", header=True)
+    got = files.load_categories(spark, str(tmp_path / "cats.csv"))
+    assert _rows(got, "category_id", "category_name") == names
+
+
+def test_every_file_is_reported_and_bad_rows_are_kept_apart(spark, tmp_path):
+    from tillroll.plans.rebuild import rebuild
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "102_Tran.csv").write_text("2013-01-01|102|1000|1 2\nnever|102|1001|3\n2013-01-01|102|x|4\n")
+    (raw / "103_Tran.csv").write_text("date,store_id,customer_id\n2013-01-01,103,1\n")
+    (raw / "test_999_Tran.csv").write_text("2013-01-01|999|1000|1\n")
+    (tmp_path / "c.csv").write_text("1|a\n")
+    (tmp_path / "p.csv").write_text("1|1\n2|1\n")
+    wh, report = rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "out"))
+    got = {r["source"].rsplit("/", 1)[1]: (r["accepted"], r["bad_dates"], r["bad_customer_ids"], r["missing_columns"]) for r in report.collect()}
+    assert got == {"102_Tran.csv": (True, 1, 1, []), "103_Tran.csv": (False, 0, 0, ["products"]), "test_999_Tran.csv": (False, 0, 0, [])}
+    assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()) == ["bad customer id", "bad date"]
+    assert wh.fact().count() == 2
+    (raw / "102_Tran.csv").unlink()
+    with pytest.raises(ValueError, match="no store file"):
+        rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "out2"))
+
+
+def test_quality_of_coincident_centroids(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "cluster int, x array<double>")
+    from tillroll.operators import segments
+    q = segments.cluster_quality(df, 2).first()
+    assert q["davies_bouldin"] == float("inf") and q["k"] == 2
+    assert segments.cluster_quality(df.filter("cluster = 0"), 2).first()["calinski_harabasz"] is None

@@ -66,12 +66,6 @@ def store_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
                       safe_div("transactions", "customers").alias("avg_transactions_per_customer"))
 
 
-# Fixed bucket labels (reference output keys).
-FREQUENCY_BUCKETS = ["low (1-2 trans)", "medium (3-10 trans)", "high (11-50 trans)",
-                     "very_high (>50 trans)"]
-RECENCY_BUCKETS = ["recent (0-30 days)", "moderate (31-90 days)", "old (>90 days)"]
-
-
 def segmentation_summary(customer_metrics: DataFrame) -> DataFrame:
     f, r = F.col("frequency"), F.col("recency")
     return customer_metrics.agg(

@@ -6,7 +6,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tillroll.operators import catalog, facts, quality
 from tillroll.plans import dashboard  # noqa: F401  (registers the customer_metrics oracle reused below)
@@ -15,6 +17,7 @@ from tillroll.plans.rebuild import rebuild
 from tillroll.plans.registry import ORACLES, comparable, register
 from tillroll.plans.warehouse import testdata_warehouse
 from tillroll.session import scratch_path
+from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
 from tillroll.sources import files, sinks, testdata
 from tillroll.streaming.ingest import ingest_stream
 
@@ -117,9 +120,9 @@ def q_src_product_category(spark, sf):
 @register("sniff_format")
 def q_sniff_format(spark, sf):
     r = _raw(spark, sf)
-    paths = [f"{r['root']}/*_Tran.csv", r["categories"], r["categories_header"], r["product_category"]]
-    lines = files._lines(spark, paths)
-    fmt = files.sniff_format(lines, ["category_id", "category_name"])
+    kinds = [([f"{r['root']}/*_Tran.csv"], TRANSACTION_COLUMNS), ([r["categories"], r["categories_header"]], CATEGORY_COLUMNS),
+             ([r["product_category"]], PRODUCT_CATEGORY_COLUMNS)]
+    fmt = reduce(DataFrame.unionByName, [files.sniff_format(files._lines(spark, p), columns) for p, columns in kinds])
     src = F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1)
     return fmt.groupBy(src.alias("source"), "delimiter", "has_header", "n_columns", "ok").agg(
         F.count(F.lit(1)).alias("files"))
@@ -172,7 +175,7 @@ unk AS (SELECT DISTINCT category_id FROM lr WHERE category_id NOT IN (SELECT cat
 SELECT 'duplicate_products' AS "check", n = 0 AS ok, n AS n_bad, NULL AS examples FROM d
 UNION ALL SELECT 'null_product_id', true, 0, NULL UNION ALL SELECT 'null_category_id', true, 0, NULL
 UNION ALL SELECT 'nonpositive_ids', np = 0, np, NULL FROM d
-UNION ALL SELECT 'all_valid', n + np = 0, n + np, NULL FROM d
+UNION ALL SELECT 'all_valid', np = 0, np, NULL FROM d
 UNION ALL SELECT 'unknown_categories', count(*) = 0, count(*),
                  array_to_string(list_sort(list(CAST(category_id AS VARCHAR))), '|') FROM
    (SELECT category_id FROM unk ORDER BY category_id LIMIT 10) x"""))

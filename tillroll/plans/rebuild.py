@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tillroll.operators import catalog, quality
 from tillroll.operators.baskets import build_fact, expand_baskets, transaction_ids
 from tillroll.plans.warehouse import Warehouse, write_processed
+from tillroll.session import scratch_path
 from tillroll.sources import files
 
 
@@ -20,12 +21,28 @@ def raw_batch(rows: DataFrame, batch: str | None = None) -> DataFrame:
                         "date", "store_id", "customer_id", "products")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category_path, out_root: str,
             store_ids=None, with_integrity: bool = False):
     """Load (with the store gate), expand, enrich, add calendar, write the four
     processed tables. Returns the warehouse and the per-file gate report (and
-    the integrity report of the loaded inputs when ``with_integrity``)."""
+    the integrity report of the loaded inputs when ``with_integrity``).
+
+    The text files are read once: accepted rows are stored in the shared folder.
+    Rows whose date or customer id does not parse are written to
+    ``<out_root>/rejected`` and counted per file in the report; no accepted file
+    at all is an error."""
     rows, report = files.load_transactions(spark, raw_dir, store_ids)
+    rows, report = _stored(rows, "loaded"), _stored(report, "gate")
+    if report.filter("accepted").isEmpty():
+        raise ValueError(f"no store file in {raw_dir} was accepted: "
+                         + "; ".join(f"{r['source']}: {r['reason']}" for r in report.limit(10).collect()))
+    files.rejected_rows(rows).write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/rejected")
     typed = files.typed_transactions(rows)
     raw = raw_batch(rows).filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
     lines = expand_baskets(raw)

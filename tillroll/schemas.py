@@ -9,22 +9,6 @@ RAW_TRANSACTIONS = T.StructType([
     T.StructField("products", T.StringType()),
 ])
 
-CATEGORIES = T.StructType([
-    T.StructField("category_id", T.IntegerType()),
-    T.StructField("category_name", T.StringType()),
-])
-
-PRODUCT_CATEGORY = T.StructType([
-    T.StructField("product_id", T.LongType()),
-    T.StructField("category_id", T.IntegerType()),
-])
-
-# Text-typed readers: every cell arrives as a string and is converted with
-# try_cast / try_to_date, so a bad cell becomes null instead of failing a task.
-def all_strings(names):
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 TRANSACTION_COLUMNS = ["date", "store_id", "customer_id", "products"]
 CATEGORY_COLUMNS = ["category_id", "category_name"]
 PRODUCT_CATEGORY_COLUMNS = ["product_id", "category_id"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,8 +10,6 @@ from pyspark.sql import SparkSession
 # Defaults applied only when the session does not already define them, so a
 # cluster's own settings (spark-defaults.conf, --conf) always win.
 _DEFAULTS = {
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
@@ -26,19 +23,32 @@ _DEFAULTS = {
 }
 
 
+# known only when a session is launched
+_LAUNCH = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+
+
 def get_session(master: str | None = None, app: str = "tillroll",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
+    """A session with the package's defaults. A session that already runs is
+    returned as it is (with ``extra`` applied); settings given at submit win."""
+    running = SparkSession.getActiveSession() is not None
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+    if not running:
+        for k, v in _LAUNCH.items():
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    if not running:
+        for k, v in _DEFAULTS.items():
+            if not given.contains(k):
+                spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -67,13 +77,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/tillroll/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

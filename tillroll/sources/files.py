@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
 
-STORE_FILE_PATTERN = r"(\d+)_Tran\.csv"
+STORE_FILE_PATTERN = r"(?:^|/)(\d+)_Tran\.csv(?:/|$)"
 # a store "file" may be a plain file or a directory of part files named like one
-SOURCE_PATTERN = r"^(.*?\d+_Tran\.csv)"
+SOURCE_PATTERN = r"^((?:.*/)?[^/]*_Tran\.csv)"
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
@@ -27,8 +27,20 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
                          F.monotonically_increasing_id().alias("pos")))
 
 
+def _unquote(cell):
+    c = F.trim(cell)
+    inner = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.when(c.rlike(r'^".*"$') & (F.length(c) >= 2), inner).otherwise(cell)
+
+
 def _split(value, delim):
-    return F.when(delim == "|", F.split(value, r"\|", -1)).otherwise(F.split(value, ",", -1))
+    """Cells of a line; a delimiter inside double quotes does not separate, and
+    a doubled quote inside quotes is one quote. Lines without quotes are cut plainly."""
+    def at(suffix):
+        return F.when(delim == "|", F.split(value, r"\|" + suffix, -1)).otherwise(F.split(value, "," + suffix, -1))
+
+    outside = r'(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+    return F.when(F.contains(value, F.lit('"')), F.transform(at(outside), _unquote)).otherwise(at(""))
 
 
 def sniff_format(lines: DataFrame, required: list[str]) -> DataFrame:
@@ -76,24 +88,51 @@ def load_transactions(spark: SparkSession, raw_dir: str, store_ids=None) -> tupl
     """Baskets of every ``<store>_Tran.csv`` (or the listed stores) that passes
     the store gate, and a per-file report.
 
-    Gate: a file is kept only when every row's store_id equals the number in
-    its name. Rows keep their text; ``typed_transactions`` converts them.
+    Gate: a file is kept only when its layout is usable, its name is exactly
+    ``<number>_Tran.csv`` and every row's store_id equals that number. The report
+    has one row for every file found, with the reason of a rejection and the
+    counts of rows whose date or customer id does not parse. Rows keep their
+    text; ``typed_transactions`` converts them.
     """
     rows, fmt = read_delimited(spark, f"{raw_dir.rstrip('/')}/*_Tran.csv", TRANSACTION_COLUMNS)
-    rows = rows.select("*", store_of_file().alias("file_store"),
-                       F.regexp_extract("file_path", SOURCE_PATTERN, 1).alias("source"))
+    rows, found = (df.select("*", store_of_file().alias("file_store"),
+                             F.regexp_extract("file_path", SOURCE_PATTERN, 1).alias("source")) for df in (rows, fmt))
     if store_ids is not None:
-        rows = rows.filter(F.col("file_store").isin([str(s) for s in store_ids]))
-    per_file = rows.groupBy("source", "file_store").agg(
+        wanted = F.col("file_store").isin([str(s) for s in store_ids])
+        rows, found = rows.filter(wanted), found.filter(wanted)
+    store = F.trim("store_id").try_cast("int")
+    bad_date, bad_customer = _unparsable()
+    per_file = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.trim("store_id").try_cast("int").isNull()
-                   | (F.trim("store_id").try_cast("int") != F.col("file_store").try_cast("int"))).alias("foreign_rows"))
-    report = per_file.select("source", "file_store", "rows", "foreign_rows",
-                             (F.col("foreign_rows") == 0).alias("accepted"))
+        F.count_if(store.isNull() | ~store.eqNullSafe(F.col("file_store").try_cast("int"))).alias("foreign_rows"),
+        F.count_if(bad_date).alias("bad_dates"), F.count_if(bad_customer).alias("bad_customer_ids"))
+    layouts = found.groupBy("source", "file_store").agg(
+        F.bool_and("ok").alias("layout_ok"),
+        F.array_distinct(F.flatten(F.collect_set("missing_columns"))).alias("missing_columns"))
+    counts = ["rows", "foreign_rows", "bad_dates", "bad_customer_ids"]
+    report = layouts.join(per_file, "source", "left").select(
+        "source", "file_store", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "layout_ok", "missing_columns")
+    reason = (F.when(F.col("file_store") == "", "file name has no store number of its own")
+               .when(~F.col("layout_ok"), "columns missing or surplus")
+               .when(F.col("foreign_rows") > 0, "rows of another store"))
+    report = report.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     good = report.filter("accepted").select("source")
     return rows.join(good, "source", "left_semi"), report
 
 
+def _unparsable():
+    """Conditions on text rows: the date, the customer id does not parse."""
+    return (F.try_to_date(F.trim("date"), "yyyy-M-d").isNull(), F.trim("customer_id").try_cast("bigint").isNull())
+
+
+def rejected_rows(rows: DataFrame) -> DataFrame:
+    """Rows of accepted files that can't be used, as they were read, with the reason."""
+    bad_date, bad_customer = _unparsable()
+    reason = F.when(bad_date, "bad date").when(bad_customer, "bad customer id")
+    return rows.select("file_path", "date", "store_id", "customer_id", "products", reason.alias("reason")) \
+               .filter(F.col("reason").isNotNull())
+
+
 def typed_transactions(rows: DataFrame) -> DataFrame:
     """date, store_id, customer_id typed (bad values -> null), products kept as text."""
     return rows.select(
@@ -123,4 +162,4 @@ def load_product_category(spark: SparkSession, paths) -> DataFrame:
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = False) -> None:
     # empty strings are written as nothing (not as a quoted "") so they read back empty
-    df.write.mode("overwrite").option("sep", sep).option("header", header).option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("sep", sep).option("header", header).option("emptyValue", "").option("escape", '"').csv(path)

@@ -30,7 +30,7 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
         b = batch.select("*", F.regexp_extract("file_path", STORE_FILE_PATTERN, 1).alias("file_store"),
                          F.monotonically_increasing_id().alias("pos"))
         bad = (b.filter(F.trim("store_id").try_cast("int").isNull()
-                        | (F.trim("store_id").try_cast("int") != F.col("file_store").try_cast("int")))
+                        | ~F.trim("store_id").try_cast("int").eqNullSafe(F.col("file_store").try_cast("int")))
                 .select("file_path").distinct())
         ok = b.join(bad, "file_path", "left_anti")
         typed = ok.select(
