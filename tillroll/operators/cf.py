@@ -27,29 +27,34 @@ def customer_norms(ci: DataFrame) -> DataFrame:
         F.sqrt(F.sum(F.col("quantity") * F.col("quantity"))).alias("norm"))
 
 
-def customer_similarity(ci: DataFrame, targets: DataFrame) -> DataFrame:
+def _own(ci: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets' rows of a table keyed by customer."""
+    return ci.join(targets.select(F.col("target_id").alias("customer_id")).distinct(), "customer_id", "left_semi")
+
+
+def customer_similarity(ci: DataFrame, targets: DataFrame, norms: DataFrame | None = None,
+                        min_similarity: float | None = None) -> DataFrame:
     """Cosine similarity of each target to every other customer sharing a product.
 
-    ``targets`` has a ``target_id`` column. The target vectors (one row per
-    target and product) are the small side of the product join; the join
-    streams the interaction table and each (target, customer) dot product is
-    pre-aggregated map-side before its shuffle. Customers with no shared
-    product have similarity 0 and are not emitted.
+    ``targets`` has a ``target_id`` column and is meant as a batch (a page, a
+    campaign). The target vectors (one row per target and product) are the small
+    side of the product join; the join streams the interaction table and each
+    (target, customer) dot product is pre-aggregated map-side before its shuffle.
+    Customers with no shared product have similarity 0 and are not emitted, nor
+    are those below ``min_similarity``. ``norms`` may pass the stored lengths.
     """
-    tv = (ci.join(targets.select(F.col("target_id").alias("customer_id")).distinct(), "customer_id", "left_semi")
-            .select(F.col("customer_id").alias("target_id"), "product_id",
-                    F.col("quantity").alias("target_quantity")))
+    tv = _own(ci, targets).select(F.col("customer_id").alias("target_id"), "product_id",
+                                  F.col("quantity").alias("target_quantity"))
     dots = (ci.join(tv, "product_id")
               .filter(F.col("customer_id") != F.col("target_id"))
               .groupBy("target_id", "customer_id")
               .agg(F.sum(F.col("quantity") * F.col("target_quantity")).alias("dot")))
-    norms = customer_norms(ci)
-    tnorms = norms.join(targets.select(F.col("target_id").alias("customer_id")).distinct(), "customer_id",
-                        "left_semi").select(F.col("customer_id").alias("target_id"),
-                                            F.col("norm").alias("target_norm"))
-    return (dots.join(norms, "customer_id").join(tnorms, "target_id")
-                .select("target_id", "customer_id",
-                        (F.col("dot") / (F.col("norm") * F.col("target_norm"))).alias("similarity")))
+    norms = customer_norms(ci) if norms is None else norms
+    tnorms = _own(norms, targets).select(F.col("customer_id").alias("target_id"), F.col("norm").alias("target_norm"))
+    out = (dots.join(norms, "customer_id").join(tnorms, "target_id")
+               .select("target_id", "customer_id",
+                       (F.col("dot") / (F.col("norm") * F.col("target_norm"))).alias("similarity")))
+    return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
 
 def similar_customers(similarity: DataFrame, top_k: int = TOP_K_SIMILAR,
@@ -77,27 +82,37 @@ def product_info(fact: DataFrame) -> DataFrame:
 
 def customer_recommendations(fact: DataFrame, targets: DataFrame, top_n: int = TOP_N,
                              min_similarity: float = MIN_SIMILARITY,
-                             top_k_similar: int = TOP_K_SIMILAR, ci: DataFrame | None = None) -> DataFrame:
+                             top_k_similar: int = TOP_K_SIMILAR, ci: DataFrame | None = None,
+                             products: DataFrame | None = None, norms: DataFrame | None = None) -> DataFrame:
     """Products a target has not bought, scored by sum(similarity x neighbour units).
 
     Score is then scaled to 0-100 of the target's best (2 decimals, half even);
     ``similar_customers_count`` is the number of all customers who bought the
     product. A target with no qualifying neighbour or candidate yields no rows.
-    ``ci`` may pass a stored interaction table instead of aggregating ``fact``.
+    ``ci``, ``products`` and ``norms`` may pass the stored interaction table,
+    product metrics and vector lengths; with the first two the fact is not read,
+    and names and buyer counts are looked up for the chosen rows only.
     """
     ci = customer_item(fact) if ci is None else ci
-    nb = similar_customers(customer_similarity(ci, targets), top_k_similar, min_similarity)
+    similarity = customer_similarity(ci, targets, norms, min_similarity)
+    nb = similar_customers(similarity, top_k_similar, min_similarity)
     cand = nb.select("target_id", "customer_id", "similarity").join(ci, "customer_id")
-    own = ci.select(F.col("customer_id").alias("target_id"), "product_id")
+    own = _own(ci, targets).select(F.col("customer_id").alias("target_id"), "product_id")
     scores = (cand.join(own, ["target_id", "product_id"], "left_anti")
                   .groupBy("target_id", "product_id")
                   .agg(F.sum(F.col("similarity") * F.col("quantity")).alias("raw_score")))
     w = Window.partitionBy("target_id").orderBy(F.desc("raw_score"), "product_id")
     top = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-    buyers = ci.groupBy("product_id").agg(F.count(F.lit(1)).alias("similar_customers_count"))
+    if products is None:
+        buyers = ci.groupBy("product_id").agg(F.count(F.lit(1)).alias("similar_customers_count"))
+        info = product_info(fact).join(buyers, "product_id", "left")
+    else:
+        name = F.coalesce("product_name", product_name("product_id")) if "product_name" in products.columns \
+            else product_name("product_id")
+        info = products.select("product_id", "category_name", name.alias("product_name"),
+                               F.col("unique_customers").alias("similar_customers_count"))
     best = Window.partitionBy("target_id")  # at most top_n rows per target
-    return (top.join(product_info(fact), "product_id", "left")
-               .join(buyers, "product_id", "left")
+    return (top.join(info, "product_id", "left")
                .select(F.col("target_id").alias("customer_id"), "rank", "product_id",
                        round_half_even(F.col("raw_score") / F.max("raw_score").over(best) * 100.0, 2)
                        .alias("score"),

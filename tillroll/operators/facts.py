@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from tillroll.functions.numeric import distinct_count, safe_div
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Both sides' columns by ``key``, of which null is a value like any other."""
+    right = right.withColumnRenamed(key, "_key")
+    return left.join(right, left[key].eqNullSafe(right["_key"])).drop("_key")
+
+
 def transaction_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     # date/store/customer are constant inside a transaction: min is the
     # deterministic stand-in for "first"
@@ -20,22 +26,30 @@ def transaction_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def customer_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
+def customer_metrics(fact: DataFrame, exact: bool = True, tx: DataFrame | None = None,
+                     ci: DataFrame | None = None) -> DataFrame:
     """RFM-style customer table.
 
     preferred_store is the most frequent store over the customer's product rows,
     ties to the lowest id; recency counts days back from the latest date in the
-    data (a scalar subquery, no join).
+    data (a scalar subquery, no join). With the stored transaction metrics and
+    interaction table as ``tx`` and ``ci``, transactions and products are counted
+    there without a distinct, and the fact is aggregated for categories and the
+    store alone; all three aggregates are keyed by customer.
     """
-    reference_date = fact.select(F.max("date")).scalar()
-    agg = fact.groupBy("customer_id").agg(
-        distinct_count("transaction_id", exact).alias("frequency"),
-        F.max("date").alias("last_purchase_date"),
-        F.sum("quantity").alias("total_quantity"),
-        distinct_count("product_id", exact).alias("unique_products"),
-        distinct_count("category_id", exact).alias("unique_categories"),
-        F.mode("store_id", deterministic=True).alias("preferred_store"),
-    )
+    if tx is not None and ci is not None:
+        reference_date = tx.select(F.max("date")).scalar()
+        totals = tx.groupBy("customer_id").agg(
+            F.count(F.lit(1)).alias("frequency"), F.max("date").alias("last_purchase_date"),
+            F.sum("total_quantity").alias("total_quantity"))
+        products = ci.groupBy("customer_id").agg(F.count("product_id").alias("unique_products"))
+        shops = fact.groupBy("customer_id").agg(
+            distinct_count("category_id", exact).alias("unique_categories"),
+            F.mode("store_id", deterministic=True).alias("preferred_store"))
+        agg = _joined(_joined(totals, products, "customer_id"), shops, "customer_id")
+    else:
+        reference_date = fact.select(F.max("date")).scalar()
+        agg = _customer_totals(fact, exact)
     return agg.select(
         "customer_id", "frequency", "last_purchase_date", "total_quantity",
         "unique_products", "unique_categories", "preferred_store",
@@ -45,20 +59,37 @@ def customer_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def product_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
+def _customer_totals(fact: DataFrame, exact: bool) -> DataFrame:
+    return fact.groupBy("customer_id").agg(
+        distinct_count("transaction_id", exact).alias("frequency"),
+        F.max("date").alias("last_purchase_date"),
+        F.sum("quantity").alias("total_quantity"),
+        distinct_count("product_id", exact).alias("unique_products"),
+        distinct_count("category_id", exact).alias("unique_categories"),
+        F.mode("store_id", deterministic=True).alias("preferred_store"),
+    )
+
+
+def product_metrics(fact: DataFrame, exact: bool = True, ci: DataFrame | None = None) -> DataFrame:
     """Per product: transactions, customers, units, mean units and its category.
 
     The category is the smallest non-null (id, name) pair - a deterministic
-    choice where the reference keeps the first row in file order.
+    choice where the reference keeps the first row in file order. With the
+    interaction table as ``ci`` the customers are counted there, so the fact needs
+    one distinct count only.
     """
     cat = F.min(F.when(F.col("category_id").isNotNull(),
                        F.struct("category_id", "category_name")))
-    return fact.groupBy("product_id").agg(
+    buyers = [] if ci is not None else [distinct_count("customer_id", exact).alias("unique_customers")]
+    agg = fact.groupBy("product_id").agg(
         distinct_count("transaction_id", exact).alias("product_frequency"),
-        distinct_count("customer_id", exact).alias("unique_customers"),
+        *buyers,
         F.sum("quantity").alias("total_quantity"),
         F.avg("quantity").alias("avg_quantity"),
         cat.alias("_cat"),
-    ).select("product_id", "product_frequency", "unique_customers", "total_quantity",
+    )
+    if ci is not None:
+        agg = _joined(agg, ci.groupBy("product_id").agg(F.count("customer_id").alias("unique_customers")), "product_id")
+    return agg.select("product_id", "product_frequency", "unique_customers", "total_quantity",
              "avg_quantity", F.col("_cat.category_id").alias("category_id"),
              F.col("_cat.category_name").alias("category_name"))

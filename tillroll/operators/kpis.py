@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.functions.numeric import distinct_count, safe_div
+from tillroll.operators.quantiles import quantiles
 
 
 def _per_transaction(fact: DataFrame) -> DataFrame:
     return fact.groupBy("transaction_id").agg(
         F.count_distinct("product_id").alias("unique_products"),
-        F.sum("quantity").alias("total_quantity"),
-        F.count_distinct("category_id").alias("unique_categories"))
+        F.sum("quantity").alias("total_quantity"))
 
 
 def kpis(fact: DataFrame, exact: bool = True) -> DataFrame:
@@ -43,6 +43,23 @@ def kpis(fact: DataFrame, exact: bool = True) -> DataFrame:
         F.datediff("end_date", "start_date").alias("days"))
 
 
+def kpis_stored(tx: DataFrame, fact: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+    """The figures of ``kpis`` from the stored tables: one row per transaction,
+    customer and product, so only categories and stores (few values) are counted
+    distinct, and the fact is read for its category column alone."""
+    cats = fact.select(F.count_distinct("category_id")).scalar()
+    n_customers = customers.select(F.count("customer_id")).scalar()
+    n_products = products.select(F.count("product_id")).scalar()
+    g = tx.agg(F.sum("total_quantity").alias("total_units"), F.count(F.lit(1)).alias("total_transactions"),
+               F.count_distinct("store_id").alias("total_stores"), F.avg("basket_size").alias("avg_basket_size"),
+               F.avg("total_quantity").alias("avg_units_per_transaction"),
+               F.min("date").alias("start_date"), F.max("date").alias("end_date"))
+    return g.select("total_units", "total_transactions", n_customers.alias("total_customers"),
+                    n_products.alias("total_products"), cats.alias("total_categories"), "total_stores",
+                    "avg_basket_size", "avg_units_per_transaction", "start_date", "end_date",
+                    F.datediff("end_date", "start_date").alias("days"))
+
+
 def _group_counts(fact: DataFrame, key: str, exact: bool = True) -> DataFrame:
     return fact.groupBy(key).agg(
         F.sum("quantity").alias("total_units"),
@@ -59,8 +76,17 @@ def category_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
               .orderBy(F.desc("total_units"), "category_name")
 
 
-def store_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
-    per = _group_counts(fact, "store_id", exact)
+def store_performance(fact: DataFrame, exact: bool = True, tx: DataFrame | None = None) -> DataFrame:
+    """Per store: units, transactions, customers, products and ratios. With the
+    transaction metrics as ``tx`` only the products are counted on the fact."""
+    if tx is None:
+        per = _group_counts(fact, "store_id", exact)
+    else:
+        per = tx.groupBy("store_id").agg(
+            F.sum("total_quantity").alias("total_units"), F.count(F.lit(1)).alias("transactions"),
+            distinct_count("customer_id", exact).alias("customers"))
+        sold = fact.groupBy(F.col("store_id").alias("_store")).agg(distinct_count("product_id", exact).alias("products"))
+        per = per.join(sold, F.col("store_id").eqNullSafe(F.col("_store"))).drop("_store")
     return per.select("*",
                       safe_div("total_units", "transactions").alias("avg_basket_size"),
                       safe_div("transactions", "customers").alias("avg_transactions_per_customer"))
@@ -95,27 +121,28 @@ def product_penetration(product_metrics: DataFrame, total_customers) -> DataFram
     ).orderBy(F.desc("penetration"), "product_id")
 
 
-def basket_analysis(fact: DataFrame) -> DataFrame:
-    """Mean/median products and units per basket, mean categories per basket."""
-    t = _per_transaction(fact)
-    return t.agg(
-        F.avg("unique_products").alias("avg_products_per_basket"),
-        F.percentile("unique_products", 0.5).alias("median_products_per_basket"),
+def basket_analysis(tx: DataFrame) -> DataFrame:
+    """Mean/median products and units per basket, mean categories per basket,
+    from the transaction metrics."""
+    med = {c: quantiles(tx, c, [0.5]).select(F.col("q")[0]).scalar() for c in ("basket_size", "total_quantity")}
+    return tx.agg(
+        F.avg("basket_size").alias("avg_products_per_basket"),
         F.avg("total_quantity").alias("avg_quantity_per_basket"),
-        F.percentile("total_quantity", 0.5).alias("median_quantity_per_basket"),
-        F.avg("unique_categories").alias("avg_categories_per_basket"))
+        F.avg("category_diversity").alias("avg_categories_per_basket"),
+    ).select("*", med["basket_size"].alias("median_products_per_basket"),
+             med["total_quantity"].alias("median_quantity_per_basket"))
 
 
-def basket_size_distribution(fact: DataFrame) -> DataFrame:
-    return (_per_transaction(fact).groupBy("unique_products")
-            .agg(F.count(F.lit(1)).alias("transactions"))
-            .orderBy("unique_products"))
+def basket_size_distribution(tx: DataFrame) -> DataFrame:
+    return (tx.groupBy(F.col("basket_size").alias("unique_products"))
+              .agg(F.count(F.lit(1)).alias("transactions"))
+              .orderBy("unique_products"))
 
 
-def daily_stats(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("date").agg(
-        F.count_distinct("transaction_id").alias("transactions"),
-        F.sum("quantity").alias("total_units"))
+def daily_stats(tx: DataFrame) -> DataFrame:
+    return tx.groupBy("date").agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.sum("total_quantity").alias("total_units"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,15 +151,16 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         stats.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"),
-                              F.max(x).alias("max")))
+                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
     # one aggregation pass, then one row per column
     out = df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
-    return out.select("column", "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                        for c in columns])))
+    q = quantiles(long, "value", [0.25, 0.5, 0.75], "column")
+    return out.join(q, "column", "left").select(
+        "column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
+        F.col("q")[2].alias("q75"), "max")
 
 
 def category_volume_top(fact: DataFrame, n: int = 5) -> DataFrame:

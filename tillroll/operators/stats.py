@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillroll.operators.quantiles import quantiles
+
 DEFAULT_CORR_FEATURES = ["frequency", "recency", "total_quantity",
                          "unique_products", "unique_categories", "avg_basket_size"]
 
@@ -35,11 +37,16 @@ def correlation_matrix(df: DataFrame, features: list[str] | None = None) -> Data
 def box_stats(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """Quartiles (linear interpolation), 1.5 IQR fences, mean, sample sd, extremes."""
     x = F.col(value).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = df.groupBy(group) if group else df.groupBy()
-    s = g.agg(F.count(x).alias("count"), q.alias("_q"), F.avg(x).alias("mean"),
+    s = g.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
               F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75], group)
     keys = [group] if group else []
+    if group:
+        q = q.select(F.col(group).alias("_group"), F.col("q").alias("_q"))
+        s = s.join(q, F.col(group).eqNullSafe(F.col("_group")), "left")
+    else:
+        s = s.select("*", q.select("q").scalar().alias("_q"))
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     return s.select(*keys, "count", q1.alias("q1"), F.col("_q")[1].alias("median"), q3.alias("q3"),
                     (q3 - q1).alias("iqr"), (q1 - 1.5 * (q3 - q1)).alias("lower_fence"),

@@ -24,6 +24,14 @@ def _pm(spark, sf):
     return testdata_warehouse(spark, sf).product_metrics()
 
 
+def _tx(spark, sf):
+    return testdata_warehouse(spark, sf).transaction_metrics()
+
+
+def _ci(spark, sf):
+    return testdata_warehouse(spark, sf).customer_item()
+
+
 # ---------------------------------------------------------------- fact tables
 
 @register("customer_metrics", with_ctes(LINES, CUSTOMER_METRICS, select="""
@@ -31,7 +39,7 @@ SELECT customer_id, frequency, last_purchase_date, total_quantity, unique_produc
        preferred_store, recency, round(avg_basket_size, 6) AS avg_basket_size,
        round(category_diversity_score, 6) AS category_diversity_score FROM cm"""))
 def q_customer_metrics(spark, sf):
-    return comparable(facts.customer_metrics(_fact(spark, sf)))
+    return comparable(facts.customer_metrics(_fact(spark, sf), tx=_tx(spark, sf), ci=_ci(spark, sf)))
 
 
 @register("transaction_metrics", with_ctes(LINES, select="""
@@ -47,7 +55,7 @@ def q_transaction_metrics(spark, sf):
 SELECT product_id, product_frequency, unique_customers, total_quantity, round(avg_quantity, 6) AS avg_quantity,
        category_id, category_name FROM pm"""))
 def q_product_metrics(spark, sf):
-    return comparable(facts.product_metrics(_fact(spark, sf)))
+    return comparable(facts.product_metrics(_fact(spark, sf), ci=_ci(spark, sf)))
 
 
 @register("temporal_features", with_ctes(LINES, select="""
@@ -101,7 +109,7 @@ FROM fact"""
 
 @register("kpis", with_ctes(LINES, PER_TX, select=_KPI_SELECT))
 def q_kpis(spark, sf):
-    return comparable(kpis.kpis(_fact(spark, sf)))
+    return comparable(kpis.kpis_stored(_tx(spark, sf), _fact(spark, sf), _cm(spark, sf), _pm(spark, sf)))
 
 
 FILTER = dict(date_range=("1996-01-01", "1998-06-30"), store=2, category="Brand#13")
@@ -144,7 +152,7 @@ def q_category_performance(spark, sf):
     select="""SELECT *, round(total_units / transactions, 6) AS avg_basket_size,
                      round(transactions / customers, 6) AS avg_transactions_per_customer FROM g"""))
 def q_store_performance(spark, sf):
-    return comparable(kpis.store_performance(_fact(spark, sf)))
+    return comparable(kpis.store_performance(_fact(spark, sf), tx=_tx(spark, sf)))
 
 
 @register("product_statistics", with_ctes(LINES, select="""
@@ -195,9 +203,8 @@ SELECT product_id, product_frequency, unique_customers, total_quantity, round(av
        round(product_frequency / unique_customers, 6) AS avg_frequency
 FROM pm"""))
 def q_product_penetration(spark, sf):
-    f = _fact(spark, sf)
-    total = f.select(F.count_distinct("customer_id")).scalar()
-    return comparable(kpis.product_penetration(facts.product_metrics(f), total))
+    total = _cm(spark, sf).select(F.count("customer_id")).scalar()
+    return comparable(kpis.product_penetration(_pm(spark, sf), total))
 
 
 @register("basket_analysis", with_ctes(LINES, PER_TX, select="""
@@ -208,20 +215,20 @@ SELECT round(avg(unique_products), 6) AS avg_products_per_basket,
        round(avg(unique_categories), 6) AS avg_categories_per_basket
 FROM per_tx"""))
 def q_basket_analysis(spark, sf):
-    return comparable(kpis.basket_analysis(_fact(spark, sf)))
+    return comparable(kpis.basket_analysis(_tx(spark, sf)))
 
 
 @register("basket_size_distribution", with_ctes(LINES, PER_TX, select="""
 SELECT unique_products, count(*) AS transactions FROM per_tx GROUP BY unique_products"""))
 def q_basket_size_distribution(spark, sf):
-    return kpis.basket_size_distribution(_fact(spark, sf))
+    return kpis.basket_size_distribution(_tx(spark, sf))
 
 
 @register("daily_stats", with_ctes(LINES, select="""
 SELECT date, count(DISTINCT transaction_id) AS transactions, CAST(sum(quantity) AS BIGINT) AS total_units
 FROM fact GROUP BY date"""))
 def q_daily_stats(spark, sf):
-    return kpis.daily_stats(_fact(spark, sf))
+    return kpis.daily_stats(_tx(spark, sf))
 
 
 DESCRIBE_COLUMNS = ["frequency", "total_quantity", "unique_products", "unique_categories", "recency",
@@ -284,7 +291,7 @@ SELECT s.period, CAST(coalesce(p.value, 0) AS BIGINT) AS value FROM spine s LEFT
 def _make_series(freq, metric):
     @register(f"time_series_{freq}_{metric}", _series_sql(freq, metric))
     def q(spark, sf):
-        return temporal.time_series(_fact(spark, sf), metric, freq)
+        return temporal.time_series(_tx(spark, sf), metric, freq)
     return q
 
 
@@ -319,7 +326,7 @@ FROM filled s LEFT JOIN filled p ON p.period = CAST({_PREV[freq]} AS DATE)""")
 def _make_growth(freq):
     @register(f"growth_{freq}", _growth_sql(freq))
     def q(spark, sf):
-        return comparable(temporal.growth(_fact(spark, sf), freq))
+        return comparable(temporal.growth(_tx(spark, sf), freq))
     return q
 
 
@@ -332,24 +339,24 @@ _PATTERN = """SELECT {key}, CAST(sum(quantity) AS BIGINT) AS total_units,
 
 @register("patterns_by_dow", with_ctes(LINES, select=_PATTERN.format(key="day_of_week")))
 def q_patterns_by_dow(spark, sf):
-    return temporal.patterns_by_day_of_week(_fact(spark, sf))
+    return temporal.patterns_by_day_of_week(_tx(spark, sf))
 
 
 @register("patterns_by_month", with_ctes(LINES, "p AS (" + _PATTERN.format(key="month") + ")", select="""
 SELECT month, (['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic'])[month] AS month_name,
        total_units, transactions FROM p"""))
 def q_patterns_by_month(spark, sf):
-    return temporal.patterns_by_month(_fact(spark, sf))
+    return temporal.patterns_by_month(_tx(spark, sf))
 
 
 @register("patterns_by_dayname", with_ctes(LINES, select=_PATTERN.format(key="day_name")))
 def q_patterns_by_dayname(spark, sf):
-    return temporal.patterns_by_day_name(_fact(spark, sf))
+    return temporal.patterns_by_day_name(_tx(spark, sf))
 
 
 @register("patterns_weekend", with_ctes(LINES, select=_PATTERN.format(key="is_weekend")))
 def q_patterns_weekend(spark, sf):
-    return temporal.patterns_weekend(_fact(spark, sf))
+    return temporal.patterns_weekend(_tx(spark, sf))
 
 
 @register("weekday_counts", with_ctes(LINES, select="""

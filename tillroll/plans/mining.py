@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillroll.operators import cf, facts, rules
+from tillroll.operators import cf, rules
 from tillroll.plans.oracle_sql import CUSTOMER_METRICS, LINES, with_ctes
 from tillroll.plans.registry import comparable, register
 from tillroll.plans.warehouse import testdata_warehouse
@@ -17,13 +17,9 @@ def _fact(spark, sf):
     return testdata_warehouse(spark, sf).fact()
 
 
-def _cm(spark, sf):
-    return testdata_warehouse(spark, sf).customer_metrics()
-
-
-def _targets(fact, cm=None):
+def _targets(spark, sf):
     """The N_TARGETS customers with most transactions (ties by id)."""
-    cm = facts.customer_metrics(fact) if cm is None else cm
+    cm = testdata_warehouse(spark, sf).customer_metrics()
     return (cm.orderBy(F.desc("frequency"), "customer_id")
             .limit(N_TARGETS).select(F.col("customer_id").alias("target_id")))
 
@@ -50,17 +46,16 @@ def q_customer_item(spark, sf):
 @register("customer_similarity", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
 SELECT target_id, customer_id, round(similarity, 6) AS similarity FROM sim"""))
 def q_customer_similarity(spark, sf):
-    f = _fact(spark, sf)
-    ci = testdata_warehouse(spark, sf).customer_item()
-    return comparable(cf.customer_similarity(ci, _targets(f, _cm(spark, sf))))
+    wh = testdata_warehouse(spark, sf)
+    return comparable(cf.customer_similarity(wh.customer_item(), _targets(spark, sf), wh.customer_norms()))
 
 
 @register("similar_customers", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
 SELECT target_id, customer_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM nb"""))
 def q_similar_customers(spark, sf):
-    f = _fact(spark, sf)
-    ci = testdata_warehouse(spark, sf).customer_item()
-    return comparable(cf.similar_customers(cf.customer_similarity(ci, _targets(f, _cm(spark, sf)))))
+    wh = testdata_warehouse(spark, sf)
+    return comparable(cf.similar_customers(
+        cf.customer_similarity(wh.customer_item(), _targets(spark, sf), wh.customer_norms())))
 
 
 @register("customer_recommendations", with_ctes(LINES, CUSTOMER_METRICS, _CF, f"""
@@ -77,9 +72,10 @@ SELECT t.target_id AS customer_id, CAST(t.rank AS INTEGER) AS rank, t.product_id
        i.category_name, 'Producto ' || t.product_id AS product_name, b.similar_customers_count
 FROM top t LEFT JOIN info i ON i.product_id = t.product_id LEFT JOIN buyers b ON b.product_id = t.product_id"""))
 def q_customer_recommendations(spark, sf):
-    f = _fact(spark, sf)
-    ci = testdata_warehouse(spark, sf).customer_item()
-    return comparable(cf.customer_recommendations(f, _targets(f, _cm(spark, sf)), ci=ci))
+    wh = testdata_warehouse(spark, sf)
+    return comparable(cf.customer_recommendations(
+        wh.fact(), _targets(spark, sf), ci=wh.customer_item(), products=wh.product_metrics(),
+        norms=wh.customer_norms()))
 
 
 # ---------------------------------------------------------------- association rules

@@ -9,17 +9,23 @@ from tillroll.operators import baskets, cf, facts, kpis, rules, segments, tempor
 
 
 def dashboard(fact: DataFrame, product_metrics: DataFrame, customer_metrics: DataFrame,
-              date_range=None, store=baskets.ALL, category=baskets.ALL, freq: str = "D") -> dict[str, DataFrame]:
+              date_range=None, store=baskets.ALL, category=baskets.ALL, freq: str = "D",
+              transaction_metrics: DataFrame | None = None) -> dict[str, DataFrame]:
     """Filters apply to the transaction views; top products / customers use the
-    unfiltered metric tables, as in the reference."""
+    unfiltered metric tables, as in the reference. The series reads the stored
+    ``transaction_metrics`` unless a category filter cuts baskets apart."""
     f = baskets.apply_filters(fact, date_range, store, category)
+    if transaction_metrics is not None and category in (None, baskets.ALL):
+        tx = baskets.apply_filters(transaction_metrics, date_range, store)
+    else:
+        tx = facts.transaction_metrics(f)
     return {
         "kpis": kpis.kpis(f),
         "top_products": topk.top_products(product_metrics, 10),
         "top_customers": topk.top_customers(customer_metrics, 10),
         "categories": topk.top_categories(kpis.category_performance(f), 10),
         "weekday_counts": temporal.weekday_counts(f),
-        "series_units": temporal.time_series(f, "units", freq),
+        "series_units": temporal.time_series(tx, "units", freq),
     }
 
 

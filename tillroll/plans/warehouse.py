@@ -1,4 +1,4 @@
-"""Processed tables: the enriched fact plus the three metric tables.
+"""Processed tables: the enriched fact, three metric tables, interactions and norms.
 
 The rebuild writes them once as Parquet under the cluster's shared folder
 (``spark.checkpoint.dir``); every later query reads them back, so lineage is
@@ -17,7 +17,7 @@ from tillroll.schemas import FACT_COLUMNS
 from tillroll.session import scratch_path
 
 TABLES = ("transactions_expanded", "transaction_metrics", "customer_metrics", "product_metrics",
-          "customer_item")
+          "customer_item", "customer_norms")
 
 
 class Warehouse:
@@ -45,6 +45,10 @@ class Warehouse:
         """Sparse customer x product units (long form), input of the CF jobs."""
         return self.spark.read.parquet(self.path("customer_item"))
 
+    def customer_norms(self) -> DataFrame:
+        """Length of each customer's vector of units, for cosine similarities."""
+        return self.spark.read.parquet(self.path("customer_norms"))
+
 
 def write_processed(spark: SparkSession, fact: DataFrame, root: str,
                     with_metrics: bool = True) -> Warehouse:
@@ -62,9 +66,11 @@ def write_processed(spark: SparkSession, fact: DataFrame, root: str,
     if with_metrics:
         f = wh.fact()
         facts.transaction_metrics(f).write.mode("overwrite").parquet(wh.path("transaction_metrics"))
-        facts.customer_metrics(f).write.mode("overwrite").parquet(wh.path("customer_metrics"))
-        facts.product_metrics(f).write.mode("overwrite").parquet(wh.path("product_metrics"))
         cf.customer_item(f).write.mode("overwrite").parquet(wh.path("customer_item"))
+        tx, ci = wh.transaction_metrics(), wh.customer_item()
+        cf.customer_norms(ci).write.mode("overwrite").parquet(wh.path("customer_norms"))
+        facts.customer_metrics(f, tx=tx, ci=ci).write.mode("overwrite").parquet(wh.path("customer_metrics"))
+        facts.product_metrics(f, ci=ci).write.mode("overwrite").parquet(wh.path("product_metrics"))
     return wh
 
 
