@@ -190,7 +190,7 @@ def test_sample_exact_and_stable(spark):
 
 def test_sample_equals_global_hash_order(spark):
     df = spark.range(5000).select(F.col("id").alias("transaction_id"), F.array(F.lit("x")).alias("items"))
-    h = F.xxhash64(F.col("transaction_id"), F.lit(42))
+    h = F.md5(F.concat_ws(":", F.col("transaction_id").cast("string"), F.lit("42")))
     want = [r[0] for r in df.orderBy(h, "transaction_id").limit(300).collect()]
     got = [r[0] for r in rules.sample_baskets(df.repartition(5), 300, seed=42).collect()]
     assert sorted(got) == sorted(want)
@@ -278,3 +278,67 @@ def test_quality_of_coincident_centroids(spark):
     q = segments.cluster_quality(df, 2).first()
     assert q["davies_bouldin"] == float("inf") and q["k"] == 2
     assert segments.cluster_quality(df.filter("cluster = 0"), 2).first()["calinski_harabasz"] is None
+
+
+def test_transaction_ids_do_not_depend_on_read_splits(spark, tmp_path):
+    from tillroll.plans.rebuild import raw_batch
+    lines = [f"2013-01-{i % 28 + 1:02d}|102|{i % 50}|{i} {i + 1}" + ("\n" if i % 9 == 0 else "") for i in range(2000)]
+    (tmp_path / "102_Tran.csv").write_text("\n".join(lines) + "\n")
+    setting, got = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(setting)
+    for size in ("128MB", "6KB"):
+        spark.conf.set(setting, size)
+        rows, _ = files.load_transactions(spark, str(tmp_path))
+        got.append(_rows(raw_batch(rows), "transaction_id", "customer_id", "products"))
+    spark.conf.set(setting, before)
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == 2000
+
+
+def test_appended_version_equals_a_full_rebuild(spark, tmp_path):
+    from tillroll.plans.rebuild import append_batch
+    from tillroll.plans.warehouse import Warehouse, write_processed
+    schema = "transaction_id string, date date, store_id int, customer_id long, products string"
+    old = [("a", dt.date(2013, 1, 1), 102, 1, "1 1 2"), ("b", dt.date(2013, 1, 2), 103, 2, "2 3"), ("n", dt.date(2013, 1, 2), 103, None, "9")]
+    new = [("c", dt.date(2013, 2, 1), 103, 1, "3 9"), ("d", dt.date(2013, 2, 1), 103, 4, "1")]
+    pc = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (3, 12)], "product_id long, category_id int")
+    cats = spark.createDataFrame([(10, "A"), (11, "B")], "category_id int, category_name string")
+    fact = lambda rows: catalog.batch_fact(spark.createDataFrame(rows, schema), pc, cats)
+    first = write_processed(spark, fact(old), str(tmp_path / "v1"))
+    second = append_batch(spark, first, spark.createDataFrame(new, schema), pc, cats, str(tmp_path / "v2"), batch_id="feb")
+    assert append_batch(spark, second, spark.createDataFrame(new, schema), pc, cats, str(tmp_path / "v3"), batch_id="feb") is second
+    whole = write_processed(spark, fact(old + new), str(tmp_path / "all"))
+    reread = Warehouse.open(spark, str(tmp_path / "v2"))
+    for name in ("fact", "transaction_metrics", "customer_metrics", "product_metrics", "customer_item", "customer_norms"):
+        want, got = getattr(whole, name)(), getattr(reread, name)()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())), name
+    f = whole.fact()
+    for name, direct in (("customer_metrics", facts.customer_metrics(f)), ("product_metrics", facts.product_metrics(f))):
+        assert sorted(map(str, getattr(whole, name)().collect())) == sorted(map(str, direct.collect())), name
+
+
+def test_quantiles_match_percentile(spark):
+    from tillroll.operators.quantiles import quantiles
+    df = spark.range(500).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3).alias("g"),
+                                 F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 101) / 7).alias("v"))
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    want = {r[0]: r[1] for r in df.groupBy("g").agg(F.percentile("v", probs)).collect()}
+    got = {r[0]: r[1] for r in quantiles(df, "v", probs, "g").collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+    assert quantiles(df.filter("false"), "v", probs).count() == 0
+    assert stats.box_stats(df.filter("false"), "v").first()["median"] is None
+
+
+def test_rules_grow_only_confident_consequents(spark):
+    rows = [(1, ["a", "b", "c"])] * 6 + [(2, ["a", "b"])] * 2 + [(3, ["d"])] * 2
+    b = spark.createDataFrame(rows, "transaction_id int, items array<string>")
+    got = {(tuple(r["antecedents"]), tuple(r["consequents"])): r["confidence"]
+           for r in rules.association_rules(rules.frequent_itemsets(b, 0.1), 0.7, None).collect()}
+    every = {(("a",), ("b",)): 1.0, (("b",), ("a",)): 1.0, (("a",), ("c",)): 0.75, (("b",), ("c",)): 0.75, (("c",), ("a",)): 1.0,
+             (("c",), ("b",)): 1.0, (("a", "b"), ("c",)): 0.75, (("a", "c"), ("b",)): 1.0, (("b", "c"), ("a",)): 1.0,
+             (("a",), ("b", "c")): 0.75, (("b",), ("a", "c")): 0.75, (("c",), ("a", "b")): 1.0}
+    assert set(got) == set(every)
+    for k, v in every.items():
+        assert got[k] == pytest.approx(v)
+    assert rules.association_rules(rules.frequent_itemsets(b.limit(0), 0.1), 0.7, None).count() == 0

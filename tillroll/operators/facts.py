@@ -10,7 +10,7 @@ from tillroll.functions.numeric import distinct_count, safe_div
 def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Both sides' columns by ``key``, of which null is a value like any other."""
     right = right.withColumnRenamed(key, "_key")
-    return left.join(right, left[key].eqNullSafe(right["_key"])).drop("_key")
+    return left.join(right, left[key].eqNullSafe(right["_key"]), "left").drop("_key")
 
 
 def transaction_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
@@ -26,31 +26,26 @@ def transaction_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def customer_metrics(fact: DataFrame, exact: bool = True, tx: DataFrame | None = None,
-                     ci: DataFrame | None = None) -> DataFrame:
+def customer_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
     """RFM-style customer table.
 
     preferred_store is the most frequent store over the customer's product rows,
     ties to the lowest id; recency counts days back from the latest date in the
-    data (a scalar subquery, no join). With the stored transaction metrics and
-    interaction table as ``tx`` and ``ci``, transactions and products are counted
-    there without a distinct, and the fact is aggregated for categories and the
-    store alone; all three aggregates are keyed by customer.
+    data (a scalar subquery, no join).
     """
-    if tx is not None and ci is not None:
-        reference_date = tx.select(F.max("date")).scalar()
-        totals = tx.groupBy("customer_id").agg(
-            F.count(F.lit(1)).alias("frequency"), F.max("date").alias("last_purchase_date"),
-            F.sum("total_quantity").alias("total_quantity"))
-        products = ci.groupBy("customer_id").agg(F.count("product_id").alias("unique_products"))
-        shops = fact.groupBy("customer_id").agg(
-            distinct_count("category_id", exact).alias("unique_categories"),
-            F.mode("store_id", deterministic=True).alias("preferred_store"))
-        agg = _joined(_joined(totals, products, "customer_id"), shops, "customer_id")
-    else:
-        reference_date = fact.select(F.max("date")).scalar()
-        agg = _customer_totals(fact, exact)
-    return agg.select(
+    return _customer_ratios(fact.groupBy("customer_id").agg(
+        distinct_count("transaction_id", exact).alias("frequency"),
+        F.max("date").alias("last_purchase_date"),
+        F.sum("quantity").alias("total_quantity"),
+        distinct_count("product_id", exact).alias("unique_products"),
+        distinct_count("category_id", exact).alias("unique_categories"),
+        F.mode("store_id", deterministic=True).alias("preferred_store"),
+    ), fact)
+
+
+def _customer_ratios(totals: DataFrame, dated: DataFrame) -> DataFrame:
+    reference_date = dated.select(F.max("date")).scalar()
+    return totals.select(
         "customer_id", "frequency", "last_purchase_date", "total_quantity",
         "unique_products", "unique_categories", "preferred_store",
         F.datediff(reference_date, F.col("last_purchase_date")).alias("recency"),
@@ -59,37 +54,54 @@ def customer_metrics(fact: DataFrame, exact: bool = True, tx: DataFrame | None =
     )
 
 
-def _customer_totals(fact: DataFrame, exact: bool) -> DataFrame:
-    return fact.groupBy("customer_id").agg(
-        distinct_count("transaction_id", exact).alias("frequency"),
-        F.max("date").alias("last_purchase_date"),
-        F.sum("quantity").alias("total_quantity"),
-        distinct_count("product_id", exact).alias("unique_products"),
-        distinct_count("category_id", exact).alias("unique_categories"),
-        F.mode("store_id", deterministic=True).alias("preferred_store"),
-    )
+def customer_visits(fact: DataFrame) -> DataFrame:
+    """Rows per customer, store and category: what ``customer_metrics_stored``
+    needs of the fact. Rows of appended batches add up."""
+    return fact.groupBy("customer_id", "store_id", "category_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def product_metrics(fact: DataFrame, exact: bool = True, ci: DataFrame | None = None) -> DataFrame:
-    """Per product: transactions, customers, units, mean units and its category.
+def customer_metrics_stored(tx: DataFrame, ci: DataFrame, visits: DataFrame) -> DataFrame:
+    """``customer_metrics`` from the transaction metrics, the interaction table and
+    the customer visits: no distinct count over fact rows."""
+    totals = tx.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("frequency"), F.max("date").alias("last_purchase_date"),
+        F.sum("total_quantity").alias("total_quantity"))
+    products = ci.groupBy("customer_id").agg(F.count("product_id").alias("unique_products"))
+    categories = visits.groupBy("customer_id").agg(F.count_distinct("category_id").alias("unique_categories"))
+    lines = F.col("lines")
+    stores = (visits.filter(F.col("store_id").isNotNull())
+                    .groupBy("customer_id", "store_id").agg(F.sum("lines").alias("lines"))
+                    .groupBy("customer_id").agg(F.min_by("store_id", F.struct(-lines, F.col("store_id")))
+                                                .alias("preferred_store")))
+    agg = _joined(_joined(_joined(totals, products, "customer_id"), categories, "customer_id"), stores, "customer_id")
+    return _customer_ratios(agg, tx)
 
-    The category is the smallest non-null (id, name) pair - a deterministic
-    choice where the reference keeps the first row in file order. With the
-    interaction table as ``ci`` the customers are counted there, so the fact needs
-    one distinct count only.
-    """
-    cat = F.min(F.when(F.col("category_id").isNotNull(),
-                       F.struct("category_id", "category_name")))
-    buyers = [] if ci is not None else [distinct_count("customer_id", exact).alias("unique_customers")]
-    agg = fact.groupBy("product_id").agg(
+
+def product_totals(fact: DataFrame, exact: bool = True) -> DataFrame:
+    """Per product: transactions, rows, units and the smallest non-null (id, name)
+    category pair - a deterministic choice where the reference keeps the first
+    row in file order. Totals of batches with their own transactions add up."""
+    return fact.groupBy("product_id").agg(
         distinct_count("transaction_id", exact).alias("product_frequency"),
-        *buyers,
+        F.count("quantity").alias("lines"),
         F.sum("quantity").alias("total_quantity"),
-        F.avg("quantity").alias("avg_quantity"),
-        cat.alias("_cat"),
-    )
-    if ci is not None:
-        agg = _joined(agg, ci.groupBy("product_id").agg(F.count("customer_id").alias("unique_customers")), "product_id")
-    return agg.select("product_id", "product_frequency", "unique_customers", "total_quantity",
-             "avg_quantity", F.col("_cat.category_id").alias("category_id"),
-             F.col("_cat.category_name").alias("category_name"))
+        F.min(F.when(F.col("category_id").isNotNull(), F.struct("category_id", "category_name"))).alias("category"))
+
+
+def product_metrics_stored(totals: DataFrame, ci: DataFrame) -> DataFrame:
+    """``product_metrics`` from the product totals, customers counted in the
+    interaction table."""
+    return _product_columns(totals, ci.groupBy("product_id").agg(F.count("customer_id").alias("unique_customers")))
+
+
+def product_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
+    """Per product: transactions, customers, units, mean units and its category."""
+    return _product_columns(product_totals(fact, exact), fact.groupBy("product_id").agg(
+        distinct_count("customer_id", exact).alias("unique_customers")))
+
+
+def _product_columns(totals: DataFrame, buyers: DataFrame) -> DataFrame:
+    return _joined(totals, buyers, "product_id").select(
+        "product_id", "product_frequency", "unique_customers", "total_quantity",
+        safe_div("total_quantity", "lines").alias("avg_quantity"),
+        F.col("category.category_id").alias("category_id"), F.col("category.category_name").alias("category_name"))

@@ -174,18 +174,20 @@ def active_customers(customer_metrics: DataFrame, min_transactions: int = 5) ->
 
 
 def product_statistics(fact: DataFrame, product_ids: DataFrame | None = None) -> DataFrame:
-    """Per product (all, or those in ``product_ids``): name, category, units,
-    distinct customers and transactions, mean units per row."""
+    """Per product (all, or those in ``product_ids``): name (the data's own where
+    it has one), category, units, distinct customers and transactions, mean units
+    per row."""
     from tillroll.functions.text import category_or_default, product_name
     f = fact if product_ids is None else fact.join(product_ids.select("product_id"), "product_id", "left_semi")
     cat = F.min(F.when(F.col("category_id").isNotNull(), F.struct("category_id", "category_name")))
     return f.groupBy("product_id").agg(
         cat.alias("_cat"),
+        (F.min("product_name") if "product_name" in fact.columns else F.lit(None).cast("string")).alias("_name"),
         F.sum("quantity").alias("total_quantity"),
         F.count_distinct("customer_id").alias("unique_customers"),
         F.count_distinct("transaction_id").alias("unique_transactions"),
         F.avg("quantity").alias("avg_quantity_per_transaction"),
-    ).select("product_id", product_name("product_id").alias("product_name"),
+    ).select("product_id", F.coalesce("_name", product_name("product_id")).alias("product_name"),
              category_or_default(F.col("_cat.category_name")).alias("category_name"),
              "total_quantity", "unique_customers", "unique_transactions",
              "avg_quantity_per_transaction")

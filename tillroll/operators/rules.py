@@ -3,11 +3,14 @@ rule-based product recommendations."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.numeric import round_half_even
 from tillroll.functions.text import NO_CATEGORY, product_name
+from tillroll.session import written
 
 MIN_SUPPORT = 0.02
 MIN_CONFIDENCE = 0.4
@@ -27,25 +30,34 @@ def baskets(lines: DataFrame, item: str = "product_id", tid: str = "transaction_
                  .groupBy("transaction_id").agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
-def sample_baskets(b: DataFrame, max_transactions: int | None, seed: int = 42,
-                   accuracy: int = 10000) -> DataFrame:
-    """Exactly ``max_transactions`` baskets: those with the smallest seeded hash
-    of the id (stable across partitionings); None keeps every basket.
+def sample_baskets(b: DataFrame, max_transactions: int | None, seed: int = 42) -> DataFrame:
+    """Exactly ``max_transactions`` baskets: those with the smallest hashes of id
+    and seed, ties by id (stable across partitionings); None keeps every basket.
 
-    A hash threshold from an approximate quantile, raised by its rank error
-    (N / accuracy), keeps at least n and about n + N/accuracy candidates, so
-    the final exact top-n merges ~n rows rather than n rows per partition.
+    Baskets under a hash bound that should hold a fifth more than n (doubled
+    until it holds n) are written once, in ranges of the hash. A range's running
+    total tells how many baskets come before it, so no task ranks them all.
     """
     if max_transactions is None:
         return b
     n = int(max_transactions)
-    h = F.xxhash64(F.col("transaction_id"), F.lit(seed))
     total = b.count()
     if total <= n:
         return b
-    q = min(1.0, (n + total / accuracy + 1) / total)
-    threshold = b.select(F.percentile_approx(h, q, accuracy)).first()[0]
-    return b.filter(h <= threshold).orderBy(h, "transaction_id").limit(n)
+    hashed = b.withColumn("_h", F.md5(F.concat_ws(":", F.col("transaction_id").cast("string"), F.lit(str(seed)))))
+    share = 1.2 * n / total
+    while True:
+        few = hashed if share >= 1 else hashed.filter(F.col("_h") < format(int(share * 2**32), "08x"))
+        few = written(few.repartitionByRange("_h", "transaction_id").withColumn("_range", F.spark_partition_id()),
+                      "basket-sample")
+        if share >= 1 or few.count() >= n:
+            break
+        share *= 2
+    sizes = few.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # one row per range
+    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_size")
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_h", "transaction_id"))
+    return (few.join(sizes.select("_range", before.alias("_before")), "_range")
+               .withColumn("_rank", F.col("_before") + rank).filter(F.col("_rank") <= n).select(*b.columns))
 
 
 def frequent_itemsets(b: DataFrame, min_support: float = MIN_SUPPORT,
@@ -54,8 +66,10 @@ def frequent_itemsets(b: DataFrame, min_support: float = MIN_SUPPORT,
 
     Spark ML FPGrowth mines the itemsets in parallel (conditional trees are
     sharded by item over ``num_partitions``); only the frequent single items
-    pass through the driver.
+    pass through the driver. Mining passes over the baskets several times, so
+    they are written once.
     """
+    b = written(b.select("items"), "baskets")
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
@@ -69,23 +83,29 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
                       min_lift: float | None = MIN_LIFT) -> DataFrame:
     """Every rule A -> C with A, C non-empty and A u C a frequent itemset.
 
-    Each itemset of size s is split by the bitmasks 1 .. 2^s - 2 (so
-    consequents may hold several items; FPGrowth's own rules keep one), and the
-    antecedent / consequent supports are looked up by an equi-join on the
-    sorted item arrays. All subsets of a frequent itemset are frequent, so the
-    lookups always hit and the number of splits is bounded by the rules output.
+    Consequents grow item by item (FPGrowth's own rules keep one item). Moving an
+    item from A to C never raises the confidence, so only splits that reach
+    ``min_confidence`` are grown further, each by items behind its last one, and
+    the work follows the rules found. Supports are looked up by equi-joins on the
+    sorted item arrays; subsets of a frequent itemset are frequent, so these hit.
     """
-    sup = itemsets.select("items", "support")
-    multi = itemsets.filter(F.size("items") >= 2)
-    split = multi.select("items", "support",
-                         F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")).alias("mask"))
-    split = split.select(
-        F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 1)").alias("antecedents"),
-        F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 0)").alias("consequents"),
-        "support")
+    sup = written(itemsets.select("items", "support"), "itemsets")
     a = sup.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
     c = sup.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
-    r = split.join(a, "antecedents").join(c, "consequents")
+    longest = sup.agg(F.max(F.size("items"))).first()[0] or 0
+    grown = sup.select("items", "support", F.array().cast(sup.schema["items"].dataType).alias("consequents"),
+                       F.explode("items").alias("item"))
+    found = []
+    for size in range(1, max(longest, 2)):
+        tried = grown.filter(F.size("items") > size).select("items", "support", F.array_append("consequents", F.col("item")).alias("consequents"))
+        kept = tried.withColumn("antecedents", F.array_except("items", "consequents")).join(a, "antecedents")
+        kept = written(kept.filter(F.col("support") / F.col("antecedent_support") >= min_confidence), "rules")
+        found.append(kept)
+        if kept.isEmpty():
+            break
+        behind = F.slice("items", F.array_position("items", F.element_at("consequents", -1)).cast("int") + 1, F.size("items"))
+        grown = kept.select("items", "support", "consequents", F.explode(behind).alias("item"))
+    r = reduce(DataFrame.unionByName, found).join(c, "consequents")
     conf = F.col("support") / F.col("antecedent_support")
     r = r.select("antecedents", "consequents", "antecedent_support", "consequent_support", "support",
                  conf.alias("confidence"))
@@ -94,7 +114,6 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
                  F.when(F.col("confidence") < 1,
                         (1 - F.col("consequent_support")) / (1 - F.col("confidence")))
                   .otherwise(F.lit(float("inf"))).alias("conviction"))
-    r = r.filter(F.col("confidence") >= min_confidence)
     if min_lift is not None:
         r = r.filter(F.col("lift") >= min_lift)
     return r

@@ -39,7 +39,8 @@ SELECT customer_id, frequency, last_purchase_date, total_quantity, unique_produc
        preferred_store, recency, round(avg_basket_size, 6) AS avg_basket_size,
        round(category_diversity_score, 6) AS category_diversity_score FROM cm"""))
 def q_customer_metrics(spark, sf):
-    return comparable(facts.customer_metrics(_fact(spark, sf), tx=_tx(spark, sf), ci=_ci(spark, sf)))
+    return comparable(facts.customer_metrics_stored(_tx(spark, sf), _ci(spark, sf),
+                                                    testdata_warehouse(spark, sf).table("customer_visits")))
 
 
 @register("transaction_metrics", with_ctes(LINES, select="""
@@ -55,7 +56,7 @@ def q_transaction_metrics(spark, sf):
 SELECT product_id, product_frequency, unique_customers, total_quantity, round(avg_quantity, 6) AS avg_quantity,
        category_id, category_name FROM pm"""))
 def q_product_metrics(spark, sf):
-    return comparable(facts.product_metrics(_fact(spark, sf), ci=_ci(spark, sf)))
+    return comparable(facts.product_metrics(_fact(spark, sf)))
 
 
 @register("temporal_features", with_ctes(LINES, select="""

@@ -10,12 +10,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.operators import catalog, facts, quality
+from tillroll.operators import baskets, catalog, facts, kpis, quality
 from tillroll.plans import dashboard  # noqa: F401  (registers the customer_metrics oracle reused below)
-from tillroll.plans.oracle_sql import CUSTOMER_METRICS, LINES, with_ctes
-from tillroll.plans.rebuild import rebuild
+from tillroll.plans.oracle_sql import LINES, PRODUCT_METRICS, with_ctes
+from tillroll.plans.rebuild import append_batch, rebuild
 from tillroll.plans.registry import ORACLES, comparable, register
-from tillroll.plans.warehouse import testdata_warehouse
+from tillroll.plans.warehouse import TABLES, Warehouse, testdata_warehouse, write_processed
 from tillroll.session import scratch_path
 from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
 from tillroll.sources import files, sinks, testdata
@@ -117,15 +117,74 @@ def q_src_product_category(spark, sf):
     return files.load_product_category(spark, _raw(spark, sf)["product_category"]).drop("pos")
 
 
-@register("sniff_format")
+@register("sniff_format", with_ctes(_ORDERS, select=f"""
+SELECT CAST(store_id AS VARCHAR) || '_Tran.csv' AS source, '|' AS delimiter, false AS has_header, 4 AS n_columns,
+       CAST(NULL AS VARCHAR) AS missing_columns, true AS ok FROM (SELECT DISTINCT store_id FROM ob)
+UNION ALL SELECT * FROM (VALUES ('{testdata.FOREIGN_STORE_FILE}_Tran.csv', '|', false, 4, NULL, true),
+  ('categories.csv', '|', false, 2, NULL, true), ('categories_header.csv', ',', true, 2, NULL, true),
+  ('product_category.csv', '|', false, 2, NULL, true), ('1_Tran.csv mixed', ',', true, 4, NULL, true),
+  ('2_Tran.csv mixed', ',', true, 3, 'products', false), ('test_3_Tran.csv mixed', '|', false, 4, NULL, true),
+  ('4_Tran.csv mixed', '|', false, 4, NULL, true))"""))
 def q_sniff_format(spark, sf):
-    r = _raw(spark, sf)
-    kinds = [([f"{r['root']}/*_Tran.csv"], TRANSACTION_COLUMNS), ([r["categories"], r["categories_header"]], CATEGORY_COLUMNS),
+    """Layout of every raw file by the columns of its kind (one row per layout of a source)."""
+    r, mixed = _raw(spark, sf), testdata.mixed_files(spark, sf)
+    kinds = [([f"{r['root']}/*_Tran.csv", f"{mixed['root']}/*_Tran.csv"], TRANSACTION_COLUMNS),
+             ([r["categories"], r["categories_header"]], CATEGORY_COLUMNS),
              ([r["product_category"]], PRODUCT_CATEGORY_COLUMNS)]
     fmt = reduce(DataFrame.unionByName, [files.sniff_format(files._lines(spark, p), columns) for p, columns in kinds])
-    src = F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1)
-    return fmt.groupBy(src.alias("source"), "delimiter", "has_header", "n_columns", "ok").agg(
-        F.count(F.lit(1)).alias("files"))
+    src = F.concat(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1),
+                   F.when(F.contains("file_path", F.lit("/raw-mixed-")), " mixed").otherwise(""))
+    missing = F.when(F.size("missing_columns") > 0, F.array_join("missing_columns", "|"))
+    return fmt.select(src.alias("source"), "delimiter", "has_header", "n_columns", missing.alias("missing_columns"), "ok").distinct()
+
+
+# orders of the mixed files' store 1 that have a bad date, a bad customer id
+_MIXED = """
+mx AS (SELECT o.o_orderkey, CAST(o.o_orderdate AS DATE) AS date, CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS store_id,
+              o.o_custkey AS customer_id, o_orderkey % 7 = 3 AND substr(o.o_orderpriority, 1, 1) = '1' AS bad_date,
+              o_orderkey % 11 = 5 AND substr(o.o_orderpriority, 1, 1) = '1' AS bad_customer FROM orders o)"""
+
+
+@register("gate_report", with_ctes(_MIXED, select="""
+SELECT source, rows, foreign_rows, bad_dates, bad_customer_ids, layout_ok, missing_columns, reason, accepted FROM (
+  SELECT '1_Tran.csv' AS source, count(*) AS rows, 0::BIGINT AS foreign_rows, count(*) FILTER (WHERE bad_date) AS bad_dates,
+         count(*) FILTER (WHERE bad_customer) AS bad_customer_ids, true AS layout_ok, '' AS missing_columns,
+         CAST(NULL AS VARCHAR) AS reason, true AS accepted FROM mx WHERE store_id = 1
+  UNION ALL SELECT '2_Tran.csv', 0, 0, 0, 0, false, 'products', 'columns missing or surplus', false
+  UNION ALL SELECT 'test_3_Tran.csv', count(*), count(*), 0, 0, true, '', 'file name has no store number of its own', false
+            FROM mx WHERE store_id = 3
+  UNION ALL SELECT '4_Tran.csv', count(*), 0, 0, 0, true, '', NULL, true FROM mx WHERE store_id = 4)"""))
+def q_gate_report(spark, sf):
+    """Every file of the mixed folder with its counts and the reason of a rejection."""
+    _, report = files.load_transactions(spark, testdata.mixed_files(spark, sf)["root"])
+    return comparable(report.select(F.regexp_extract("source", r"([^/]+)$", 1).alias("source"), "rows", "foreign_rows",
+                                    "bad_dates", "bad_customer_ids", "layout_ok", "missing_columns", "reason", "accepted"))
+
+
+@register("rejected_rows", with_ctes(_MIXED, select="""
+SELECT CASE WHEN bad_date THEN 'never' ELSE strftime(date, '%Y-%m-%d') END AS date, '1' AS store_id,
+       CASE WHEN bad_customer THEN 'x' ELSE CAST(customer_id AS VARCHAR) END AS customer_id,
+       CASE WHEN bad_date THEN 'bad date' ELSE 'bad customer id' END AS reason FROM mx WHERE bad_date OR bad_customer"""))
+def q_rejected_rows(spark, sf):
+    rows, _ = files.load_transactions(spark, testdata.mixed_files(spark, sf)["root"])
+    return files.rejected_rows(rows).select("date", "store_id", "customer_id", "reason")
+
+
+@register("src_categories_quoted", with_ctes(_BRANDS, select="""
+SELECT category_id, 'Brand, ' || category_id AS category_name FROM brands"""))
+def q_src_categories_quoted(spark, sf):
+    return files.load_categories(spark, testdata.mixed_files(spark, sf)["categories"]).drop("pos")
+
+
+@register("rebuild_mixed", with_ctes(LINES, _MIXED, select="""
+SELECT f.date, f.store_id, f.customer_id, f.product_id, f.quantity, f.category_id, 'Brand, ' || f.category_id AS category_name
+FROM fact f JOIN mx ON mx.o_orderkey = f.transaction_id
+WHERE f.store_id IN (1, 4) AND NOT mx.bad_date AND NOT mx.bad_customer"""))
+def q_rebuild_mixed(spark, sf):
+    """Fact rows of a rebuild of the mixed folder: quoted baskets whole, rejected files and rows left out."""
+    r = testdata.mixed_files(spark, sf)
+    wh, _ = rebuild(spark, r["root"], r["categories"], r["product_category"], scratch_path(spark, "rebuild-mixed"))
+    return wh.fact().select("date", "store_id", "customer_id", "product_id", "quantity", "category_id", "category_name")
 
 
 # ---------------------------------------------------------------- validation
@@ -318,11 +377,12 @@ def q_export_csv(spark, sf):
     return comparable(sinks.read_csv_export(spark, path, cm.schema))
 
 
-@register("storage_report")
+@register("storage_report", "SELECT unnest([" + ", ".join(f"'{t}'" for t in TABLES) + """]) AS "table",
+       true AS has_files, true AS has_size""")
 def q_storage_report(spark, sf):
     wh = testdata_warehouse(spark, sf)
-    from tillroll.plans.warehouse import TABLES
-    return sinks.storage_report(spark, wh.root, TABLES)
+    return sinks.storage_report(spark, wh.root, TABLES).select(
+        "table", (F.col("files") > 0).alias("has_files"), (F.col("size_mb") > 0).alias("has_size"))
 
 
 @register("rebuild_all", ORACLES["customer_metrics"])
@@ -343,11 +403,16 @@ def q_stream_ingest(spark, sf):
 
 
 
-@register("preview")
+@register("preview", with_ctes(_MIXED, select="""
+SELECT CASE WHEN bad_date THEN 'never' ELSE strftime(date, '%Y-%m-%d') END AS date, '1' AS store_id,
+       CASE WHEN bad_customer THEN 'x' ELSE CAST(customer_id AS VARCHAR) END AS customer_id,
+       coalesce((SELECT rtrim(string_agg(repeat(CAST(l_partkey AS VARCHAR) || ' ', CAST(l_quantity AS INTEGER)), ''
+                 ORDER BY l_linenumber, l_partkey, l_quantity)) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS products
+FROM (SELECT * FROM mx WHERE store_id = 1 ORDER BY o_orderkey LIMIT 10)"""))
 def q_preview(spark, sf):
-    """First 10 rows of an upload in read order (the preview table)."""
-    rows, _ = _loaded(spark, sf)
-    return rows.orderBy("pos").limit(10).select("date", "store_id", "customer_id", "products")
+    """First 10 rows of one upload in file order (the preview table)."""
+    rows, _ = files.load_transactions(spark, testdata.mixed_files(spark, sf)["root"])
+    return files.preview(rows, "1_Tran.csv").select("date", "store_id", "customer_id", F.coalesce("products", F.lit("")).alias("products"))
 
 
 @register("append_recompute_metrics", ORACLES["customer_metrics"])
@@ -357,13 +422,73 @@ def q_append_recompute_metrics(spark, sf):
     return comparable(catalog.recompute_metrics(out)["customer_metrics"])
 
 
+def _appended(spark, sf):
+    old = write_processed(spark, _old_fact(spark, sf), scratch_path(spark, "wh_old"))
+    return append_batch(spark, old, _new_batch(spark, sf), testdata.product_category(spark, sf),
+                        _brands(spark, sf), scratch_path(spark, "wh_new"), batch_id="new")
+
+
 @register("append_publish", ORACLES["customer_metrics"])
 def q_append_publish(spark, sf):
     """Append the new batch to a warehouse holding the older orders and publish
-    a new version; its recomputed customer metrics equal the full table's."""
-    from tillroll.plans.rebuild import append_batch
-    from tillroll.plans.warehouse import write_processed
-    old = write_processed(spark, _old_fact(spark, sf), scratch_path(spark, "wh_old"), with_metrics=False)
-    new = append_batch(spark, old, _new_batch(spark, sf), testdata.product_category(spark, sf),
-                       _brands(spark, sf), scratch_path(spark, "wh_new"))
-    return comparable(new.customer_metrics())
+    a new version; its customer metrics equal the full table's."""
+    return comparable(_appended(spark, sf).customer_metrics())
+
+
+@register("append_publish_products", ORACLES["product_metrics"])
+def q_append_publish_products(spark, sf):
+    """The product metrics of the same append, read back through its manifest."""
+    return comparable(Warehouse.open(spark, _appended(spark, sf).root).product_metrics())
+
+
+# ---------------------------------------------------------------- enrichment and lookups
+
+_BULK = "bulk AS (SELECT DISTINCT l_partkey AS product_id, CAST(l_linenumber AS INTEGER) AS category_id FROM lineitem WHERE l_quantity > 45)"
+
+
+@register("enrich_fanout", with_ctes(LINES, _BULK, select="""
+SELECT coalesce(b.category_id, 0) AS category_id, CASE WHEN b.category_id <= 5 THEN 'Line ' || b.category_id END AS category_name, count(*) AS rows,
+       CAST(sum(f.quantity) AS BIGINT) AS units
+FROM fact f LEFT JOIN bulk b ON b.product_id = f.product_id GROUP BY 1, 2"""))
+def q_enrich_fanout(spark, sf):
+    """Enrichment by a relation with several categories a product, products without
+    one and categories without a name, counted by category."""
+    li = testdata.table(spark, sf, "lineitem")
+    bulk = li.filter("l_quantity > 45").select(F.col("l_partkey").alias("product_id"), F.col("l_linenumber").cast("int").alias("category_id")).distinct()
+    named = li.select(F.col("l_linenumber").cast("int").alias("category_id")).distinct().filter("category_id <= 5")
+    named = named.select("category_id", F.concat(F.lit("Line "), F.col("category_id").cast("string")).alias("category_name"))
+    f = baskets.enrich(testdata.basket_lines(spark, sf), bulk, named)
+    shown = F.coalesce("category_id", F.lit(0)).alias("category_id")
+    return f.groupBy(shown, "category_name").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("units"))
+
+
+_TOP_IDS = "(SELECT product_id FROM pm ORDER BY total_quantity DESC, product_id LIMIT 3)"
+_STATS = """
+SELECT f.product_id, {name} AS product_name, coalesce(arg_min(f.category_name, f.category_id), 'Sin categoría') AS category_name,
+       CAST(sum(f.quantity) AS BIGINT) AS total_quantity, count(DISTINCT f.customer_id) AS unique_customers,
+       count(DISTINCT f.transaction_id) AS unique_transactions, round(avg(f.quantity), 6) AS avg_quantity_per_transaction
+FROM fact f JOIN part ON p_partkey = f.product_id {where} GROUP BY f.product_id"""
+
+
+@register("product_lookup", with_ctes(LINES, PRODUCT_METRICS, select=_STATS.format(
+    name="'Producto ' || CAST(f.product_id AS VARCHAR)", where=f"WHERE f.product_id IN {_TOP_IDS}")))
+def q_product_lookup(spark, sf):
+    """Statistics of given products: the three that sell most."""
+    wh = testdata_warehouse(spark, sf)
+    ids = wh.product_metrics().orderBy(F.desc("total_quantity"), "product_id").limit(3)
+    return comparable(kpis.product_statistics(wh.fact(), ids))
+
+
+@register("product_statistics_named", with_ctes(LINES, select=_STATS.format(name="min(p_name)", where="")))
+def q_product_statistics_named(spark, sf):
+    """Product statistics of a fact that carries the products' real names."""
+    names = testdata.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"))
+    return comparable(kpis.product_statistics(testdata_warehouse(spark, sf).fact().join(names, "product_id", "left")))
+
+
+@register("customer_lookup", ORACLES["customer_statistics"] + " WHERE b.customer_id IN (SELECT customer_id FROM base ORDER BY total_transactions DESC, customer_id LIMIT 3)")
+def q_customer_lookup(spark, sf):
+    """Statistics of given customers: the three with most transactions."""
+    wh = testdata_warehouse(spark, sf)
+    ids = wh.customer_metrics().orderBy(F.desc("frequency"), "customer_id").limit(3)
+    return comparable(kpis.customer_statistics(wh.fact(), ids))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import cf, rules
 from tillroll.plans.oracle_sql import CUSTOMER_METRICS, LINES, with_ctes
-from tillroll.plans.registry import comparable, register
+from tillroll.plans.registry import ORACLES, comparable, register
 from tillroll.plans.warehouse import testdata_warehouse
 from tillroll.sources import testdata
 
@@ -119,10 +119,13 @@ _RULE_COLS = """na.items AS antecedents, nc.items AS consequents,
             ELSE CAST('Infinity' AS DOUBLE) END AS conviction"""
 
 
-@register("basket_sample")
+@register("basket_sample", with_ctes(LINES, """
+b AS (SELECT f.transaction_id, array_to_string(list_sort(list(DISTINCT p.p_type)), '|') AS items
+      FROM fact f JOIN part p ON p.p_partkey = f.product_id GROUP BY 1)""", select="""
+SELECT transaction_id, items FROM b ORDER BY md5(transaction_id || ':42'), transaction_id LIMIT 1000"""))
 def q_basket_sample(spark, sf):
     b = rules.baskets(_type_lines(spark, sf), "item")
-    return comparable(rules.sample_baskets(b, 5000, seed=42))
+    return comparable(rules.sample_baskets(b, 1000, seed=42))
 
 
 @register("frequent_itemsets", with_ctes(LINES, _MINED, select="""
@@ -137,6 +140,39 @@ def q_association_rules(spark, sf):
     return comparable(_rules(spark, sf))
 
 
+_BRAND_SUPPORT, _BRAND_CONFIDENCE = 0.01, 0.1
+
+
+@register("association_rules_brand", with_ctes(LINES, f"""
+ti AS (SELECT DISTINCT transaction_id, category_name AS item FROM fact)""", """
+nb AS (SELECT count(DISTINCT transaction_id) AS n FROM ti)""", f"""
+f1 AS (SELECT [item] AS items, count(*) AS f FROM ti GROUP BY item HAVING count(*) >= {_BRAND_SUPPORT} * (SELECT n FROM nb))""", f"""
+f2 AS (SELECT [a.item, b.item] AS items, count(*) AS f FROM ti a JOIN ti b ON a.transaction_id = b.transaction_id AND a.item < b.item
+       GROUP BY a.item, b.item HAVING count(*) >= {_BRAND_SUPPORT} * (SELECT n FROM nb))""", f"""
+f3 AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS f FROM ti a JOIN ti b ON a.transaction_id = b.transaction_id AND a.item < b.item
+       JOIN ti c ON a.transaction_id = c.transaction_id AND b.item < c.item
+       GROUP BY a.item, b.item, c.item HAVING count(*) >= {_BRAND_SUPPORT} * (SELECT n FROM nb))""", f"""
+f4 AS (SELECT [a.item, b.item, c.item, d.item] AS items, count(*) AS f FROM ti a JOIN ti b ON a.transaction_id = b.transaction_id AND a.item < b.item
+       JOIN ti c ON a.transaction_id = c.transaction_id AND b.item < c.item JOIN ti d ON a.transaction_id = d.transaction_id AND c.item < d.item
+       GROUP BY a.item, b.item, c.item, d.item HAVING count(*) >= {_BRAND_SUPPORT} * (SELECT n FROM nb))""", """
+fi AS (SELECT items, f / (SELECT n FROM nb) AS support FROM
+       (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4))""", f"""
+r AS (SELECT a.items AS ante, c.items AS cons, a.support AS antecedent_support, c.support AS consequent_support, x.support,
+             x.support / a.support AS confidence, x.support / a.support / c.support AS lift
+      FROM fi x JOIN fi a ON len(a.items) < len(x.items) AND list_has_all(x.items, a.items)
+      JOIN fi c ON len(c.items) = len(x.items) - len(a.items) AND list_has_all(x.items, c.items) AND NOT list_has_any(a.items, c.items)
+      WHERE x.support / a.support >= {_BRAND_CONFIDENCE})""", select="""
+SELECT array_to_string(ante, '|') AS antecedents, array_to_string(cons, '|') AS consequents,
+       round(antecedent_support, 6) AS antecedent_support, round(consequent_support, 6) AS consequent_support,
+       round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
+       round(support - antecedent_support * consequent_support, 6) AS leverage,
+       CASE WHEN confidence < 1 THEN round((1 - consequent_support) / (1 - confidence), 6) ELSE CAST('Infinity' AS DOUBLE) END AS conviction
+FROM r"""))
+def q_association_rules_brand(spark, sf):
+    """Rules between the 25 brands, by thresholds that baskets of few brands reach."""
+    return comparable(rules.build_rules(_fact(spark, sf), "category_name", _BRAND_SUPPORT, _BRAND_CONFIDENCE, None))
+
+
 @register("rule_stats", with_ctes(LINES, _MINED, select="""
 SELECT count(*) AS n_rules, round(avg(lift), 6) AS avg_lift, round(avg(confidence), 6) AS avg_confidence,
        round(avg(support), 6) AS avg_support FROM rl"""))
@@ -171,6 +207,16 @@ def q_product_recommendations(spark, sf):
     return comparable(rules.product_recommendations(_rules(spark, sf)))
 
 
+@register("product_recommendations_decorated", ORACLES["product_recommendations"].replace(
+    "CAST(NULL AS VARCHAR) AS category_name, 'Producto ' || companion AS product_name",
+    "(SELECT min(p_brand) FROM part WHERE p_type = companion) AS category_name, 'Type ' || companion AS product_name"))
+def q_product_recommendations_decorated(spark, sf):
+    """The same with a category and a real name for every companion."""
+    info = testdata.table(spark, sf, "part").groupBy(F.col("p_type").alias("product_id")).agg(F.min("p_brand").alias("category_name"))
+    info = info.withColumn("product_name", F.concat(F.lit("Type "), F.col("product_id")))
+    return comparable(rules.product_recommendations(_rules(spark, sf), info=info))
+
+
 @register("product_recommendations_weighted", with_ctes(LINES, _MINED, _COMPANIONS, f"""
 g AS (SELECT product_id, companion, avg(support) AS support, max(confidence) AS confidence, max(lift) AS lift
       FROM comp GROUP BY 1, 2)""", f"""

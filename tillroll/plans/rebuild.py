@@ -6,27 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.operators import catalog, quality
 from tillroll.operators.baskets import build_fact, expand_baskets, transaction_ids
-from tillroll.plans.warehouse import Warehouse, write_processed
-from tillroll.session import scratch_path
+from tillroll.plans.warehouse import Warehouse, append_processed, write_processed
+from tillroll.session import written
 from tillroll.sources import files
 
 
 def raw_batch(rows: DataFrame, batch: str | None = None) -> DataFrame:
     """Gate-passed text rows -> typed baskets with a transaction id
-    '<store>_<customer>_[batch_]<row key>'. The row key is the row's position in
-    the read (unique, stable for the same input splits); no task has to sort
-    a whole file to number its lines."""
+    '<store>_<customer>_[batch_]<line>', by the line's number in its store file
+    (the same for any read splits); no task has to sort a whole file."""
     typed = files.typed_transactions(rows)
-    return typed.select(transaction_ids(typed, "pos", batch).alias("transaction_id"),
+    return typed.select(transaction_ids(typed, "row_no", batch).alias("transaction_id"),
                         "date", "store_id", "customer_id", "products")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category_path, out_root: str,
             store_ids=None, with_integrity: bool = False):
     """Load (with the store gate), expand, enrich, add calendar, write the four
@@ -38,7 +31,7 @@ def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category
     ``<out_root>/rejected`` and counted per file in the report; no accepted file
     at all is an error."""
     rows, report = files.load_transactions(spark, raw_dir, store_ids)
-    rows, report = _stored(rows, "loaded"), _stored(report, "gate")
+    rows, report = written(rows, "loaded"), written(report, "gate")
     if report.filter("accepted").isEmpty():
         raise ValueError(f"no store file in {raw_dir} was accepted: "
                          + "; ".join(f"{r['source']}: {r['reason']}" for r in report.limit(10).collect()))
@@ -55,10 +48,16 @@ def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category
 
 
 def append_batch(spark: SparkSession, wh: Warehouse, raw: DataFrame, product_category: DataFrame,
-                 categories: DataFrame, new_root: str, mode: str = "append") -> Warehouse:
+                 categories: DataFrame, new_root: str, mode: str = "append",
+                 batch_id: str | None = None) -> Warehouse:
     """Append (or replace with) a typed basket batch and publish a new
-    warehouse version at ``new_root``, metric tables recomputed. The current
-    version is only read, so a failure leaves it intact; readers switch by
-    using the returned handle."""
-    out = catalog.append_transactions(wh.fact(), raw, product_category, categories, mode)
-    return write_processed(spark, out, new_root)
+    warehouse version at ``new_root``. The current version is only referred to,
+    so a failure leaves it intact; readers switch by using the returned handle
+    (or ``Warehouse.open(spark, new_root)``). Appending does not read the old
+    fact; its cost follows the batch and the metric tables."""
+    new = catalog.batch_fact(raw, product_category, categories)
+    if mode == "replace":
+        return write_processed(spark, new, new_root, batches=[batch_id] if batch_id else [])
+    if mode != "append":
+        raise ValueError("mode must be 'append' or 'replace'")
+    return append_processed(spark, wh, new, new_root, batch_id)

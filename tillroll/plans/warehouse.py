@@ -1,60 +1,94 @@
-"""Processed tables: the enriched fact, three metric tables, interactions and norms.
+"""Processed tables: the enriched fact, metric tables and the states they come from.
 
 The rebuild writes them once as Parquet under the cluster's shared folder
 (``spark.checkpoint.dir``); every later query reads them back, so lineage is
 cut at the fact and a lost executor only re-runs the tasks of the current job.
 The fact is partitioned by year and month, which date filters prune.
+
+An appended batch makes a new version: its fact rows and transaction metrics
+are written beside those of the older versions, which the new one refers to;
+the states (one row per customer and product, per customer, store and category,
+per product) are merged, and the metric tables follow from them. The old fact
+is neither read nor written. A version's manifest is written last.
 """
 
 from __future__ import annotations
 
 import threading
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.operators import cf, facts
 from tillroll.schemas import FACT_COLUMNS
 from tillroll.session import scratch_path
 
+#: states, and how rows of one key are merged
+STATES = {
+    "customer_item": (["customer_id", "product_id"], {"quantity": F.sum}),
+    "customer_visits": (["customer_id", "store_id", "category_id"], {"lines": F.sum}),
+    "product_totals": (["product_id"], {"product_frequency": F.sum, "lines": F.sum, "total_quantity": F.sum,
+                                        "category": F.min}),
+}
 TABLES = ("transactions_expanded", "transaction_metrics", "customer_metrics", "product_metrics",
-          "customer_item", "customer_norms")
+          "customer_norms", *STATES)
+_MANIFEST = "parts array<string>, batches array<string>"
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
+    """A version of the processed tables under ``root``; ``parts`` are the folders
+    that hold its fact rows and transaction metrics, ``batches`` the ids of the
+    batches appended so far."""
+
+    def __init__(self, spark: SparkSession, root: str, parts=None, batches=()):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.parts = [p.rstrip("/") for p in parts] if parts else [self.root]
+        self.batches = list(batches)
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Warehouse:
+        """The version that was published at ``root``."""
+        m = spark.read.schema(_MANIFEST).json(f"{root.rstrip('/')}/manifest").first()
+        return cls(spark, root, m["parts"], m["batches"])
+
+    def publish(self) -> Warehouse:
+        m = self.spark.createDataFrame([(self.parts, self.batches)], _MANIFEST)
+        m.coalesce(1).write.mode("overwrite").json(self.path("manifest"))
+        return self
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+    def _of_parts(self, name: str) -> DataFrame:
+        paths = [f"{p}/{name}" for p in self.parts]
+        return reduce(DataFrame.unionByName, [self.spark.read.option("basePath", p).parquet(p) for p in paths])
+
     def fact(self) -> DataFrame:
-        p = self.path("transactions_expanded")
-        return self.spark.read.option("basePath", p).parquet(p).select(*FACT_COLUMNS)
+        return self._of_parts("transactions_expanded").select(*FACT_COLUMNS)
 
     def transaction_metrics(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("transaction_metrics"))
+        return self._of_parts("transaction_metrics")
 
     def customer_metrics(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("customer_metrics"))
+        return self.table("customer_metrics")
 
     def product_metrics(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("product_metrics"))
+        return self.table("product_metrics")
 
     def customer_item(self) -> DataFrame:
         """Sparse customer x product units (long form), input of the CF jobs."""
-        return self.spark.read.parquet(self.path("customer_item"))
+        return self.table("customer_item")
 
     def customer_norms(self) -> DataFrame:
         """Length of each customer's vector of units, for cosine similarities."""
-        return self.spark.read.parquet(self.path("customer_norms"))
+        return self.table("customer_norms")
 
 
-def write_processed(spark: SparkSession, fact: DataFrame, root: str,
-                    with_metrics: bool = True) -> Warehouse:
-    """Write the fact (partitioned by year, month), then the metric tables and
-    the customer-item interaction table computed from the written fact."""
-    wh = Warehouse(spark, root)
+def _write_rows(wh: Warehouse, fact: DataFrame) -> None:
     # REBALANCE by the output partition columns: one shuffle, after which AQE
     # splits any month partition that is too large (a hot month is written by
     # several tasks) and merges small ones, so files stay near the advisory
@@ -63,15 +97,57 @@ def write_processed(spark: SparkSession, fact: DataFrame, root: str,
          .hint("rebalance", "year", "month")
          .sortWithinPartitions("date", "customer_id")
          .write.mode("overwrite").partitionBy("year", "month").parquet(wh.path("transactions_expanded")))
+
+
+def _write_states(wh: Warehouse) -> None:
+    """Transaction metrics and states of the fact rows under ``wh.root``."""
+    f = wh.fact()
+    tables = {"transaction_metrics": facts.transaction_metrics(f), "customer_item": cf.customer_item(f),
+              "customer_visits": facts.customer_visits(f), "product_totals": facts.product_totals(f)}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(wh.path(name))
+
+
+def _write_metrics(wh: Warehouse) -> None:
+    """The tables that follow from the states and the transaction metrics."""
+    ci = wh.customer_item()
+    tables = {"customer_norms": cf.customer_norms(ci),
+              "customer_metrics": facts.customer_metrics_stored(wh.transaction_metrics(), ci, wh.table("customer_visits")),
+              "product_metrics": facts.product_metrics_stored(wh.table("product_totals"), ci)}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(wh.path(name))
+
+
+def write_processed(spark: SparkSession, fact: DataFrame, root: str,
+                    with_metrics: bool = True, batches=()) -> Warehouse:
+    """Write the fact (partitioned by year, month), then the states and metric
+    tables computed from the written fact."""
+    wh = Warehouse(spark, root, batches=batches)
+    _write_rows(wh, fact)
     if with_metrics:
-        f = wh.fact()
-        facts.transaction_metrics(f).write.mode("overwrite").parquet(wh.path("transaction_metrics"))
-        cf.customer_item(f).write.mode("overwrite").parquet(wh.path("customer_item"))
-        tx, ci = wh.transaction_metrics(), wh.customer_item()
-        cf.customer_norms(ci).write.mode("overwrite").parquet(wh.path("customer_norms"))
-        facts.customer_metrics(f, tx=tx, ci=ci).write.mode("overwrite").parquet(wh.path("customer_metrics"))
-        facts.product_metrics(f, ci=ci).write.mode("overwrite").parquet(wh.path("product_metrics"))
-    return wh
+        _write_states(wh)
+        _write_metrics(wh)
+    return wh.publish()
+
+
+def append_processed(spark: SparkSession, wh: Warehouse, fact: DataFrame, root: str,
+                     batch_id: str | None = None) -> Warehouse:
+    """A new version at ``root``: ``wh`` and the rows of ``fact``, whose
+    transaction ids must be new. Customer metrics are written anew because every
+    customer's recency counts from the latest date. A batch id that ``wh``
+    holds already changes nothing."""
+    if batch_id is not None and batch_id in wh.batches:
+        return wh
+    batch = Warehouse(spark, f"{root.rstrip('/')}/batch")
+    _write_rows(batch, fact)
+    _write_states(batch)
+    new = Warehouse(spark, root, [*wh.parts, batch.root], [*wh.batches, *([batch_id] if batch_id else [])])
+    for name, (keys, merge) in STATES.items():
+        both = wh.table(name).unionByName(batch.table(name))
+        both.groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()]) \
+            .write.mode("overwrite").parquet(new.path(name))
+    _write_metrics(new)
+    return new.publish()
 
 
 _BUILT: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults applied only when the session does not already define them, so a
 # cluster's own settings (spark-defaults.conf, --conf) always win.
@@ -73,6 +73,13 @@ def shared_root(spark: SparkSession) -> str:
     return d
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back (lineage ends here)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/tillroll/{name}-{uuid.uuid4().hex[:12]}"

@@ -10,7 +10,7 @@ format table has one row per file, so it is the small side of its join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
 
@@ -43,13 +43,31 @@ def _split(value, delim):
     return F.when(F.contains(value, F.lit('"')), F.transform(at(outside), _unquote)).otherwise(at(""))
 
 
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split of a file: its first line and that line's position, and
+    how many lines it has."""
+    return lines.groupBy("file_path", "block_start").agg(
+        F.min("pos").alias("first_pos"), F.min_by("value", "pos").alias("first_line"),
+        F.count(F.lit(1)).alias("n_lines"))
+
+
+def _lines_before(splits: DataFrame) -> DataFrame:
+    """Per split the lines of its source in front of it. Files of a folder named
+    like a store file follow each other by name. A window over splits, not lines."""
+    source = F.regexp_extract("file_path", SOURCE_PATTERN, 1)
+    w = Window.partitionBy(F.when(source != "", source).otherwise(F.col("file_path"))).orderBy("file_path", "block_start")
+    return splits.select("file_path", "block_start", F.col("first_pos").alias("split_pos"),
+                         (F.sum("n_lines").over(w) - F.col("n_lines")).alias("lines_before"))
+
+
 def sniff_format(lines: DataFrame, required: list[str]) -> DataFrame:
     """One row per file: delimiter, has_header, header cells, column count,
     missing required columns and whether the layout is usable."""
-    first = (lines.filter(F.col("block_start") == 0)
-                  .groupBy("file_path")
-                  .agg(F.min_by(F.struct("value", "pos"), "pos").alias("_f")))
-    first = first.select("file_path", F.col("_f.value").alias("first_line"), F.col("_f.pos").alias("first_pos"))
+    return _sniff(_splits(lines), required)
+
+
+def _sniff(splits: DataFrame, required: list[str]) -> DataFrame:
+    first = splits.filter(F.col("block_start") == 0).select("file_path", "first_line", "first_pos")
     delim = F.when(F.col("first_line").contains("|"), F.lit("|")).otherwise(F.lit(","))
     first = first.select("*", delim.alias("delimiter"))
     cells = F.transform(_split(F.col("first_line"), F.col("delimiter")), lambda c: F.trim(c))
@@ -65,19 +83,26 @@ def sniff_format(lines: DataFrame, required: list[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, formats): rows carry file_path, pos and the required columns as
-    strings, from files whose layout is usable; blank lines are skipped."""
+    """(rows, formats): rows carry file_path, pos, row_no (the line's number in its
+    source, from 0, whatever the read splits) and the required columns as
+    strings, from files whose layout is usable; blank lines are skipped.
+
+    One pass over the text gives a row per split, from which both the layouts
+    and the line numbers follow; the lines themselves are not sorted."""
     lines = _lines(spark, paths)
-    fmt = sniff_format(lines, required)
-    j = lines.join(fmt.filter("ok").select("file_path", "first_pos", "delimiter", "has_header", "header"),
-                   "file_path")
+    splits = _splits(lines)
+    fmt = _sniff(splits, required)
+    layout = _lines_before(splits).join(
+        fmt.filter("ok").select("file_path", "first_pos", "delimiter", "has_header", "header"), "file_path")
+    j = lines.join(layout, ["file_path", "block_start"])
     j = j.filter(~(F.col("has_header") & (F.col("pos") == F.col("first_pos"))) & (F.trim("value") != ""))
     cells = _split(F.col("value"), F.col("delimiter"))
     cols = []
     for i, name in enumerate(required):
         idx = F.when(F.col("has_header"), F.array_position(F.col("header"), name)).otherwise(F.lit(i + 1))
         cols.append(F.try_element_at(cells, idx.cast("int")).alias(name))
-    return j.select("file_path", "pos", *cols), fmt
+    row_no = F.col("lines_before") + F.col("pos") - F.col("split_pos")
+    return j.select("file_path", "pos", row_no.alias("row_no"), *cols), fmt
 
 
 def store_of_file(path_col="file_path"):
@@ -129,20 +154,26 @@ def rejected_rows(rows: DataFrame) -> DataFrame:
     """Rows of accepted files that can't be used, as they were read, with the reason."""
     bad_date, bad_customer = _unparsable()
     reason = F.when(bad_date, "bad date").when(bad_customer, "bad customer id")
-    return rows.select("file_path", "date", "store_id", "customer_id", "products", reason.alias("reason")) \
+    return rows.select("file_path", "row_no", "date", "store_id", "customer_id", "products", reason.alias("reason")) \
                .filter(F.col("reason").isNotNull())
 
 
 def typed_transactions(rows: DataFrame) -> DataFrame:
     """date, store_id, customer_id typed (bad values -> null), products kept as text."""
     return rows.select(
-        "file_path", "pos",
+        "file_path", "pos", "row_no",
         F.try_to_date(F.trim("date"), "yyyy-M-d").alias("date"),
         F.trim("store_id").try_cast("int").alias("store_id"),
         F.trim("customer_id").try_cast("bigint").alias("customer_id"),
         "products")
 
 
+def preview(rows: DataFrame, source: str, n: int = 10) -> DataFrame:
+    """The first n rows of the store file (or folder) named ``source``, as text."""
+    return (rows.filter(F.endswith("source", F.lit(f"/{source}"))).orderBy("row_no").limit(n)
+                .select("date", "store_id", "customer_id", "products"))
+
+
 def load_categories(spark: SparkSession, paths) -> DataFrame:
     """category_id int, category_name trimmed; rows with an unparsable id dropped."""
     rows, _ = read_delimited(spark, paths, CATEGORY_COLUMNS)

@@ -110,6 +110,40 @@ def raw_files(spark: SparkSession, sf_dir: str) -> dict:
         return _RAW[key]
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> dict:
+    """Raw files in other layouts, derived from the tables, once per application:
+    store 1 comma-separated with a header and every cell quoted, in order of the
+    order key, every seventh order with a bad date and every eleventh with a bad
+    customer id; store 2 without its products column; store 3 under a name that
+    has no store number of its own; store 4 plain. Category names hold a comma."""
+    from tillroll.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "mixed")
+    with _RAW_LOCK:
+        if key not in _RAW:
+            _RAW[key] = _write_mixed_files(spark, sf_dir, scratch_path(spark, "raw-mixed"))
+        return _RAW[key]
+
+
+def _write_mixed_files(spark: SparkSession, sf_dir: str, root: str) -> dict:
+    from tillroll.sources.files import write_delimited
+    b = part_basket_strings(spark, sf_dir).persist()
+    text = [F.date_format("date", "yyyy-MM-dd").alias("date"), "store_id", F.col("customer_id").cast("string").alias("customer_id"), "products"]
+    tid = F.col("transaction_id")
+    bad_date, bad_customer = tid % 7 == 3, tid % 11 == 5
+    one = b.filter("store_id = 1").orderBy("transaction_id").select(
+        F.when(bad_date, "never").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), "store_id",
+        F.when(bad_customer, "x").otherwise(F.col("customer_id").cast("string")).alias("customer_id"), "products")
+    one.write.option("header", True).option("quoteAll", True).csv(f"{root}/1_Tran.csv")
+    write_delimited(b.filter("store_id = 2").select(*text[:3]), f"{root}/2_Tran.csv", sep=",", header=True)
+    write_delimited(b.filter("store_id = 3").select(*text), f"{root}/test_3_Tran.csv")
+    write_delimited(b.filter("store_id = 4").select(*text), f"{root}/4_Tran.csv")
+    b.unpersist()
+    cats = categories(spark, sf_dir).select("category_id", F.concat(F.lit("Brand, "), F.col("category_id").cast("string")).alias("category_name"))
+    write_delimited(cats, f"{root}/categories.csv", sep=",", header=True)
+    write_delimited(product_category(spark, sf_dir), f"{root}/product_category.csv", sep=",", header=True)
+    return {"root": root, "categories": f"{root}/categories.csv", "product_category": f"{root}/product_category.csv"}
+
+
 def _write_raw_files(spark: SparkSession, sf_dir: str, root: str) -> dict:
     from tillroll.sources.files import write_delimited
     b = part_basket_strings(spark, sf_dir).select(
