@@ -6,14 +6,16 @@ stage returns one row for each time the mix takes a document, with the columns
 ``size``, ``source_size``, ``target``, ``taken`` and ``epoch`` besides. ``n_chars`` follows
 the text where a stage changes it.
 
-Rows of one doc_id count as one document in every stage. ORACLE_SQL is None:
+Line dedup and the near-duplicate stage take a row's id and text together as
+its document, so that texts without an id, or with the id of another text, are
+judged by themselves; equal rows are one document. ORACLE_SQL is None:
 the classifier and the near-duplicate classes can't be expressed in SQL; the
 stages are tested against brute-force versions instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.llm import decontam, lines, mixing, ngram_join, quality
 from tillroll.llm.shared import documents, id_of, named, stored
@@ -39,16 +41,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines of at least five documents stay in one of them only."""
-    return _with_text(docs, lines.line_dedup(docs), "kept_text")
+    return _with_text(docs, lines.line_dedup(docs, by_text=True), "kept_text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id."""
-    classes = ngram_join.ngram_join(docs)
-    stays = stored(classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(id_of("doc_id").alias("_stays")).distinct(), "pipeline-stays")
-    kept = docs.withColumn("_doc", id_of("doc_id")).join(stays, F.col("_doc") == F.col("_stays"))
-    first = Window.partitionBy("_doc").orderBy(F.length("text").desc_nulls_last(), F.md5("text"))  # of repeated rows of an id
-    return kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*map(named, docs.columns))
+    """Of each class of near-duplicate texts one row: the smallest id's, of that
+    id's texts in the class one (the longest row of equal words). A null id is
+    the smallest; rows without an id are told apart by their words."""
+    found = ngram_join.text_classes(docs)
+    first = F.struct("id", "node").eqNullSafe(F.col("low"))
+    stays = stored(found.filter(first).select(F.col("id").alias("_id"), F.col("digest").alias("_of"), F.col("node").alias("_node")), "pipeline-stays")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), id_of("doc_id").alias("_doc"), ngram_join.digest_of("text").alias("_digest"))
+    kept = rows.join(stays, (F.col("_doc") == F.col("_id")) & (F.col("_digest") == F.col("_of")))
+    # an aggregate, so that repeated rows are combined before the shuffle
+    order = F.struct(F.coalesce(-F.length("_row.text"), F.lit(1)), F.col("_digest"))
+    one = kept.groupBy("_doc", "_node").agg(F.min_by("_row", order).alias("_row"))
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

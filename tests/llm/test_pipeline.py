@@ -1,9 +1,11 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontam, quality
+from tillroll.llm import decontam, ngram_join, quality
 from tillroll.llm.shared import stored
 
 from .test_operators import brute_links
@@ -36,3 +38,18 @@ def test_stages(spark):
         docs = out
         seen.append(name)
     assert len(seen) == 5 and docs.filter("taken > 0").count() == docs.count() > 0
+
+
+def test_texts_without_an_id_or_with_a_shared_id_are_documents(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text("b") + " end"
+    rows = [(10, text("a")), (33, text("a")), (33, text("b")), (50, near), (None, text("c")), (None, text("d")), (None, text("c")), (None, text("e")), (60, text("e"))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(10, text("a")), (33, text("b")), (None, text("c")), (None, text("d")), (None, text("e"))])
+    # each row has its own text's class
+    joined = Counter((r["text"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs, columns=["text"]).collect())
+    assert joined[(text("a"), 10, 1)] == 2 and joined[(text("b"), 33, 1)] == 1 and joined[(near, 33, 1)] == 1 and joined[(text("d"), None, 0)] == 1
+    line = "a line of boilerplate that five of the texts without an id all hold"
+    docs = spark.createDataFrame([(None, f"{text(k)}\n{line}", 1) for k in range(5)], "doc_id long, text string, n_chars long")
+    assert sum(line in r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()) == 1

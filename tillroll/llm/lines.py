@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import id_of, in_arrow, named, small_batches, stored
 from .words import LOWER, NOT_SPACE, groups_of, mix, span_hashes, text_column
@@ -129,36 +129,45 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int = FIL
     return b"".join(found.get(k, bytes(size)) for k in range(SEGMENTS))
 
 
-def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int, min_docs: int, bits: int) -> DataFrame:
-    """(id, drop binary): for each document the 16-byte keys of its lines that go."""
+def document_key(text_col: str, id_col: str, by_text: bool) -> list[Column]:
+    """(id, part): rows of an id are one document, or one per text if by_text;
+    rows without an id are one document per text in any case."""
+    digest = F.unhex(F.md5(F.coalesce(named(text_col), F.lit(""))))
+    part = digest if by_text else F.when(named(id_col).isNull(), digest).otherwise(F.unhex(F.lit("")))
+    return [id_of(id_col).alias("id"), part.alias("part")]
+
+
+def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int, min_docs: int, bits: int, by_text: bool = False) -> DataFrame:
+    """(id, part, drop binary): for each document the 16-byte keys of its lines that go."""
     spark = docs.sparkSession
     twice = spark.sparkContext.broadcast(twice_filter(docs, text_col, min_chars, bits))
 
     def suspects(batches):
         seen = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            values, starts, ends = text_column(batch.column(1))
+            ids, parts = np.asarray(batch.column(0)), batch.column(1)
+            values, starts, ends = text_column(batch.column(2))
             for i, j in groups_of(starts, ends):
                 _, _, rows, h1, h2 = long_keys(values, starts[i:j], ends[i:j], min_chars)
                 rows, h1, h2 = _distinct(rows, h1, h2)
                 hit = _test(seen, _slots(h1, h2, bits)) if len(h1) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][rows[hit]]), pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64))], ["id", "h1", "h2"])
+                at = i + rows[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), parts.take(pa.array(at)), pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64))], ["id", "part", "h1", "h2"])
 
-    found = docs.select(id_of(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(suspects, "id long, h1 long, h2 long")
+    found = docs.select(*document_key(text_col, id_col, by_text), named(text_col).alias("text")).mapInArrow(suspects, "id long, part binary, h1 long, h2 long")
     found = stored(found, "lines-suspects")
-    per_doc = found.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))  # repeated rows of a document count once
-    heavy = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("stays")).filter(F.col("n") >= min_docs)
+    per_doc = found.groupBy("h1", "h2", "id", "part").agg(F.lit(1).alias("one"))  # repeated rows of a document count once
+    heavy = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.struct("id", "part")).alias("stays")).filter(F.col("n") >= min_docs)
     # read from a table, so that its size is known: joined as a broadcast below the
     # session's limit, and else by shuffles of which a hot key's can be split
     heavy = stored(heavy.select("h1", "h2", "stays"), "lines-heavy")
-    go = found.join(heavy, ["h1", "h2"]).filter("id <> stays")
+    go = found.join(heavy, ["h1", "h2"]).filter(F.struct("id", "part") != F.col("stays"))
     both = F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))
-    return go.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set(F.hex(both))), "").alias("drop"))
+    return go.groupBy("id", "part").agg(F.array_join(F.sort_array(F.collect_set(F.hex(both))), "").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-               filter_bits: int = FILTER_BITS, columns: list[str] | None = None) -> DataFrame:
+               filter_bits: int = FILTER_BITS, columns: list[str] | None = None, by_text: bool = False) -> DataFrame:
     """docs (columns ``columns``, default all) with n_lines, n_dropped, kept_text.
 
     A line's key is the line without ASCII whitespace at its ends, A-Z lower
@@ -166,15 +175,18 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     least min_docs documents go, but for all of them in the document with the
     largest id that holds the key.
 
-    Nulls: a null text is one empty line, a null id sorts before all others.
-    Repeated rows count as one document and are treated alike. An empty table
+    Nulls: a null text is one empty line, a null id sorts before all others; rows
+    without an id are documents by their texts. Repeated rows count as one
+    document and are treated alike; rows of one id with different texts are one
+    document too, but for by_text, where each text is its own. An empty table
     gives no rows. Input columns called like a result column are replaced.
     """
     small_batches(docs.sparkSession)
     columns = [c for c in (columns or docs.columns) if c.lower() not in COLUMNS]
-    drops = repeated_lines(docs, text_col, id_col, min_chars, min_docs, filter_bits).withColumnRenamed("id", "_id")
-    base = docs.select(*[named(c) for c in columns], *([] if text_col in columns else [named(text_col)]), id_of(id_col).alias("_doc"))
-    rows = base.join(drops, F.col("_doc") == F.col("_id"), "left").select(*[named(c) for c in columns], named(text_col).alias("_text"), F.unhex("drop").alias("_drop"))
+    drops = repeated_lines(docs, text_col, id_col, min_chars, min_docs, filter_bits, by_text).toDF("_id", "_of", "drop")
+    doc, part = document_key(text_col, id_col, by_text)
+    base = docs.select(*[named(c) for c in columns], *([] if text_col in columns else [named(text_col)]), doc.alias("_doc"), part.alias("_part"))
+    rows = base.join(drops, (F.col("_doc") == F.col("_id")) & (F.col("_part") == F.col("_of")), "left").select(*[named(c) for c in columns], named(text_col).alias("_text"), F.unhex("drop").alias("_drop"))
     n = len(columns)
 
     def cut(batches):

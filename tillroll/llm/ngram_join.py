@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected
-from .shared import id_of, named, small_batches, stored
+from .shared import NULL_ID, id_of, named, small_batches, stored
 from .words import groups_of, mix, span_hashes, text_column, words_of
 
 SHINGLE = 5
@@ -68,13 +68,14 @@ def signatures(hashes: np.ndarray, begin: np.ndarray, values: int) -> np.ndarray
 
 
 def sketch(texts: DataFrame, length: int) -> DataFrame:
-    """texts: (id, text). Returns (id, node binary, n_words, labels): node is a
-    128-bit hash of the word sequence, labels the prefixes of the trees."""
+    """texts: (id, digest, text). Returns (id, digest, node binary, n_words,
+    labels): node is a 128-bit hash of the word sequence, labels the prefixes of
+    the trees."""
 
     def read(batches):
         for batch in batches:
-            ids = batch.column(0)
-            values, starts, ends = text_column(batch.column(1))
+            ids, digests = batch.column(0), batch.column(1)
+            values, starts, ends = text_column(batch.column(2))
             nodes, counts, labels, sizes = [], [], [], []
             for i, j in groups_of(starts, ends):
                 _, _, (h, g), first = words_of(values, starts[i:j], ends[i:j], seeds=(1, 2))
@@ -93,10 +94,10 @@ def sketch(texts: DataFrame, length: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             flat = np.concatenate(labels) if labels else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(nodes, pa.binary()), pa.array(np.concatenate(counts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["id", "node", "n_words", "labels"])
+                [ids, digests, pa.array(nodes, pa.binary()), pa.array(np.concatenate(counts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["id", "digest", "node", "n_words", "labels"])
 
-    return texts.mapInArrow(read, "id long, node binary, n_words long, labels array<long>")
+    return texts.mapInArrow(read, "id long, digest binary, node binary, n_words long, labels array<long>")
 
 
 def overlaps(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -124,12 +125,7 @@ def _verify(batch: pa.Table, threshold: float):
     values, starts, ends = text_column(batch.column("text"))
     _, _, (h, g), first = words_of(values, starts, ends, seeds=(1, 2))
     pair = np.stack([span_hashes(h, first[:-1], first[1:]), span_hashes(g, first[:-1], first[1:])], axis=1).astype(">u8")
-    # another text under the same id is not the node that was meant; a repeated row is one
-    seen, rows = set(), []
-    for k, node in enumerate(nodes):
-        if pair[k].tobytes() == node and node not in seen:
-            seen.add(node)
-            rows.append(k)
+    rows = [k for k, node in enumerate(nodes) if pair[k].tobytes() == node]
     n = len(rows)
     s, begin = shingles(h, first)
     sets = [np.unique(s[begin[k] : begin[k + 1]]) for k in rows]
@@ -185,33 +181,26 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return whole.unionByName(spread)
 
 
-def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, threshold: float = THRESHOLD, target: float = RECALL,
-               columns: list[str] | None = None) -> DataFrame:
-    """docs (columns ``columns``, default the id) with class_id, n_links and
-    n_text_links: one row per input row.
+def digest_of(text_col: str) -> Column:
+    """What tells rows of one id apart: a 128-bit hash of the text."""
+    return F.unhex(F.md5(F.coalesce(named(text_col), F.lit(""))))
 
-    Two rows are linked if the Jaccard similarity of their sets of word 5-grams
-    is at least threshold. n_links counts the other linked rows, copies with the
-    same words included; n_text_links counts linked word sequences other than
-    the row's own. class_id is the smallest id of all rows that links connect.
 
-    Words are runs without ASCII whitespace; a text of 1 to 4 words is one
-    shingle. Null texts and texts without words have no links and are classes of
-    their own (class_id = id). A null id sorts before all others; its class_id
-    is null where it is the smallest. Repeated rows are copies of each other.
-    An empty table gives no rows. Input columns called like a result column
-    are replaced.
-    """
+def text_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
+    """One row per distinct (id, text): (id, digest, node, n_words, low, n_links,
+    n_text_links). low is the struct (id, node) that comes first in the class; a
+    text without words is a class of its own."""
     small_batches(docs.sparkSession)
-    columns = [c for c in (columns or [id_col]) if c.lower() not in COLUMNS]
     length = prefix_length(target, threshold)
-    texts = docs.select(id_of(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    texts = docs.select(id_of(id_col).alias("id"), digest_of(text_col).alias("digest"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     marks = stored(sketch(texts, length), "join-sketch")
     nodes = stored(
         marks.filter("n_words > 0").groupBy("node")
-        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("labels").alias("labels")), "join-nodes")
-    places = candidates(nodes).join(nodes.select("node", "id", "copies", "labels"), "node")
-    rows = places.join(texts, "id").select("grp", "tree", "one", "two", "block", "node", "copies", "labels", "text")
+        .agg(F.min(F.struct("id", "digest")).alias("at"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("labels").alias("labels"))
+        .select("node", "at.id", "at.digest", "copies", "n_words", "labels"), "join-nodes")
+    places = candidates(nodes).join(nodes.select("node", "id", "digest", "copies", "labels"), "node")
+    # a node meets its own text only, once, however often the row is repeated
+    rows = places.join(texts.dropDuplicates(["id", "digest"]), ["id", "digest"]).select("grp", "tree", "one", "two", "block", "node", "copies", "labels", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         return _verify(table, threshold)
@@ -220,14 +209,37 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     classes = connected(verified.select(F.col("node").alias("u"), F.col("head").alias("v")), "join-classes")
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
     rooted = nodes.select("node", "id", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("id").alias("low"))
+    lowest = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("low"))
     result = stored(rooted.join(lowest, "root").join(counts, "node", "left").select(
         F.col("node"), "low", F.coalesce("links", F.lit(0)).alias("n_text_links"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-result")
-    per_row = marks.select("id", "node").distinct().join(result, "node")
-    # rows of one id with different texts go to their own node's class
-    per_id = per_row.groupBy("id").agg(F.min("low").alias("low"), F.max("n_links").alias("n_links"), F.max("n_text_links").alias("n_text_links")).withColumnRenamed("id", "_id")
-    base = docs.select(*map(named, columns), id_of(id_col).alias("_doc"))
-    low = F.coalesce("low", "_doc")
-    return base.join(per_id, F.col("_doc") == F.col("_id"), "left").select(
-        *map(named, columns), F.when(low != F.lit(-(2**63)), low).alias("class_id"),
+    own = F.struct("id", "node")
+    return marks.select("id", "digest", "node", "n_words").distinct().join(result, "node", "left").select(
+        "id", "digest", "node", "n_words", F.coalesce("low", own).alias("low"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+
+
+def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, threshold: float = THRESHOLD, target: float = RECALL,
+               columns: list[str] | None = None) -> DataFrame:
+    """docs (columns ``columns``, default the id) with class_id, n_links and
+    n_text_links: one row per input row.
+
+    Two rows are linked if the Jaccard similarity of their sets of word 5-grams
+    is at least threshold. n_links counts the other linked rows, copies with the
+    same words included; n_text_links counts linked word sequences other than
+    the row's own. class_id is the smallest id of all rows that links connect.
+
+    Words are runs without ASCII whitespace; a text of 1 to 4 words is one
+    shingle. Null texts and texts without words have no links and are classes of
+    their own (class_id = id). A null id sorts before all others; its class_id
+    is null where it is the smallest. Repeated rows are copies of each other; rows
+    of one id (or of none) with different texts each have their own text's class.
+    An empty table gives no rows. Input columns called like a result column
+    are replaced.
+    """
+    columns = [c for c in (columns or [id_col]) if c.lower() not in COLUMNS]
+    found = text_classes(docs, text_col, id_col, threshold, target).select(
+        F.col("id").alias("_id"), F.col("digest").alias("_of"), F.col("low.id").alias("_low"), F.col("n_links").alias("_links"), F.col("n_text_links").alias("_text_links"))
+    base = docs.select(*map(named, columns), id_of(id_col).alias("_doc"), digest_of(text_col).alias("_digest"))
+    low = F.col("_low")
+    return base.join(found, (F.col("_doc") == F.col("_id")) & (F.col("_digest") == F.col("_of"))).select(
+        *map(named, columns), F.when(low != F.lit(NULL_ID), low).alias("class_id"), F.col("_links").alias("n_links"), F.col("_text_links").alias("n_text_links"))
