@@ -99,6 +99,15 @@ def test_substring_dedup(docs):
     assert sum(map(len, got.values())) == len(texts())
 
 
+@pytest.mark.parametrize("window, gram", [(50, 8), (8, 8)])
+def test_substring_dedup_of_other_windows(docs, window, gram):
+    got = by_id(substring.dedup_substrings(docs, window=window, gram=gram), "n_words", "n_removed", "kept_text")
+    want = brute_substring(texts(), window)
+    assert {(-1 if k is None else k): set(v) for k, v in got.items()} == {k: {v} for k, v in want.items()}
+    with pytest.raises(ValueError):
+        substring.dedup_substrings(docs, window=gram - 1, gram=gram)
+
+
 # ---------------------------------------------------------------- 5
 def test_exact_dedup(docs):
     got = exact.exact_dedup(docs, support=0.1).collect()

@@ -29,10 +29,17 @@ WINDOW = 20
 GRAM = 8
 COLUMNS = ["n_words", "n_removed", "repeats", "kept_text"]
 
-_PACK = 32  # a place is start * _PACK + number of windows - 1
 _SCHEMA = "a long, s long, id long, place long"
 
 
+def packing(window: int, gram: int) -> int:
+    """A place is start * packing + number of windows - 1; a span holds at most
+    window - gram + 1 windows."""
+    if not 1 <= gram <= window:
+        raise ValueError(f"gram must be from 1 to window ({window}): {gram}")
+    return window - gram + 2
+
+
 def anchor_spans(hashes: np.ndarray, first: np.ndarray, window: int, gram: int):
     """Runs of windows with the same anchor in consecutive texts: (row, start
     within the text, number of windows, anchor hash, span hash)."""
@@ -59,13 +66,13 @@ def anchor_spans(hashes: np.ndarray, first: np.ndarray, window: int, gram: int):
     return row[begin], begin - first[row[begin]], count, best[begin], spans
 
 
-def _combined(a, s, ids, place):
+def _combined(a, s, ids, place, pack):
     """Rows in order; of equal (a, s) only the first stays as it is. A later one
     is a repeat for certain: it gets a key of its own and a negative place."""
     order = np.lexsort((place, ids, s, a))
     a, s, ids, place = a[order], s[order], ids[order], place[order]
     if len(a):
-        later, _ = _later(a, s, ids, place, None)
+        later, _ = _later(a, s, ids, place, None, pack)
         a, s, place = a.copy(), s.copy(), place.copy()
         a[later] = mix((ids[later] * 7919 + place[later]).view(np.uint64)).view(np.int64)
         s[later] = 0
@@ -73,7 +80,7 @@ def _combined(a, s, ids, place):
     return [pa.array(x) for x in (a, s, ids, place)]
 
 
-def _later(a, s, ids, place, before):
+def _later(a, s, ids, place, before, pack):
     """Which rows (sorted) come after the first of their (a, s), by id and start;
     before: that first row of the group which the rows may go on with."""
     new = np.ones(len(a), bool)
@@ -82,14 +89,14 @@ def _later(a, s, ids, place, before):
         new[0] = False
     group = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
-    id0, start0 = ids[begin], place[begin] // _PACK
+    id0, start0 = ids[begin], place[begin] // pack
     if not new[0]:
         id0, start0, group = np.append(before[2], id0), np.append(before[3], start0), group + 1
     id0, start0 = id0[group], start0[group]
-    return (ids > id0) | ((ids == id0) & (place // _PACK > start0)), new
+    return (ids > id0) | ((ids == id0) & (place // pack > start0)), new
 
 
-def _flags(batches, edges: bool):
+def _flags(batches, edges: bool, pack: int):
     """Streams rows in order of (a, s, id, place). Yields (id, place, edge):
     repeated spans, and with ``edges`` the first row of each span whose anchor
     has several."""
@@ -100,7 +107,7 @@ def _flags(batches, edges: bool):
         out = [(ids[sure], -1 - place[sure], np.zeros(int(sure.sum()), bool))]
         a, s, ids, place = a[~sure], s[~sure], ids[~sure], place[~sure]
         if len(a):
-            later, new = _later(a, s, ids, place, before)
+            later, new = _later(a, s, ids, place, before, pack)
             out.append((ids[later], place[later], np.zeros(int(later.sum()), bool)))
             if edges:
                 at = np.flatnonzero(new)  # first rows of spans
@@ -122,19 +129,20 @@ def _flags(batches, edges: bool):
             begin = np.flatnonzero(new)
             if len(begin):
                 k = begin[-1]
-                before = (a[k], s[k], ids[k], place[k] // _PACK)
+                before = (a[k], s[k], ids[k], place[k] // pack)
         ids, place, edge = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(edge)], ["id", "place", "edge"])
 
 
-def _repeats(rows: DataFrame, edges: bool) -> DataFrame:
+def _repeats(rows: DataFrame, edges: bool, pack: int) -> DataFrame:
     dealt = rows.repartition("a").sortWithinPartitions("a", "s", "id", "place")
-    return dealt.mapInArrow(lambda batches: _flags(batches, edges), "id long, place long, edge boolean")
+    return dealt.mapInArrow(lambda batches: _flags(batches, edges, pack), "id long, place long, edge boolean")
 
 
 def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """texts: (id, text). Returns (id, places array<long>): packed runs of
     windows of the text that also start earlier."""
+    pack = packing(window, gram)
 
     def seeds(batches):
         for batch in batches:
@@ -144,11 +152,11 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             for i, j in groups_of(starts, ends):
                 _, _, (h,), first = words_of(values, starts[i:j], ends[i:j])
                 row, start, count, a, s = anchor_spans(h, first, window, gram)
-                parts.append((a.view(np.int64), s.view(np.int64), ids[i:j][row], start * _PACK + count - 1))
+                parts.append((a.view(np.int64), s.view(np.int64), ids[i:j][row], start * pack + count - 1))
             if parts:
-                yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*parts))), ["a", "s", "id", "place"])
+                yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*parts)), pack), ["a", "s", "id", "place"])
 
-    found = stored(_repeats(texts.mapInArrow(seeds, _SCHEMA), True), "substring-spans")
+    found = stored(_repeats(texts.mapInArrow(seeds, _SCHEMA), True, pack), "substring-spans")
     edges = found.filter("edge").groupBy("id").agg(F.collect_set("place").alias("places"))
 
     def windows(batches):
@@ -162,18 +170,18 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 here = places.slice(i, j - i)
                 flat = here.flatten().to_numpy()
                 row = np.repeat(np.arange(j - i), np.diff(np.asarray(here.offsets)))
-                start, count = flat // _PACK, flat % _PACK + 1
+                start, count = flat // pack, flat % pack + 1
                 each = np.repeat(np.arange(len(flat)), count)
                 start = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
                 at = start + first[row[each]]
                 fits = at + window <= first[row[each] + 1]
                 row, start, at = row[each][fits], start[fits], at[fits]
-                parts.append((span_hashes(h, at, at + window).view(np.int64), span_hashes(g, at, at + window).view(np.int64), ids[i:j][row], start * _PACK))
+                parts.append((span_hashes(h, at, at + window).view(np.int64), span_hashes(g, at, at + window).view(np.int64), ids[i:j][row], start * pack))
             if parts:
-                yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*parts))), ["a", "s", "id", "place"])
+                yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*parts)), pack), ["a", "s", "id", "place"])
 
     taken = texts.join(edges, "id").select("id", "text", "places").mapInArrow(windows, _SCHEMA)
-    every = found.filter("NOT edge").select("id", "place").unionByName(_repeats(taken, False).select("id", "place"))
+    every = found.filter("NOT edge").select("id", "place").unionByName(_repeats(taken, False, pack).select("id", "place"))
     return every.groupBy("id").agg(F.collect_set("place").alias("places"))
 
 
@@ -193,6 +201,7 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     an earlier one, and what is found in one is removed from all. An empty table
     gives no rows. Input columns called like a result column are replaced.
     """
+    pack = packing(window, gram)
     small_batches(docs.sparkSession)
     columns = [c for c in (columns or docs.columns) if c.lower() not in COLUMNS]
     texts = docs.select(id_of(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
@@ -214,9 +223,9 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
                 if places[i].is_valid:
                     flat = places[i].values.to_numpy()
                     edge = np.zeros(total + 1, np.int64)
-                    begin = np.minimum(flat // _PACK, total)
+                    begin = np.minimum(flat // pack, total)
                     np.add.at(edge, begin, 1)
-                    np.add.at(edge, np.minimum(begin + flat % _PACK + window, total), -1)
+                    np.add.at(edge, np.minimum(begin + flat % pack + window, total), -1)
                     covered = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
                     turns = np.flatnonzero(covered[1:] != covered[:-1]).tolist()
                     ranges = list(zip(turns[::2], turns[1::2]))
