@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, exact, licenses, lines, mixing, ngram_join, quality, substring, toxicity, urls
+from . import chat, decontam, exact, licenses, lines, mixing, ngram_join, quality, substring, toxicity, urls, whitening
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,15 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rule_table(spark, URL_RULES), columns=["page_id"])
 
 
+# ------------------------------------------------------ 11 embedding whitening
+@register()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(documents(spark, sf_dir, "embeddings"), columns=["vec_id"])
+    each = out.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "of"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", F.col("of.whitened").alias("whitened"),
+                       F.col("of.explained").alias("explained"), "identity_error")
+
+
 # ------------------------------------------------------------------ pipeline
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
