@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, exact, licenses, lines, mixing, ngram_join, quality, substring, toxicity, urls, whitening
+from . import chat, decontam, exact, licenses, lines, mixing, negatives, ngram_join, quality, substring, toxicity, urls, whitening
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,6 +207,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("of.explained").alias("explained"), "identity_error")
 
 
+# --------------------------------------------------- 12 hard-negative mining
+@register()
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings").filter(negatives.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), negatives.whole_numbers(F.col("embedding")).alias("vector"))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 # ------------------------------------------------------------------ pipeline
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

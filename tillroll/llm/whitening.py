@@ -204,13 +204,13 @@ def _take_in(width: int):
     return run
 
 
-def _combined(_key, batches):
+def _combined(_key, table):
     """Combines a group's spectra, in the order of their parts."""
-    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])
+    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
     state = Spectrum.of(rows[0])
     for r in rows[1:]:
         state.combine(Spectrum.of(r))
-    yield pa.RecordBatch.from_pylist([state.row(rows[0]["part"] // FAN_IN)], schema=_STATE_ARROW)
+    return pa.Table.from_pylist([state.row(rows[0]["part"] // FAN_IN)], schema=_STATE_ARROW)
 
 
 def spectrum(fit: DataFrame, width: int) -> Spectrum:
