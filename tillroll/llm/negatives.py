@@ -95,7 +95,7 @@ class CoverTree:
         n = len(members)
         if n <= LEAF or radius == 0:
             return None, level
-        most = 32 + n // 16
+        most = 16 + n // 128
         while True:
             level -= 1
             r = BASE**level
@@ -177,14 +177,15 @@ class Shard:
             if node not in scanned:
                 scanned[node] = (self.points[a:b] @ q).astype(np.int64)
             s, labels = scanned[node], self.order_label[a:b]
-            fits = labels == label if same else labels != label
-            if window:
-                fits = fits & (s >= low) & (s <= high)
+            floor = low if found is None or len(found[0]) < k else max(low, found[0][-1])
+            fits = (s >= floor) & (s <= high)
+            fits &= labels == label if same else labels != label
             if itself is not None:
-                fits = fits & ~((self.order_id[a:b] == itself[0]) & (self.order_mark[a:b] == itself[1]))
-            if found is not None and len(found[0]) == k:
-                fits = fits & (s >= found[0][-1])
+                fits &= (self.order_id[a:b] != itself[0]) | (self.order_mark[a:b] != itself[1])
             at = np.flatnonzero(fits)
+            if len(at) > 4 * k:  # ties with the k-th best stay
+                most_k = np.partition(s[at], len(at) - k)[len(at) - k]
+                at = at[s[at] >= most_k]
             if len(at):
                 found = _better(found, [s[at], self.order_id[a:b][at], labels[at], self.order_mark[a:b][at]], k)
         return found
