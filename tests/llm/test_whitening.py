@@ -74,11 +74,12 @@ def test_whitening_against_numpy(spark):
     check(sorted(got.collect(), key=lambda r: r["vec_id"]), v, 16)
 
 
-def test_spectra_of_many_tasks(spark):
+def test_spectra_of_many_tasks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = np.floor(rng.normal(size=(500, 10)) * 30).astype(np.int64) + SHIFT
-    fit = spark.createDataFrame([(r,) for r in x.tolist()], "v array<long>").repartition(70)
-    s = whitening.spectrum(fit, 10)  # 70, 9, 2 and 1 spectra
+    fit = spark.createDataFrame([(r,) for r in x.tolist()], "v array<long>").repartition(3)
+    monkeypatch.setattr(whitening, "TASK_ROWS", (5, 7))
+    s = whitening.spectrum(fit, 10)  # 72, 9, 2 and 1 spectra
     off = (x - SHIFT) - (x - SHIFT).mean(0)
     assert s.n == 500 and s.sums == x.sum(0).tolist()
     assert np.abs(s.vecs @ np.diag(s.vals) @ s.vecs.T - off.T @ off).max() < 1e-9 * np.trace(off.T @ off)

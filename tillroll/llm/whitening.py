@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .shared import in_arrow, named, stored, without
+from .shared import in_arrow, named, parallelism, stored, without
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 FAN_IN = 8
 IDENTITY = 1e-9  # largest error of the identity after which refinement stops
 ROUNDS = 4  # refinements at most
+TASK_ROWS = 1000, 100_000  # vectors a task takes in: no more tasks than the session has below the first, always more above the second
 RANK = 1e-12  # eigenvalues under this share of the trace count as zero
 OUTPUT = ("n", "deviation", "whitened", "explained", "identity_error")
 _EPS = np.finfo(float).eps
@@ -214,8 +215,14 @@ def _combined(_key, table):
 
 
 def spectrum(fit: DataFrame, width: int) -> Spectrum:
-    """The spectrum of a table with one column of whole-number vectors."""
-    states = stored(fit.mapInArrow(_take_in(width), STATE), "whitening-spectra")
+    """The spectrum of a table with one column of whole-number vectors.
+
+    A vector costs far more time than its bytes tell, so tasks are cut by rows:
+    the vectors, which are distinct, are dealt by hash."""
+    rows, (least, most) = fit.count(), TASK_ROWS
+    tasks = max(1, -(-rows // most), min(parallelism(fit.sparkSession), -(-rows // least)))
+    dealt = fit.repartition(tasks, *fit.columns)
+    states = stored(dealt.mapInArrow(_take_in(width), STATE), "whitening-spectra")
     while True:
         last = states.agg(F.max("part")).first()[0]
         if last is None:
