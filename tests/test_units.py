@@ -262,7 +262,12 @@ def test_every_file_is_reported_and_bad_rows_are_kept_apart(spark, tmp_path):
     (raw / "test_999_Tran.csv").write_text("2013-01-01|999|1000|1\n")
     (tmp_path / "c.csv").write_text("1|a\n")
     (tmp_path / "p.csv").write_text("1|1\n2|1\n")
-    wh, report = rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "out"))
+    from tillroll.plans.rebuild import InvalidLoad
+    with pytest.raises(InvalidLoad) as e:
+        rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "no"))
+    assert e.value.figures == {"rows": 3, "null_date": 1, "null_customer_id": 1, "null_products": 0}
+    assert not (tmp_path / "no" / "manifest").exists()
+    wh, report = rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "out"), on_invalid="reject")
     got = {r["source"].rsplit("/", 1)[1]: (r["accepted"], r["bad_dates"], r["bad_customer_ids"], r["missing_columns"]) for r in report.collect()}
     assert got == {"102_Tran.csv": (True, 1, 1, []), "103_Tran.csv": (False, 0, 0, ["products"]), "test_999_Tran.csv": (False, 0, 0, [])}
     assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()) == ["bad customer id", "bad date"]
@@ -272,6 +277,50 @@ def test_every_file_is_reported_and_bad_rows_are_kept_apart(spark, tmp_path):
         rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "out2"))
 
 
+def test_text_is_scanned_once(spark, tmp_path, monkeypatch):
+    """Every raw file is in one text scan of all plans that a rebuild runs."""
+    import re
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql.classic.dataframe import DataFrame
+    from tillroll.plans.rebuild import rebuild
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "102_Tran.csv").write_text("2013-01-01|102|1000|1 2\n2013-01-01|102|1|4\n")
+    (raw / "103_Tran.csv").write_text("date,store_id,customer_id,products\n2013-01-01,103,1,7\n")
+    (tmp_path / "c.csv").write_text("1|a\n")
+    (tmp_path / "p.csv").write_text("1|1\n2|1\n")
+    plans = []
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (noted(self._df), write(self, *a, **k))[1])
+    for name in ("collect", "count", "isEmpty", "toLocalIterator"):
+        run = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, f=run, **k: (noted(self), f(self, *a, **k))[1])
+    wh, report = rebuild(spark, str(raw), str(tmp_path / "c.csv"), str(tmp_path / "p.csv"), str(tmp_path / "out"))
+    assert report.count() == 2 and wh.fact().count() == 4
+    scans = [m for p in plans for m in re.findall(r"FileScan text .*?Location: [^\[]*\[(.*?)\]", p)]
+    assert len(plans) > 10 and len(scans) == 3, scans  # baskets, categories, relation
+    named = [n for s in scans for n in re.findall(r"[^/, ]+\.csv", s)]
+    assert len(named) == len(set(named)) and {"c.csv", "p.csv"} <= set(named)
+
+
+def test_catalogue_faults_reach_the_caller(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("1|A\nx|B\n|C\n2|D\n")
+    with pytest.raises(ValueError, match=r"c\.csv: ids that are not numbers \(2 rows\)"):
+        files.load_categories(spark, str(tmp_path / "c.csv"))
+    rows, rejected, report = files.read_catalogue(spark, str(tmp_path / "c.csv"), "categories")
+    assert _rows(rows, "category_id", "category_name") == [(1, "A"), (2, "D")]
+    assert _rows(rejected, "row_no", "category_id", "category_name") == [(1, "x", "B"), (2, "", "C")]
+    r = report.first()
+    assert (r["rows"], r["bad_rows"], r["accepted"]) == (4, 2, False)
+    (tmp_path / "s.csv").write_text("category_id,label\n1,A\n")
+    with pytest.raises(ValueError, match=r"columns missing or surplus \(category_name\)"):
+        files.load_categories(spark, str(tmp_path / "s.csv"))
+    (tmp_path / "p.csv").write_text("v.Code|Categoria\n1|2\nx|3\n4|\n")
+    rows, rejected, report = files.read_catalogue(spark, str(tmp_path / "p.csv"), "product_category")
+    assert _rows(rows, "product_id", "category_id") == [(1, 2)] and rejected.count() == 2 and report.first()["accepted"]
+
+
 def test_quality_of_coincident_centroids(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "cluster int, x array<double>")
     from tillroll.operators import segments

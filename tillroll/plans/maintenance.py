@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tillroll.operators import baskets, catalog, facts, kpis, quality
 from tillroll.plans import dashboard  # noqa: F401  (registers the customer_metrics oracle reused below)
 from tillroll.plans.oracle_sql import LINES, PRODUCT_METRICS, with_ctes
-from tillroll.plans.rebuild import append_batch, rebuild
+from tillroll.plans.rebuild import InvalidLoad, append_batch, rebuild
 from tillroll.plans.registry import ORACLES, comparable, register
 from tillroll.plans.warehouse import TABLES, Warehouse, testdata_warehouse, write_processed
 from tillroll.session import scratch_path
@@ -131,7 +131,7 @@ def q_sniff_format(spark, sf):
     kinds = [([f"{r['root']}/*_Tran.csv", f"{mixed['root']}/*_Tran.csv"], TRANSACTION_COLUMNS),
              ([r["categories"], r["categories_header"]], CATEGORY_COLUMNS),
              ([r["product_category"]], PRODUCT_CATEGORY_COLUMNS)]
-    fmt = reduce(DataFrame.unionByName, [files.sniff_format(files._lines(spark, p), columns) for p, columns in kinds])
+    fmt = reduce(DataFrame.unionByName, [files.sniff_format(files.land(spark, p), columns) for p, columns in kinds])
     src = F.concat(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1),
                    F.when(F.contains("file_path", F.lit("/raw-mixed-")), " mixed").otherwise(""))
     missing = F.when(F.size("missing_columns") > 0, F.array_join("missing_columns", "|"))
@@ -183,10 +183,66 @@ WHERE f.store_id IN (1, 4) AND NOT mx.bad_date AND NOT mx.bad_customer"""))
 def q_rebuild_mixed(spark, sf):
     """Fact rows of a rebuild of the mixed folder: quoted baskets whole, rejected files and rows left out."""
     r = testdata.mixed_files(spark, sf)
-    wh, _ = rebuild(spark, r["root"], r["categories"], r["product_category"], scratch_path(spark, "rebuild-mixed"))
+    wh, _ = rebuild(spark, r["root"], r["categories"], r["product_category"], scratch_path(spark, "rebuild-mixed"), on_invalid="reject")
     return wh.fact().select("date", "store_id", "customer_id", "product_id", "quantity", "category_id", "category_name")
 
 
+@register("load_valid", with_ctes(_ORDERS, select="""
+SELECT count(*) AS rows, 0::BIGINT AS null_date, 0::BIGINT AS null_customer_id, 0::BIGINT AS null_products, true AS published FROM ob"""))
+def q_load_valid(spark, sf):
+    """What a rebuild of whole files observes while it writes the fact."""
+    return _load_outcome(spark, _raw(spark, sf), "load-valid")
+
+
+@register("load_invalid", with_ctes(_MIXED, select="""
+SELECT count(*) AS rows, count(*) FILTER (WHERE bad_date) AS null_date, count(*) FILTER (WHERE bad_customer) AS null_customer_id,
+       0::BIGINT AS null_products, false AS published FROM mx WHERE store_id IN (1, 4)"""))
+def q_load_invalid(spark, sf):
+    """The same of the mixed folder: the load raises and nothing is published."""
+    return _load_outcome(spark, testdata.mixed_files(spark, sf), "load-invalid")
+
+
+def _load_outcome(spark, r, name):
+    root = scratch_path(spark, name)
+    try:
+        wh, report = rebuild(spark, r["root"], r["categories"], r["product_category"], root)
+        good = report.filter("accepted").agg(F.sum("rows").alias("rows"), F.sum("bad_dates").alias("null_date"), F.sum("bad_customer_ids").alias("null_customer_id"))
+        published = F.lit(Warehouse.open(spark, wh.root).fact().schema == wh.fact().schema)
+        return good.select("*", F.lit(0).cast("bigint").alias("null_products"), published.alias("published"))
+    except InvalidLoad as e:
+        return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in e.figures.items()], F.lit(False).alias("published"))
+
+
+_BAD_CATEGORIES = """
+SELECT 'categories.csv' AS file, count(*) AS rows, 0::BIGINT AS bad_rows, '' AS missing_columns, true AS accepted, CAST(NULL AS VARCHAR) AS reason FROM brands
+UNION ALL SELECT 'categories_bad.csv', count(*), count(*) FILTER (WHERE category_id % 10 = 3), '', false, 'ids that are not numbers' FROM brands
+UNION ALL SELECT 'categories_short.csv', 0, 0, 'category_name', false, 'columns missing or surplus'
+UNION ALL SELECT 'product_category_bad.csv', count(*), count(*) FILTER (WHERE p_size % 7 = 2), '', true, NULL FROM part"""
+
+
+@register("catalogue_report", with_ctes(_BRANDS, select=_BAD_CATEGORIES))
+def q_catalogue_report(spark, sf):
+    """Every catalogue file of the mixed folder with its faults."""
+    r = testdata.mixed_files(spark, sf)
+    reports = [files.read_catalogue(spark, r["root"] + "/categories*.csv", "categories")[2],
+               files.read_catalogue(spark, r["root"] + "/product_category_bad.csv", "product_category")[2]]
+    one = reports[0].unionByName(reports[1])
+    source = F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("file")  # a folder of part files is one upload
+    per = one.groupBy(source).agg(
+        F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing_columns")))), "|").alias("missing_columns"),
+        F.bool_and("accepted").alias("accepted"), F.min("reason").alias("reason"))
+    return per.select("file", "rows", "bad_rows", "missing_columns", "accepted", "reason")
+
+
+@register("catalogue_rejected", """
+SELECT 'x' || CAST(p_partkey AS VARCHAR) AS product_id, substr(p_brand, 7) AS category_id FROM part WHERE p_size % 7 = 2""")
+def q_catalogue_rejected(spark, sf):
+    """The catalogue lines that can't be used, as they were read."""
+    r = testdata.mixed_files(spark, sf)
+    return files.read_catalogue(spark, r["root"] + "/product_category_bad.csv", "product_category")[1].select("product_id", "category_id")
+
+
 # ---------------------------------------------------------------- validation
 
 @register("upload_stats", with_ctes(_ORDERS, select="""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tillroll.operators import catalog, quality
 from tillroll.operators.baskets import build_fact, expand_baskets, transaction_ids
 from tillroll.plans.warehouse import Warehouse, append_processed, write_processed
-from tillroll.session import written
 from tillroll.sources import files
 
 
@@ -20,30 +19,51 @@ def raw_batch(rows: DataFrame, batch: str | None = None) -> DataFrame:
                         "date", "store_id", "customer_id", "products")
 
 
+class InvalidLoad(ValueError):
+    """The transactions of a load are not whole; ``figures`` has the counts."""
+
+    def __init__(self, figures: dict):
+        self.figures = figures
+        super().__init__(f"{figures['null_date']} rows without a usable date, {figures['null_customer_id']} without a usable "
+                         f"customer id, {figures['null_products']} without products (of {figures['rows']})")
+
+
 def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category_path, out_root: str,
-            store_ids=None, with_integrity: bool = False):
+            store_ids=None, with_integrity: bool = False, on_invalid: str = "raise"):
     """Load (with the store gate), expand, enrich, add calendar, write the four
     processed tables. Returns the warehouse and the per-file gate report (and
     the integrity report of the loaded inputs when ``with_integrity``).
 
-    The text files are read once: accepted rows are stored in the shared folder.
+    Each text file is scanned once, into a landing table in the shared folder.
     Rows whose date or customer id does not parse are written to
     ``<out_root>/rejected`` and counted per file in the report; no accepted file
-    at all is an error."""
+    at all is an error. While the fact is written, the baskets that go into it
+    are counted; if some have no date, customer or products, the load is invalid
+    and raises InvalidLoad before anything is published, or with
+    ``on_invalid='reject'`` goes on without those rows. Should a lost executor
+    make Spark repeat part of the write, the figures may count rows twice, but a
+    figure is zero exactly if there are no such rows."""
+    if on_invalid not in ("raise", "reject"):
+        raise ValueError("on_invalid must be 'raise' or 'reject'")
     rows, report = files.load_transactions(spark, raw_dir, store_ids)
-    rows, report = written(rows, "loaded"), written(report, "gate")
     if report.filter("accepted").isEmpty():
         raise ValueError(f"no store file in {raw_dir} was accepted: "
                          + "; ".join(f"{r['source']}: {r['reason']}" for r in report.limit(10).collect()))
     files.rejected_rows(rows).write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/rejected")
-    typed = files.typed_transactions(rows)
-    raw = raw_batch(rows).filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
-    lines = expand_baskets(raw)
     cats = files.load_categories(spark, categories_path).drop("pos")
     pc = files.load_product_category(spark, product_category_path).drop("pos")
-    wh = write_processed(spark, build_fact(lines, pc, cats), out_root)
+    seen = Observation("load")
+    raw = raw_batch(rows.observe(seen, *files.load_figures()))
+    lines = expand_baskets(raw.filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull()))
+
+    def check():
+        figures = seen.get
+        if on_invalid == "raise" and figures["null_date"] + figures["null_customer_id"] + figures["null_products"]:
+            raise InvalidLoad(figures)
+
+    wh = write_processed(spark, build_fact(lines, pc, cats), out_root, check=check)
     if with_integrity:
-        return wh, report, quality.integrity_report(typed, pc, cats)
+        return wh, report, quality.integrity_report(files.typed_transactions(rows), pc, cats)
     return wh, report
 
 

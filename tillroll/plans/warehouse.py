@@ -15,6 +15,7 @@ is neither read nor written. A version's manifest is written last.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -119,11 +120,14 @@ def _write_metrics(wh: Warehouse) -> None:
 
 
 def write_processed(spark: SparkSession, fact: DataFrame, root: str,
-                    with_metrics: bool = True, batches=()) -> Warehouse:
+                    with_metrics: bool = True, batches=(), check: Callable[[], None] | None = None) -> Warehouse:
     """Write the fact (partitioned by year, month), then the states and metric
-    tables computed from the written fact."""
+    tables computed from the written fact. ``check`` is called once the fact is
+    written; if it raises, nothing is published."""
     wh = Warehouse(spark, root, batches=batches)
     _write_rows(wh, fact)
+    if check:
+        check()
     if with_metrics:
         _write_states(wh)
         _write_metrics(wh)

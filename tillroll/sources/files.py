@@ -1,30 +1,38 @@
 """Delimited basket and catalogue files.
 
-Files are read as text lines with their ``_metadata`` (path, split offset).
-Each file's first line decides its delimiter ('|' when present, else ',') and
-whether it is a header: it is data when all its cells are digits or when it
-names none of the required columns. Cells are then mapped to the required
+The text is scanned once, into a landing table: one row per line with its file,
+the split it was read in and its number there. Everything else reads columns of
+that table. Each file's first line decides its delimiter ('|' when present, else
+',') and whether it is a header: it is data when all its cells are digits or when
+it names none of the required columns. Cells are then mapped to the required
 columns by header position (or by order for headerless files). The per-file
 format table has one row per file, so it is the small side of its join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
+from tillroll.session import written
 
 STORE_FILE_PATTERN = r"(?:^|/)(\d+)_Tran\.csv(?:/|$)"
 # a store "file" may be a plain file or a directory of part files named like one
 SOURCE_PATTERN = r"^((?:.*/)?[^/]*_Tran\.csv)"
 
 
-def _lines(spark: SparkSession, paths) -> DataFrame:
+def land(spark: SparkSession, paths) -> DataFrame:
+    """The lines of text files as a stored table (file_path, block_start, pos,
+    value): the only scan of the text. ``block_start`` names the split a line was
+    read in, ``pos`` counts up within it. Being stored, the numbers are the same
+    for every reader, whatever splits a second scan of the text would have had."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return (spark.read.text(paths)
-                 .select("value", F.col("_metadata.file_path").alias("file_path"),
-                         F.col("_metadata.file_block_start").alias("block_start"),
-                         F.monotonically_increasing_id().alias("pos")))
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("pos"), "value")
+    return written(lines, "landing")
 
 
 def _unquote(cell):
@@ -43,12 +51,16 @@ def _split(value, delim):
     return F.when(F.contains(value, F.lit('"')), F.transform(at(outside), _unquote)).otherwise(at(""))
 
 
-def _splits(lines: DataFrame) -> DataFrame:
-    """One row per split of a file: its first line and that line's position, and
-    how many lines it has."""
-    return lines.groupBy("file_path", "block_start").agg(
-        F.min("pos").alias("first_pos"), F.min_by("value", "pos").alias("first_line"),
-        F.count(F.lit(1)).alias("n_lines"))
+def _splits(landed: DataFrame) -> DataFrame:
+    """One row per split of a file: the position of its first line and how many
+    lines it has. Reads three narrow columns of the landing table."""
+    return landed.groupBy("file_path", "block_start").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def _first_lines(landed: DataFrame) -> DataFrame:
+    """Each file's first line: only row groups that hold a file's first split are read."""
+    return landed.filter(F.col("block_start") == 0).groupBy("file_path").agg(
+        F.min("pos").alias("first_pos"), F.min_by("value", "pos").alias("first_line"))
 
 
 def _lines_before(splits: DataFrame) -> DataFrame:
@@ -60,14 +72,10 @@ def _lines_before(splits: DataFrame) -> DataFrame:
                          (F.sum("n_lines").over(w) - F.col("n_lines")).alias("lines_before"))
 
 
-def sniff_format(lines: DataFrame, required: list[str]) -> DataFrame:
+def sniff_format(landed: DataFrame, required: list[str]) -> DataFrame:
     """One row per file: delimiter, has_header, header cells, column count,
     missing required columns and whether the layout is usable."""
-    return _sniff(_splits(lines), required)
-
-
-def _sniff(splits: DataFrame, required: list[str]) -> DataFrame:
-    first = splits.filter(F.col("block_start") == 0).select("file_path", "first_line", "first_pos")
+    first = _first_lines(landed)
     delim = F.when(F.col("first_line").contains("|"), F.lit("|")).otherwise(F.lit(","))
     first = first.select("*", delim.alias("delimiter"))
     cells = F.transform(_split(F.col("first_line"), F.col("delimiter")), lambda c: F.trim(c))
@@ -87,14 +95,14 @@ def read_delimited(spark: SparkSession, paths, required: list[str]) -> tuple[Dat
     source, from 0, whatever the read splits) and the required columns as
     strings, from files whose layout is usable; blank lines are skipped.
 
-    One pass over the text gives a row per split, from which both the layouts
-    and the line numbers follow; the lines themselves are not sorted."""
-    lines = _lines(spark, paths)
-    splits = _splits(lines)
-    fmt = _sniff(splits, required)
+    The text is landed first; a row per split gives the line numbers and a row per
+    file the layouts, so the lines themselves are not sorted."""
+    landed = land(spark, paths)
+    splits = _splits(landed)
+    fmt = sniff_format(landed, required)
     layout = _lines_before(splits).join(
         fmt.filter("ok").select("file_path", "first_pos", "delimiter", "has_header", "header"), "file_path")
-    j = lines.join(layout, ["file_path", "block_start"])
+    j = landed.join(layout, ["file_path", "block_start"])
     j = j.filter(~(F.col("has_header") & (F.col("pos") == F.col("first_pos"))) & (F.trim("value") != ""))
     cells = _split(F.col("value"), F.col("delimiter"))
     cols = []
@@ -117,7 +125,11 @@ def load_transactions(spark: SparkSession, raw_dir: str, store_ids=None) -> tupl
     ``<number>_Tran.csv`` and every row's store_id equals that number. The report
     has one row for every file found, with the reason of a rejection and the
     counts of rows whose date or customer id does not parse. Rows keep their
-    text; ``typed_transactions`` converts them.
+    text and say in ``problem`` why they can't be used, if so;
+    ``typed_transactions`` converts them.
+
+    The landed lines are cut into cells once and stored; the report reads the
+    flags of that table, not the cells.
     """
     rows, fmt = read_delimited(spark, f"{raw_dir.rstrip('/')}/*_Tran.csv", TRANSACTION_COLUMNS)
     rows, found = (df.select("*", store_of_file().alias("file_store"),
@@ -126,11 +138,14 @@ def load_transactions(spark: SparkSession, raw_dir: str, store_ids=None) -> tupl
         wanted = F.col("file_store").isin([str(s) for s in store_ids])
         rows, found = rows.filter(wanted), found.filter(wanted)
     store = F.trim("store_id").try_cast("int")
+    foreign = store.isNull() | ~store.eqNullSafe(F.col("file_store").try_cast("int"))
     bad_date, bad_customer = _unparsable()
+    problem = F.when(bad_date, "bad date").when(bad_customer, "bad customer id")
+    rows = written(rows.select("*", foreign.alias("foreign"), bad_date.alias("bad_date"), bad_customer.alias("bad_customer"),
+                               problem.alias("problem")), "loaded")
     per_file = rows.groupBy("source").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(store.isNull() | ~store.eqNullSafe(F.col("file_store").try_cast("int"))).alias("foreign_rows"),
-        F.count_if(bad_date).alias("bad_dates"), F.count_if(bad_customer).alias("bad_customer_ids"))
+        F.count(F.lit(1)).alias("rows"), F.count_if("foreign").alias("foreign_rows"),
+        F.count_if("bad_date").alias("bad_dates"), F.count_if("bad_customer").alias("bad_customer_ids"))
     layouts = found.groupBy("source", "file_store").agg(
         F.bool_and("ok").alias("layout_ok"),
         F.array_distinct(F.flatten(F.collect_set("missing_columns"))).alias("missing_columns"))
@@ -140,9 +155,9 @@ def load_transactions(spark: SparkSession, raw_dir: str, store_ids=None) -> tupl
     reason = (F.when(F.col("file_store") == "", "file name has no store number of its own")
                .when(~F.col("layout_ok"), "columns missing or surplus")
                .when(F.col("foreign_rows") > 0, "rows of another store"))
-    report = report.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    report = written(report.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()), "gate")
     good = report.filter("accepted").select("source")
-    return rows.join(good, "source", "left_semi"), report
+    return rows.drop("foreign", "bad_date", "bad_customer").join(good, "source", "left_semi"), report
 
 
 def _unparsable():
@@ -150,11 +165,17 @@ def _unparsable():
     return (F.try_to_date(F.trim("date"), "yyyy-M-d").isNull(), F.trim("customer_id").try_cast("bigint").isNull())
 
 
+def load_figures() -> list:
+    """Aggregates over loaded text rows that tell whether they are whole: what a
+    load observes while it writes (see ``quality.integrity_report``)."""
+    bad_date, bad_customer = _unparsable()
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(bad_date).alias("null_date"),
+            F.count_if(bad_customer).alias("null_customer_id"), F.count_if(F.col("products").isNull()).alias("null_products")]
+
+
 def rejected_rows(rows: DataFrame) -> DataFrame:
     """Rows of accepted files that can't be used, as they were read, with the reason."""
-    bad_date, bad_customer = _unparsable()
-    reason = F.when(bad_date, "bad date").when(bad_customer, "bad customer id")
-    return rows.select("file_path", "row_no", "date", "store_id", "customer_id", "products", reason.alias("reason")) \
+    return rows.select("file_path", "row_no", "date", "store_id", "customer_id", "products", F.col("problem").alias("reason")) \
                .filter(F.col("reason").isNotNull())
 
 
@@ -174,21 +195,61 @@ def preview(rows: DataFrame, source: str, n: int = 10) -> DataFrame:
                 .select("date", "store_id", "customer_id", "products"))
 
 
+def read_catalogue(spark: SparkSession, paths, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, rejected, report) of catalogue files of a kind in ``CATALOGUES``.
+
+    rows are typed, with ``pos`` (duplicate keys are kept). rejected holds the
+    lines whose ids don't parse, as they were read. The report has one row per
+    file: its layout, its missing columns, how many rows it has and how many of
+    them are rejected, and why the file is not accepted: its columns, or bad ids
+    in a catalogue of which every row must be usable."""
+    columns, bad_ids_refuse = CATALOGUES[kind]
+    rows, fmt = read_delimited(spark, paths, list(columns))
+    cells = [F.trim(c) if t == "string" else F.trim(c).try_cast(t) for c, t in columns.items()]
+    bad = reduce(lambda a, b: a | b, [v.isNull() for v, t in zip(cells, columns.values(), strict=True) if t != "string"])
+    if kind == "product_category":  # a header of its own, which names no column
+        rows = rows.filter(~F.startswith(F.lower(F.trim(F.coalesce("product_id", F.lit("")))), F.lit("v.code")))
+    rows = written(rows.select("file_path", "row_no", "pos", F.struct(*columns).alias("read"), bad.alias("bad"),
+                               *[v.alias(c) for v, c in zip(cells, columns, strict=True)]), f"catalogue-{kind}")
+    counts = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"), F.count_if("bad").alias("bad_rows"))
+    report = fmt.join(counts, "file_path", "left").select(
+        "file_path", "has_header", "n_columns", "missing_columns", F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"), F.col("ok").alias("layout_ok"))
+    reason = F.when(~F.col("layout_ok"), "columns missing or surplus")
+    if bad_ids_refuse:
+        reason = reason.when(F.col("bad_rows") > 0, "ids that are not numbers")
+    report = report.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    return rows.filter(~F.col("bad")).select("pos", *columns), rows.filter("bad").select("file_path", "row_no", "read.*"), report
+
+
+#: columns and types of each kind; whether one bad id refuses the whole file
+CATALOGUES = {
+    "categories": (dict(zip(CATEGORY_COLUMNS, ("int", "string"), strict=True)), True),
+    "product_category": (dict(zip(PRODUCT_CATEGORY_COLUMNS, ("bigint", "int"), strict=True)), False),
+}
+
+
+def _accepted_rows(spark: SparkSession, paths, kind: str) -> DataFrame:
+    rows, _, report = read_catalogue(spark, paths, kind)
+    faults = report.filter(~F.col("accepted")).orderBy("file_path").limit(10).collect()
+    if faults:
+        raise ValueError(f"{kind}: " + "; ".join(
+            f"{r['file_path']}: {r['reason']}" + (f" ({', '.join(r['missing_columns'])})" if r["missing_columns"] else "")
+            + (f" ({r['bad_rows']} rows)" if r["bad_rows"] else "") for r in faults))
+    return rows
+
+
 def load_categories(spark: SparkSession, paths) -> DataFrame:
-    """category_id int, category_name trimmed; rows with an unparsable id dropped."""
-    rows, _ = read_delimited(spark, paths, CATEGORY_COLUMNS)
-    return rows.select("pos", F.trim("category_id").try_cast("int").alias("category_id"),
-                       F.trim("category_name").alias("category_name")) \
-               .filter(F.col("category_id").isNotNull())
+    """category_id int, category_name trimmed. A file whose columns are wrong, or
+    with an id that is not a number, is a ValueError that names it."""
+    return _accepted_rows(spark, paths, "categories")
 
 
 def load_product_category(spark: SparkSession, paths) -> DataFrame:
     """product_id bigint, category_id int; a 'v.Code' header line and rows with
-    a non-numeric cell are dropped. Duplicate products are kept."""
-    rows, _ = read_delimited(spark, paths, PRODUCT_CATEGORY_COLUMNS)
-    out = rows.filter(~F.lower(F.trim("product_id")).startswith("v.code"))
-    return out.select("pos", F.trim("product_id").try_cast("bigint").alias("product_id"),
-                      F.trim("category_id").try_cast("int").alias("category_id")).dropna()
+    a non-numeric cell are left out (``read_catalogue`` counts and returns them).
+    Duplicate products are kept. Wrong columns are a ValueError."""
+    return _accepted_rows(spark, paths, "product_category")
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = False) -> None:

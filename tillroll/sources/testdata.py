@@ -141,6 +141,14 @@ def _write_mixed_files(spark: SparkSession, sf_dir: str, root: str) -> dict:
     cats = categories(spark, sf_dir).select("category_id", F.concat(F.lit("Brand, "), F.col("category_id").cast("string")).alias("category_name"))
     write_delimited(cats, f"{root}/categories.csv", sep=",", header=True)
     write_delimited(product_category(spark, sf_dir), f"{root}/product_category.csv", sep=",", header=True)
+    # uploads with faults: ids that are no numbers, a missing column
+    wrong = F.when(F.col("category_id") % 10 == 3, F.concat(F.lit("x"), F.col("category_id").cast("string"))).otherwise(F.col("category_id").cast("string"))
+    write_delimited(cats.select(wrong.alias("category_id"), "category_name"), f"{root}/categories_bad.csv", sep=",", header=True)
+    write_delimited(cats.select("category_id", F.col("category_name").alias("label")), f"{root}/categories_short.csv", sep=",", header=True)
+    part = table(spark, sf_dir, "part")
+    number = F.col("p_partkey").cast("string")
+    write_delimited(part.select(F.when(F.col("p_size") % 7 == 2, F.concat(F.lit("x"), number)).otherwise(number).alias("product_id"),
+                                F.substring("p_brand", 7, 10).alias("category_id")), f"{root}/product_category_bad.csv", sep=",", header=True)
     return {"root": root, "categories": f"{root}/categories.csv", "product_category": f"{root}/product_category.csv"}
 
 
