@@ -1,8 +1,15 @@
 """User-based collaborative filtering on sparse customer x product quantities.
 
-Nothing is pivoted: the interaction table stays in long form and similarity is
-computed only between the requested target customers and the customers that
-share at least one product with them (a join on product, then a sum per pair).
+Nothing is pivoted: the interaction table stays in long form. For targets that
+are a table of any size, similarity above a bound goes through an inverted index
+of vector prefixes. Products are ordered by rarity; a vector's suffix are its
+most popular products that together have a length below the bound. Two vectors
+that share suffix products only can't reach the bound, so pairs are formed from
+prefix products alone, and best-sellers mostly lie in suffixes (Bayardo, Ma and
+Srikant 2007). A pair whose prefix products can't reach the bound with the
+lengths of both suffixes goes next, and only the rest looks up its suffix
+products. Products of many customers are dealt to a grid of salts, so no join key
+has more than ``PER_KEY`` rows on either side.
 """
 
 from __future__ import annotations
@@ -11,10 +18,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.numeric import round_half_even
 from tillroll.functions.text import product_name
+from tillroll.session import written
 
 TOP_N = 10
 TOP_K_SIMILAR = 1000
 MIN_SIMILARITY = 0.1
+PER_KEY = 100_000  # rows of one join key, on either side
 
 
 def customer_item(fact: DataFrame) -> DataFrame:
@@ -32,29 +41,61 @@ def _own(ci: DataFrame, targets: DataFrame) -> DataFrame:
     return ci.join(targets.select(F.col("target_id").alias("customer_id")).distinct(), "customer_id", "left_semi")
 
 
+def prefix_index(ci: DataFrame, targets: DataFrame, norms: DataFrame, min_similarity: float) -> DataFrame:
+    """The interaction table as unit vectors, stored: (customer_id, product_id,
+    weight, is_target, in_prefix, rest: the suffix's length, buyers, target_buyers:
+    customers and targets who have the product).
+
+    A window over a customer's own products; no product's rows meet in a task."""
+    chosen = targets.select(F.col("target_id").alias("customer_id")).distinct().withColumn("is_target", F.lit(True))
+    rows = ci.join(norms, "customer_id").join(chosen, "customer_id", "left").filter("norm > 0").select(
+        "customer_id", "product_id", (F.col("quantity") / F.col("norm")).alias("weight"), F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    rows = written(rows, "cf-vectors")
+    counts = rows.groupBy("product_id").agg(F.count(F.lit(1)).alias("buyers"), F.count_if("is_target").alias("target_buyers"))
+    popular = Window.partitionBy("customer_id").orderBy(F.desc("buyers"), "product_id").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.sum(F.col("weight") * F.col("weight")).over(popular)
+    # a little under the bound, so that rounding never moves a product out of the prefix
+    within = so_far < F.lit(min_similarity * min_similarity * (1 - 1e-9))
+    out = rows.join(counts, "product_id").withColumn("in_prefix", ~within)
+    rest = F.sum(F.when(~F.col("in_prefix"), F.col("weight") * F.col("weight")).otherwise(0.0)).over(Window.partitionBy("customer_id"))
+    return written(out.withColumn("rest", F.sqrt(rest)), "cf-index")
+
+
 def customer_similarity(ci: DataFrame, targets: DataFrame, norms: DataFrame | None = None,
                         min_similarity: float | None = None) -> DataFrame:
     """Cosine similarity of each target to every other customer sharing a product.
 
-    ``targets`` has a ``target_id`` column and is meant as a batch (a page, a
-    campaign). The target vectors (one row per target and product) are the small
-    side of the product join; the join streams the interaction table and each
-    (target, customer) dot product is pre-aggregated map-side before its shuffle.
-    Customers with no shared product have similarity 0 and are not emitted, nor
-    are those below ``min_similarity``. ``norms`` may pass the stored lengths.
+    ``targets`` has a ``target_id`` column and any number of rows. With
+    ``min_similarity`` only pairs that reach it are returned, and only pairs that
+    share a prefix product are formed; without it every pair that shares a product
+    is. Products of the two prefixes are summed by pair with map-side combine.
+    ``norms`` may pass the stored lengths.
     """
-    tv = _own(ci, targets).select(F.col("customer_id").alias("target_id"), "product_id",
-                                  F.col("quantity").alias("target_quantity"))
-    dots = (ci.join(tv, "product_id")
-              .filter(F.col("customer_id") != F.col("target_id"))
-              .groupBy("target_id", "customer_id")
-              .agg(F.sum(F.col("quantity") * F.col("target_quantity")).alias("dot")))
-    norms = customer_norms(ci) if norms is None else norms
-    tnorms = _own(norms, targets).select(F.col("customer_id").alias("target_id"), F.col("norm").alias("target_norm"))
-    out = (dots.join(norms, "customer_id").join(tnorms, "target_id")
-               .select("target_id", "customer_id",
-                       (F.col("dot") / (F.col("norm") * F.col("target_norm"))).alias("similarity")))
-    return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
+    bound = min_similarity or 0.0
+    index = prefix_index(ci, targets, customer_norms(ci) if norms is None else norms, bound)
+    cells = F.ceil(F.col("buyers") / PER_KEY).cast("int")
+    target_cells = F.greatest(F.ceil(F.col("target_buyers") / PER_KEY), F.lit(1)).cast("int")
+    cell = lambda n: F.pmod(F.xxhash64("customer_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    front = index.filter("in_prefix AND target_buyers > 0")
+    left = front.filter("is_target").select(
+        F.col("customer_id").alias("target_id"), F.col("product_id").alias("p"), F.col("weight").alias("target_weight"), F.col("rest").alias("target_rest"),
+        cell(target_cells).alias("tc"), cells.alias("cells")).select("*", each(F.col("cells")).alias("c")).drop("cells")
+    right = front.select("customer_id", F.col("product_id").alias("p"), "weight", "rest", cell(cells).alias("c"), each(target_cells).alias("tc"))
+    pairs = (left.join(right, ["p", "c", "tc"]).filter(F.col("customer_id") != F.col("target_id"))
+                 .groupBy("target_id", "customer_id")
+                 .agg(F.sum(F.col("weight") * F.col("target_weight")).alias("dot"), F.max("rest").alias("rest"), F.max("target_rest").alias("target_rest")))
+    if not bound:
+        return pairs.select("target_id", "customer_id", F.col("dot").alias("similarity"))
+    pairs = written(pairs.filter(F.col("dot") + F.col("rest") + F.col("target_rest") >= bound * (1 - 1e-9)).select("target_id", "customer_id", "dot"), "cf-pairs")
+    # shared products that lie in a suffix of either
+    own = index.filter("is_target").select(F.col("customer_id").alias("target_id"), "product_id", F.col("weight").alias("target_weight"), F.col("in_prefix").alias("target_prefix"))
+    other = index.select("customer_id", "product_id", "weight", "in_prefix")
+    late = pairs.join(own.filter("NOT target_prefix"), "target_id").join(other, ["customer_id", "product_id"])
+    early = pairs.join(other.filter("NOT in_prefix"), "customer_id").join(own.filter("target_prefix"), ["target_id", "product_id"])
+    more = [x.select("target_id", "customer_id", (F.col("weight") * F.col("target_weight")).alias("dot")) for x in (late, early)]
+    whole = pairs.unionByName(more[0]).unionByName(more[1]).groupBy("target_id", "customer_id").agg(F.sum("dot").alias("similarity"))
+    return whole.filter(F.col("similarity") >= min_similarity)
 
 
 def similar_customers(similarity: DataFrame, top_k: int = TOP_K_SIMILAR,

@@ -10,7 +10,7 @@ from tillroll.plans.registry import ORACLES, comparable, register
 from tillroll.plans.warehouse import testdata_warehouse
 from tillroll.sources import testdata
 
-N_TARGETS = 5  # recommendations are made for the most active customers
+TARGET_STEP = 20  # searches are made for every customer whose id is divisible by it
 
 
 def _fact(spark, sf):
@@ -18,16 +18,19 @@ def _fact(spark, sf):
 
 
 def _targets(spark, sf):
-    """The N_TARGETS customers with most transactions (ties by id)."""
     cm = testdata_warehouse(spark, sf).customer_metrics()
-    return (cm.orderBy(F.desc("frequency"), "customer_id")
-            .limit(N_TARGETS).select(F.col("customer_id").alias("target_id")))
+    return cm.filter(F.col("customer_id") % TARGET_STEP == 0).select(F.col("customer_id").alias("target_id"))
+
+
+def _similarity(spark, sf):
+    wh = testdata_warehouse(spark, sf)
+    return cf.customer_similarity(wh.customer_item(), _targets(spark, sf), wh.customer_norms(), cf.MIN_SIMILARITY)
 
 
 _CF = f"""
 ci AS (SELECT customer_id, product_id, CAST(sum(quantity) AS BIGINT) AS quantity FROM fact GROUP BY 1, 2),
 norms AS (SELECT customer_id, sqrt(sum(quantity * quantity)) AS norm FROM ci GROUP BY 1),
-targets AS (SELECT customer_id AS target_id FROM cm ORDER BY frequency DESC, customer_id LIMIT {N_TARGETS}),
+targets AS (SELECT customer_id AS target_id FROM cm WHERE customer_id % {TARGET_STEP} = 0),
 tv AS (SELECT t.target_id, ci.product_id, ci.quantity AS tq FROM targets t JOIN ci ON ci.customer_id = t.target_id),
 dots AS (SELECT tv.target_id, ci.customer_id, sum(ci.quantity * tv.tq) AS dot
          FROM tv JOIN ci ON ci.product_id = tv.product_id WHERE ci.customer_id <> tv.target_id GROUP BY 1, 2),
@@ -43,19 +46,16 @@ def q_customer_item(spark, sf):
     return cf.customer_item(_fact(spark, sf))
 
 
-@register("customer_similarity", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
-SELECT target_id, customer_id, round(similarity, 6) AS similarity FROM sim"""))
+@register("customer_similarity", with_ctes(LINES, CUSTOMER_METRICS, _CF, select=f"""
+SELECT target_id, customer_id, round(similarity, 6) AS similarity FROM sim WHERE similarity >= {cf.MIN_SIMILARITY}"""))
 def q_customer_similarity(spark, sf):
-    wh = testdata_warehouse(spark, sf)
-    return comparable(cf.customer_similarity(wh.customer_item(), _targets(spark, sf), wh.customer_norms()))
+    return comparable(_similarity(spark, sf))
 
 
 @register("similar_customers", with_ctes(LINES, CUSTOMER_METRICS, _CF, select="""
 SELECT target_id, customer_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM nb"""))
 def q_similar_customers(spark, sf):
-    wh = testdata_warehouse(spark, sf)
-    return comparable(cf.similar_customers(
-        cf.customer_similarity(wh.customer_item(), _targets(spark, sf), wh.customer_norms())))
+    return comparable(cf.similar_customers(_similarity(spark, sf)))
 
 
 @register("customer_recommendations", with_ctes(LINES, CUSTOMER_METRICS, _CF, f"""
