@@ -365,6 +365,110 @@ def test_appended_version_equals_a_full_rebuild(spark, tmp_path):
         assert sorted(map(str, getattr(whole, name)().collect())) == sorted(map(str, direct.collect())), name
 
 
+def _batches(spark):
+    schema = "transaction_id string, date date, store_id int, customer_id long, products string"
+    old = [(f"o{i}", dt.date(2013, 1, 1 + i % 28), 102 + i % 2, i % 40, f"{i % 7} {i % 11} 3") for i in range(200)]
+    pc = spark.createDataFrame([(i, i % 4) for i in range(11)], "product_id long, category_id int")
+    cats = spark.createDataFrame([(i, f"C{i}") for i in range(3)], "category_id int, category_name string")
+    return schema, old, pc, cats
+
+
+def test_append_rewrites_touched_buckets_only(spark, tmp_path):
+    from tillroll.plans.rebuild import append_batch
+    from tillroll.plans.warehouse import write_processed
+    schema, old, pc, cats = _batches(spark)
+    raw = lambda rows: spark.createDataFrame(rows, schema)
+    first = write_processed(spark, catalog.batch_fact(raw(old), pc, cats), str(tmp_path / "v1"))
+    files = lambda root: {p: p.stat().st_mtime_ns for p in (tmp_path / root).rglob("*") if p.is_file()}
+    before = files("v1")
+    new = [("n1", dt.date(2013, 2, 1), 102, 5, "1 1 2"), ("n2", dt.date(2013, 2, 1), 102, 5, "3")]
+    second = append_batch(spark, first, raw(new), pc, cats, str(tmp_path / "v2"))
+    assert files("v1") == before  # the older version stays as it was
+    for name in ("customer_item", "customer_visits", "customer_totals"):
+        moved = {b for b, root in second.states[name].items() if root == second.root}
+        assert moved == second.buckets_of(raw(new), "customer_id") and len(moved) == 1 < len(second.states[name])
+        assert {int(p.name[7:]) for p in (tmp_path / "v2" / name).glob("bucket=*")} == moved
+    whole = write_processed(spark, catalog.batch_fact(raw(old + new), pc, cats), str(tmp_path / "all"), buckets=3)
+    for name in second.states:
+        assert sorted(map(str, second.state(name).collect())) == sorted(map(str, whole.state(name).collect())), name
+    assert second.rows == whole.rows
+
+
+def test_batch_with_stored_or_repeated_ids(spark, tmp_path):
+    from tillroll.plans.rebuild import append_batch
+    from tillroll.plans.warehouse import KnownTransactions, write_processed
+    schema, old, pc, cats = _batches(spark)
+    raw = lambda rows: spark.createDataFrame(rows, schema)
+    first = write_processed(spark, catalog.batch_fact(raw(old), pc, cats), str(tmp_path / "v1"))
+    new = [("n1", dt.date(2013, 2, 1), 102, 5, "1 1 2")]
+    with pytest.raises(KnownTransactions) as e:
+        append_batch(spark, first, raw(old[:30] + new), pc, cats, str(tmp_path / "v2"))
+    assert e.value.n == 30 and not (tmp_path / "v2" / "manifest").exists()
+    with pytest.raises(KnownTransactions, match="several baskets"):
+        append_batch(spark, first, raw(new + new), pc, cats, str(tmp_path / "v3"))
+    second = append_batch(spark, first, raw(old[:30] + new), pc, cats, str(tmp_path / "v4"), on_known="skip")
+    whole = write_processed(spark, catalog.batch_fact(raw(old + new), pc, cats), str(tmp_path / "all"))
+    assert second.rows == whole.rows
+    assert sorted(map(str, second.customer_metrics().collect())) == sorted(map(str, whole.customer_metrics().select(*second.customer_metrics().columns).collect()))
+
+
+def test_known_keys_and_the_filters_bound(spark, monkeypatch):
+    from tillroll.operators import known
+    stored = spark.range(5000).select(F.concat(F.lit("t"), "id").alias("k"))
+    batch = spark.range(4990, 5400).select(F.concat(F.lit("t"), "id").alias("k")).unionByName(spark.createDataFrame([(None,), ("t1",), ("t1",)], "k string"))
+    want = sorted([f"t{i}" for i in range(4990, 5000)] + ["t1"])
+    assert sorted(r["k"] for r in known.known_keys(batch, stored, "k").collect()) == want
+    pages, bits = known.bloom_filter(batch, "k", 411)
+    through = stored.withColumn("p", pages.scalar()).filter(known.may_hold(F.col("p"), bits, F.col("k"))).count()
+    assert 11 <= through < 100  # most stored ids are not joined
+    monkeypatch.setattr(known, "MOST_BYTES", 10)
+    assert known.bloom_filter(batch, "k", 411) is None
+    assert sorted(r["k"] for r in known.known_keys(batch, stored, "k").collect()) == want
+    assert known.known_keys(batch.limit(0), stored, "k").count() == 0
+
+
+def test_bitmaps_count_distinct_ids(spark):
+    from tillroll.operators import members
+    rows = [(d, s, c, p, k) for d in range(3) for s in (1, None) for c in (0, 1, -5, 40_000, None, 2**40) for p in (7, 8) for k in (1, None)]
+    f = spark.createDataFrame(rows, "date int, store_id int, customer_id long, product_id long, category_id int")
+    m = members.pages(f, ["date", "store_id"]).unionByName(members.pages(f.filter("date = 1"), ["date", "store_id"]))
+    got = {r["store_id"]: r["n"] for r in members.count_members(m, ["store_id"], "customer", "n").collect()}
+    assert got == {1: 5, None: 5}
+    assert spark.range(1).select(members.count_all(m, "product"), members.count_all(m, "category")).first()[:] == (2, 1)
+    assert spark.range(1).select(members.count_all(m.limit(0), "product")).first()[0] == 0
+
+
+def test_change_report_classes(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (3, None), (5, None), (None, "m")], "k int, v string")
+    got = {r["k"]: (r["change"], r["old_v"], r["new_v"]) for r in catalog.change_report(old, new, "k").collect()}
+    assert got == {1: ("unchanged", "a", "a"), 2: ("changed", "b", "B"), 3: ("unchanged", None, None), 4: ("removed", "d", None),
+                   5: ("added", None, None), None: ("changed", "n", "m")}
+    counts = catalog.change_counts(catalog.change_report(old, new, "k")).first()
+    assert counts.asDict() == {"added": 1, "changed": 2, "removed": 1, "unchanged": 2}
+
+
+def test_lookups_open_their_buckets_only(spark, tmp_path):
+    import re
+    from tillroll.operators import kpis
+    from tillroll.plans.warehouse import write_processed
+    schema, old, pc, cats = _batches(spark)
+    wh = write_processed(spark, catalog.batch_fact(spark.createDataFrame(old, schema), pc, cats), str(tmp_path / "v1"))
+    ids = spark.createDataFrame([(5,), (999,)], "customer_id long")
+    out = wh.customer_statistics(ids)
+    opened = set(re.findall(r"/(\w+/bucket=\d+)/", " ".join(out.inputFiles())))
+    assert opened and {o.split("=")[1] for o in opened} <= {str(b) for b in wh.buckets_of(ids, "customer_id")}
+    every = kpis.customer_statistics(wh.fact())
+    assert out.collect() == every.filter("customer_id = 5").collect()
+    assert sorted(map(str, wh.customer_statistics().collect())) == sorted(map(str, every.collect()))
+    # no Expand and no fact in the stored figures
+    for df in (wh.customer_statistics(), kpis.category_performance_stored(wh.state("category_totals"), wh.state("category_members")),
+               kpis.store_performance_stored(wh.transaction_metrics(), wh.state("day_members")),
+               catalog.data_status_stored(wh.state("category_totals"), wh.state("day_members"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "transactions_expanded" not in plan
+
+
 def test_quantiles_match_percentile(spark):
     from tillroll.operators.quantiles import quantiles
     df = spark.range(500).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3).alias("g"),

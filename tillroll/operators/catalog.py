@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillroll.operators import facts
 from tillroll.operators.baskets import build_fact, expand_baskets
+from tillroll.operators.members import count_all
 
 
 def undefined_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -88,6 +89,46 @@ def append_summary(existing_fact: DataFrame, new_fact: DataFrame) -> DataFrame:
                    .select("*", fresh_c.alias("new_customers"), fresh_p.alias("new_products"))
 
 
+def append_summary_stored(customers: DataFrame, products: DataFrame, new_fact: DataFrame) -> DataFrame:
+    """``append_summary`` against stored keys: tables with a row per customer and
+    per product. The older fact is not read, and only the upload's distinct keys
+    are looked up."""
+    new_c, new_p = (new_fact.select(c).filter(F.col(c).isNotNull()).distinct() for c in ("customer_id", "product_id"))
+    count = lambda df: df.select(F.count(F.lit(1))).scalar()
+    fresh_c = count(new_c.join(customers.select("customer_id"), "customer_id", "left_anti"))
+    fresh_p = count(new_p.join(products.select("product_id"), "product_id", "left_anti"))
+    return new_fact.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", count(new_c).alias("customers"), count(new_p).alias("products"), fresh_c.alias("new_customers"), fresh_p.alias("new_products"))
+
+
+def data_status_stored(totals: DataFrame, members: DataFrame) -> DataFrame:
+    """``data_status`` from the category totals (for the rows) and the bitmaps of ids
+    per day and store."""
+    rows = totals.select(F.coalesce(F.sum("lines"), F.lit(0))).scalar()
+    return members.agg(F.count_distinct("store_id").alias("stores"), F.min("date").alias("min_date"), F.max("date").alias("max_date")).select(
+        rows.alias("rows"), count_all(members, "customer").alias("customers"), count_all(members, "product").alias("products"), "stores",
+        "min_date", "max_date", F.datediff("max_date", "min_date").alias("days"))
+
+
+def change_report(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Every key of two versions of a catalogue (a row per key each) with its
+    ``change``: added, removed, changed or unchanged, and both versions' values. A
+    null value differs from every other; a null key is a key like others."""
+    values = [c for c in new.columns if c != key]
+    a = old.select(F.col(key).alias("_old"), F.struct(*values).alias("before"))
+    b = new.select(F.col(key).alias("_new"), F.struct(*values).alias("after"))
+    both = a.join(b, F.col("_old").eqNullSafe(F.col("_new")), "full")
+    change = (F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed")
+               .when(F.col("before").eqNullSafe(F.col("after")), "unchanged").otherwise("changed"))
+    return both.select(F.coalesce("_new", "_old").alias(key), change.alias("change"),
+                       *[F.col(f"before.{c}").alias(f"old_{c}") for c in values], *[F.col(f"after.{c}").alias(f"new_{c}") for c in values])
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """How many keys were added, changed, removed and left as they were."""
+    return changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed", "unchanged")])
+
+
 def data_status(fact: DataFrame) -> DataFrame:
     return fact.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("customer_id").alias("customers"),
                     F.count_distinct("product_id").alias("products"), F.count_distinct("store_id").alias("stores"),

@@ -13,16 +13,19 @@ def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, left[key].eqNullSafe(right["_key"]), "left").drop("_key")
 
 
-def transaction_metrics(fact: DataFrame, exact: bool = True) -> DataFrame:
+def transaction_metrics(fact: DataFrame) -> DataFrame:
+    """Per transaction its date, store, customer, distinct products, units and
+    distinct categories. A basket's distinct values are gathered in a set, which is
+    as small as the basket, so each row goes through one aggregation."""
     # date/store/customer are constant inside a transaction: min is the
     # deterministic stand-in for "first"
     return fact.groupBy("transaction_id").agg(
         F.min("date").alias("date"),
         F.min("store_id").alias("store_id"),
         F.min("customer_id").alias("customer_id"),
-        distinct_count("product_id", exact).alias("basket_size"),
+        F.size(F.collect_set("product_id")).cast("long").alias("basket_size"),
         F.sum("quantity").alias("total_quantity"),
-        distinct_count("category_id", exact).alias("category_diversity"),
+        F.size(F.collect_set("category_id")).cast("long").alias("category_diversity"),
     )
 
 
@@ -55,26 +58,41 @@ def _customer_ratios(totals: DataFrame, dated: DataFrame) -> DataFrame:
 
 
 def customer_visits(fact: DataFrame) -> DataFrame:
-    """Rows per customer, store and category: what ``customer_metrics_stored``
-    needs of the fact. Rows of appended batches add up."""
-    return fact.groupBy("customer_id", "store_id", "category_id").agg(F.count(F.lit(1)).alias("lines"))
+    """Rows and units per customer, store and category: what the customer tables
+    need of the fact. Rows of appended batches add up."""
+    return fact.groupBy("customer_id", "store_id", "category_id", "category_name").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"))
 
 
-def customer_metrics_stored(tx: DataFrame, ci: DataFrame, visits: DataFrame) -> DataFrame:
-    """``customer_metrics`` from the transaction metrics, the interaction table and
-    the customer visits: no distinct count over fact rows."""
-    totals = tx.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("frequency"), F.max("date").alias("last_purchase_date"),
-        F.sum("total_quantity").alias("total_quantity"))
+def customer_totals(fact: DataFrame) -> DataFrame:
+    """Transactions, units and last date per customer; batches with their own
+    transactions add up. Transactions are counted as groups, not in one set."""
+    per = fact.groupBy("customer_id", "transaction_id").agg(F.sum("quantity").alias("quantity"), F.max("date").alias("date"))
+    return per.groupBy("customer_id").agg(F.count("transaction_id").alias("transactions"), F.sum("quantity").alias("total_quantity"),
+                                          F.max("date").alias("last_date"))
+
+
+def category_totals(fact: DataFrame) -> DataFrame:
+    """Units, transactions and rows per category name; batches with their own
+    transactions add up."""
+    per = fact.groupBy("category_name", "transaction_id").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
+    return per.groupBy("category_name").agg(F.sum("quantity").alias("total_units"), F.count("transaction_id").alias("transactions"),
+                                            F.sum("lines").alias("lines"))
+
+
+def customer_metrics_stored(totals: DataFrame, ci: DataFrame, visits: DataFrame) -> DataFrame:
+    """``customer_metrics`` from the customer totals, the interaction table and the
+    customer visits: no distinct count over fact rows."""
+    base = totals.select("customer_id", F.col("transactions").alias("frequency"), F.col("last_date").alias("last_purchase_date"), "total_quantity")
     products = ci.groupBy("customer_id").agg(F.count("product_id").alias("unique_products"))
-    categories = visits.groupBy("customer_id").agg(F.count_distinct("category_id").alias("unique_categories"))
+    categories = visits.groupBy("customer_id").agg(F.size(F.collect_set("category_id")).cast("long").alias("unique_categories"))
     lines = F.col("lines")
     stores = (visits.filter(F.col("store_id").isNotNull())
                     .groupBy("customer_id", "store_id").agg(F.sum("lines").alias("lines"))
                     .groupBy("customer_id").agg(F.min_by("store_id", F.struct(-lines, F.col("store_id")))
                                                 .alias("preferred_store")))
-    agg = _joined(_joined(_joined(totals, products, "customer_id"), categories, "customer_id"), stores, "customer_id")
-    return _customer_ratios(agg, tx)
+    agg = _joined(_joined(_joined(base, products, "customer_id"), categories, "customer_id"), stores, "customer_id")
+    return _customer_ratios(agg, base.select(F.col("last_purchase_date").alias("date")))
 
 
 def product_totals(fact: DataFrame, exact: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.functions.numeric import distinct_count, safe_div
+from tillroll.operators.members import count_all, count_members
 from tillroll.operators.quantiles import quantiles
 
 
@@ -43,19 +44,17 @@ def kpis(fact: DataFrame, exact: bool = True) -> DataFrame:
         F.datediff("end_date", "start_date").alias("days"))
 
 
-def kpis_stored(tx: DataFrame, fact: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """The figures of ``kpis`` from the stored tables: one row per transaction,
-    customer and product, so only categories and stores (few values) are counted
-    distinct, and the fact is read for its category column alone."""
-    cats = fact.select(F.count_distinct("category_id")).scalar()
-    n_customers = customers.select(F.count("customer_id")).scalar()
-    n_products = products.select(F.count("product_id")).scalar()
+def kpis_stored(tx: DataFrame, members: DataFrame) -> DataFrame:
+    """The figures of ``kpis`` from the transaction metrics and the bitmaps of ids
+    per day and store: the fact is not read. Both tables may be filtered by the same
+    dates and stores (``baskets.apply_filters``)."""
+    n = {e: count_all(members, e) for e in ("customer", "product", "category")}
     g = tx.agg(F.sum("total_quantity").alias("total_units"), F.count(F.lit(1)).alias("total_transactions"),
                F.count_distinct("store_id").alias("total_stores"), F.avg("basket_size").alias("avg_basket_size"),
                F.avg("total_quantity").alias("avg_units_per_transaction"),
                F.min("date").alias("start_date"), F.max("date").alias("end_date"))
-    return g.select("total_units", "total_transactions", n_customers.alias("total_customers"),
-                    n_products.alias("total_products"), cats.alias("total_categories"), "total_stores",
+    return g.select("total_units", "total_transactions", n["customer"].alias("total_customers"),
+                    n["product"].alias("total_products"), n["category"].alias("total_categories"), "total_stores",
                     "avg_basket_size", "avg_units_per_transaction", "start_date", "end_date",
                     F.datediff("end_date", "start_date").alias("days"))
 
@@ -76,22 +75,37 @@ def category_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
               .orderBy(F.desc("total_units"), "category_name")
 
 
-def store_performance(fact: DataFrame, exact: bool = True, tx: DataFrame | None = None) -> DataFrame:
-    """Per store: units, transactions, customers, products and ratios. With the
-    transaction metrics as ``tx`` only the products are counted on the fact."""
-    if tx is None:
-        per = _group_counts(fact, "store_id", exact)
-    else:
-        per = tx.groupBy("store_id").agg(
-            F.sum("total_quantity").alias("total_units"), F.count(F.lit(1)).alias("transactions"),
-            distinct_count("customer_id", exact).alias("customers"))
-        sold = fact.groupBy(F.col("store_id").alias("_store")).agg(distinct_count("product_id", exact).alias("products"))
-        per = per.join(sold, F.col("store_id").eqNullSafe(F.col("_store"))).drop("_store")
-    return per.select("*",
-                      safe_div("total_units", "transactions").alias("avg_basket_size"),
+def category_performance_stored(totals: DataFrame, members: DataFrame) -> DataFrame:
+    """``category_performance`` from the category totals and bitmaps of ids."""
+    named = totals.filter(F.col("category_name").isNotNull())
+    per = named.select("category_name", "total_units", "transactions")
+    for entity, name in (("customer", "customers"), ("product", "products")):
+        per = per.join(count_members(members, ["category_name"], entity, name), "category_name", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    total = named.select(F.sum("total_units")).scalar()
+    return per.select("*", safe_div(F.col("total_units") * 100.0, total).alias("percentage")) \
+              .orderBy(F.desc("total_units"), "category_name")
+
+
+def _store_ratios(per: DataFrame) -> DataFrame:
+    return per.select("*", safe_div("total_units", "transactions").alias("avg_basket_size"),
                       safe_div("transactions", "customers").alias("avg_transactions_per_customer"))
 
 
+def store_performance(fact: DataFrame, exact: bool = True) -> DataFrame:
+    """Per store: units, transactions, customers, products and ratios."""
+    return _store_ratios(_group_counts(fact, "store_id", exact))
+
+
+def store_performance_stored(tx: DataFrame, members: DataFrame) -> DataFrame:
+    """``store_performance`` from the transaction metrics and the bitmaps of ids per
+    day and store; both may be filtered by the same dates."""
+    per = tx.groupBy("store_id").agg(F.sum("total_quantity").alias("total_units"), F.count(F.lit(1)).alias("transactions"))
+    for entity, name in (("customer", "customers"), ("product", "products")):
+        n = count_members(members, ["store_id"], entity, name).withColumnRenamed("store_id", "_store")
+        per = per.join(n, F.col("store_id").eqNullSafe(F.col("_store")), "left").withColumn(name, F.coalesce(name, F.lit(0))).drop("_store")
+    return _store_ratios(per)
+
+
 def segmentation_summary(customer_metrics: DataFrame) -> DataFrame:
     f, r = F.col("frequency"), F.col("recency")
     return customer_metrics.agg(
@@ -193,6 +207,31 @@ def product_statistics(fact: DataFrame, product_ids: DataFrame | None = None) ->
              "avg_quantity_per_transaction")
 
 
+def product_statistics_stored(product_metrics: DataFrame, product_ids: DataFrame | None = None) -> DataFrame:
+    """``product_statistics`` from the stored product metrics."""
+    from tillroll.functions.text import category_or_default, product_name
+    pm = product_metrics if product_ids is None else product_metrics.join(product_ids.select("product_id"), "product_id", "left_semi")
+    return pm.select("product_id", product_name("product_id").alias("product_name"), category_or_default(F.col("category_name")).alias("category_name"),
+                     "total_quantity", "unique_customers", F.col("product_frequency").alias("unique_transactions"),
+                     F.col("avg_quantity").alias("avg_quantity_per_transaction"))
+
+
+def customer_statistics_stored(totals: DataFrame, ci: DataFrame, visits: DataFrame) -> DataFrame:
+    """``customer_statistics`` from the customer totals, the interaction table and
+    the customer visits, all in buckets of the customer."""
+    products = ci.groupBy("customer_id").agg(F.count("product_id").alias("unique_products"))
+    units = visits.groupBy("customer_id", "category_name").agg(F.sum("quantity").alias("q"), F.sum("lines").alias("rows"))
+    named = F.when(F.col("category_name").isNotNull(), F.struct(-F.col("q"), F.col("category_name")))
+    per = units.groupBy("customer_id").agg(F.count("category_name").alias("unique_categories"), F.sum("rows").alias("_rows"),
+                                           F.min_by("category_name", named).alias("favorite_category"))
+    out = totals
+    for right in (products, per):
+        right = right.withColumnRenamed("customer_id", "_key")
+        out = out.join(right, F.col("customer_id").eqNullSafe(F.col("_key")), "left").drop("_key")
+    return out.select("customer_id", F.col("transactions").alias("total_transactions"), "total_quantity", F.coalesce("unique_products", F.lit(0)).alias("unique_products"),
+                      "unique_categories", "favorite_category", (F.col("_rows") / F.col("transactions")).alias("avg_products_per_transaction"))
+
+
 def customer_statistics(fact: DataFrame, customer_ids: DataFrame | None = None) -> DataFrame:
     """Per customer: transactions, units, products, categories (by name), the
     favourite category by units (ties alphabetical) and mean rows per transaction.

@@ -28,6 +28,10 @@ def _tx(spark, sf):
     return testdata_warehouse(spark, sf).transaction_metrics()
 
 
+def _state(spark, sf, name):
+    return testdata_warehouse(spark, sf).state(name)
+
+
 def _ci(spark, sf):
     return testdata_warehouse(spark, sf).customer_item()
 
@@ -39,8 +43,7 @@ SELECT customer_id, frequency, last_purchase_date, total_quantity, unique_produc
        preferred_store, recency, round(avg_basket_size, 6) AS avg_basket_size,
        round(category_diversity_score, 6) AS category_diversity_score FROM cm"""))
 def q_customer_metrics(spark, sf):
-    return comparable(facts.customer_metrics_stored(_tx(spark, sf), _ci(spark, sf),
-                                                    testdata_warehouse(spark, sf).table("customer_visits")))
+    return comparable(facts.customer_metrics_stored(_state(spark, sf, "customer_totals"), _ci(spark, sf), _state(spark, sf, "customer_visits")))
 
 
 @register("transaction_metrics", with_ctes(LINES, select="""
@@ -110,7 +113,7 @@ FROM fact"""
 
 @register("kpis", with_ctes(LINES, PER_TX, select=_KPI_SELECT))
 def q_kpis(spark, sf):
-    return comparable(kpis.kpis_stored(_tx(spark, sf), _fact(spark, sf), _cm(spark, sf), _pm(spark, sf)))
+    return comparable(kpis.kpis_stored(_tx(spark, sf), _state(spark, sf, "day_members")))
 
 
 FILTER = dict(date_range=("1996-01-01", "1998-06-30"), store=2, category="Brand#13")
@@ -125,6 +128,14 @@ def q_filtered_kpis(spark, sf):
     return comparable(kpis.kpis(baskets.apply_filters(_fact(spark, sf), **FILTER)))
 
 
+@register("kpis_of_dates_and_store", with_ctes(LINES.replace("\nfact AS (", "\nfact0 AS ("),
+                                               _FILTERED.replace(" AND category_name = 'Brand#13'", ""), PER_TX, select=_KPI_SELECT))
+def q_kpis_of_dates_and_store(spark, sf):
+    """The dashboard's figures for a date range and store, without the fact."""
+    cut = lambda df: baskets.apply_filters(df, FILTER["date_range"], FILTER["store"])
+    return comparable(kpis.kpis_stored(cut(_tx(spark, sf)), cut(_state(spark, sf, "day_members"))))
+
+
 @register("filter_options", with_ctes(LINES, select="""
 SELECT min(date) AS min_date, max(date) AS max_date,
        array_to_string(list_sort(list(DISTINCT CAST(store_id AS VARCHAR))), '|') AS stores,
@@ -145,7 +156,7 @@ FROM fact {where} GROUP BY {key}"""
     LINES, "g AS (" + _GROUP_COUNTS.format(key="category_name", where="WHERE category_name IS NOT NULL") + ")",
     select="SELECT *, round(total_units * 100.0 / (SELECT sum(total_units) FROM g), 6) AS percentage FROM g"))
 def q_category_performance(spark, sf):
-    return comparable(kpis.category_performance(_fact(spark, sf)))
+    return comparable(kpis.category_performance_stored(_state(spark, sf, "category_totals"), _state(spark, sf, "category_members")))
 
 
 @register("store_performance", with_ctes(
@@ -153,7 +164,7 @@ def q_category_performance(spark, sf):
     select="""SELECT *, round(total_units / transactions, 6) AS avg_basket_size,
                      round(transactions / customers, 6) AS avg_transactions_per_customer FROM g"""))
 def q_store_performance(spark, sf):
-    return comparable(kpis.store_performance(_fact(spark, sf), tx=_tx(spark, sf)))
+    return comparable(kpis.store_performance_stored(_tx(spark, sf), _state(spark, sf, "day_members")))
 
 
 @register("product_statistics", with_ctes(LINES, select="""
@@ -164,7 +175,7 @@ SELECT product_id, 'Producto ' || CAST(product_id AS VARCHAR) AS product_name,
        round(avg(quantity), 6) AS avg_quantity_per_transaction
 FROM fact GROUP BY product_id"""))
 def q_product_statistics(spark, sf):
-    return comparable(kpis.product_statistics(_fact(spark, sf)))
+    return comparable(kpis.product_statistics_stored(_pm(spark, sf)))
 
 
 @register("customer_statistics", with_ctes(LINES, """
@@ -179,7 +190,7 @@ SELECT b.customer_id, total_transactions, total_quantity, unique_products, uniqu
        f.category_name AS favorite_category, round(n_rows / total_transactions, 6) AS avg_products_per_transaction
 FROM base b LEFT JOIN fav f ON b.customer_id = f.customer_id AND f.rn = 1"""))
 def q_customer_statistics(spark, sf):
-    return comparable(kpis.customer_statistics(_fact(spark, sf)))
+    return comparable(testdata_warehouse(spark, sf).customer_statistics())
 
 
 @register("segmentation_summary", with_ctes(LINES, CUSTOMER_METRICS, select="""

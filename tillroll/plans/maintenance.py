@@ -15,7 +15,7 @@ from tillroll.plans import dashboard  # noqa: F401  (registers the customer_metr
 from tillroll.plans.oracle_sql import LINES, PRODUCT_METRICS, with_ctes
 from tillroll.plans.rebuild import InvalidLoad, append_batch, rebuild
 from tillroll.plans.registry import ORACLES, comparable, register
-from tillroll.plans.warehouse import TABLES, Warehouse, testdata_warehouse, write_processed
+from tillroll.plans.warehouse import TABLES, KnownTransactions, Warehouse, testdata_warehouse, write_processed
 from tillroll.session import scratch_path
 from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
 from tillroll.sources import files, sinks, testdata
@@ -364,6 +364,40 @@ def q_upsert_report(spark, sf):
     return catalog.upsert_report(existing, up, catalog.upsert(existing, up, "product_id", "add"))
 
 
+def _old_and_new_relation(spark, sf):
+    """The product-category relation and a replacement of it: parts up to size 40
+    stay, every fifth size with another category, and suppliers' numbers are new products."""
+    old = testdata.product_category(spark, sf)
+    part = testdata.table(spark, sf, "part").filter("p_size <= 40")
+    brand = F.substring("p_brand", 7, 10).cast("int")
+    stay = part.select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") % 5 == 0, brand + 1).otherwise(brand).alias("category_id"))
+    more = testdata.table(spark, sf, "supplier").select((F.col("s_suppkey") + 10**9).alias("product_id"), F.col("s_nationkey").cast("int").alias("category_id"))
+    up = stay.unionByName(more).withColumn("pos", F.lit(0).cast("bigint"))
+    return old, catalog.upsert(old.withColumn("pos", F.lit(0).cast("bigint")), up, "product_id", "replace")
+
+
+_CHANGES = """
+ch AS (SELECT p_partkey AS product_id, CASE WHEN p_size > 40 THEN 'removed' WHEN p_size % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change,
+              CAST(substr(p_brand, 7) AS INTEGER) AS old_category_id,
+              CASE WHEN p_size <= 40 THEN CAST(substr(p_brand, 7) AS INTEGER) + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END END AS new_category_id FROM part
+       UNION ALL SELECT s_suppkey + 1000000000, 'added', NULL, CAST(s_nationkey AS INTEGER) FROM supplier)"""
+
+
+@register("upsert_changes", with_ctes(_CHANGES, select="""
+SELECT product_id, change, coalesce(old_category_id, -1) AS old_category_id, coalesce(new_category_id, -1) AS new_category_id FROM ch"""))
+def q_upsert_changes(spark, sf):
+    """Every product of the old relation or its replacement, classified."""
+    out = catalog.change_report(*_old_and_new_relation(spark, sf), "product_id")
+    return out.fillna(-1, ["old_category_id", "new_category_id"])
+
+
+@register("upsert_change_counts", with_ctes(_CHANGES, select="""
+SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'changed') AS changed,
+       count(*) FILTER (WHERE change = 'removed') AS removed, count(*) FILTER (WHERE change = 'unchanged') AS unchanged FROM ch"""))
+def q_upsert_change_counts(spark, sf):
+    return catalog.change_counts(catalog.change_report(*_old_and_new_relation(spark, sf), "product_id"))
+
+
 # ---------------------------------------------------------------- batches and status
 
 def _new_batch(spark, sf):
@@ -403,7 +437,8 @@ SELECT count(*) AS rows, count(DISTINCT customer_id) AS customers, count(DISTINC
 FROM nf"""))
 def q_append_summary(spark, sf):
     new = catalog.batch_fact(_new_batch(spark, sf), testdata.product_category(spark, sf), _brands(spark, sf))
-    return catalog.append_summary(_old_fact(spark, sf), new)
+    old = write_processed(spark, _old_fact(spark, sf), scratch_path(spark, "wh_old"))
+    return catalog.append_summary_stored(old.customer_metrics(), old.product_metrics(), new)
 
 
 @register("data_status", with_ctes(LINES, select="""
@@ -411,7 +446,8 @@ SELECT count(*) AS rows, count(DISTINCT customer_id) AS customers, count(DISTINC
        count(DISTINCT store_id) AS stores, min(date) AS min_date, max(date) AS max_date,
        CAST(date_diff('day', min(date), max(date)) AS INTEGER) AS days FROM fact"""))
 def q_data_status(spark, sf):
-    return catalog.data_status(testdata_warehouse(spark, sf).fact())
+    wh = testdata_warehouse(spark, sf)
+    return catalog.data_status_stored(wh.state("category_totals"), wh.state("day_members"))
 
 
 # ---------------------------------------------------------------- sinks, rebuild, streaming
@@ -433,12 +469,23 @@ def q_export_csv(spark, sf):
     return comparable(sinks.read_csv_export(spark, path, cm.schema))
 
 
-@register("storage_report", "SELECT unnest([" + ", ".join(f"'{t}'" for t in TABLES) + """]) AS "table",
-       true AS has_files, true AS has_size""")
+@register("storage_report", with_ctes(LINES, """
+n AS (SELECT unnest(['transactions_expanded', 'transaction_metrics', 'customer_metrics', 'product_metrics', 'customer_norms', 'customer_item',
+                     'customer_visits', 'customer_totals', 'product_totals', 'category_totals']) AS "table",
+             unnest([(SELECT count(*) FROM fact), (SELECT count(DISTINCT transaction_id) FROM fact), (SELECT count(DISTINCT customer_id) FROM fact),
+                     (SELECT count(DISTINCT product_id) FROM fact), (SELECT count(DISTINCT customer_id) FROM fact),
+                     (SELECT count(*) FROM (SELECT DISTINCT customer_id, product_id FROM fact)),
+                     (SELECT count(*) FROM (SELECT DISTINCT customer_id, store_id, category_id, category_name FROM fact)),
+                     (SELECT count(DISTINCT customer_id) FROM fact), (SELECT count(DISTINCT product_id) FROM fact),
+                     (SELECT count(DISTINCT category_name) FROM fact)]) AS rows)""", select="""
+SELECT "table", rows, true AS has_files, true AS has_size FROM n"""))
 def q_storage_report(spark, sf):
+    """Size on disk of every processed table beside the rows its manifest states."""
     wh = testdata_warehouse(spark, sf)
-    return sinks.storage_report(spark, wh.root, TABLES).select(
-        "table", (F.col("files") > 0).alias("has_files"), (F.col("size_mb") > 0).alias("has_size"))
+    names = [t for t in TABLES if not t.endswith("_members")]
+    rows = F.create_map(*[x for k, v in Warehouse.open(spark, wh.root).rows.items() for x in (F.lit(k), F.lit(v))])
+    return sinks.storage_report(spark, wh.root, names).select(
+        "table", rows[F.col("table")].alias("rows"), (F.col("files") > 0).alias("has_files"), (F.col("size_mb") > 0).alias("has_size"))
 
 
 @register("rebuild_all", ORACLES["customer_metrics"])
@@ -497,6 +544,26 @@ def q_append_publish_products(spark, sf):
     return comparable(Warehouse.open(spark, _appended(spark, sf).root).product_metrics())
 
 
+@register("append_known", with_ctes(LINES, f"old AS (SELECT DISTINCT transaction_id FROM fact WHERE date < DATE '{CUTOFF}')", select=f"""
+SELECT (SELECT count(*) FROM old WHERE transaction_id % 3 = 0) AS known, count(DISTINCT transaction_id) AS transactions,
+       count(*) AS rows, CAST(sum(quantity) AS BIGINT) AS units FROM fact"""))
+def q_append_known(spark, sf):
+    """A batch that repeats a third of the stored transactions: refused with their
+    number, and appended without them; nothing is counted twice."""
+    old = write_processed(spark, _old_fact(spark, sf), scratch_path(spark, "wh_old"))
+    every = testdata.part_basket_strings(spark, sf).filter((F.col("date") >= F.lit(CUTOFF)) | (F.col("transaction_id") % 3 == 0))
+    more = [testdata.product_category(spark, sf), _brands(spark, sf)]
+    try:
+        append_batch(spark, old, every, *more, scratch_path(spark, "wh_refused"))
+        known = None
+    except KnownTransactions as e:
+        known = e.n
+    new = append_batch(spark, old, every, *more, scratch_path(spark, "wh_skipped"), on_known="skip")
+    tx, rows = new.transaction_metrics(), new.state("category_totals").select(F.sum("lines")).scalar()
+    return tx.agg(F.count_distinct("transaction_id").alias("transactions"), F.sum("total_quantity").alias("units")).select(
+        F.lit(known).cast("bigint").alias("known"), "transactions", rows.alias("rows"), "units")
+
+
 # ---------------------------------------------------------------- enrichment and lookups
 
 _BULK = "bulk AS (SELECT DISTINCT l_partkey AS product_id, CAST(l_linenumber AS INTEGER) AS category_id FROM lineitem WHERE l_quantity > 45)"
@@ -532,7 +599,7 @@ def q_product_lookup(spark, sf):
     """Statistics of given products: the three that sell most."""
     wh = testdata_warehouse(spark, sf)
     ids = wh.product_metrics().orderBy(F.desc("total_quantity"), "product_id").limit(3)
-    return comparable(kpis.product_statistics(wh.fact(), ids))
+    return comparable(kpis.product_statistics_stored(wh.product_metrics(), ids))
 
 
 @register("product_statistics_named", with_ctes(LINES, select=_STATS.format(name="min(p_name)", where="")))
@@ -544,7 +611,7 @@ def q_product_statistics_named(spark, sf):
 
 @register("customer_lookup", ORACLES["customer_statistics"] + " WHERE b.customer_id IN (SELECT customer_id FROM base ORDER BY total_transactions DESC, customer_id LIMIT 3)")
 def q_customer_lookup(spark, sf):
-    """Statistics of given customers: the three with most transactions."""
+    """Statistics of given customers, the three with most transactions, from the buckets that hold them."""
     wh = testdata_warehouse(spark, sf)
     ids = wh.customer_metrics().orderBy(F.desc("frequency"), "customer_id").limit(3)
-    return comparable(kpis.customer_statistics(wh.fact(), ids))
+    return comparable(wh.customer_statistics(ids))

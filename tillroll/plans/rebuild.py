@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tillroll.operators import catalog, quality
 from tillroll.operators.baskets import build_fact, expand_baskets, transaction_ids
-from tillroll.plans.warehouse import Warehouse, append_processed, write_processed
+from tillroll.plans.warehouse import KnownTransactions, Warehouse, append_processed, write_processed
 from tillroll.sources import files
 
 
@@ -69,15 +69,21 @@ def rebuild(spark: SparkSession, raw_dir: str, categories_path, product_category
 
 def append_batch(spark: SparkSession, wh: Warehouse, raw: DataFrame, product_category: DataFrame,
                  categories: DataFrame, new_root: str, mode: str = "append",
-                 batch_id: str | None = None) -> Warehouse:
+                 batch_id: str | None = None, on_known: str = "raise") -> Warehouse:
     """Append (or replace with) a typed basket batch and publish a new
     warehouse version at ``new_root``. The current version is only referred to,
     so a failure leaves it intact; readers switch by using the returned handle
     (or ``Warehouse.open(spark, new_root)``). Appending does not read the old
-    fact; its cost follows the batch and the metric tables."""
+    fact; its cost follows the batch and the buckets it touches. A transaction id
+    that stands on two baskets of the batch raises KnownTransactions, and so does
+    one that is stored already unless ``on_known`` is 'skip'."""
+    twice = raw.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    examples = [r[0] for r in twice.limit(5).collect()]
+    if examples:
+        raise KnownTransactions("transaction ids stand on several baskets of the batch", twice.count(), examples)
     new = catalog.batch_fact(raw, product_category, categories)
     if mode == "replace":
         return write_processed(spark, new, new_root, batches=[batch_id] if batch_id else [])
     if mode != "append":
         raise ValueError("mode must be 'append' or 'replace'")
-    return append_processed(spark, wh, new, new_root, batch_id)
+    return append_processed(spark, wh, new, new_root, batch_id, on_known)

@@ -2,59 +2,99 @@
 
 The rebuild writes them once as Parquet under the cluster's shared folder
 (``spark.checkpoint.dir``); every later query reads them back, so lineage is
-cut at the fact and a lost executor only re-runs the tasks of the current job.
+cut at the fact and a lost executor only re-runs tasks of the current job.
 The fact is partitioned by year and month, which date filters prune.
 
 An appended batch makes a new version: its fact rows and transaction metrics
-are written beside those of the older versions, which the new one refers to;
-the states (one row per customer and product, per customer, store and category,
-per product) are merged, and the metric tables follow from them. The old fact
-is neither read nor written. A version's manifest is written last.
+are written beside those of the older versions, which the new one refers to.
+States (one row per customer and product, per customer, store and category, per
+product, bitmaps of ids per day and category) lie in hash buckets of their key. A
+batch is merged into the buckets it touches; the new version refers to the older
+version's files for all others, which are neither read nor written. Metric tables
+follow from the states. The old fact is not read. A version's manifest is written
+last.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import threading
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
-from tillroll.operators import cf, facts
+from tillroll.operators import cf, facts, kpis
+from tillroll.operators.known import known_keys
+from tillroll.operators.members import pages
 from tillroll.schemas import FACT_COLUMNS
 from tillroll.session import scratch_path
 
-#: states, and how rows of one key are merged
+#: states: the column of their buckets, their keys, how rows of one key are merged, and
+#: how they follow from fact rows
 STATES = {
-    "customer_item": (["customer_id", "product_id"], {"quantity": F.sum}),
-    "customer_visits": (["customer_id", "store_id", "category_id"], {"lines": F.sum}),
-    "product_totals": (["product_id"], {"product_frequency": F.sum, "lines": F.sum, "total_quantity": F.sum,
-                                        "category": F.min}),
+    "customer_item": ("customer_id", ["customer_id", "product_id"], {"quantity": F.sum}, cf.customer_item),
+    "customer_visits": ("customer_id", ["customer_id", "store_id", "category_id", "category_name"],
+                        {"lines": F.sum, "quantity": F.sum}, facts.customer_visits),
+    "customer_totals": ("customer_id", ["customer_id"],
+                        {"transactions": F.sum, "total_quantity": F.sum, "last_date": F.max}, facts.customer_totals),
+    "product_totals": ("product_id", ["product_id"], {"product_frequency": F.sum, "lines": F.sum, "total_quantity": F.sum,
+                                                      "category": F.min}, facts.product_totals),
+    "category_totals": ("category_name", ["category_name"], {"total_units": F.sum, "transactions": F.sum, "lines": F.sum}, facts.category_totals),
+    "day_members": ("date", ["date", "store_id", "entity", "page"], {"bits": F.bitmap_or_agg}, lambda f: pages(f, ["date", "store_id"])),
+    "category_members": ("category_name", ["category_name", "entity", "page"], {"bits": F.bitmap_or_agg},
+                         lambda f: pages(f, ["category_name"], ("customer", "product"))),
 }
+BUCKETS = 16  # of each state; some thousands on a large cluster
 TABLES = ("transactions_expanded", "transaction_metrics", "customer_metrics", "product_metrics",
           "customer_norms", *STATES)
-_MANIFEST = "parts array<string>, batches array<string>"
+_MANIFEST = ("parts array<string>, batches array<string>, buckets int, states map<string, map<string, string>>, "
+             "schemas map<string, string>, rows map<string, bigint>")
+
+
+class KnownTransactions(ValueError):
+    """A batch holds transaction ids that are stored already, or one id twice."""
+
+    def __init__(self, what: str, n: int, examples: list):
+        self.n, self.examples = n, examples
+        super().__init__(f"{n} {what}, for example {', '.join(map(str, examples))}")
 
 
 class Warehouse:
     """A version of the processed tables under ``root``; ``parts`` are the folders
     that hold its fact rows and transaction metrics, ``batches`` the ids of the
-    batches appended so far."""
+    batches appended so far, ``states`` the folder of each state's buckets, and
+    ``rows`` the row counts of its tables."""
 
-    def __init__(self, spark: SparkSession, root: str, parts=None, batches=()):
+    def __init__(self, spark: SparkSession, root: str, parts=None, batches=(), buckets: int = BUCKETS,
+                 states=None, schemas=None, rows=None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.parts = [p.rstrip("/") for p in parts] if parts else [self.root]
         self.batches = list(batches)
+        self.buckets = buckets
+        self.states = {name: {int(b): r for b, r in own.items()} for name, own in (states or {}).items()}
+        self.schemas, self.rows = dict(schemas or {}), dict(rows or {})
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Warehouse:
         """The version that was published at ``root``."""
         m = spark.read.schema(_MANIFEST).json(f"{root.rstrip('/')}/manifest").first()
-        return cls(spark, root, m["parts"], m["batches"])
+        return cls(spark, root, m["parts"], m["batches"], m["buckets"], m["states"], m["schemas"], m["rows"])
 
     def publish(self) -> Warehouse:
-        m = self.spark.createDataFrame([(self.parts, self.batches)], _MANIFEST)
+        """Counts the tables from their files' footers and writes the manifest."""
+        written = {"transactions_expanded": self.fact()}
+        if self.states:
+            written |= {"transaction_metrics": self.transaction_metrics()} | {name: self.state(name) for name in self.states}
+            written |= {name: self.table(name) for name in ("customer_metrics", "product_metrics", "customer_norms")}
+        counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in written.items()]
+        self.rows = {r["table"]: r["rows"] for r in reduce(DataFrame.unionByName, counts).collect()}
+        states = {name: {str(b): r for b, r in own.items()} for name, own in self.states.items()}
+        m = self.spark.createDataFrame([(self.parts, self.batches, self.buckets, states, self.schemas, self.rows)], _MANIFEST)
         m.coalesce(1).write.mode("overwrite").json(self.path("manifest"))
         return self
 
@@ -64,6 +104,16 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def state(self, name: str, buckets=None) -> DataFrame:
+        """A state, or the given buckets of it; other buckets' files are not opened."""
+        schema = T.StructType.fromJson(json.loads(self.schemas[name]))
+        paths = [f"{root}/{name}/bucket={b}" for b, root in sorted(self.states[name].items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def buckets_of(self, ids: DataFrame, key: str) -> set[int]:
+        """The buckets that hold the rows of these keys (at most ``buckets`` numbers)."""
+        return {r["b"] for r in ids.select(_bucket(key, self.buckets).alias("b")).distinct().collect()}
+
     def _of_parts(self, name: str) -> DataFrame:
         paths = [f"{p}/{name}" for p in self.parts]
         return reduce(DataFrame.unionByName, [self.spark.read.option("basePath", p).parquet(p) for p in paths])
@@ -82,12 +132,25 @@ class Warehouse:
 
     def customer_item(self) -> DataFrame:
         """Sparse customer x product units (long form), input of the CF jobs."""
-        return self.table("customer_item")
+        return self.state("customer_item")
 
     def customer_norms(self) -> DataFrame:
         """Length of each customer's vector of units, for cosine similarities."""
         return self.table("customer_norms")
 
+    def customer_statistics(self, customer_ids: DataFrame | None = None) -> DataFrame:
+        """``kpis.customer_statistics`` from the states, of the given customers from
+        their buckets alone."""
+        buckets = None if customer_ids is None else self.buckets_of(customer_ids, "customer_id")
+        own = [self.state(n, buckets) for n in ("customer_totals", "customer_item", "customer_visits")]
+        if customer_ids is not None:
+            own = [s.join(customer_ids.select("customer_id").distinct(), "customer_id", "left_semi") for s in own]
+        return kpis.customer_statistics_stored(*own)
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
 
 def _write_rows(wh: Warehouse, fact: DataFrame) -> None:
     # REBALANCE by the output partition columns: one shuffle, after which AQE
@@ -100,31 +163,47 @@ def _write_rows(wh: Warehouse, fact: DataFrame) -> None:
          .write.mode("overwrite").partitionBy("year", "month").parquet(wh.path("transactions_expanded")))
 
 
+def _write_state(wh: Warehouse, name: str, df: DataFrame) -> None:
+    """Writes rows of a state in buckets under ``wh.root``; notes the buckets."""
+    key = STATES[name][0]
+    rows = df.withColumn("bucket", _bucket(key, wh.buckets))
+    # dealt like the fact: large buckets in several files, small ones together in a task
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(wh.path(name))
+    wh.schemas[name] = df.schema.json()
+    files = df.sparkSession.read.schema(rows.schema).parquet(wh.path(name)).inputFiles()  # a listing, no job
+    wh.states[name] = {int(re.search(r"/bucket=(\d+)/", f)[1]): wh.root for f in files}
+
+
+def _side_by_side(jobs: list[Callable[[], None]]) -> None:
+    """Runs independent writes as concurrent Spark jobs, so that one's last tasks
+    don't leave the cluster idle; the first error is raised."""
+    with ThreadPoolExecutor(4) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def _write_states(wh: Warehouse) -> None:
     """Transaction metrics and states of the fact rows under ``wh.root``."""
     f = wh.fact()
-    tables = {"transaction_metrics": facts.transaction_metrics(f), "customer_item": cf.customer_item(f),
-              "customer_visits": facts.customer_visits(f), "product_totals": facts.product_totals(f)}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(wh.path(name))
+    jobs = [partial(_write_state, wh, name, made(f)) for name, (_, _, _, made) in STATES.items()]
+    _side_by_side([partial(facts.transaction_metrics(f).write.mode("overwrite").parquet, wh.path("transaction_metrics")), *jobs])
 
 
 def _write_metrics(wh: Warehouse) -> None:
-    """The tables that follow from the states and the transaction metrics."""
+    """The tables that follow from the states."""
     ci = wh.customer_item()
     tables = {"customer_norms": cf.customer_norms(ci),
-              "customer_metrics": facts.customer_metrics_stored(wh.transaction_metrics(), ci, wh.table("customer_visits")),
-              "product_metrics": facts.product_metrics_stored(wh.table("product_totals"), ci)}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(wh.path(name))
+              "customer_metrics": facts.customer_metrics_stored(wh.state("customer_totals"), ci, wh.state("customer_visits")),
+              "product_metrics": facts.product_metrics_stored(wh.state("product_totals"), ci)}
+    _side_by_side([partial(df.write.mode("overwrite").parquet, wh.path(name)) for name, df in tables.items()])
 
 
-def write_processed(spark: SparkSession, fact: DataFrame, root: str,
-                    with_metrics: bool = True, batches=(), check: Callable[[], None] | None = None) -> Warehouse:
+def write_processed(spark: SparkSession, fact: DataFrame, root: str, with_metrics: bool = True, batches=(),
+                    check: Callable[[], None] | None = None, buckets: int = BUCKETS) -> Warehouse:
     """Write the fact (partitioned by year, month), then the states and metric
     tables computed from the written fact. ``check`` is called once the fact is
     written; if it raises, nothing is published."""
-    wh = Warehouse(spark, root, batches=batches)
+    wh = Warehouse(spark, root, batches=batches, buckets=buckets)
     _write_rows(wh, fact)
     if check:
         check()
@@ -135,21 +214,40 @@ def write_processed(spark: SparkSession, fact: DataFrame, root: str,
 
 
 def append_processed(spark: SparkSession, wh: Warehouse, fact: DataFrame, root: str,
-                     batch_id: str | None = None) -> Warehouse:
-    """A new version at ``root``: ``wh`` and the rows of ``fact``, whose
-    transaction ids must be new. Customer metrics are written anew because every
-    customer's recency counts from the latest date. A batch id that ``wh``
-    holds already changes nothing."""
+                     batch_id: str | None = None, on_known: str = "raise") -> Warehouse:
+    """A new version at ``root``: ``wh`` and the rows of ``fact``. A batch id that
+    ``wh`` holds already changes nothing.
+
+    Transaction ids that ``wh`` holds already raise KnownTransactions before
+    anything is published, or are left out with ``on_known='skip'``; they are found
+    through a Bloom filter of the batch's ids, so stored ids are scanned, not
+    shuffled. Only buckets that the batch touches are merged and rewritten.
+    Customer metrics are written anew because every customer's recency counts
+    from the latest date."""
+    if on_known not in ("raise", "skip"):
+        raise ValueError("on_known must be 'raise' or 'skip'")
     if batch_id is not None and batch_id in wh.batches:
         return wh
-    batch = Warehouse(spark, f"{root.rstrip('/')}/batch")
+    batch = Warehouse(spark, f"{root.rstrip('/')}/batch", buckets=wh.buckets)
     _write_rows(batch, fact)
+    known = known_keys(batch.fact(), wh.transaction_metrics(), "transaction_id")
+    examples = [r[0] for r in known.limit(5).collect()]
+    if examples:
+        if on_known == "raise":
+            raise KnownTransactions("transactions are stored already", known.count(), examples)
+        fresh = batch.fact().join(known, "transaction_id", "left_anti")
+        batch = Warehouse(spark, f"{root.rstrip('/')}/batch-new", buckets=wh.buckets)
+        _write_rows(batch, fresh)
     _write_states(batch)
-    new = Warehouse(spark, root, [*wh.parts, batch.root], [*wh.batches, *([batch_id] if batch_id else [])])
-    for name, (keys, merge) in STATES.items():
-        both = wh.table(name).unionByName(batch.table(name))
-        both.groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()]) \
-            .write.mode("overwrite").parquet(new.path(name))
+    new = Warehouse(spark, root, [*wh.parts, batch.root], [*wh.batches, *([batch_id] if batch_id else [])], wh.buckets, wh.states, wh.schemas)
+    merges = []
+    for name, (_, keys, merge, _) in STATES.items():
+        if batch.states[name]:
+            both = wh.state(name, set(batch.states[name])).unionByName(batch.state(name))
+            merges.append(partial(_write_state, new, name, both.groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()])))
+    _side_by_side(merges)
+    for name in STATES:  # the older version's buckets, and over them the rewritten ones
+        new.states[name] = {**wh.states[name], **(new.states[name] if batch.states[name] else {})}
     _write_metrics(new)
     return new.publish()
 
