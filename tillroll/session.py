@@ -24,7 +24,7 @@ _DEFAULTS = {
 
 
 # known only when a session is launched
-_LAUNCH = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+_LAUNCH = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.scheduler.mode": "FAIR"}
 
 
 def get_session(master: str | None = None, app: str = "tillroll",
