@@ -469,6 +469,28 @@ def test_lookups_open_their_buckets_only(spark, tmp_path):
         assert "Expand" not in plan and "transactions_expanded" not in plan
 
 
+def test_stream_takes_layouts_rejections_and_redelivered_files(spark, tmp_path):
+    from tillroll.streaming.ingest import AGAIN, ingest_stream
+    raw, fact, report = tmp_path / "raw", tmp_path / "fact", tmp_path / "report"
+    raw.mkdir()
+    (raw / "102_Tran.csv").write_text("2013-01-01|102|1000|1 2\nnever|102|1001|3\n2013-01-01|102|x|4\n")
+    (raw / "103_Tran.csv").write_text('date,store_id,customer_id,products\n2013-01-01,103,1,"7 7"\n')
+    (raw / "104_Tran.csv").write_text("2013-01-01|102|1000|1 2\n")
+    pc = spark.createDataFrame([(1, 1), (2, 1), (7, 1)], "product_id long, category_id int")
+    cats = spark.createDataFrame([(1, "a")], "category_id int, category_name string")
+    go = lambda: ingest_stream(spark, str(raw), pc, cats, str(fact), str(tmp_path / "ck"), 1, str(report)).awaitTermination()
+    go()
+    (raw / "102_Tran.csv").write_text("2013-01-01|102|1000|1 2\n2013-01-03|102|1002|1 2 2\n")  # delivered again
+    (raw / "105_Tran.csv").write_text("2013-01-05|105|9|2\n")
+    go()
+    read = lambda root: spark.read.option("basePath", str(root)).parquet(f"{root}/batch_id=*")
+    assert _rows(read(fact), "store_id", "customer_id", "product_id", "quantity") == [(102, 1000, 1, 1), (102, 1000, 2, 1), (103, 1, 7, 2), (105, 9, 2, 1)]
+    assert read(fact).select("transaction_id").distinct().count() == 3
+    assert sorted(r["reason"] for r in read(report / "rejected").collect()) == ["bad customer id", "bad date"]
+    gate = sorted((r["file_store"], r["accepted"], r["reason"]) for r in read(report / "gate").collect())
+    assert gate == [("102", False, AGAIN), ("102", True, None), ("103", True, None), ("104", False, "rows of another store"), ("105", True, None)]
+
+
 def test_quantiles_match_percentile(spark):
     from tillroll.operators.quantiles import quantiles
     df = spark.range(500).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3).alias("g"),

@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.operators import baskets, catalog, facts, kpis, quality
-from tillroll.plans import dashboard  # noqa: F401  (registers the customer_metrics oracle reused below)
+from tillroll.plans import dashboard, mining  # noqa: F401  (register oracles reused below)
 from tillroll.plans.oracle_sql import LINES, PRODUCT_METRICS, with_ctes
 from tillroll.plans.rebuild import InvalidLoad, append_batch, rebuild
-from tillroll.plans.registry import ORACLES, comparable, register
+from tillroll.plans.registry import ORACLES, QUERIES, comparable, register
 from tillroll.plans.warehouse import TABLES, KnownTransactions, Warehouse, testdata_warehouse, write_processed
 from tillroll.session import scratch_path
 from tillroll.schemas import CATEGORY_COLUMNS, PRODUCT_CATEGORY_COLUMNS, TRANSACTION_COLUMNS
@@ -495,16 +495,69 @@ def q_rebuild_all(spark, sf):
     return comparable(facts.customer_metrics(wh.fact()))
 
 
+def _streamed(spark, r, cats, pc, max_files=16):
+    out, ck = scratch_path(spark, "stream_fact"), scratch_path(spark, "stream_ckpt")
+    ingest_stream(spark, r["root"], pc, cats, out, ck, max_files, report_path=f"{out}-report").awaitTermination()
+    return out
+
+
 @register("stream_ingest", ORACLES["customer_metrics"])
 def q_stream_ingest(spark, sf):
-    r = _raw(spark, sf)
-    out, ck = scratch_path(spark, "stream_fact"), scratch_path(spark, "stream_ckpt")
-    q = ingest_stream(spark, r["root"], testdata.product_category(spark, sf), _brands(spark, sf), out, ck)
-    q.awaitTermination()
-    f = spark.read.option("basePath", out).parquet(out)
+    out = _streamed(spark, _raw(spark, sf), _brands(spark, sf), testdata.product_category(spark, sf))
+    f = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
     return comparable(facts.customer_metrics(f))
 
 
+def _streamed_mixed(spark, sf):
+    r = testdata.mixed_files(spark, sf)
+    return _streamed(spark, r, files.load_categories(spark, r["categories"]).drop("pos"),
+                     files.load_product_category(spark, r["product_category"]).drop("pos"), max_files=2)
+
+
+@register("stream_mixed", ORACLES["rebuild_mixed"])
+def q_stream_mixed(spark, sf):
+    """The mixed folder streamed two files a batch gives the fact rows of its rebuild."""
+    out = _streamed_mixed(spark, sf)
+    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").select(
+        "date", "store_id", "customer_id", "product_id", "quantity", "category_id", "category_name")
+
+
+@register("stream_rejected", ORACLES["rejected_rows"])
+def q_stream_rejected(spark, sf):
+    """The rows set apart by all batches of the same stream."""
+    root = f"{_streamed_mixed(spark, sf)}-report/rejected"
+    return spark.read.option("basePath", root).parquet(f"{root}/batch_id=*").select("date", "store_id", "customer_id", "reason")
+
+
+@register("stream_gate_report", ORACLES["gate_report"])
+def q_stream_gate_report(spark, sf):
+    """Its file reports, a source's part files of several batches together."""
+    root = f"{_streamed_mixed(spark, sf)}-report/gate"
+    g = spark.read.option("basePath", root).parquet(f"{root}/batch_id=*")
+    counts = ["rows", "foreign_rows", "bad_dates", "bad_customer_ids"]
+    one = g.groupBy(F.regexp_extract("source", r"([^/]+)$", 1).alias("source")).agg(
+        *[F.sum(c).alias(c) for c in counts], F.bool_and("layout_ok").alias("layout_ok"),
+        F.array_distinct(F.flatten(F.collect_set("missing_columns"))).alias("missing_columns"),
+        F.min("reason").alias("reason"), F.bool_and("accepted").alias("accepted"))
+    return comparable(one)
+
+
+@register("export_customer_recommendations", ORACLES["customer_recommendations"])
+def q_export_customer_recommendations(spark, sf):
+    """The recommendation table as exported and read back."""
+    return _exported(spark, QUERIES["customer_recommendations"](spark, sf), "export_recommendations")
+
+
+@register("export_product_recommendations", ORACLES["product_recommendations"])
+def q_export_product_recommendations(spark, sf):
+    return _exported(spark, QUERIES["product_recommendations"](spark, sf), "export_companions")
+
+
+def _exported(spark, df, name):
+    path = scratch_path(spark, name)
+    sinks.export_csv(df, path)
+    return sinks.read_csv_export(spark, path, df.schema)
+
 
 @register("preview", with_ctes(_MIXED, select="""
 SELECT CASE WHEN bad_date THEN 'never' ELSE strftime(date, '%Y-%m-%d') END AS date, '1' AS store_id,

@@ -29,10 +29,17 @@ def land(spark: SparkSession, paths) -> DataFrame:
     read in, ``pos`` counts up within it. Being stored, the numbers are the same
     for every reader, whatever splits a second scan of the text would have had."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("pos"), "value")
-    return written(lines, "landing")
+    return written(numbered(with_source(spark.read.text(paths))), "landing")
+
+
+def with_source(text: DataFrame) -> DataFrame:
+    """The lines of a text source with their file and split."""
+    return text.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """The columns of a landing table, for lines with their file and split."""
+    return lines.select("file_path", "block_start", F.monotonically_increasing_id().alias("pos"), "value")
 
 
 def _unquote(cell):
@@ -91,13 +98,17 @@ def sniff_format(landed: DataFrame, required: list[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, formats): rows carry file_path, pos, row_no (the line's number in its
-    source, from 0, whatever the read splits) and the required columns as
-    strings, from files whose layout is usable; blank lines are skipped.
+    """Lands the files and cuts their lines (see ``cut_lines``)."""
+    return cut_lines(land(spark, paths), required)
 
-    The text is landed first; a row per split gives the line numbers and a row per
-    file the layouts, so the lines themselves are not sorted."""
-    landed = land(spark, paths)
+
+def cut_lines(landed: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, formats) of landed lines: rows carry file_path, pos, row_no (the
+    line's number in its source, from 0, whatever the read splits) and the required
+    columns as strings, from files whose layout is usable; blank lines are skipped.
+
+    A row per split gives the line numbers and a row per file the layouts, so the
+    lines themselves are not sorted."""
     splits = _splits(landed)
     fmt = sniff_format(landed, required)
     layout = _lines_before(splits).join(
@@ -131,7 +142,12 @@ def load_transactions(spark: SparkSession, raw_dir: str, store_ids=None) -> tupl
     The landed lines are cut into cells once and stored; the report reads the
     flags of that table, not the cells.
     """
-    rows, fmt = read_delimited(spark, f"{raw_dir.rstrip('/')}/*_Tran.csv", TRANSACTION_COLUMNS)
+    return gated(land(spark, f"{raw_dir.rstrip('/')}/*_Tran.csv"), store_ids)
+
+
+def gated(landed: DataFrame, store_ids=None) -> tuple[DataFrame, DataFrame]:
+    """``load_transactions`` of landed lines."""
+    rows, fmt = cut_lines(landed, TRANSACTION_COLUMNS)
     rows, found = (df.select("*", store_of_file().alias("file_store"),
                              F.regexp_extract("file_path", SOURCE_PATTERN, 1).alias("source")) for df in (rows, fmt))
     if store_ids is not None:

@@ -1,48 +1,70 @@
 """Stream new ``<store>_Tran.csv`` files into the processed fact.
 
-Each micro-batch holds whole files (the file source never splits a file
-across batches), so the store gate, expansion and the stream-static
-catalogue join run per batch exactly as in the batch rebuild. Output is
-written per micro-batch to ``<fact_path>/batch_id=<epoch>`` with overwrite:
-a batch re-run after a failure (written but not yet committed to the
-checkpoint) replaces its own output, so the ingestion is exactly-once.
-Readers see ``batch_id`` as one more partition column.
+Each micro-batch holds whole files (the file source never splits a file across
+batches). Its lines are landed like those of a batch load and go through the same
+reading, gate and rejection (``sources.files``), so any layout that a rebuild
+accepts is accepted here and what it refuses is refused for the same reason. Every
+epoch writes
+
+* ``<fact_path>/batch_id=<epoch>``: its fact rows,
+* ``<report_path>/gate/batch_id=<epoch>``: the report of its files,
+* ``<report_path>/rejected/batch_id=<epoch>``: the rows that can't be used,
+* ``<report_path>/files/batch_id=<epoch>``: the files it took in,
+
+each with overwrite, so a batch that is run again after a failure replaces its own
+output: the ingestion is exactly-once. Files that earlier epochs took in are
+the state across batches: one that is delivered again (rewritten under the same
+path, which the file source reads as new) is not counted twice but reported.
+Transaction ids carry the epoch and the line's number in its source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.operators.baskets import build_fact, expand_baskets, transaction_ids
-from tillroll.schemas import FACT_COLUMNS, RAW_TRANSACTIONS
-from tillroll.sources.files import STORE_FILE_PATTERN
+from tillroll.operators.baskets import build_fact, expand_baskets
+from tillroll.plans.rebuild import raw_batch
+from tillroll.schemas import FACT_COLUMNS
+from tillroll.session import written
+from tillroll.sources import files
+
+AGAIN = "taken in by an earlier batch"
+
+
+def taken_in(spark: SparkSession, report_path: str, before: int | None = None) -> DataFrame:
+    """(file_path, batch_id) of the files taken in so far, or before an epoch."""
+    root = f"{report_path.rstrip('/')}/files"
+    found = spark.read.schema("file_path string, batch_id int").option("basePath", root).parquet(f"{root}/batch_id=*")
+    return found if before is None else found.filter(F.col("batch_id") < before)
 
 
 def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame, categories: DataFrame,
-                  fact_path: str, checkpoint: str, max_files_per_trigger: int = 16):
+                  fact_path: str, checkpoint: str, max_files_per_trigger: int = 16, report_path: str | None = None):
     """Start an availableNow stream; returns the StreamingQuery."""
-    src = (spark.readStream.schema(RAW_TRANSACTIONS).option("sep", "|").option("header", False)
-                .option("maxFilesPerTrigger", max_files_per_trigger)
-                .csv(f"{raw_dir.rstrip('/')}/*_Tran.csv")
-                .select("*", F.col("_metadata.file_path").alias("file_path")))
+    report_path = (report_path or f"{fact_path.rstrip('/')}-report").rstrip("/")
+    src = files.with_source(spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(f"{raw_dir.rstrip('/')}/*_Tran.csv"))
+
+    def put(df: DataFrame, root: str, epoch: int, *by: str) -> None:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{root.rstrip('/')}/batch_id={epoch}")
 
     def per_batch(batch: DataFrame, epoch: int):
-        b = batch.select("*", F.regexp_extract("file_path", STORE_FILE_PATTERN, 1).alias("file_store"),
-                         F.monotonically_increasing_id().alias("pos"))
-        bad = (b.filter(F.trim("store_id").try_cast("int").isNull()
-                        | ~F.trim("store_id").try_cast("int").eqNullSafe(F.col("file_store").try_cast("int")))
-                .select("file_path").distinct())
-        ok = b.join(bad, "file_path", "left_anti")
-        typed = ok.select(
-            "pos", F.try_to_date(F.trim("date"), "yyyy-M-d").alias("date"),
-            F.trim("store_id").try_cast("int").alias("store_id"),
-            F.trim("customer_id").try_cast("bigint").alias("customer_id"), "products")
-        typed = typed.filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
-        raw = typed.select(transaction_ids(typed, "pos", f"b{epoch}").alias("transaction_id"),
-                           "date", "store_id", "customer_id", "products")
-        fact = build_fact(expand_baskets(raw), product_category, categories)
-        (fact.select(*FACT_COLUMNS).write.mode("overwrite").partitionBy("year", "month")
-             .parquet(f"{fact_path.rstrip('/')}/batch_id={epoch}"))
+        landed = written(files.numbered(batch), "stream-landing")
+        names = written(landed.select("file_path").distinct(), "stream-files")
+        if epoch:
+            new = names.join(taken_in(spark, report_path, epoch).select("file_path"), "file_path", "left_anti")
+        else:
+            new = names
+        again = written(names.join(new, "file_path", "left_anti").select("file_path"), "stream-again")
+        rows, report = files.gated(landed.join(again, "file_path", "left_anti"))
+        refused = again.select(
+            F.regexp_extract("file_path", files.SOURCE_PATTERN, 1).alias("source"), files.store_of_file().alias("file_store"),
+            *[F.lit(0).cast("bigint").alias(c) for c in ("rows", "foreign_rows", "bad_dates", "bad_customer_ids")], F.lit(True).alias("layout_ok"),
+            F.array().cast("array<string>").alias("missing_columns"), F.lit(AGAIN).alias("reason"), F.lit(False).alias("accepted")).distinct()
+        put(report.unionByName(refused), f"{report_path}/gate", epoch)
+        put(files.rejected_rows(rows), f"{report_path}/rejected", epoch)
+        raw = raw_batch(rows, f"b{epoch}").filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
+        put(build_fact(expand_baskets(raw), product_category, categories).select(*FACT_COLUMNS), fact_path, epoch, "year", "month")
+        put(rows.select("file_path").distinct(), f"{report_path}/files", epoch)
 
     return (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
