@@ -480,7 +480,7 @@ def test_stream_takes_layouts_rejections_and_redelivered_files(spark, tmp_path):
     cats = spark.createDataFrame([(1, "a")], "category_id int, category_name string")
     go = lambda: ingest_stream(spark, str(raw), pc, cats, str(fact), str(tmp_path / "ck"), 1, str(report)).awaitTermination()
     go()
-    (raw / "102_Tran.csv").write_text("2013-01-01|102|1000|1 2\n2013-01-03|102|1002|1 2 2\n")  # delivered again
+    (raw / "0103_Tran.csv").write_text((raw / "103_Tran.csv").read_text())  # delivered again under another name
     (raw / "105_Tran.csv").write_text("2013-01-05|105|9|2\n")
     go()
     read = lambda root: spark.read.option("basePath", str(root)).parquet(f"{root}/batch_id=*")
@@ -488,7 +488,7 @@ def test_stream_takes_layouts_rejections_and_redelivered_files(spark, tmp_path):
     assert read(fact).select("transaction_id").distinct().count() == 3
     assert sorted(r["reason"] for r in read(report / "rejected").collect()) == ["bad customer id", "bad date"]
     gate = sorted((r["file_store"], r["accepted"], r["reason"]) for r in read(report / "gate").collect())
-    assert gate == [("102", False, AGAIN), ("102", True, None), ("103", True, None), ("104", False, "rows of another store"), ("105", True, None)]
+    assert gate == [("0103", False, AGAIN), ("102", True, None), ("103", True, None), ("104", False, "rows of another store"), ("105", True, None)]
 
 
 def test_quantiles_match_percentile(spark):

@@ -12,10 +12,10 @@ epoch writes
 * ``<report_path>/files/batch_id=<epoch>``: the files it took in,
 
 each with overwrite, so a batch that is run again after a failure replaces its own
-output: the ingestion is exactly-once. Files that earlier epochs took in are
-the state across batches: one that is delivered again (rewritten under the same
-path, which the file source reads as new) is not counted twice but reported.
-Transaction ids carry the epoch and the line's number in its source.
+output: the ingestion is exactly-once. Files that earlier epochs took in are the
+state across batches, by path and by content (lines and the sum of their hashes):
+one that is delivered again under another name, or under its old one once the file
+source has forgotten that, is not counted twice but reported. Transaction ids carry the epoch and the line's number in its source.
 """
 
 from __future__ import annotations
@@ -31,10 +31,15 @@ from tillroll.sources import files
 AGAIN = "taken in by an earlier batch"
 
 
+def contents(landed: DataFrame) -> DataFrame:
+    """A row per file: lines and the sum of their hashes, whatever their order."""
+    return landed.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("digest"))
+
+
 def taken_in(spark: SparkSession, report_path: str, before: int | None = None) -> DataFrame:
-    """(file_path, batch_id) of the files taken in so far, or before an epoch."""
+    """(file_path, lines, digest, batch_id) of the files taken in so far, or before an epoch."""
     root = f"{report_path.rstrip('/')}/files"
-    found = spark.read.schema("file_path string, batch_id int").option("basePath", root).parquet(f"{root}/batch_id=*")
+    found = spark.read.schema("file_path string, lines bigint, digest decimal(38,0), batch_id int").option("basePath", root).parquet(f"{root}/batch_id=*")
     return found if before is None else found.filter(F.col("batch_id") < before)
 
 
@@ -49,12 +54,10 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
 
     def per_batch(batch: DataFrame, epoch: int):
         landed = written(files.numbered(batch), "stream-landing")
-        names = written(landed.select("file_path").distinct(), "stream-files")
-        if epoch:
-            new = names.join(taken_in(spark, report_path, epoch).select("file_path"), "file_path", "left_anti")
-        else:
-            new = names
-        again = written(names.join(new, "file_path", "left_anti").select("file_path"), "stream-again")
+        names = written(contents(landed), "stream-files")
+        before = taken_in(spark, report_path, epoch) if epoch else names.limit(0)
+        new = names.join(before.select("file_path"), "file_path", "left_anti").join(before.select("lines", "digest"), ["lines", "digest"], "left_anti")
+        again = written(names.join(new.select("file_path"), "file_path", "left_anti").select("file_path"), "stream-again")
         rows, report = files.gated(landed.join(again, "file_path", "left_anti"))
         refused = again.select(
             F.regexp_extract("file_path", files.SOURCE_PATTERN, 1).alias("source"), files.store_of_file().alias("file_store"),
@@ -64,7 +67,7 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
         put(files.rejected_rows(rows), f"{report_path}/rejected", epoch)
         raw = raw_batch(rows, f"b{epoch}").filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
         put(build_fact(expand_baskets(raw), product_category, categories).select(*FACT_COLUMNS), fact_path, epoch, "year", "month")
-        put(rows.select("file_path").distinct(), f"{report_path}/files", epoch)
+        put(names.join(rows.select("file_path"), "file_path", "left_semi"), f"{report_path}/files", epoch)
 
     return (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
