@@ -34,23 +34,41 @@ FILE_PATH = """concat(coalesce(source, 'none'),
 
 
 def _license_oracle() -> str:
-    w = licenses.Weights()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    idf = ", ".join(f"({quote(t)}, {x!r}::DOUBLE)" for t, x in sorted(w.idf.items()))
-    vec = ", ".join(f"({k}, {quote(w.names[k])}, {quote(t)}, {x * w.idf[t] / w.norms[k]!r}::DOUBLE)" for k, v in enumerate(w.vectors) for t, x in sorted(v.items()))
-    return f"""
-WITH files AS (SELECT doc_id, coalesce(text, '') AS text, {FILE_PATH.replace("cast(floor(doc_id / 2000) AS bigint)", "doc_id // 2000").replace("cast(floor(doc_id / 100) AS bigint)", "doc_id // 100")} AS path FROM documents),
-idf(term, idf) AS (VALUES {idf}), vec(k, license, term, weight) AS (VALUES {vec}),
-lines AS (SELECT row_number() OVER () AS line_id, doc_id, line FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\n\\r]+')) AS line FROM files)
-          WHERE regexp_matches(lower(line), '(^|[^0-9a-z])({"|".join(w.telling)})([^0-9a-z]|$)')),
-tf AS (SELECT line_id, term, count(*) AS tf FROM (SELECT line_id, unnest(regexp_split_to_array(lower(line), '{licenses.SPLIT}')) AS term FROM lines) WHERE term <> '' GROUP BY ALL),
-norm AS (SELECT line_id, sqrt(sum(pow(tf * coalesce(idf, {w.unknown!r}), 2))) AS norm FROM tf LEFT JOIN idf USING (term) GROUP BY ALL),
-score AS (SELECT line_id, k, license, round(sum(tf * weight) / any_value(norm), 9) AS score FROM tf JOIN vec USING (term) JOIN norm USING (line_id) GROUP BY ALL),
-best AS (SELECT doc_id, arg_max(license, (score, license)) AS own_license, max(score) AS own_score FROM score JOIN lines USING (line_id) WHERE score >= {licenses.THRESHOLD} GROUP BY doc_id),
-scanned AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '([^/]*)$', 1) AS name, own_license, own_score FROM files f LEFT JOIN best USING (doc_id)),
-given AS (SELECT dir AS up, arg_min(own_license, (-own_score, own_license)) AS given FROM scanned WHERE own_license IS NOT NULL AND name LIKE 'LICENSE%' GROUP BY dir),
-near AS (SELECT s.dir, max((length(up), up, given)) AS near FROM (SELECT DISTINCT dir FROM scanned) s JOIN given ON s.dir = up OR starts_with(s.dir, up || '/') GROUP BY s.dir)
-SELECT doc_id, path, own_license, own_score, coalesce(own_license, near[3]) AS license,
+    given = ", ".join(f"({k}, {quote(name)}, {quote(t)})" for k, (name, text) in enumerate(licenses.TEMPLATES) for t in licenses.terms(text))
+    w, n = licenses, licenses.BEFORE
+    return rf"""
+WITH files AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), '{w.UPPER}', '{w.LOWERED}') AS low,
+  {FILE_PATH.replace("cast(floor(doc_id / 2000) AS bigint)", "doc_id // 2000").replace("cast(floor(doc_id / 100) AS bigint)", "doc_id // 100")} AS path FROM documents),
+total AS (SELECT count(*) AS n FROM files),
+words AS (SELECT term, count(*) AS files FROM (SELECT unnest(list_distinct(regexp_split_to_array(low, '{w.SPLIT}'))) AS term FROM files) WHERE term <> '' GROUP BY term),
+given(k, name, term) AS (VALUES {given}),
+lines AS (SELECT doc_id, regexp_split_to_array(low, '{w.BREAKS}') AS lines FROM files WHERE regexp_matches(low, '{w.TELLING_LINE}')),
+numbered AS (SELECT doc_id, unnest(range(1, len(l.lines) + 1)) AS i, unnest(l.lines) AS line FROM lines l),
+telling AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS earlier FROM numbered WHERE regexp_matches(line, '{w.TELLING_LINE}')),
+starts AS (SELECT doc_id, i, 1 AS len FROM telling
+  UNION SELECT doc_id, greatest(i - back, 1), len FROM telling, (SELECT unnest(range(0, {n} + 1)) AS back), (SELECT unnest({list(w.LENGTHS)}) AS len)
+  WHERE earlier IS NULL OR i - earlier > {n}),
+blocks AS (SELECT doc_id, array_to_string(list_sort(list_filter(regexp_split_to_array(array_to_string(l.lines[i:i + len - 1], ' '), '{w.SPLIT}'), lambda t: t <> '')), ' ') AS block
+  FROM starts JOIN lines l USING (doc_id)),
+found AS (SELECT DISTINCT doc_id, block FROM blocks WHERE block <> ''),
+tf AS (SELECT block, term, count(*) AS tf FROM (SELECT block, unnest(string_split(block, ' ')) AS term FROM (SELECT DISTINCT block FROM found)) GROUP BY ALL),
+unit AS (SELECT block, term, tf * (ln((n + 1) / (coalesce(files, 0) + 1)) + 1) AS weight FROM tf LEFT JOIN words USING (term), total),
+model AS (SELECT k, name, term, tf * (ln((n + 1) / (coalesce(files, 0) + 1)) + 1) AS part FROM (SELECT k, name, term, count(*) AS tf FROM given GROUP BY ALL) LEFT JOIN words USING (term), total),
+norms AS (SELECT block, sqrt(sum(weight * weight)) AS norm FROM unit GROUP BY block),
+lengths AS (SELECT k, sqrt(sum(part * part)) AS length FROM model GROUP BY k),
+dots AS (SELECT block, k, name, sum(weight * part) AS dot FROM unit JOIN model USING (term) GROUP BY ALL),
+scores AS (SELECT block, name, max(round(dot / norm / length, 6)) AS score FROM dots JOIN norms USING (block) JOIN lengths USING (k) GROUP BY block, name),
+ranked AS (SELECT block, name, score, row_number() OVER r AS place, lead(score) OVER r AS rival FROM scores WINDOW r AS (PARTITION BY block ORDER BY score DESC, name DESC)),
+named AS (SELECT block, name, score FROM ranked WHERE place = 1 AND score >= {w.THRESHOLD} AND round(score - coalesce(rival, 0), 6) >= {w.MARGIN}),
+best AS (SELECT doc_id, arg_max(name, (score, name)) AS name, max(score) AS score FROM found JOIN named USING (block) GROUP BY doc_id),
+spdx AS (SELECT doc_id, nullif(regexp_extract(text, '{w.SPDX}', 1), '') AS spdx FROM files),
+scanned AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '([^/]*)$', 1) AS name,
+  coalesce(spdx, b.name) AS own_license, CASE WHEN spdx IS NOT NULL THEN 1.0 ELSE b.score END AS own_score
+  FROM files f JOIN spdx USING (doc_id) LEFT JOIN best b USING (doc_id)),
+given_up AS (SELECT dir AS up, arg_min(own_license, (-own_score, own_license)) AS given FROM scanned WHERE own_license IS NOT NULL AND name LIKE 'LICENSE%' GROUP BY dir),
+near AS (SELECT s.dir, max((length(up), up, given)) AS near FROM (SELECT DISTINCT dir FROM scanned) s JOIN given_up ON s.dir = up OR starts_with(s.dir, up || '/') GROUP BY s.dir)
+SELECT doc_id, path, own_license, CAST(own_score AS DOUBLE) AS own_score, coalesce(own_license, near[3]) AS license,
        CASE WHEN own_license IS NULL THEN near[2] END AS license_dir
 FROM scanned LEFT JOIN near USING (dir)"""
 
