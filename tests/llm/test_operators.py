@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,81 @@ def test_clashing_columns_are_replaced_once(docs):
         names = [c.lower() for c in out.columns]
         assert len(names) == len(set(names)) and "odd.name" in names
     assert exact.keep_first(docs).columns.count("doc_id") == 1
+
+
+CLASHES = ["_id", "_doc", "_key", "_text", "_size", "_range", "_digest", "_source", "places", "_drop", "drop", "_lines", "_best", "_dir", "_keep", "_of", "__id", "id", "key", "stats", "rest",
+           "epochs", "cut_range", "p_source", "low", "node", "digest", "_places", "_stats", "_part", "_place", "_whole", "hit_spans", "c0", "before"]
+
+
+def test_columns_named_like_internal_ones_stay(docs, spark):
+    """Extra columns come out as they went in, whatever their names."""
+    wide = docs.select("doc_id", "text", "source", *[F.concat(F.lit(c + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(8)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    every = ["doc_id", *CLASHES]
+    want = sorted(map(tuple, wide.select(every).collect()), key=str)
+    for out in (ngram_join.ngram_join(wide, columns=every), substring.dedup_substrings(wide), lines.line_dedup(wide), mixing.mix(wide), quality.score_quality(wide, labels, keep=every),
+                toxicity.score_toxicity(wide, labels, keep=every)):
+        assert sorted(map(tuple, out.select(every).collect()), key=str) == want
+    found = decontam.find_hits(wide, items).select([c for c in every if c != "hit_spans"])  # a result column
+    assert found.count() == len(want)
+    kept = exact.keep_first(wide).select(every).collect()
+    assert {tuple(r) for r in kept} <= set(want)
+    assert {r["doc_id"] for r in kept} == {r["keep_id"] for r in exact.exact_dedup(docs).collect()}
+
+
+def test_keep_first_knows_rows_by_their_text(spark):
+    rows = [(1, "a"), (1, "b"), (0, "b"), (2, "a a"), (2, "a a")]
+    kept = exact.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "group_size").collect()
+    assert sorted(map(tuple, kept)) == [(0, "b", 2), (1, "a", 1), (2, "a a", 2), (2, "a a", 2)]
+
+
+def test_mix_of_rows_without_ids_is_the_same_on_every_run(spark):
+    """The budget ends among texts of one size without an id: which is cut must not depend on the partitions."""
+    texts = [f"a{k} b c d" for k in range(60)]
+    def run(order, parts):
+        df = spark.createDataFrame([(None, t, "s") for t in order] + [(5, f"x{k} y", "t") for k in range(10)], "doc_id long, text string, source string").repartition(parts)
+        return sorted((r["text"], r["taken"]) for r in mixing.mix(df).collect())
+    one = run(texts, 1)
+    assert one == run(texts[::-1], 7) and len({t for _, t in one}) > 1
+
+
+def test_sums_of_ftrl_by_slot(spark):
+    """fit() against one FTRL-proximal run over the same rows in the same order."""
+    rng = random.Random(4)
+    rows = sorted(((float(k % 3 == 0), " ".join(rng.choice(WORDS[: 20 if k % 3 else 40]) for _ in range(12))) for k in range(60)), key=lambda r: r[1])
+    model = toxicity.fit(spark.createDataFrame(rows, "label double, text string").repartition(1).sortWithinPartitions("text"))
+    n, positive = len(rows), sum(y for y, _ in rows)
+    plain = toxicity.Ftrl.new(positive / n, min(3.0, toxicity.L1_PER_ROOT_ROW * n**0.5))
+    for _ in range(toxicity.ROUNDS):
+        plain.z, plain.n = plain.z.astype("f4").astype(float), plain.n.astype("f4").astype(float)
+        for y, text in rows:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            _, slots, words = toxicity.features(raw, np.array([0]), np.array([len(raw)]))
+            plain.learn(slots, int(words[0]), y)
+    w = plain.weights(np.arange(len(plain.z)))
+    got = np.zeros(len(w) - 1)
+    got[model.slots] = model.weights
+    # weights begin at 0 where |z| passes L1, so a slot at that edge may be in one of them only
+    assert len(model.slots) and np.allclose(got, w[:-1], atol=1e-4) and abs(model.constant - w[-1]) < 1e-4
+
+
+def test_ridge_and_isotonic_fit(spark):
+    """fit() against normal equations of all rows at once, isotonic() against its min-max formula."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(quality.STATS))).astype("f4").astype(float)
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = [(k, int(y[k]), x[k].tolist()) for k in range(300)]
+    model = quality.fit(spark.createDataFrame(rows, "id long, label int, stats array<float>").repartition(5))
+    z = quality.Features(x.mean(axis=0), x.std(axis=0))(x)
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * 300 * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ model.beta, z @ beta, atol=1e-6)
+    n, good = rng.integers(1, 9, 40).astype(float), np.zeros(40)
+    good = np.minimum(n, rng.integers(0, 9, 40)).astype(float)
+    mean = lambda a, b: good[a : b + 1].sum() / n[a : b + 1].sum()
+    want = [max(min(mean(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    centres, means = quality.isotonic(np.arange(40.0), n, good)
+    groups = [[i for i in range(40) if want[i] == v] for v in sorted(set(want))]
+    rate = good.sum() / n.sum()
+    assert len(groups) == len(means) and np.allclose(means, [(good[g].sum() + 0.5 * rate) / (n[g].sum() + 0.5) for g in groups])
+    assert np.allclose(centres, [(np.arange(40.0)[g] * n[g]).sum() / n[g].sum() for g in groups])

@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import SPACES, named, stored, without
+from .shared import SPACES, named, private, stored
 
 COLUMNS = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -79,7 +79,12 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The input's rows that stay, with all their columns."""
-    kept = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col(id_col).alias("_keep"), "group_size").distinct()
-    out = without(docs, ["group_size"])
-    return out.join(kept, named(id_col).eqNullSafe(F.col("_keep"))).drop("_keep")
+    """The input's rows that stay, with all their columns (one called group_size
+    is replaced). A row is known by its id and its text, so that another text
+    under a winner's id neither stays nor goes with it."""
+    own = private(docs.columns)
+    keep = [c for c in docs.columns if c.lower() != "group_size"]
+    kept = exact_dedup(docs, text_col, id_col).filter("kept").select(named(id_col).alias(own + "id"), F.unhex("text_sha256").alias(own + "of"), F.col("group_size").alias(own + "size")).distinct()
+    rows = docs.select(*map(named, keep), F.unhex(F.sha2(normalised(named(text_col)), 256)).alias(own + "digest"), named(id_col).alias(own + "doc"))
+    same = (F.col(own + "digest") == F.col(own + "of")) & F.col(own + "doc").eqNullSafe(F.col(own + "id"))
+    return rows.join(kept, same).select(*map(named, keep), F.col(own + "size").alias("group_size"))

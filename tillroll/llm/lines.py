@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import id_of, in_arrow, named, small_batches, stored
+from .shared import id_of, in_arrow, named, private, small_batches, stored
 from .words import LOWER, NOT_SPACE, groups_of, mix, span_hashes, text_column
 
 MIN_CHARS = 40
@@ -183,10 +183,13 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     columns = [c for c in (columns or docs.columns) if c.lower() not in COLUMNS]
-    drops = repeated_lines(docs, text_col, id_col, min_chars, min_docs, filter_bits, by_text).toDF("_id", "_of", "drop")
+    own = private(columns)
+    drops = repeated_lines(docs, text_col, id_col, min_chars, min_docs, filter_bits, by_text).toDF(own + "id", own + "of", own + "drop")
     doc, part = document_key(text_col, id_col, by_text)
-    base = docs.select(*[named(c) for c in columns], *([] if text_col in columns else [named(text_col)]), doc.alias("_doc"), part.alias("_part"))
-    rows = base.join(drops, (F.col("_doc") == F.col("_id")) & (F.col("_part") == F.col("_of")), "left").select(*[named(c) for c in columns], named(text_col).alias("_text"), F.unhex("drop").alias("_drop"))
+    text = text_col if text_col in columns else own + "text"
+    base = docs.select(*[named(c) for c in columns], *([] if text in columns else [named(text_col).alias(text)]), doc.alias(own + "doc"), part.alias(own + "part"))
+    same = (F.col(own + "doc") == F.col(own + "id")) & (F.col(own + "part") == F.col(own + "of"))
+    rows = base.join(drops, same, "left").select(*[named(c) for c in columns], named(text).alias(own + "whole"), F.unhex(own + "drop").alias(own + "keys"))
     n = len(columns)
 
     def cut(batches):

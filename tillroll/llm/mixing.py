@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import WORD, named, parallelism, stored, without
+from .shared import WORD, named, parallelism, private, stored, without
 
 MAX_EPOCHS = 3
 CYCLE = (1, 2, 3)
@@ -23,6 +23,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_mark(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def cycle_weights(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """sizes: (source, source_size), one row per source. Weights repeat over the
     sources in code point order, null last."""
@@ -60,7 +64,7 @@ def fill_targets(weighted: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", size: Column | None = None, seed: int = 17, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+        source_col: str = "source", size: Column | None = None, mark: Column | None = None, seed: int = 17, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes;
     repeats counted), one row per input row, dropped rows with taken = 0.
 
@@ -68,19 +72,23 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc
     are taken first; in the last, partial epoch documents are taken in key
     order up to the source's budget, the one that crosses it in part.
 
-    Nulls: a null text has size 0, a null source is a source of its own, a null
-    id has a key like any other. Ties: equal keys are ordered by size, and rows
-    that agree in both are interchangeable. An empty table gives no rows. Input
-    columns called like a result column are replaced.
+    mark tells rows of one id apart, by default a hash of the text. Nulls: a null
+    text has size 0, a null source is a source of its own, a row without an id
+    gets its key from its mark. Ties: equal keys are ordered by size and mark, and
+    rows that agree in all are interchangeable. An empty table gives no rows.
+    Input columns called like a result column are replaced.
     """
     spark = docs.sparkSession
     ranges = 1 << max(6, (4 * parallelism(spark) - 1).bit_length())
-    key = F.md5(F.concat_ws(":", F.coalesce(named(id_col).cast("string"), F.lit("")), F.lit(str(seed))))
     size = word_count(named(text_col)) if size is None else size
-    base = without(docs.withColumns({"_source": named(source_col), "_key": key, "_size": size}), COLUMNS)
-    base = base.withColumn("_range", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int"))
-
-    sums = stored(base.groupBy(F.col("_source").alias("source"), F.col("_range").alias("range")).agg(F.sum("_size").alias("words")), "mix-ranges")
+    mark = text_mark(named(text_col)) if mark is None else mark
+    key = F.md5(F.concat_ws(":", F.coalesce(named(id_col).cast("string"), F.concat(F.lit(":"), mark)), F.lit(str(seed))))
+    own = private(docs.columns)
+    kept = [named(c) for c in docs.columns if c.lower() not in COLUMNS]
+    base = docs.select(*kept, named(source_col).alias(own + "source"), key.alias(own + "key"), size.alias(own + "size"), mark.alias(own + "mark"))
+    base = base.withColumn(own + "range", (F.conv(F.substring(own + "key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int"))
+
+    sums = stored(base.groupBy(F.col(own + "source").alias("source"), F.col(own + "range").alias("range")).agg(F.sum(own + "size").alias("words")), "mix-ranges")
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     if weights is None:
         weighted = cycle_weights(sizes)
@@ -103,17 +111,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc
     )
     plan = stored(p.join(cuts, F.col("p_source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-cuts")
 
-    rows = base.join(plan, F.col("_source").eqNullSafe(F.col("p_source")), "left").withColumn(
-        "_place", F.when(F.col("cut_range").isNull() | (F.col("_range") < F.col("cut_range")), -1).when(F.col("_range") > F.col("cut_range"), 1).otherwise(0))
-    outside = rows.filter("_place <> 0").withColumn("_part", F.when(F.col("_place") < 0, F.col("_size")).otherwise(0))
-    order = Window.partitionBy("_source", "_range").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("cut_before") - F.coalesce(F.sum("_size").over(order), F.lit(0))
-    inside = rows.filter("_place = 0").withColumn("_part", F.least(F.greatest(left, F.lit(0)), F.col("_size")))
+    plan = plan.toDF(*[own + c for c in plan.columns])
+    col = lambda name: F.col(own + name)
+    rows = base.join(plan, col("source").eqNullSafe(col("p_source")), "left").withColumn(
+        own + "place", F.when(col("cut_range").isNull() | (col("range") < col("cut_range")), -1).when(col("range") > col("cut_range"), 1).otherwise(0))
+    outside = rows.filter(col("place") != 0).withColumn(own + "part", F.when(col("place") < 0, col("size")).otherwise(0))
+    order = Window.partitionBy(own + "source", own + "range").orderBy(own + "key", own + "size", own + "mark").rowsBetween(Window.unboundedPreceding, -1)
+    left = col("rest") - col("cut_before") - F.coalesce(F.sum(own + "size").over(order), F.lit(0))
+    inside = rows.filter(col("place") == 0).withColumn(own + "part", F.least(F.greatest(left, F.lit(0)), col("size")))
     out = outside.unionByName(inside)
-    taken = F.when(F.col("source_size").isNull(), 0).otherwise(F.col("epochs") * F.col("_size") + F.col("_part")).cast("long")
-    keep = [named(c) for c in docs.columns if c.lower() not in COLUMNS]
-    return out.select(*keep, F.col("_size").alias("size"), F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
-                      F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
+    taken = F.when(col("source_size").isNull(), 0).otherwise(col("epochs") * col("size") + col("part")).cast("long")
+    return out.select(*kept, col("size").alias("size"), F.coalesce(col("source_size"), F.lit(0)).cast("long").alias("source_size"),
+                      F.coalesce(col("target"), F.lit(0.0)).alias("target"), taken.alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected
-from .shared import NULL_ID, id_of, named, small_batches, stored
+from .shared import NULL_ID, id_of, named, private, small_batches, stored
 from .words import groups_of, mix, span_hashes, text_column, words_of
 
 SHINGLE = 5
@@ -237,9 +237,10 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     are replaced.
     """
     columns = [c for c in (columns or [id_col]) if c.lower() not in COLUMNS]
-    found = text_classes(docs, text_col, id_col, threshold, target).select(
-        F.col("id").alias("_id"), F.col("digest").alias("_of"), F.col("low.id").alias("_low"), F.col("n_links").alias("_links"), F.col("n_text_links").alias("_text_links"))
-    base = docs.select(*map(named, columns), id_of(id_col).alias("_doc"), digest_of(text_col).alias("_digest"))
-    low = F.col("_low")
-    return base.join(found, (F.col("_doc") == F.col("_id")) & (F.col("_digest") == F.col("_of"))).select(
-        *map(named, columns), F.when(low != F.lit(NULL_ID), low).alias("class_id"), F.col("_links").alias("n_links"), F.col("_text_links").alias("n_text_links"))
+    own = private(columns)
+    found = text_classes(docs, text_col, id_col, threshold, target).select("id", "digest", "low.id", "n_links", "n_text_links").toDF(
+        own + "id", own + "of", own + "low", own + "links", own + "text_links")
+    base = docs.select(*map(named, columns), id_of(id_col).alias(own + "doc"), digest_of(text_col).alias(own + "digest"))
+    low = F.col(own + "low")
+    return base.join(found, (F.col(own + "doc") == F.col(own + "id")) & (F.col(own + "digest") == F.col(own + "of"))).select(
+        *map(named, columns), F.when(low != F.lit(NULL_ID), low).alias("class_id"), F.col(own + "links").alias("n_links"), F.col(own + "text_links").alias("n_text_links"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_of, in_arrow, named, small_batches, stored
+from .shared import id_of, in_arrow, named, private, small_batches, stored
 from .words import SPACE, byte_class, groups_of, mix, span_hashes, text_column, words_of
 
 FEATURES = 256
@@ -119,8 +119,8 @@ def doc_stats(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     ], axis=1)
 
 
-def stats_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """keep columns and stats array<double> of every whole text."""
+def stats_of(docs: DataFrame, text_col: str, keep: list[str], stats_col: str = "stats") -> DataFrame:
+    """keep columns and stats_col array<float> of every whole text."""
     small_batches(docs.sparkSession)
 
     def measure(batches):
@@ -129,10 +129,10 @@ def stats_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             parts = [doc_stats(values, starts[i:j], ends[i:j]) for i, j in groups_of(starts, ends)]
             rows = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATS)), pa.array(rows.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], stats], [*keep, "stats"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], stats], [*keep, stats_col])
 
-    rows = docs.select(*map(named, keep), named(text_col).alias("_text"))
-    return in_arrow(rows, measure, docs.select(*map(named, keep)).withColumn("stats", F.array().cast("array<float>")).schema)
+    rows = docs.select(*map(named, keep), named(text_col).alias(private(keep) + "text"))
+    return in_arrow(rows, measure, docs.select(*map(named, keep), F.array().cast("array<float>").alias(stats_col)).schema)
 
 
 class Features:
@@ -240,10 +240,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     table gives no rows. An input column called score is replaced.
     """
     keep = [c for c in (keep or [id_col]) if c.lower() not in COLUMNS]
-    keys = docs.select(*map(named, keep), *([] if text_col in keep else [named(text_col)]), id_of(id_col).alias("_id"))
-    measured = stored(stats_of(keys, text_col, [*keep, "_id"]), "quality-stats")
+    own = private([*keep, text_col])
+    keys = docs.select(*map(named, keep), named(text_col).alias(own + "text"), id_of(id_col).alias(own + "id"))
+    measured = stored(stats_of(keys, own + "text", [*keep, own + "id"], own + "stats"), "quality-stats")
     known = labels.select(named(id_col).cast("long").alias("id"), named(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
-    model = fit(measured.select(F.col("_id").alias("id"), "stats").join(known, "id"))
+    model = fit(measured.select(F.col(own + "id").alias("id"), F.col(own + "stats").alias("stats")).join(known, "id"))
 
     def score(batches):
         for batch in batches:
@@ -251,5 +252,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
             y = np.full(len(x), 0.5) if model is None else model(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(y)], [*keep, "score"])
 
-    rows = measured.select(*map(named, keep), "stats")
-    return in_arrow(rows, score, rows.drop("stats").withColumn("score", F.lit(None).cast("double")).schema)
+    schema = docs.select(*map(named, keep), F.lit(None).cast("double").alias("score")).schema
+    return in_arrow(measured.select(*map(named, keep), own + "stats"), score, schema)

@@ -116,7 +116,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17') AS key FROM documents),
+  md5(coalesce(text, '')) AS mark,
+  md5(coalesce(CAST(doc_id AS VARCHAR), ':' || md5(coalesce(text, ''))) || ':17') AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 l AS (SELECT *, cap / weight AS per, greatest(sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM s WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -124,13 +125,13 @@ t AS (SELECT source, source_size, CASE WHEN per <= level OR (SELECT max(level) F
 p AS (SELECT *, least(CAST(round(target) AS BIGINT), 3 * source_size) AS budget FROM t),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p),
 r AS (SELECT d.*, q.source_size, q.target, q.epochs, q.budget - q.epochs * q.source_size AS rest,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 6) AS target, CAST(epochs * size + least(greatest(rest - before, 0), size) AS BIGINT) AS taken FROM r""")
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import stored
-    sized = stored(documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "mix-sizes")
-    out = mixing.mix(sized, size=F.col("words"))
+    sized = stored(documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), mixing.text_mark(F.col("text")).alias("mark")), "mix-sizes")
+    out = mixing.mix(sized, size=F.col("words"), mark=F.col("mark"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 

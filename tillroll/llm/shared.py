@@ -37,6 +37,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[named(c) for c in df.columns if c.lower() not in drop])
 
 
+def private(columns: list[str]) -> str:
+    """A prefix that no input column has, for an operator's own columns beside them."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow for functions that take columns by position, so that input
     columns may have any name."""

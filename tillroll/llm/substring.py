@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_of, in_arrow, named, small_batches, stored
+from .shared import id_of, in_arrow, named, private, small_batches, stored
 from .words import groups_of, mix, span_hashes, text_column, words_of
 
 WINDOW = 20
@@ -205,9 +205,11 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     small_batches(docs.sparkSession)
     columns = [c for c in (columns or docs.columns) if c.lower() not in COLUMNS]
     texts = docs.select(id_of(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    found = repeated_windows(texts, window, gram).withColumnRenamed("id", "_id")
-    base = docs.select(*map(named, columns), named(text_col).alias("_text"), id_of(id_col).alias("_doc"))
-    rows = base.join(found, F.col("_doc") == F.col("_id"), "left").select(*map(named, columns), "_text", "places")
+    own = private(columns)
+    found = repeated_windows(texts, window, gram).toDF(own + "id", own + "places")
+    text = text_col if text_col in columns else own + "text"
+    base = docs.select(*map(named, columns), *([] if text in columns else [named(text_col).alias(text)]), id_of(id_col).alias(own + "doc"))
+    rows = base.join(found, F.col(own + "doc") == F.col(own + "id"), "left").select(*map(named, columns), named(text).alias(own + "whole"), own + "places")
     n = len(columns)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

@@ -3,9 +3,11 @@
 Features of a whole text: its distinct words, word pairs, skip pairs (one word
 between) and word stems, hashed to ``2**HASH_BITS`` slots. Training texts are a
 bounded sample of the labelled rows, written once to the shared folder. In each
-round every task runs FTRL-proximal over its rows from the common state (z, n);
-Spark averages the tasks' changes by slot. Per-coordinate rates come from n, and
-L1 leaves few slots with a weight, so the model is a small sorted table.
+round every task runs FTRL-proximal over its rows from the common state (z, n)
+and returns its changes of the slots it touched, weighted by its share of the
+rows; Spark sums them by slot into a table, as whole numbers, so that a task
+that runs again changes nothing. Per-coordinate rates come from n, and L1 leaves
+few slots with a weight, so the model is a small sorted table.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import in_arrow, named, small_batches, stored
+from .shared import in_arrow, named, private, small_batches, stored
 from .words import ALNUM, LOWER, groups_of, mix, span_hashes, text_column, words_of
 
-HASH_BITS = 19
+HASH_BITS = 20
 STEMS = (4, 5)  # bytes of a word's beginning
 ALPHA, BETA, L2 = 1.0, 1.0, 0.01
 L1_PER_ROOT_ROW = 0.016  # L1 follows the noise of a sum over the training rows
 ROUNDS = 5
 ROWS_PER_TASK, TASKS = 1000, 8  # tasks that train side by side
 MAX_TRAIN_ROWS = 30_000  # bound of the sample of labelled rows, taken by hash
+UNIT = 2.0**-32  # in which changes of a slot are summed
 CUT = 0.3
 COLUMNS = ["score"]
 
@@ -130,7 +133,11 @@ def train_rows(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, l
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """rows: (label, text). Rounds of FTRL-proximal in tasks, averaged by their rows."""
+    """rows: (label, text). Rounds of FTRL-proximal in tasks, averaged by their rows.
+
+    The driver reads one row a touched slot and round, 2**HASH_BITS + 1 at most,
+    whatever the number of tasks.
+    """
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     if not n:
         return None
@@ -151,14 +158,15 @@ def fit(rows: DataFrame) -> Model | None:
                     for k in range(j - i):
                         own.learn(slots[cut[k] : cut[k + 1]], int(words[k]), float(labels[i + k]))
                 count += len(labels)
-            if count:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([count]), *[pa.array([(a - b).astype(np.float32).tobytes()], pa.binary()) for a, b in ((own.z, start.z), (own.n, start.n))]], ["rows", "z", "n"])
-
-        for part in parts.mapInArrow(learn, "rows long, z binary, n binary").collect():  # at most TASKS rows
-            share = part["rows"] / n
-            model.z += share * np.frombuffer(part["z"], np.float32)
-            model.n += share * np.frombuffer(part["n"], np.float32)
+            change = [np.rint((a - b) * (count / n / UNIT)).astype(np.int64) for a, b in ((own.z, start.z), (own.n, start.n))]
+            at = np.flatnonzero(change[0] | change[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(change[0][at]), pa.array(change[1][at])], ["slot", "z", "n"])
+
+        summed = parts.mapInArrow(learn, "slot int, z long, n long").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
+        changed = stored(summed, "toxicity-round").toArrow()
+        at = changed["slot"].to_numpy()
+        model.z[at] += changed["z"].to_numpy() * UNIT
+        model.n[at] += changed["n"].to_numpy() * UNIT
     w = model.weights(np.arange(len(model.z)))
     slots = np.flatnonzero(w[:-1])
     return Model(slots, w[slots], float(w[-1]))
@@ -178,7 +186,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     small_batches(docs.sparkSession)
     keep = [c for c in (keep or [id_col]) if c.lower() not in COLUMNS]
     model = fit(train_rows(docs, labels, text_col, id_col, label_col, max_train_rows))
-    rows = docs.select(*map(named, keep), named(text_col).alias("_text"))
+    rows = docs.select(*map(named, keep), named(text_col).alias(private(keep) + "text"))
 
     def score(batches):
         for batch in batches:
@@ -186,4 +194,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
             y = np.full(len(starts), 0.5) if model is None else model.scores(values, starts, ends)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(y)], [*keep, "score"])
 
-    return in_arrow(rows, score, rows.drop("_text").withColumn("score", F.lit(None).cast("double")).schema)
+    return in_arrow(rows, score, docs.select(*map(named, keep), F.lit(None).cast("double").alias("score")).schema)
