@@ -15,33 +15,47 @@ stages are tested against brute-force versions instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillroll.llm import decontam, lines, mixing, ngram_join, quality
-from tillroll.llm.shared import documents, id_of, named, stored
+from tillroll.llm.shared import documents, id_of, named, stored, without
 
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, changed: DataFrame, new: str) -> DataFrame:
-    """changed's rows with docs' columns: the text from column ``new``, if it
-    differs, and its length."""
-    differs = ~F.coalesce(F.col("text"), F.lit("")).eqNullSafe(F.col(new))
-    values = {"text": F.when(differs, F.col(new)).otherwise(F.col("text"))}
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by place, so that none is called like an
+    operator's, and the new name of each."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(docs: DataFrame, names: dict[str, str], text: Column, before: Column) -> list[Column]:
+    """docs' columns under their names again: this text, and its length where the
+    text is not as long as before."""
+    values = {"text": text}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(differs, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return changed.select(*[values.get(c, named(c)).alias(c) for c in docs.columns])
+        points = F.length(F.coalesce(text, F.lit("")))
+        old = F.col(names["n_chars"])
+        values["n_chars"] = F.when(points == before, old).otherwise(points.cast(docs.schema["n_chars"].dataType))
+    return [values.get(c, F.col(k)).alias(c) for c, k in names.items()]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score >= CUT)."""
-    scored = quality.score_quality(docs, documents(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.filter(F.col("score") >= quality.CUT).select(*map(named, docs.columns))
+    rows, names = _plain(docs)
+    labels = documents(spark, sf_dir, "labels").select(F.col("doc_id").alias(names["doc_id"]), "quality")
+    scored = quality.score_quality(rows, labels, names["text"], names["doc_id"], keep=rows.columns)
+    return scored.filter(F.col("score") >= quality.CUT).select(*[F.col(k).alias(c) for c, k in names.items()])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines of at least five documents stay in one of them only."""
-    return _with_text(docs, lines.line_dedup(docs, by_text=True), "kept_text")
+    rows, names = _plain(docs)
+    changed = lines.line_dedup(rows, names["text"], names["doc_id"], by_text=True)
+    old = F.col(names["text"])
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(old)
+    return changed.select(*_back(docs, names, text, F.length(F.coalesce(old, F.lit("")))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +75,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows go; mostly covered documents go whole."""
-    return decontam.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+    rows, names = _plain(docs)
+    rows = rows.withColumn("before", F.length(F.coalesce(names["text"], F.lit(""))))
+    clean = decontam.decontaminate(rows, documents(spark, sf_dir, "benchmark"), names["text"])
+    return clean.select(*_back(docs, names, F.col(names["text"]), F.col("before")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus, sources at their target weights."""
-    return mixing.mixture(docs)
+    """The mixed corpus, sources at their target weights; input columns called
+    like a column of the mix are replaced."""
+    docs = without(docs, [*mixing.COLUMNS, "epoch"])
+    rows, names = _plain(docs)
+    rows = rows.withColumn("before", F.length(F.coalesce(names["text"], F.lit(""))))
+    mixed = mixing.mixture(rows, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"])
+    return mixed.select(*_back(docs, names, F.col(names["text"]), F.col("before")), *mixing.COLUMNS, "epoch")
 
 
 STAGES = [
