@@ -76,6 +76,35 @@ def test_ngram_join(docs, block, monkeypatch):
 def test_prefix_is_shortened_to_the_recall():
     k = ngram_join.prefix_length(0.999)
     assert ngram_join.recall(k) >= 0.999 > ngram_join.recall(k + 1)
+    with pytest.raises(ValueError):
+        ngram_join.prefix_length(0.999, 0.25)
+
+
+@pytest.mark.parametrize("threshold, target", [(0.8, 0.999), (0.6, 0.5)])
+def test_links_do_not_depend_on_the_size_of_groups(spark, monkeypatch, threshold, target):
+    """Near copies in one group or in blocks: the same links, also where a low target loses some."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 6])):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for block in (512, 8):
+        monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", block)
+        out.append(sorted(map(tuple, ngram_join.ngram_join(df, threshold=threshold, target=target).collect())))
+    every = sum(n for *_, n in brute_links(rows, threshold))
+    assert out[0] == out[1] and target * every <= sum(r[2] for r in out[0]) <= every > 0
+
+
+def test_recall_against_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: n for i, _, n in brute_links(rows)}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values()) > 0
 
 
 # ---------------------------------------------------------------- 2

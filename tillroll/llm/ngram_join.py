@@ -1,11 +1,16 @@
 """N-gram Jaccard self-join with a MinHash LSH forest.
 
-A text's word 5-grams give ``TREES`` short min-hash signatures; each is the path
-of the text in a prefix trie, and texts that share a path of some length meet
-there. Paths start at full length and are shortened until a pair exactly at the
-threshold meets in some tree with the target probability; no shorter prefix, and
-so no larger bucket, is used than that needs. Every candidate is verified
-on the full shingle sets.
+A text's word 5-grams give ``TREES`` signatures of ``DEPTH`` min-hashes; each is
+the path of the text in a prefix trie. Paths are matched level by level, from
+their full depth on: texts that share a prefix of the level's length in some tree
+meet there and are verified on their full shingle sets. After each level a text's
+recall is estimated from the links it has: a link of similarity s is found with
+probability 1 - (1 - s**length)**TREES, so it stands for one over that many. Only
+texts short of the target, those without any link among them, have their prefixes
+shortened by one more value; a pair is verified where one of its texts is still
+open. The last level's length finds a pair exactly at the threshold with the
+target probability. So a group of near copies, whose links are sure to be found
+at full depth, is not gathered again in the larger buckets of shorter prefixes.
 
 Copies (equal word sequences) are one node. Candidate groups are linked by
 stars, never by all their pairs. A small group is verified in one task; a large
@@ -26,7 +31,7 @@ from .words import groups_of, mix, span_hashes, text_column, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 22, 6
 RECALL = 0.999
 BLOCK_TEXTS, BLOCK_WORDS = 512, 400_000
 COLUMNS = ["class_id", "n_links", "n_text_links"]
@@ -38,10 +43,11 @@ def recall(length: int, similarity: float = THRESHOLD, trees: int = TREES) -> fl
 
 
 def prefix_length(target: float = RECALL, similarity: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    length = depth
-    while length > 1 and recall(length, similarity, trees) < target:
-        length -= 1
-    return length
+    """The longest prefix that finds a pair of this similarity with the target probability."""
+    for length in range(depth, 0, -1):
+        if recall(length, similarity, trees) >= target:
+            return length
+    raise ValueError(f"{trees} trees find a similarity of {similarity} with a probability of {recall(1, similarity, trees):.4f}, below the target {target}")
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE):
@@ -67,10 +73,10 @@ def signatures(hashes: np.ndarray, begin: np.ndarray, values: int) -> np.ndarray
     return out
 
 
-def sketch(texts: DataFrame, length: int) -> DataFrame:
+def sketch(texts: DataFrame, levels: list[int]) -> DataFrame:
     """texts: (id, digest, text). Returns (id, digest, node binary, n_words,
-    labels): node is a 128-bit hash of the word sequence, labels the prefixes of
-    the trees."""
+    labels): node is a 128-bit hash of the word sequence, labels holds a hash of
+    each tree's prefix, TREES for each length in levels."""
 
     def read(batches):
         for batch in batches:
@@ -84,11 +90,12 @@ def sketch(texts: DataFrame, length: int) -> DataFrame:
                 counts.append(np.diff(first))
                 s, begin = shingles(h, first)
                 some = np.diff(begin) > 0
-                sizes.append(np.where(some, TREES, 0))
+                sizes.append(np.where(some, TREES * len(levels), 0))
                 if some.any():
-                    sig = signatures(s, begin, TREES * length).reshape(-1)
-                    at = np.arange(0, len(sig), length)
-                    labels.append(span_hashes(sig, at, at + length).view(np.int64))
+                    sig = signatures(s, begin, TREES * DEPTH).reshape(-1)
+                    at = np.arange(0, len(sig), DEPTH)
+                    paths = [span_hashes(sig, at, at + length).reshape(-1, TREES) for length in levels]
+                    labels.append(np.concatenate(paths, axis=1).reshape(-1).view(np.int64))
             if not nodes:
                 continue
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
@@ -118,8 +125,9 @@ def overlaps(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _verify(batch: pa.Table, threshold: float):
-    """One group: (node, links, copies linked, head of the local component)."""
+def _verify(batch: pa.Table, threshold: float, levels: list[int]):
+    """One group: (node, links, copies linked, head of the local component,
+    missed: for each level the links expected besides those found)."""
     batch = batch.combine_chunks()
     nodes = batch.column("node").to_pylist()
     values, starts, ends = text_column(batch.column("text"))
@@ -133,36 +141,53 @@ def _verify(batch: pa.Table, threshold: float):
     both = overlaps(np.repeat(np.arange(n), sizes), np.concatenate(sets) if sets else np.zeros(0, np.uint64), n)
     linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
     np.fill_diagonal(linked, False)
-    block, one, two, tree = (batch.column(c).to_numpy()[rows] for c in ("block", "one", "two", "tree"))
+    block, one, two, tree, open_ = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("block", "one", "two", "tree", "open"))
     if n and one[0] != two[0]:
         linked &= block[:, None] != block[None, :]
+    linked &= open_[:, None] | open_[None, :]
+    here, longer = (np.array([batch.column(c)[k].as_py() for k in rows], np.int64).reshape(n, -1) if n else np.zeros((0, 0), np.int64) for c in ("here", "longer"))
+    again = np.zeros((n, n), bool)  # links counted in an earlier tree
+    x, y = np.nonzero(linked)
+    for at in range(0, len(x), 1 << 16):
+        i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        same = here[i] == here[j]
+        # pairs of this level: they meet here, and did not at a longer prefix
+        new = same.any(axis=1) & ~(longer[i] == longer[j]).any(axis=1)
+        linked[i[~new], j[~new]] = False
+        early = same[:, : max(tree[0], 0)].any(axis=1)
+        again[i[early], j[early]] = True
     head = np.arange(n)
     while True:  # the smallest row number spreads along the links
         low = np.minimum(head, np.where(linked, head[None, :], n).min(axis=1, initial=n))
         if (low == head).all():
             break
         head = low
-    if n and tree[0] > 0:  # pairs that meet in an earlier tree are counted there
-        labels = np.array([batch.column("labels")[k].as_py()[: tree[0]] for k in rows])
-        x, y = np.nonzero(linked)
-        for at in range(0, len(x), 1 << 16):
-            i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-            early = (labels[i] == labels[j]).any(axis=1)
-            linked[i[early], j[early]] = False
+    linked &= ~again
+    x, y = np.nonzero(linked)
+    similarity = both[x, y] / (sizes[x] + sizes[y] - both[x, y])
+    missed = np.stack([np.bincount(x, 1 / recall(length, similarity) - 1, n) for length in levels], axis=1) if n else np.zeros((0, len(levels)))
     copies = batch.column("copies").to_numpy()[rows]
     kept = [nodes[k] for k in rows]
     return pa.table({
         "node": pa.array(kept, pa.binary()), "links": pa.array(linked.sum(axis=1), pa.int64()),
         "copies": pa.array(linked.astype(np.int64) @ copies if n else np.zeros(0, np.int64), pa.int64()),
-        "head": pa.array([kept[k] for k in head], pa.binary())})
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes: (node, n_words, labels, ...). Returns (node, grp binary, tree,
-    one, two, block): the groups and blocks in which a node is verified."""
-    placed = nodes.select("node", "n_words", F.posexplode("labels").alias("tree", "label"))
-    buckets = placed.groupBy("tree", "label").agg(F.count("*").alias("size"), F.sum("n_words").alias("words"), F.min("node").alias("low")).filter("size > 1")
-    members = stored(placed.join(buckets, ["tree", "label"]), "join-members")
+        "head": pa.array([kept[k] for k in head], pa.binary()), "missed": pa.array(list(missed), pa.list_(pa.float64()))})
+
+
+def candidates(nodes: DataFrame, first: bool) -> DataFrame:
+    """nodes: (node, n_words, open, here, longer): the labels of this level and of
+    the one before. Returns (node, grp binary, tree, one, two, block): the
+    groups and blocks in which a node is verified."""
+    measures = [F.count("*").alias("size"), F.sum("n_words").alias("words"), F.min("node").alias("low")]
+    if first:
+        placed = nodes.select("node", "n_words", F.posexplode("here").alias("tree", "label"))
+        buckets = placed.groupBy("tree", "label").agg(*measures).filter("size > 1")
+    else:  # a bucket that is not larger than at the longer prefix, or whose texts are all done, has no new pair
+        placed = nodes.select("node", "n_words", "open", F.posexplode(F.arrays_zip("here", "longer")).alias("tree", "of"))
+        placed = placed.select("node", "n_words", "open", "tree", F.col("of.here").alias("label"), F.col("of.longer").alias("longer"))
+        grown = placed.groupBy("tree", "label").agg(*measures, F.max("open").alias("any"), (F.min("longer") < F.max("longer")).alias("grew"))
+        buckets = grown.filter("size > 1 AND any AND grew").drop("any", "grew")
+    members = stored(placed.join(buckets, ["tree", "label"]).select("node", "tree", "label", "size", "words", "low"), "join-members")
     groups = connected(members.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "join-candidates")
     groups = groups.join(nodes.select("node", "n_words"), "node")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
@@ -181,6 +206,30 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return whole.unionByName(spread)
 
 
+def links(nodes: DataFrame, texts: DataFrame, threshold: float, target: float, levels: list[int]) -> DataFrame:
+    """Rows of ``_verify`` of all levels."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        return _verify(table, threshold, levels)
+
+    found = None
+    for number in range(len(levels)):
+        here = F.slice("labels", number * TREES + 1, TREES).alias("here")
+        longer = F.slice("labels", (number - 1) * TREES + 1, TREES).alias("longer") if number else F.array_repeat(F.lit(None).cast("long"), 0).alias("longer")
+        at = nodes.withColumn("open", F.lit(True))
+        if number:  # done: the links expected besides those found are within the target
+            seen = found.groupBy("node").agg(F.sum("links").alias("links"), F.round(F.sum(F.col("missed")[number - 1]), 9).alias("missed"))
+            done = stored(seen.filter((F.col("links") > 0) & (F.col("missed") <= (1 - target) * (F.col("links") + F.col("missed")))).select("node", F.lit(True).alias("done")), "join-done")
+            at = nodes.join(done, "node", "left").withColumn("open", F.col("done").isNull())
+        at = at.select("node", "id", "digest", "copies", "n_words", "open", here, longer)
+        places = candidates(at, number == 0).join(at.drop("n_words"), "node")
+        # a node meets its own text only, once, however often the row is repeated
+        rows = places.join(texts, ["id", "digest"]).select("grp", "tree", "one", "two", "block", "node", "copies", "open", "here", "longer", "text")
+        more = stored(rows.groupBy("grp", "tree", "one", "two").applyInArrow(verify, "node binary, links long, copies long, head binary, missed array<double>"), "join-verified")
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
 def digest_of(text_col: str) -> Column:
     """What tells rows of one id apart: a 128-bit hash of the text."""
     return F.unhex(F.md5(F.coalesce(named(text_col), F.lit(""))))
@@ -191,21 +240,14 @@ def text_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     n_text_links). low is the struct (id, node) that comes first in the class; a
     text without words is a class of its own."""
     small_batches(docs.sparkSession)
-    length = prefix_length(target, threshold)
+    levels = list(range(DEPTH, prefix_length(target, threshold) - 1, -1))
     texts = docs.select(id_of(id_col).alias("id"), digest_of(text_col).alias("digest"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    marks = stored(sketch(texts, length), "join-sketch")
+    marks = stored(sketch(texts, levels), "join-sketch")
     nodes = stored(
         marks.filter("n_words > 0").groupBy("node")
         .agg(F.min(F.struct("id", "digest")).alias("at"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("labels").alias("labels"))
         .select("node", "at.id", "at.digest", "copies", "n_words", "labels"), "join-nodes")
-    places = candidates(nodes).join(nodes.select("node", "id", "digest", "copies", "labels"), "node")
-    # a node meets its own text only, once, however often the row is repeated
-    rows = places.join(texts.dropDuplicates(["id", "digest"]), ["id", "digest"]).select("grp", "tree", "one", "two", "block", "node", "copies", "labels", "text")
-
-    def verify(table: pa.Table) -> pa.Table:
-        return _verify(table, threshold)
-
-    verified = stored(rows.groupBy("grp", "tree", "one", "two").applyInArrow(verify, "node binary, links long, copies long, head binary"), "join-verified")
+    verified = links(nodes, texts.dropDuplicates(["id", "digest"]), threshold, target, levels)
     classes = connected(verified.select(F.col("node").alias("u"), F.col("head").alias("v")), "join-classes")
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
     rooted = nodes.select("node", "id", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
