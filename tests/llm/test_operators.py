@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -240,6 +240,32 @@ def test_line_dedup(docs, bits):
     assert sum(x[2] for x in want) > 0
 
 
+def test_line_filters_in_slices(spark):
+    assert lines.filter_sizes(0, 1 << 26, 1 << 29) == (1 << 26, 1)
+    assert lines.filter_sizes(9_000_000, 1 << 26, 1 << 29) == (1 << 27, 1)
+    assert lines.filter_sizes(140_000_000, 1 << 26, 1 << 29) == (1 << 29, 3)
+    assert lines.filter_sizes(10**13, 1 << 26, 1 << 29) == (1 << 29, lines.MOST_SLICES)
+    # 600 hashes, every third of them in two rows at least; negative ones too
+    rows = [(k, bytearray(), (h * 7919 - 2_000_000) * 2**40 + h, (h * 10472 - 3_000_000) * 2**38 + 3 * h) for h in range(600) for k in range(1 if h % 3 else 2 + h % 5)]
+    keys = spark.createDataFrame(rows, lines.KEYS).repartition(3)
+    want = {(h1, h2) for k, _, h1, h2 in rows if k}
+    for bits in (1 << 9, 1 << 20):
+        assert lines.filter_sizes(len(rows), bits, bits)[1] == (1 if bits > 1 << 9 else -(-8 * len(rows) // bits))
+        found = Counter((r["h1"], r["h2"]) for r in lines.suspects(keys, bits, bits).collect())
+        every = Counter((h1, h2) for _, _, h1, h2 in rows)
+        assert want <= set(found) and all(every[x] == n for x, n in found.items())
+    assert len(found) < 300  # a filter with room turns most single hashes away
+
+
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 10])
+def test_line_dedup_in_slices(spark, bits):
+    docs = spark.createDataFrame([(k, "\n".join([f"{'the same long line of boilerplate number':<44} {j}" for j in range(k % 4, 12)] + [f"a line that is found in document {k} alone, {j}" for j in range(9)]))
+                                  for k in range(24)], "doc_id long, text string")
+    want = {tuple(r) for r in lines.line_dedup(docs).select("doc_id", "n_dropped", "kept_text").collect()}
+    assert {tuple(r) for r in lines.line_dedup(docs, filter_bits=bits, most_bits=bits).select("doc_id", "n_dropped", "kept_text").collect()} == want
+    assert sum(r[1] for r in want) == sum(12 - k % 4 for k in range(24)) - 12
+
+
 # ---------------------------------------------------------------- 3, 9
 @pytest.mark.parametrize("score, column, modulus, rest, positive", [
     (quality.score_quality, "quality", 5, 0, 0), (toxicity.score_toxicity, "toxic", 4, 2, 1)])

@@ -1,13 +1,18 @@
 """Line dedup with two Bloom filters.
 
-Pass 1 enters the hash of every line key once per document into a filter of
-hashes seen once and, when all its bits are set there already, into a filter of
-hashes seen twice. Tasks work on their own filters, which are merged in
-segments; the merged twice-filter has a fixed size and is broadcast. Pass 2
-shuffles only hashes that the twice-filter holds (every repeated line, and some
-single ones by chance), counts their documents exactly and picks the document
-that keeps the line. A filter that fills up lets more lines through, so the
-result never depends on its size.
+The 128-bit hashes of all long line keys, each once per row, are written as a
+table; texts are cut into lines for it and for the result only. Pass 1 enters
+every hash into a filter of hashes seen once and, when all its bits are set
+there already, into a filter of hashes seen twice. Tasks work on their own
+filters, which are merged in segments; the merged twice-filter is broadcast.
+Pass 2 shuffles only hashes that the twice-filter holds (every repeated line,
+and some single ones by chance), counts their documents exactly and picks the
+document that keeps the line.
+
+Filters take KEY_BITS bits for every hash of the table, between ``filter_bits``
+and ``most_bits``. Where that is not enough, the hashes are split into slices,
+each with its own passes, one after the other. A filter that fills up, beyond
+MOST_SLICES slices, lets more lines through: the result never depends on sizes.
 """
 
 from collections.abc import Iterator
@@ -16,12 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillroll.session import scratch_path
+
 from .shared import id_of, in_arrow, named, private, small_batches, stored
 from .words import LOWER, NOT_SPACE, groups_of, mix, span_hashes, text_column
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-FILTER_BITS = 1 << 26  # 8 MB for each filter, whatever the input
+FILTER_BITS = 1 << 26  # the least size of a filter, 8 MB
+MOST_BITS = 1 << 29  # the largest, 64 MB, for 67 million hashes
+KEY_BITS = 8  # bits for every hash: with two probes 5 % of single lines pass when all are in
+MOST_SLICES = 64
 PROBES = 2
 SEGMENTS = 64
 
@@ -87,28 +97,35 @@ def _enter(filter_: np.ndarray, slots: list[np.ndarray]) -> None:
         np.bitwise_or.at(filter_, x >> 3, np.left_shift(np.uint8(1), (x & 7).astype(np.uint8)))
 
 
-def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int = FILTER_BITS) -> bytes:
-    """The merged filter of hashes seen in two documents at least (bits / 8 bytes)."""
+def filter_sizes(keys: int, least: int, most: int) -> tuple[int, int]:
+    """(bits of a filter, slices) for so many hashes."""
+    bits = least
+    while bits < min(KEY_BITS * keys, most):
+        bits *= 2
+    return bits, min(MOST_SLICES, max(1, -(-KEY_BITS * keys // bits)))
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.asarray(batch.column(c)).view(np.uint64) for c in ("h1", "h2"))
+
+
+def twice_filter(keys: DataFrame, bits: int) -> bytes:
+    """The merged filter of hashes (h1, h2) that are in two rows at least (bits / 8 bytes)."""
     size = bits // 8 // SEGMENTS
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism  # each over many input splits, as each makes filters of full size
+    tasks = 2 * keys.sparkSession.sparkContext.defaultParallelism  # each over many input splits, as each makes filters of full size
 
     def build(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            values, starts, ends = text_column(batch.column(0))
-            for i, j in groups_of(starts, ends):
-                _, _, rows, h1, h2 = long_keys(values, starts[i:j], ends[i:j], min_chars)
-                _, h1, h2 = _distinct(rows, h1, h2)
-                if not len(h1):
-                    continue
-                order = np.lexsort((h2, h1))
-                h1, h2 = h1[order], h2[order]
-                again = np.zeros(len(h1), bool)
-                again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-                slots = _slots(h1, h2, bits)
-                again |= _test(once, slots)
-                _enter(twice, [x[again] for x in slots])
-                _enter(once, slots)
+            h1, h2 = _pairs(batch)
+            order = np.lexsort((h2, h1))
+            h1, h2 = h1[order], h2[order]
+            again = np.zeros(len(h1), bool)
+            again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            slots = _slots(h1, h2, bits)
+            again |= _test(once, slots)
+            _enter(twice, [x[again] for x in slots])
+            _enter(once, slots)
         for k in range(SEGMENTS):
             part = slice(k * size, (k + 1) * size)
             if once[part].any():
@@ -123,7 +140,7 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int = FIL
                 once |= o
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["segment", "twice"])
 
-    built = docs.select(named(text_col).alias("text")).coalesce(tasks).mapInArrow(build, "segment int, once binary, twice binary")
+    built = keys.select("h1", "h2").coalesce(tasks).mapInArrow(build, "segment int, once binary, twice binary")
     merged = built.groupBy("segment").applyInArrow(merge, "segment int, twice binary")
     found = {r["segment"]: bytes(r["twice"]) for r in merged.collect()}  # SEGMENTS rows, bits / 8 bytes
     return b"".join(found.get(k, bytes(size)) for k in range(SEGMENTS))
@@ -137,25 +154,50 @@ def document_key(text_col: str, id_col: str, by_text: bool) -> list[Column]:
     return [id_of(id_col).alias("id"), part.alias("part")]
 
 
-def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int, min_docs: int, bits: int, by_text: bool = False) -> DataFrame:
-    """(id, part, drop binary): for each document the 16-byte keys of its lines that go."""
-    spark = docs.sparkSession
-    twice = spark.sparkContext.broadcast(twice_filter(docs, text_col, min_chars, bits))
+KEYS = "id long, part binary, h1 long, h2 long"
+
 
-    def suspects(batches):
-        seen = np.frombuffer(twice.value, np.uint8)
+def line_keys(docs: DataFrame, text_col: str, id_col: str, min_chars: int, by_text: bool) -> DataFrame:
+    """(id, part, h1, h2), stored: the keys of each row's long lines, each once a row."""
+
+    def keys(batches):
         for batch in batches:
             ids, parts = np.asarray(batch.column(0)), batch.column(1)
             values, starts, ends = text_column(batch.column(2))
             for i, j in groups_of(starts, ends):
                 _, _, rows, h1, h2 = long_keys(values, starts[i:j], ends[i:j], min_chars)
                 rows, h1, h2 = _distinct(rows, h1, h2)
-                hit = _test(seen, _slots(h1, h2, bits)) if len(h1) else np.zeros(0, bool)
-                at = i + rows[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), parts.take(pa.array(at)), pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64))], ["id", "part", "h1", "h2"])
+                at = i + rows
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), parts.take(pa.array(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "part", "h1", "h2"])
+
+    return stored(docs.select(*document_key(text_col, id_col, by_text), named(text_col).alias("text")).mapInArrow(keys, KEYS), "lines-keys")
+
+
+def suspects(keys: DataFrame, least: int, most: int) -> DataFrame:
+    """The rows of keys whose hash the twice-filter holds, stored slice by slice."""
+    spark = keys.sparkSession
+    bits, slices = filter_sizes(keys.count(), least, most)  # counted in the files' footers
+    if slices > 1:
+        path = scratch_path(spark, "lines-slices")
+        keys.withColumn("slice", F.pmod("h2", F.lit(slices)).cast("int")).write.partitionBy("slice").parquet(path)
+        keys = spark.read.schema(f"{KEYS}, slice int").parquet(path)
+    root = scratch_path(spark, "lines-suspects")
+    for k in range(slices):
+        part = keys.filter(F.col("slice") == k) if slices > 1 else keys
+        twice = spark.sparkContext.broadcast(twice_filter(part, bits))
 
-    found = docs.select(*document_key(text_col, id_col, by_text), named(text_col).alias("text")).mapInArrow(suspects, "id long, part binary, h1 long, h2 long")
-    found = stored(found, "lines-suspects")
+        def seen_twice(batches, twice=twice):
+            held = np.frombuffer(twice.value, np.uint8)
+            for batch in batches:
+                yield batch.filter(pa.array(_test(held, _slots(*_pairs(batch), bits))))
+
+        part.select("id", "part", "h1", "h2").mapInArrow(seen_twice, KEYS).write.parquet(f"{root}/slice={k}")
+    return spark.read.schema(f"{KEYS}, slice int").parquet(root).drop("slice")
+
+
+def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int, min_docs: int, least: int, most: int, by_text: bool = False) -> DataFrame:
+    """(id, part, drop binary): for each document the 16-byte keys of its lines that go."""
+    found = suspects(line_keys(docs, text_col, id_col, min_chars, by_text), least, most)
     per_doc = found.groupBy("h1", "h2", "id", "part").agg(F.lit(1).alias("one"))  # repeated rows of a document count once
     heavy = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.struct("id", "part")).alias("stays")).filter(F.col("n") >= min_docs)
     # read from a table, so that its size is known: joined as a broadcast below the
@@ -167,7 +209,7 @@ def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int,
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-               filter_bits: int = FILTER_BITS, columns: list[str] | None = None, by_text: bool = False) -> DataFrame:
+               filter_bits: int = FILTER_BITS, most_bits: int = MOST_BITS, columns: list[str] | None = None, by_text: bool = False) -> DataFrame:
     """docs (columns ``columns``, default all) with n_lines, n_dropped, kept_text.
 
     A line's key is the line without ASCII whitespace at its ends, A-Z lower
@@ -184,7 +226,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     small_batches(docs.sparkSession)
     columns = [c for c in (columns or docs.columns) if c.lower() not in COLUMNS]
     own = private(columns)
-    drops = repeated_lines(docs, text_col, id_col, min_chars, min_docs, filter_bits, by_text).toDF(own + "id", own + "of", own + "drop")
+    drops = repeated_lines(docs, text_col, id_col, min_chars, min_docs, filter_bits, max(filter_bits, most_bits), by_text).toDF(own + "id", own + "of", own + "drop")
     doc, part = document_key(text_col, id_col, by_text)
     text = text_col if text_col in columns else own + "text"
     base = docs.select(*[named(c) for c in columns], *([] if text in columns else [named(text_col).alias(text)]), doc.alias(own + "doc"), part.alias(own + "part"))
