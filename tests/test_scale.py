@@ -36,9 +36,9 @@ def test_part_files_do_not_follow_the_shuffles(spark):
     setting, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set(setting, "64")
     b = spark.range(4000).repartition(64, "id").select((F.col("id") % 3).cast("int").alias("store_id"), F.repeat(F.lit("17 "), 20).alias("products"))
-    stored = testdata._by_store(b.select("products", "store_id"), "test-baskets")
+    stored = testdata._by_store(b, "test-baskets")
     spark.conf.set(setting, before)
-    assert len(stored.inputFiles()) == 3 and stored.count() == 4000
+    assert len(stored.inputFiles()) == 3 and stored.count() == 4000 and stored.columns == ["store_id", "products"]
     assert {r["store_id"] for r in stored.select("store_id").distinct().collect()} == {0, 1, 2}
 
 
