@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tillroll import session
 from tillroll.operators import baskets, catalog
-from tillroll.sources import testdata
+from tillroll.plans import warehouse
+from tillroll.sources import files, testdata
+from tillroll.streaming import ingest
 
 
 def _plan(df):
@@ -58,3 +60,23 @@ def test_tasks_are_only_made_smaller(spark):
         assert [spark.conf.get(k) for k in sizes] == [str(files), str(shuffle)], given
     for k, v in sizes.items():
         spark.conf.set(k, v)
+
+
+def test_lines_of_one_compressed_file_are_cut_by_all_tasks(spark, tmp_path):
+    lines = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("2013-1-5|1|7|"), F.col("id").cast("string"), F.repeat(F.lit(" 12345"), 60)))
+    lines.write.option("compression", "gzip").text(str(tmp_path / "1_Tran.csv"))
+    landed = session.written(ingest.spread(files.numbered(files.with_source(spark.read.text(str(tmp_path / "1_Tran.csv"))))), "test-landing")
+    rows, report = files.gated(landed)
+    assert len(rows.inputFiles()) >= spark.sparkContext.defaultParallelism  # one, when a task had them all
+    assert sorted(r["row_no"] for r in rows.select("row_no").collect()) == list(range(3000)) and report.first()["accepted"]
+
+
+def test_fact_rows_are_written_by_month(spark):
+    fact = baskets.build_fact(spark.range(0, 2000, 1, 8).select(
+        F.col("id").alias("transaction_id"), F.expr("date_add(DATE'2013-01-01', cast(id % 365 AS INT))").alias("date"), F.lit(1).alias("store_id"),
+        F.col("id").alias("customer_id"), F.lit(1).cast("bigint").alias("product_id"), F.lit(1).cast("bigint").alias("quantity")),
+        spark.createDataFrame([(1, 1)], "product_id long, category_id int"), spark.createDataFrame([(1, "A")], "category_id int, category_name string"))
+    rows = warehouse.by_month(fact)
+    assert rows.schema == fact.select(*rows.columns).schema and sorted(rows.collect()) == sorted(fact.select(*rows.columns).collect())
+    above, below = _plan(rows).split("REBALANCE")
+    assert "date_format" in above and "date_format" not in below

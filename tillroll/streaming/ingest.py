@@ -20,11 +20,13 @@ source has forgotten that, is not counted twice but reported. Transaction ids ca
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.operators.baskets import build_fact, expand_baskets
 from tillroll.plans.rebuild import raw_batch
-from tillroll.schemas import FACT_COLUMNS
+from tillroll.plans.warehouse import by_month
 from tillroll.session import written
 from tillroll.sources import files
 
@@ -36,6 +38,13 @@ def contents(landed: DataFrame) -> DataFrame:
     return landed.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("digest"))
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Numbered lines dealt to as many tasks as the cluster runs at a time. A batch of two
+    compressed files is read by two tasks; cutting and expanding its lines need not be
+    left to those. ``pos`` was given before, so that numbers are those of the files."""
+    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism, "pos")
+
+
 def taken_in(spark: SparkSession, report_path: str, before: int | None = None) -> DataFrame:
     """(file_path, lines, digest, batch_id) of the files taken in so far, or before an epoch."""
     root = f"{report_path.rstrip('/')}/files"
@@ -49,11 +58,12 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
     report_path = (report_path or f"{fact_path.rstrip('/')}-report").rstrip("/")
     src = files.with_source(spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(f"{raw_dir.rstrip('/')}/*_Tran.csv"))
 
-    def put(df: DataFrame, root: str, epoch: int, *by: str) -> None:
+    def put(job: tuple) -> None:
+        df, root, epoch, *by = job
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{root.rstrip('/')}/batch_id={epoch}")
 
     def per_batch(batch: DataFrame, epoch: int):
-        landed = written(files.numbered(batch), "stream-landing")
+        landed = written(spread(files.numbered(batch)), "stream-landing")
         names = written(contents(landed), "stream-files")
         before = taken_in(spark, report_path, epoch) if epoch else names.limit(0)
         new = names.join(before.select("file_path"), "file_path", "left_anti").join(before.select("lines", "digest"), ["lines", "digest"], "left_anti")
@@ -63,11 +73,13 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
             F.regexp_extract("file_path", files.SOURCE_PATTERN, 1).alias("source"), files.store_of_file().alias("file_store"),
             *[F.lit(0).cast("bigint").alias(c) for c in ("rows", "foreign_rows", "bad_dates", "bad_customer_ids")], F.lit(True).alias("layout_ok"),
             F.array().cast("array<string>").alias("missing_columns"), F.lit(AGAIN).alias("reason"), F.lit(False).alias("accepted")).distinct()
-        put(report.unionByName(refused), f"{report_path}/gate", epoch)
-        put(files.rejected_rows(rows), f"{report_path}/rejected", epoch)
         raw = raw_batch(rows, f"b{epoch}").filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
-        put(build_fact(expand_baskets(raw), product_category, categories).select(*FACT_COLUMNS), fact_path, epoch, "year", "month")
-        put(names.join(rows.select("file_path"), "file_path", "left_semi"), f"{report_path}/files", epoch)
+        fact = by_month(build_fact(expand_baskets(raw), product_category, categories))
+        took = names.join(rows.select("file_path"), "file_path", "left_semi")
+        # independent of each other; a batch that is run again writes all of them again
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(put, [(fact, fact_path, epoch, "year", "month"), (report.unionByName(refused), f"{report_path}/gate", epoch),
+                                (files.rejected_rows(rows), f"{report_path}/rejected", epoch), (took, f"{report_path}/files", epoch)]))
 
     return (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
