@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tillroll import session
-from tillroll.operators import baskets, catalog
+from tillroll.operators import baskets, catalog, facts
 from tillroll.plans import warehouse
 from tillroll.sources import files, testdata
 from tillroll.streaming import ingest
@@ -93,3 +94,32 @@ def test_ordered_store_file_follows_the_data(spark, tmp_path):
     assert len(text.inputFiles()) == len(spark.read.text(f"{root}/4_Tran.csv").inputFiles()) == 1
     dates = [r["value"].split('","')[0] for r in text.collect()[1:]]
     assert len(dates) == 10000 and [d == '"never' for d in dates] == [t % 7 == 3 for t in range(0, 40000, 4)]
+
+
+def _tables(spark, root):
+    """Orders of two days, two lines each, of seven customers and five parts."""
+    spark.range(0, 40, 1, 2).select(F.col("id").alias("o_orderkey"), F.expr("date_add(DATE'1995-01-30', cast(id % 4 AS INT))").alias("o_orderdate"),
+                                    F.lit("1-X").alias("o_orderpriority"), (F.col("id") % 7).alias("o_custkey")).write.parquet(f"{root}/orders.parquet")
+    spark.range(0, 80, 1, 2).select(F.expr("id div 2").alias("l_orderkey"), (F.col("id") % 5).alias("l_partkey"), F.lit(2.0).alias("l_quantity")).write.parquet(f"{root}/lineitem.parquet")
+    spark.range(5).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#1"), F.col("id").cast("string")).alias("p_brand")).write.parquet(f"{root}/part.parquet")
+
+
+def _written(spark, path):
+    try:
+        return len(spark.read.parquet(path).inputFiles()) > 0
+    except AnalysisException:
+        return False
+
+
+def test_tables_are_built_when_a_query_reads_them(spark, tmp_path):
+    _tables(spark, tmp_path)
+    there = lambda wh: {t for t in warehouse.TABLES if _written(spark, wh.path(t))}
+    wh = warehouse.testdata_warehouse(spark, str(tmp_path), ["customer_metrics"])
+    assert there(wh) == {"transactions_expanded", "customer_metrics", "customer_totals", "customer_item", "customer_visits"}
+    got = sorted(map(str, wh.customer_metrics().collect()))
+    assert got == sorted(map(str, facts.customer_metrics(wh.fact()).collect())) and len(got) == 7
+    before = wh.fact().inputFiles() + wh.customer_metrics().inputFiles()
+    whole = warehouse.testdata_warehouse(spark, str(tmp_path))
+    assert whole is wh and there(wh) == set(warehouse.TABLES) and before == wh.fact().inputFiles() + wh.customer_metrics().inputFiles()
+    assert warehouse.Warehouse.open(spark, wh.root).rows["customer_metrics"] == 7
+    assert sorted(map(str, wh.product_metrics().collect())) == sorted(map(str, facts.product_metrics(wh.fact()).collect()))

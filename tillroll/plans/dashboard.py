@@ -17,7 +17,7 @@ def _fact(spark, sf):
 
 def _cm(spark, sf):
     """The processed customer metrics table (written once by the rebuild)."""
-    return testdata_warehouse(spark, sf).customer_metrics()
+    return testdata_warehouse(spark, sf, ["customer_metrics"]).customer_metrics()
 
 
 def _pm(spark, sf):
