@@ -66,6 +66,18 @@ def test_best_sellers_leave_the_prefix(spark, ci, monkeypatch):
     assert index.filter("rest >= 0.5").isEmpty()
 
 
+def test_index_holds_products_of_targets_only(spark, ci):
+    rows = vectors()
+    some = [c for c in rows if c % 40 == 0]
+    index = cf.prefix_index(ci, spark.createDataFrame([(t,) for t in some], "target_id long"), cf.customer_norms(ci), 0.1)
+    wanted = {p for t in some for p in rows[t]}
+    assert wanted < {p for v in rows.values() for p in v}
+    got = {(r["customer_id"], r["product_id"]): r["weight"] for r in index.collect()}
+    length = {c: math.sqrt(sum(q * q for q in v.values())) for c, v in rows.items()}  # over all products
+    want = {(c, p): q / length[c] for c, v in rows.items() for p, q in v.items() if p in wanted and length[c]}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
 def test_recommendations_for_many_targets(spark, ci):
     rows = vectors()
     targets = [c for c in rows if c % 10 == 0]
