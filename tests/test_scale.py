@@ -123,3 +123,47 @@ def test_tables_are_built_when_a_query_reads_them(spark, tmp_path):
     assert whole is wh and there(wh) == set(warehouse.TABLES) and before == wh.fact().inputFiles() + wh.customer_metrics().inputFiles()
     assert warehouse.Warehouse.open(spark, wh.root).rows["customer_metrics"] == 7
     assert sorted(map(str, wh.product_metrics().collect())) == sorted(map(str, facts.product_metrics(wh.fact()).collect()))
+
+
+def _bought(spark):
+    """Fact rows of 40 customers; none has 300 rows, 7 has 315, the others 15."""
+    customer = "CASE WHEN id < 300 THEN 7 WHEN id < 600 THEN NULL ELSE id % 40 END"
+    lines = spark.range(0, 1200, 1, 4).select(
+        F.expr("id div 3").alias("transaction_id"), F.expr("date_add(DATE'2013-01-01', cast(id div 3 % 50 AS INT))").alias("date"), F.expr("cast(id div 3 % 4 AS INT)").alias("store_id"),
+        F.expr(customer).alias("customer_id"), (F.col("id") % 30).alias("product_id"), (F.col("id") % 5).alias("quantity"))
+    pc = spark.range(30).select(F.col("id").alias("product_id"), F.expr("cast(id % 9 AS INT)").alias("category_id"))
+    return baskets.build_fact(lines, pc, spark.createDataFrame([(i, f"C{i}") for i in range(8)], "category_id int, category_name string"))
+
+
+def test_a_customers_state_rows_lie_in_one_file(spark, tmp_path):
+    """Rows are dealt by customer for all states of customers: none is shuffled again, and
+    the metrics' shuffles get one row a customer, not one a state row."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    wh = warehouse.write_processed(spark, _bought(spark), str(tmp_path / "wh"))
+    spark.conf.set(setting, before)
+    for name in ("customer_item", "customer_visits", "customer_totals"):
+        files_of = wh.state(name).select("customer_id", F.input_file_name().alias("file")).groupBy("customer_id").agg(F.countDistinct("file").alias("files"))
+        assert {r["files"] for r in files_of.collect()} == {1}, name
+    made, _ = warehouse._customer_states(wh.fact(), ["customer_item", "customer_visits", "customer_totals"])
+    assert all(_plan(df).count("Exchange") == 1 for df in made.values())
+    assert sorted(map(str, wh.customer_metrics().collect())) == sorted(map(str, facts.customer_metrics(wh.fact()).collect()))
+
+
+def test_hot_customers_are_not_dealt_to_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warehouse, "HOT_ROWS", 100)
+    monkeypatch.setattr(warehouse, "HOT_SHARE", 10)
+    fact = session.written(_bought(spark), "test-hot")
+    assert set(warehouse.hot_customers(fact)) == {7, None}
+    names = ["customer_item", "customer_visits", "customer_totals"]
+    made, dealt = warehouse._customer_states(fact, names)
+    for name in names:
+        plain = warehouse.STATES[name][3](fact)
+        assert made[name].schema == plain.schema and sorted(map(str, made[name].collect())) == sorted(map(str, plain.collect())), name
+    assert dealt.filter("customer_id IS NULL OR customer_id = 7").isEmpty() and dealt.count() == 585
+    monkeypatch.setattr(warehouse, "HOT_ROWS", 5000)
+    assert warehouse.hot_customers(fact) == []
+    monkeypatch.setattr(warehouse, "HOT_ROWS", 100)
+    wh = warehouse.write_processed(spark, fact, str(tmp_path / "wh"))
+    assert sorted(map(str, wh.customer_metrics().collect())) == sorted(map(str, facts.customer_metrics(wh.fact()).collect()))
