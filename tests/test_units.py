@@ -321,6 +321,18 @@ def test_catalogue_faults_reach_the_caller(spark, tmp_path):
     assert _rows(rows, "product_id", "category_id") == [(1, 2)] and rejected.count() == 2 and report.first()["accepted"]
 
 
+def test_every_catalogue_file_is_reported_with_all_its_rows(spark, tmp_path):
+    from tillroll.plans.maintenance import q_catalogue_report
+    sizes = [2, 9, 3, 50, 7]
+    spark.createDataFrame([(i, f"Brand#{11 + i % 4}", n) for i, n in enumerate(sizes, 1)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["file"]: (r["rows"], r["bad_rows"], r["accepted"]) for r in q_catalogue_report(spark, str(tmp_path)).collect()}
+    assert got == {"categories.csv": (4, 0, True), "categories_bad.csv": (4, 1, False), "categories_short.csv": (4, 0, False),
+                   "product_category.csv": (5, 0, True), "product_category_bad.csv": (5, 2, True)}
+    (tmp_path / "p.csv").write_text("v.Code|Categoria|Otra\n1|2|3\n \n4|5|6\n")
+    rows, rejected, report = files.read_catalogue(spark, str(tmp_path / "p.csv"), "product_category")
+    assert rows.count() == rejected.count() == 0 and report.first()["rows"] == 2 and not report.first()["accepted"]
+
+
 def test_quality_of_coincident_centroids(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "cluster int, x array<double>")
     from tillroll.operators import segments
