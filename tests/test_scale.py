@@ -72,6 +72,26 @@ def test_lines_of_one_compressed_file_are_cut_by_all_tasks(spark, tmp_path):
     assert sorted(r["row_no"] for r in rows.select("row_no").collect()) == list(range(3000)) and report.first()["accepted"]
 
 
+def test_a_stream_does_not_gather_its_catalogue_at_the_driver(spark, tmp_path, monkeypatch):
+    """20,000 rows in files of some 40 KB, which take 0.9 MB when broadcast: over a bound of 256 KB."""
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "1_Tran.csv").write_text("".join(f"2013-01-05|1|{i}|{i} 9 {i + 20000}\n" for i in range(300)))
+    pc = session.written(spark.range(20000).select(F.col("id").alias("product_id"), (F.col("id") % 25).cast("int").alias("category_id")), "test-products")
+    cats = spark.range(25).select(F.col("id").cast("int").alias("category_id"), F.concat(F.lit("C"), "id").alias("category_name"))
+    plans, build = [], ingest.build_fact
+    def seen(*tables):
+        plans.append(_plan(build(*tables)))
+        return build(*tables)
+    monkeypatch.setattr(ingest, "build_fact", seen)
+    setting, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(setting, "256k")
+    ingest.ingest_stream(spark, str(tmp_path / "raw"), pc, cats, str(tmp_path / "fact"), str(tmp_path / "ck")).awaitTermination()
+    spark.conf.set(setting, before)
+    assert plans[0].count("SortMergeJoin [product_id") == 1 and plans[0].count("BroadcastHashJoin [category_id") == 1
+    got = spark.read.parquet(str(tmp_path / "fact" / "batch_id=*")).select("product_id", "category_name").distinct()
+    assert got.filter("category_name IS NULL").count() == 300 and got.filter("category_name = concat('C', product_id % 25)").count() == 300
+
+
 def test_fact_rows_are_written_by_month(spark):
     fact = baskets.build_fact(spark.range(0, 2000, 1, 8).select(
         F.col("id").alias("transaction_id"), F.expr("date_add(DATE'2013-01-01', cast(id % 365 AS INT))").alias("date"), F.lit(1).alias("store_id"),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tillroll.operators.baskets import build_fact, expand_baskets
 from tillroll.plans.rebuild import raw_batch
 from tillroll.plans.warehouse import by_month
-from tillroll.session import written
+from tillroll.session import lookup_table, written
 from tillroll.sources import files
 
 AGAIN = "taken in by an earlier batch"
@@ -54,8 +54,11 @@ def taken_in(spark: SparkSession, report_path: str, before: int | None = None) -
 
 def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame, categories: DataFrame,
                   fact_path: str, checkpoint: str, max_files_per_trigger: int = 16, report_path: str | None = None):
-    """Start an availableNow stream; returns the StreamingQuery."""
+    """Start an availableNow stream; returns the StreamingQuery. The catalogues are stored
+    as they are at its start, for all of its batches."""
     report_path = (report_path or f"{fact_path.rstrip('/')}-report").rstrip("/")
+    products = lookup_table(product_category.select("product_id", "category_id"), "stream-products")
+    names_of = lookup_table(categories.select("category_id", "category_name"), "stream-categories")
     src = files.with_source(spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(f"{raw_dir.rstrip('/')}/*_Tran.csv"))
 
     def put(job: tuple) -> None:
@@ -74,8 +77,8 @@ def ingest_stream(spark: SparkSession, raw_dir: str, product_category: DataFrame
             *[F.lit(0).cast("bigint").alias(c) for c in ("rows", "foreign_rows", "bad_dates", "bad_customer_ids")], F.lit(True).alias("layout_ok"),
             F.array().cast("array<string>").alias("missing_columns"), F.lit(AGAIN).alias("reason"), F.lit(False).alias("accepted")).distinct()
         raw = raw_batch(rows, f"b{epoch}").filter(F.col("date").isNotNull() & F.col("customer_id").isNotNull())
-        fact = by_month(build_fact(expand_baskets(raw), product_category, categories))
-        took = names.join(rows.select("file_path"), "file_path", "left_semi")
+        fact = by_month(build_fact(expand_baskets(raw), products, names_of))
+        took = names.join(rows.select("file_path").distinct(), "file_path", "left_semi")
         # independent of each other; a batch that is run again writes all of them again
         with ThreadPoolExecutor(4) as pool:
             list(pool.map(put, [(fact, fact_path, epoch, "year", "month"), (report.unionByName(refused), f"{report_path}/gate", epoch),
