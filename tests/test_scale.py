@@ -187,3 +187,42 @@ def test_hot_customers_are_not_dealt_to_one_task(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warehouse, "HOT_ROWS", 100)
     wh = warehouse.write_processed(spark, fact, str(tmp_path / "wh"))
     assert sorted(map(str, wh.customer_metrics().collect())) == sorted(map(str, facts.customer_metrics(wh.fact()).collect()))
+
+
+def test_transactions_are_dealt_once_for_what_counts_them(spark, tmp_path, monkeypatch):
+    """Also with hot transactions, whose rows are not dealt: 77 and null have 200 rows each."""
+    monkeypatch.setattr(warehouse, "HOT_ROWS", 100)
+    monkeypatch.setattr(warehouse, "HOT_SHARE", 10)
+    tid = F.expr("CASE WHEN transaction_id BETWEEN 10 AND 76 THEN 77 WHEN transaction_id < 180 AND transaction_id > 100 THEN NULL ELSE transaction_id END")
+    fact = session.written(_bought(spark).withColumn("transaction_id", tid), "test-hot-transactions")
+    assert set(warehouse.hot_keys(fact, "transaction_id")) == {77, None}
+    plain = {name: facts.transaction_metrics(fact) if name == "transaction_metrics" else warehouse.STATES[name][3](fact) for name in warehouse.OF_TRANSACTIONS}
+    want = {name: sorted(map(str, df.collect())) for name, df in plain.items()}
+    for most in (100, 5000):
+        monkeypatch.setattr(warehouse, "HOT_ROWS", most)
+        made, dealt = warehouse._transaction_states(fact, list(warehouse.OF_TRANSACTIONS))
+        assert dealt.filter("transaction_id IS NULL OR transaction_id = 77").isEmpty() == (most == 100)
+        for name, df in made.items():
+            assert df.dtypes == plain[name].dtypes and sorted(map(str, df.collect())) == want[name], name
+    made, _ = warehouse._transaction_states(fact, list(warehouse.OF_TRANSACTIONS))  # plans that have not run
+    assert {name: _plan(df).count("Exchange") for name, df in made.items()} == {"transaction_metrics": 1, "product_totals": 2, "category_totals": 2}
+    shared = _plan(made["product_totals"])
+    assert "hashpartitioning(transaction_id" in shared and "hashpartitioning(product_id" in shared and "hashpartitioning(product_id, transaction_id" not in shared.replace("#", "")
+    wh = warehouse.write_processed(spark, fact, str(tmp_path / "wh"))
+    assert sorted(map(str, wh.transaction_metrics().select(*plain["transaction_metrics"].columns).collect())) == want["transaction_metrics"]
+
+
+def test_an_append_builds_no_warehouse_of_all_orders(spark, tmp_path):
+    """Only the tables an append publishes are written, and text only of the orders it uploads."""
+    from tillroll.plans import maintenance
+    spark.range(0, 60, 1, 2).select(F.col("id").alias("o_orderkey"), F.expr("date_add(DATE'1997-12-20', cast(id AS INT))").alias("o_orderdate"),
+                                    F.lit("1-X").alias("o_orderpriority"), (F.col("id") % 7).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0, 120, 1, 2).select(F.expr("id div 2").alias("l_orderkey"), F.expr("cast(id % 2 + 1 AS INT)").alias("l_linenumber"), (F.col("id") % 5).alias("l_partkey"),
+                                     F.lit(2.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#1"), F.col("id").cast("string")).alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["product_id"]: r["total_quantity"] for r in maintenance.q_append_publish_products(spark, str(tmp_path)).collect()}
+    assert got == {i: 48 for i in range(5)}
+    assert not any(sf == str(tmp_path) for _, sf in warehouse._BUILT)
+    batch, every = maintenance._new_batch(spark, str(tmp_path)), testdata.part_basket_strings(spark, str(tmp_path))
+    assert "LeftSemi" in _plan(batch) and sorted(batch.collect()) == sorted(every.filter("date >= DATE'1998-01-01'").collect())
+    assert batch.count() == 48
