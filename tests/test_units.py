@@ -424,6 +424,25 @@ def test_batch_with_stored_or_repeated_ids(spark, tmp_path):
     assert sorted(map(str, second.customer_metrics().collect())) == sorted(map(str, whole.customer_metrics().select(*second.customer_metrics().columns).collect()))
 
 
+def test_known_baskets_are_found_before_any_is_expanded(spark, tmp_path, monkeypatch):
+    from tillroll.plans import rebuild
+    from tillroll.plans.warehouse import KnownTransactions, write_processed
+    schema, old, pc, cats = _batches(spark)
+    raw = lambda rows: spark.createDataFrame(rows, schema)
+    first = write_processed(spark, catalog.batch_fact(raw(old), pc, cats), str(tmp_path / "v1"))
+    expanded, expand = [], catalog.batch_fact
+    monkeypatch.setattr(catalog, "batch_fact", lambda r, *more: expanded.append(r.count()) or expand(r, *more))
+    new = [("n1", dt.date(2013, 2, 1), 102, 5, "1 1 2"), (None, dt.date(2013, 2, 1), 102, 6, "3")]
+    empty = [(*old[40][:4], "x")]  # a stored id, but no product
+    with pytest.raises(KnownTransactions) as e:
+        rebuild.append_batch(spark, first, raw(old[:30] + empty + new), pc, cats, str(tmp_path / "v2"))
+    assert e.value.n == 30 and not expanded and not (tmp_path / "v2").exists()
+    second = rebuild.append_batch(spark, first, raw(old[:30] + empty + new), pc, cats, str(tmp_path / "v3"), on_known="skip")
+    assert expanded == [2] and second.transaction_metrics().count() == 202
+    third = rebuild.append_batch(spark, first, raw(empty + new), pc, cats, str(tmp_path / "v4"))
+    assert third.rows == second.rows
+
+
 def test_known_keys_and_the_filters_bound(spark, monkeypatch):
     from tillroll.operators import known
     stored = spark.range(5000).select(F.concat(F.lit("t"), "id").alias("k"))
